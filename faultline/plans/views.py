@@ -65,3 +65,92 @@ def console_steps(spark: S, sf: str) -> DataFrame:
         .when(m == 19, F.lit("[Pipeline] // stage"))
     )
     return log_lines(spark, sf).withColumn("raw", F.coalesce(marker, F.col("raw")))
+
+
+def requests(spark: S, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    u, i, k = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    status = (
+        F.when(k.isin("view", "click"), "completed").when(k == "purchase", "skipped").when(k == "error", "failed")
+        .otherwise("processing")
+    )
+    kind = F.when(u % 4 == 0, "main").when(u % 4 == 1, "child").when(u % 4 == 2, "merge_request")
+    return e.select(
+        i.alias("id"), F.col("ts").alias("timestamp"), (u % 10).alias("project_id"), u.alias("pipeline_id"),
+        kind.alias("pipeline_type"), status.alias("status"),
+        F.when(i % 2 == 0, "main").otherwise("dev").alias("ref"), F.md5(i.cast("string")).alias("sha"),
+        F.when(u % 4 == 1, "parent_pipeline").otherwise("push").alias("source"),
+        F.lit("Pipeline Hook").alias("event_type"),
+        F.concat(F.lit("10.0.0."), (u % 250).cast("string")).alias("client_ip"),
+        F.when(i % 13 != 0, F.col("value")).alias("processing_time"),
+        (i % 6 + i % 3).cast("int").alias("job_count"),
+        F.when(k != "signup", i % 6).cast("int").alias("success_count"),
+        F.when(i % 5 != 0, i % 3).cast("int").alias("error_count"),
+        F.when(k == "error", F.concat(F.lit("boom "), i.cast("string"))).alias("error_message"),
+        F.concat(F.lit('{"project_name": "p'), (u % 10).cast("string"), F.lit('"}')).alias("metadata"),
+    )
+
+
+def request_updates(spark: S, sf: str) -> DataFrame:
+    """State changes: every request goes to processing; those not still processing get a final state later."""
+    r = requests(spark, sf)
+    none = F.lit(None)
+    first = r.select(
+        "id", (F.col("id") * 2).alias("event_seq"), F.lit("processing").alias("status"),
+        none.cast("double").alias("processing_time"), none.cast("int").alias("success_count"),
+        none.cast("int").alias("error_count"), none.cast("string").alias("error_message"),
+    )
+    last = r.filter(F.col("status") != "processing").select(
+        "id", (F.col("id") * 2 + 1).alias("event_seq"), "status", "processing_time", "success_count", "error_count",
+        "error_message",
+    )
+    return first.unionByName(last)
+
+
+def pipelines(spark: S, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
+    s = k.cast("string")
+    project = (c % 25).cast("string")
+    return o.select(
+        k.alias("pipeline_id"),
+        F.concat(F.lit("https://ci.example.com/p/"), s).alias("pipeline_url"),
+        F.when(k % 10 < 9, "Pipeline Hook").otherwise("Push Hook").alias("event_type"),
+        (c % 25).alias("project_id"),
+        F.when(c % 3 == 0, F.concat(F.lit("NATION_"), project)).otherwise(
+            F.concat(F.lit("group é/NATION_"), project)).alias("project_name"),
+        F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success")
+        .otherwise("running").alias("status"),
+        F.when(p == "1-URGENT", "push").when(p == "2-HIGH", "parent_pipeline").when(p == "3-MEDIUM", "schedule")
+        .when(p == "5-LOW", "api").otherwise("external_pr").alias("source"),
+        (k % 5 == 0).alias("has_merge_request"),
+        F.when(k % 2 == 0, "main").otherwise(F.concat(F.lit("feature/"), s)).alias("ref"),
+        F.when(k % 13 != 0, F.md5(s)).alias("sha"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        F.when(k % 17 != 0, (k % 400).cast("double")).alias("duration"),
+        F.when(k % 3 != 0, F.concat(F.lit("user"), (c % 100).cast("string"))).alias("username"),
+        F.when(k % 6 != 0, F.concat(F.lit("Name "), (c % 100).cast("string"))).alias("user_full_name"),
+        F.when(k % 11 == 0, F.array(F.lit("build"), F.lit("external"))).otherwise(
+            F.array(F.lit("build"), F.lit("test"))).alias("stages"),
+    )
+
+
+JOB_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+
+
+def jobs(spark: S, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    key = F.concat_ws(
+        "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")
+    )
+    flag = F.col("l_returnflag")
+    return li.select(
+        F.col("l_orderkey").alias("pipeline_id"), key.alias("job_id"),
+        F.concat(F.lit("job "), F.col("l_linenumber").cast("string")).alias("name"),
+        F.when(F.col("l_linestatus") == "F", "build").otherwise("test").alias("stage"),
+        F.when(flag == "R", "failed").when(flag == "A", "success").when(F.col("l_linenumber") == 7, "skipped")
+        .otherwise("canceled").alias("status"),
+        F.col("l_quantity").alias("duration"),
+        F.col("l_partkey").alias("log_id"),
+        F.struct(*JOB_ORDER).alias("job_order"),
+    )
