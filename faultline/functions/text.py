@@ -42,20 +42,19 @@ def clean_line(raw: Column, max_length: int = fixed.MAX_LINE_LENGTH) -> Column:
     )
 
 
-def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    """True when the text, given in lower case, holds one of the literals, which may be in any case."""
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | text.contains(needle.lower())
-    return hit
+def quoted(value: str) -> str:
+    """SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def first_contained(text: Column, needles: Sequence[str]) -> Column:
-    """The first literal of the list that the text, given in lower case, holds, or null."""
-    out = F.lit(None).cast("string")
-    for needle in reversed(needles):
-        out = F.when(text.contains(needle.lower()), F.lit(needle)).otherwise(out)
-    return out
+def contains_any(low: str, needles: Sequence[str]) -> str:
+    """SQL condition: `low`, SQL text of a lower-case string, holds one of the literals, which may be in any case."""
+    return "(" + (" or ".join(f"contains({low}, {quoted(n.lower())})" for n in needles) or "false") + ")"
+
+
+def first_contained(low: str, needles: Sequence[str]) -> str:
+    """SQL value: the first literal of the list that `low` holds, or null."""
+    return "case " + " ".join(f"when contains({low}, {quoted(n.lower())}) then {quoted(n)}" for n in needles) + " end"
 
 
 def sanitize_name(name: Column) -> Column:
@@ -136,9 +135,10 @@ def mask_text(text: Column, patterns: Sequence[str] = fixed.SECRET_PATTERNS, lon
 
 def mask_map(entries: Column, keys: Sequence[str] = fixed.SECRET_KEYS) -> Column:
     """Mask map values whose key names a secret wholly, the others by pattern."""
-    return F.transform_values(
-        entries, lambda k, v: F.when(contains_any(F.lower(k), keys), mask_token(v)).otherwise(mask_text(v))
-    )
+    def secret(key: Column) -> Column:
+        return F.exists(F.lit(list(keys)), lambda s: F.lower(key).contains(s))
+
+    return F.transform_values(entries, lambda k, v: F.when(secret(k), mask_token(v)).otherwise(mask_text(v)))
 
 
 def error_text_norm(text: Column) -> Column:

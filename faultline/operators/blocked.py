@@ -34,42 +34,35 @@ def number_rows(
     )
 
 
-def fill_last(
-    df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str, Column], block: Column | None = None,
-    inclusive: bool = True,
+def carry_forward(
+    df: DataFrame, keys: Sequence[str], pos: str, last: Mapping[str, Column] | None = None,
+    sums: Mapping[str, Column] | None = None, block: Column | None = None, inclusive: bool = True,
 ) -> DataFrame:
-    """Add, for each name, the last non-null value at or before (or strictly before) the row, by key and position."""
+    """Add running values by key and position: `last` non-null value, and `sums`, up to the row.
+
+    With `inclusive=False` the row itself does not count.
+    """
+    last, sums = dict(last or {}), dict(sums or {})
     block = block_of(F.col(pos)) if block is None else block
-    cut = df.select("*", block.alias("_blk"), *[v.alias(f"_v_{n}") for n, v in values.items()])
+    cut = df.select("*", block.alias("_blk"), *[v.alias(f"_v_{n}") for n, v in {**last, **sums}.items()])
     ends = cut.groupBy(*keys, "_blk").agg(
-        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(pos))).alias(f"_e_{n}") for n in values]
+        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(pos))).alias(f"_e_{n}") for n in last],
+        *[F.sum(f"_v_{n}").alias(f"_e_{n}") for n in sums],
     )
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*keys, "_blk", *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values])
-    inside = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = cut.join(carry, [*keys, "_blk"], "left")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")).alias(n) for n in values],
+    carry = ends.select(
+        *keys, "_blk",
+        *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last],
+        *[F.sum(f"_e_{n}").over(before).alias(f"_c_{n}") for n in sums],
     )
-
-
-def running_sum(
-    df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str, Column], block: Column | None = None
-) -> DataFrame:
-    """Add, for each name, the sum of the expression over all rows up to and including this one."""
-    block = block_of(F.col(pos)) if block is None else block
-    cut = df.select("*", block.alias("_blk"), *[v.alias(f"_v_{n}") for n, v in values.items()])
-    sums = cut.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, "_blk", *[F.sum(f"_s_{n}").over(before).alias(f"_c_{n}") for n in values])
-    inside = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carry, [*keys, "_blk"], "left")
-    return joined.select(
+    inside = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    zero = F.lit(0)
+    return cut.join(carry, [*keys, "_blk"], "left").select(
         *[F.col(f"`{c}`") for c in df.columns],
+        *[F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")).alias(n) for n in last],
         *[
-            (F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n)
-            for n in values
+            (F.coalesce(F.sum(f"_v_{n}").over(inside), zero) + F.coalesce(F.col(f"_c_{n}"), zero)).alias(n)
+            for n in sums
         ],
     )
 

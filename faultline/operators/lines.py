@@ -28,17 +28,17 @@ def clean_lines(lines: DataFrame, max_length: int = fixed.MAX_LINE_LENGTH) -> Da
 
 
 def is_error(
-    line: Column, patterns: Sequence[str] = fixed.ERROR_PATTERNS, ignore: Sequence[str] = fixed.IGNORE_PATTERNS
-) -> Column:
-    """`line` in lower case holds a pattern and no ignore pattern."""
-    return text.contains_any(line, patterns) & ~text.contains_any(line, ignore)
+    low: str, patterns: Sequence[str] = fixed.ERROR_PATTERNS, ignore: Sequence[str] = fixed.IGNORE_PATTERNS
+) -> str:
+    """SQL condition: `low`, SQL text of a lower-case line, holds a pattern and no ignore pattern."""
+    return f"({text.contains_any(low, patterns)} and not {text.contains_any(low, ignore)})"
 
 
 def error_lines(
     lines: DataFrame, patterns: Sequence[str] = fixed.ERROR_PATTERNS, ignore: Sequence[str] = fixed.IGNORE_PATTERNS
 ) -> DataFrame:
     """Cleaned lines that hold an error pattern and no ignore pattern."""
-    return clean_lines(lines).filter((F.col("clean") != "") & is_error(F.col("low"), patterns, ignore)).drop("low")
+    return clean_lines(lines).filter(f"clean <> '' and {is_error('low', patterns, ignore)}").drop("low")
 
 
 def matched_lines(
@@ -47,9 +47,9 @@ def matched_lines(
     """Lines with a pattern: `pattern` is the first that matches, `ignored_by` the first ignore pattern or null."""
     return (
         clean_lines(lines)
-        .withColumn("pattern", text.first_contained(F.col("low"), patterns))
+        .withColumn("pattern", F.expr(text.first_contained("low", patterns)))
         .filter(F.col("pattern").isNotNull())
-        .withColumn("ignored_by", text.first_contained(F.col("low"), ignore))
+        .withColumn("ignored_by", F.expr(text.first_contained("low", ignore)))
     )
 
 
@@ -66,7 +66,7 @@ def error_count(lines: DataFrame, **patterns) -> DataFrame:
     return (
         clean_lines(lines)
         .groupBy("log_id")
-        .agg(F.count_if((F.col("clean") != "") & is_error(F.col("low"), **patterns)).alias("errors"))
+        .agg(F.expr(f"count_if(clean <> '' and {is_error('low', **patterns)})").alias("errors"))
     )
 
 
@@ -135,7 +135,7 @@ def hybrid_log(
     parts = F.split(F.col(content), "\n")
     last = F.when(F.size(parts) > tail, F.slice(parts, -tail, tail)).otherwise(parts)
     size = F.size(parts)
-    use_tail = F.exists("_last", lambda x: is_error(F.lower(x), patterns, ignore))
+    use_tail = F.expr(f"exists(_last, x -> {is_error('lower(x)', patterns, ignore)})")
     return (
         logs.withColumn("_last", last)
         .withColumn("method", F.when(use_tail, "tail").otherwise("streaming"))

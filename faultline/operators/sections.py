@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .blocked import block_of, fill_last, number_rows, spans_to_blocks
+from .blocked import block_of, carry_forward, number_rows, spans_to_blocks
 from .lines import clean_lines, error_lines, log_sizes
 
 Buckets = Sequence[tuple[int, int, int]]
@@ -233,11 +233,11 @@ def format_sections(lines: DataFrame, plan: ContextPlan | None = None, **pattern
 def fixed_context(lines: DataFrame, before: int, after: int, **patterns) -> DataFrame:
     """Ranges of `before`/`after` lines around every error line, overlapping or touching ones merged."""
     errors = error_lines(lines, **patterns).select("log_id", "line_no")
-    prev = fill_last(errors, ["log_id"], "line_no", {"_prev": F.col("line_no")}, inclusive=False)
+    prev = carry_forward(errors, ["log_id"], "line_no", {"_prev": F.col("line_no")}, inclusive=False)
     opens = F.col("_prev").isNull() | (
         F.greatest(F.col("line_no") - before, F.lit(0)) > F.col("_prev") + after + 1
     )
-    marked = fill_last(prev, ["log_id"], "line_no", {"_open": F.when(opens, F.col("line_no"))})
+    marked = carry_forward(prev, ["log_id"], "line_no", {"_open": F.when(opens, F.col("line_no"))})
     return (
         marked.groupBy("log_id", "_open").agg(F.max("line_no").alias("_last"), F.count("*").alias("errors"))
         .join(log_sizes(lines), "log_id")

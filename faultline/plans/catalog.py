@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import event_queries, line_queries  # noqa: F401
+from . import event_queries, line_queries, stage_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.blocked import number_rows
+from ..operators.shared import settle
 
 S = SparkSession
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: S, sf: str, name: str, df: DataFrame) -> DataFrame:
+    """Ingest once: the rows are written as a table in the shared folder and read from there afterwards."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        _stored[key] = settle(df, name)
+    return _stored[key]
+
 
 def table(spark: S, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -17,9 +28,10 @@ def table(spark: S, sf: str, name: str) -> DataFrame:
 def numbered_events(spark: S, sf: str) -> DataFrame:
     """Events as lines of one log per user; numbering is cut by day, so no user is sorted in one task."""
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    return number_rows(
+    numbered = number_rows(
         events.withColumnRenamed("user_id", "log_id"), ["log_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "line_no"
     )
+    return stored(spark, sf, "numbered_events", numbered)
 
 
 def _raw() -> F.Column:
@@ -154,3 +166,42 @@ def jobs(spark: S, sf: str) -> DataFrame:
         F.col("l_partkey").alias("log_id"),
         F.struct(*JOB_ORDER).alias("job_order"),
     )
+
+
+def stage_numbers(spark: S, sf: str) -> DataFrame:
+    """One row per console and stage number."""
+    return numbered_events(spark, sf).select("log_id", F.floor(F.col("line_no") / 20).alias("n")).distinct()
+
+
+def stage_meta(spark: S, sf: str) -> DataFrame:
+    """Stage descriptions: stages with two flow nodes are parallel, others have one."""
+    n, k = F.col("n").cast("string"), F.col("log_id") + F.col("n")
+
+    def node(name, status):
+        return F.struct(name.alias("name"), status.alias("status"), (F.col("n") * 10).alias("duration_ms"))
+
+    first = node(F.concat(F.lit("B"), n), F.when(k % 2 == 0, "FAILED").otherwise("SUCCESS"))
+    second = node(F.concat(F.lit("B"), n, F.lit("x")), F.when(k % 3 == 0, "SUCCESS").otherwise("FAILED"))
+    return stage_numbers(spark, sf).select(
+        "log_id", F.col("n").alias("stage_pos"), F.concat(F.lit("S"), n).alias("name"),
+        F.when(k % 3 == 0, "FAILED").otherwise("SUCCESS").alias("status"), (F.col("n") * 100).alias("duration_ms"),
+        F.when(k % 2 == 0, F.array(first, second)).otherwise(F.array(first)).alias("nodes"),
+    )
+
+
+def failed_stages(spark: S, sf: str) -> DataFrame:
+    """Failed stages with the failed step's name (null for some) and, for some, a name the console does not hold."""
+    n, k = F.col("n").cast("string"), F.col("log_id") + F.col("n")
+    return stage_numbers(spark, sf).filter(k % 3 == 0).select(
+        "log_id", F.col("n").alias("stage_pos"),
+        F.concat(F.when(k % 7 == 0, F.lit("ZZ")).otherwise(F.lit("S")), n).alias("name"),
+        F.when(k % 2 == 0, F.concat(F.when(k % 4 == 0, "B").otherwise("QQ"), n)).alias("step_name"),
+        (k % 5 == 0).alias("has_own_log"),
+    )
+
+
+def own_stage_logs(spark: S, sf: str) -> DataFrame:
+    """Own logs of the failed stages that have one: the log lines of that stage."""
+    lines = log_lines(spark, sf).withColumn("stage_pos", F.floor(F.col("line_no") / 20))
+    owners = failed_stages(spark, sf).filter("has_own_log").select("log_id", "stage_pos", "name")
+    return lines.join(owners, ["log_id", "stage_pos"]).select("log_id", "name", "line_no", "raw")
