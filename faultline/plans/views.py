@@ -150,11 +150,15 @@ def pipelines(spark: S, sf: str) -> DataFrame:
 JOB_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
 
 
-def jobs(spark: S, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    key = F.concat_ws(
+def jobs_key() -> F.Column:
+    return F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")
     )
+
+
+def jobs(spark: S, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    key = jobs_key()
     flag = F.col("l_returnflag")
     return li.select(
         F.col("l_orderkey").alias("pipeline_id"), key.alias("job_id"),
@@ -205,3 +209,161 @@ def own_stage_logs(spark: S, sf: str) -> DataFrame:
     lines = log_lines(spark, sf).withColumn("stage_pos", F.floor(F.col("line_no") / 20))
     owners = failed_stages(spark, sf).filter("has_own_log").select("log_id", "stage_pos", "name")
     return lines.join(owners, ["log_id", "stage_pos"]).select("log_id", "name", "line_no", "raw")
+
+
+def builds(spark: S, sf: str) -> DataFrame:
+    """Build events with parameters; who started them varies by key."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = k.cast("string")
+    entries = F.array(
+        F.struct(F.when(k % 2 == 0, "gitlabSourceNamespace").otherwise("sourceNamespace").alias("key"),
+                 F.when(k % 19 != 0, "group").alias("value")),
+        F.struct(F.lit("gitlabSourceRepoName").alias("key"), F.concat(F.lit("NATION_"), (c % 25).cast("string")).alias("value")),
+        F.struct(F.lit("gitlabMergeRequestIid").alias("key"),
+                 F.when(k % 3 == 0, F.concat(F.lit("!"), s)).when(k % 3 == 1, c.cast("string")).alias("value")),
+        F.struct(F.lit("gitlabMergeRequestLastCommit").alias("key"),
+                 F.when(k % 2 == 0, "unknown").otherwise(F.md5(s)).alias("value")),
+        F.struct(F.lit("gitlabSourceBranch").alias("key"),
+                 F.when(k % 7 == 0, "unknown").otherwise(F.concat(F.lit("br"), s)).alias("value")),
+    )
+    return table(spark, sf, "orders").select(
+        k.alias("build_id"), F.concat(F.lit("job "), (c % 40).cast("string")).alias("job_name"),
+        F.concat(F.lit("https://ci"), (c % 30).cast("string"), F.lit(".example.com/job/"), s).alias("build_url"),
+        F.when(c % 31 != 0, F.concat(F.lit("HTTPS://CI"), (c % 30).cast("string"), F.lit(".example.com//"))).otherwise("").alias("jenkins_url"),
+        F.when(k % 4 == 0, "Jenkins").when(k % 4 == 1, F.concat(F.lit("user"), (c % 50).cast("string"))).alias("user_id"),
+        F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("parameters"),
+    )
+
+
+def ci_projects(spark: S, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").filter("n_regionkey <> 4")
+    return n.select(F.lit("group").alias("namespace"), F.col("n_name").alias("repo"), F.col("n_nationkey").cast("bigint").alias("project_id"))
+
+
+def ci_merge_requests(spark: S, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select(
+        (F.col("c_custkey") % 25).alias("project_id"), F.col("c_custkey").alias("iid"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("mr"), F.col("c_custkey").cast("string"))).alias("username"),
+    )
+
+
+def ci_commits(spark: S, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    s = k.cast("string")
+    return table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 25).alias("project_id"), F.md5(s).alias("sha"),
+        F.when(k % 5 < 3, F.concat(F.lit("dev"), s, F.lit("@mail.example"))).otherwise("").alias("author_email"),
+        F.when(k % 5 == 3, F.concat(F.lit("Dev "), s)).alias("author_name"),
+    )
+
+
+def ci_branches(spark: S, sf: str) -> DataFrame:
+    s = F.col("o_orderkey").cast("string")
+    return table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 25).alias("project_id"), F.concat(F.lit("br"), s).alias("name"), F.md5(s).alias("head_sha")
+    )
+
+
+def ci_instances(spark: S, sf: str) -> DataFrame:
+    n = F.col("n_nationkey").cast("string")
+    return table(spark, sf, "nation").select(
+        F.concat(F.lit("https://ci"), n, F.lit(".example.com/")).alias("jenkins_url"),
+        F.concat(F.lit("bot"), n).alias("jenkins_user"),
+        F.concat(F.lit("CI of "), F.col("n_name")).alias("description"),
+    )
+
+
+def users(spark: S, sf: str) -> DataFrame:
+    k, name = F.col("c_custkey"), F.col("c_name")
+    dotted = F.lower(F.replace(name, F.lit("#"), F.lit(".")))
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("U"), k.cast("string")).alias("id"), k.alias("pos"),
+        F.concat(dotted, F.lit("@internal.com")).alias("email"), name.alias("real_name"), dotted.alias("name"),
+    )
+
+
+def people(spark: S, sf: str) -> DataFrame:
+    """Who to find: addresses, names in odd case, parts of names and strangers, one per order."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    pad = F.lpad(c, 9, "0")
+    return table(spark, sf, "orders").select(
+        k.alias("order_id"),
+        F.when(k % 6 == 0, F.concat(F.lit("customer."), pad, F.lit("@internal.com")))
+        .when(k % 6 == 1, F.concat(F.lit("CUSTOMER#"), pad))
+        .when(k % 6 == 2, F.concat(F.lit("customer."), pad))
+        .when(k % 6 == 3, c)
+        .when(k % 6 == 4, F.concat(F.lit("stranger"), c, F.lit("@else.example")))
+        .otherwise(F.concat(F.lit("R#0"), F.right(pad, F.lit(3)))).alias("person"),
+    )
+
+
+def job_logs(spark: S, sf: str) -> DataFrame:
+    """Fetch results for jobs: some fail, some are missing, the rest are documents."""
+    j = table(spark, sf, "lineitem").select(
+        jobs_key().alias("job_id"), F.col("l_partkey").alias("doc_id"), (F.col("l_suppkey") % 10).alias("s")
+    )
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return j.join(d, "doc_id", "left").filter("s < 9").select(
+        "job_id", F.when(F.col("content").isNull(), 404).otherwise(200).alias("fetch_status"), "content",
+        F.when(F.col("s") == 0, "timeout").alias("fetch_error"),
+    )
+
+
+def fixes(spark: S, sf: str) -> DataFrame:
+    """Stored fixes; blank and placeholder texts occur."""
+    v, s, label = F.col("vec_id"), F.col("vec_id").cast("string"), F.col("label")
+    return table(spark, sf, "embeddings").filter("vec_id % 10 <> 0").select(
+        F.concat(F.lit("fix-"), s).alias("id"), F.concat(F.lit("Error V"), s).alias("error_text"),
+        F.when(label == 7, " ").when(label == 8, "(empty fix)").when(label == 9, "").otherwise(F.concat(F.lit("do "), s)).alias("fix_text"),
+        F.when(v % 3 == 0, "alice").alias("approved_by"), F.when(v % 4 != 0, "approved").alias("status"), "embedding",
+    )
+
+
+def fix_queries(spark: S, sf: str) -> DataFrame:
+    """Error vectors: a stored vector plus a share of another one, so that similarities spread over the thresholds."""
+    e = table(spark, sf, "embeddings")
+    own = e.filter("vec_id % 10 = 0").select("vec_id", F.col("embedding").alias("_a"))
+    near = e.filter("vec_id % 10 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_b"))
+    share = (F.lit(2) + F.col("vec_id") / 10 % 6) / 10
+    mixed = F.zip_with("_b", "_a", lambda b, a: (b.cast("double") + a.cast("double") * F.col("_w")))
+    return own.join(near, "vec_id").withColumn("_w", share.cast("double")).select(
+        F.sha2(F.concat(F.lit("error q"), F.col("vec_id").cast("string")), 256).alias("error_hash"), "vec_id",
+        F.concat(F.lit(" error q"), F.col("vec_id").cast("string"), F.lit("\n\n  line two ")).alias("error_text"),
+        mixed.alias("embedding"),
+    )
+
+
+def domain_patterns(spark: S, sf: str) -> DataFrame:
+    """Domain patterns with vectors: benchmark passages."""
+    b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    i = F.col("item_id")
+    return b.withColumn("item_id", i * 10 + 1).join(e, "item_id").select(
+        F.concat(F.lit("p"), i.cast("string")).alias("id"), i.alias("seq"),
+        F.when(i % 3 == 0, "IT").when(i % 3 == 1, "Product").otherwise("Devops").alias("category"),
+        F.when(i % 70 == 1, " ").otherwise(F.col("text")).alias("failure"),
+        F.concat(F.lit("see "), i.cast("string")).alias("solution"), "embedding",
+    )
+
+
+def reviews(spark: S, sf: str) -> DataFrame:
+    """Review actions: assistant and system turns press buttons, user turns reply."""
+    n, c = F.length("text"), F.col("conv_id")
+    button = F.col("role") != "user"
+    act = F.when(F.col("role") == "system", "edit").when(n % 5 == 0, "approve").when(n % 5 == 4, "discard").otherwise("edit")
+    return table(spark, sf, "conversations").select(
+        c.alias("error_id"), F.col("turn").alias("seq"), F.when(button, "button").otherwise("reply").alias("kind"),
+        F.when(button, act).alias("action"),
+        F.concat(F.lit("U"), F.when(n % 4 == 0, c % 2 + 1).otherwise(c % 2).cast("string")).alias("user_id"),
+        F.lit("c1").alias("channel_id"),
+        F.when(~button & (n % 5 != 0), F.concat(F.when(n % 5 == 1, "x").otherwise("m"), c.cast("string"))).alias("thread_ts"),
+        F.when(~button, F.concat(F.lit(" try "), n.cast("string"), F.lit(" "))).alias("text"),
+    )
+
+
+def review_records(spark: S, sf: str) -> DataFrame:
+    c = F.col("conv_id").cast("string")
+    return table(spark, sf, "conversations").select("conv_id").distinct().filter("conv_id % 6 <> 5").select(
+        F.col("conv_id").alias("error_id"), F.concat(F.lit("err "), c).alias("error"), F.concat(F.lit("fix "), c).alias("fix"),
+        F.lit("c1").alias("channel_id"), F.concat(F.lit("m"), c).alias("message_ts"),
+    )
