@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 
+METADATA_COLUMNS = (
+    "pipeline_id", "project_id", "project_name", "pipeline_type", "status", "ref", "sha", "source", "created_at",
+    "finished_at", "duration", "user", "stages",
+)
+
 
 def pipeline_type(source: Column, has_merge_request: Column) -> Column:
     return (
@@ -104,10 +109,7 @@ def route_storage(df: DataFrame, post_enabled: Column, dual_mode: Column, post_o
 def filter_metadata_save(pipelines: DataFrame, logs_kept: Column, always: bool = False) -> DataFrame:
     """Metadata rows to keep, with the fixed metadata columns."""
     kept = pipelines if always else pipelines.filter(logs_kept)
-    return kept.select(
-        "pipeline_id", "project_id", "project_name", "pipeline_type", "status", "ref", "sha", "source", "created_at",
-        "duration",
-    )
+    return kept.select(*[c for c in METADATA_COLUMNS if c in pipelines.columns])
 
 
 def pipeline_summary(pipelines: DataFrame, jobs: DataFrame, job_order: Column) -> DataFrame:

@@ -114,8 +114,12 @@ def nearest(
                         out["vec"].append(raw[at + row])
                         out["item_id"].append(one)
                         out["similarity"].append(-s)
-        out["vec"] = pd.Series(out["vec"], dtype=object)
-        return pd.DataFrame(out)
+        return pd.DataFrame(
+            {
+                "vec": pd.Series(out["vec"], dtype=object), "item_id": pd.Series(out["item_id"], dtype=object),
+                "similarity": pd.Series(out["similarity"], dtype="float64"),
+            }
+        )
 
     scored = left.select("vec", "cell", "qb", "ib").groupBy("cell", "qb", "ib").cogroup(
         right.select("vec", "ids", "cell", "qb", "ib").groupBy("cell", "qb", "ib")

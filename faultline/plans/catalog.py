@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import event_queries, knowledge_queries, line_queries, payload_queries, stage_queries  # noqa: F401
+from . import column_queries, event_queries, knowledge_queries, line_queries, payload_queries, stage_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

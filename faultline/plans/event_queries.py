@@ -87,7 +87,7 @@ def _(spark, sf):
 @query("filter_metadata_save", f"""{_P} select pipeline_id, project_id, project_name, pipeline_type, status, ref, sha, source,
   created_at, duration from typed where status = 'failed'""")
 def _(spark, sf):
-    return ev.filter_metadata_save(_typed(spark, sf), F.col("status") == "failed")
+    return ev.filter_metadata_save(_typed(spark, sf), F.col("status") == "failed").drop("stages")
 
 
 @query("pipeline_summary", f"""{_J}, per as (select pipeline_id, status, count(*) as n, min(pos) as first from jobs group by 1, 2),
