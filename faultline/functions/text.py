@@ -179,9 +179,15 @@ def normalize_symbols(text: Column) -> Column:
 
 
 def parse_moment(text: Column) -> Column:
-    """Time stamp written with 'T' and 'Z' or with a blank and 'UTC'."""
-    bare = F.regexp_replace(F.regexp_replace(text, "T", " "), r"( UTC|Z)$", "")
-    return F.try_to_timestamp(bare).cast("timestamp_ntz")
+    """Time stamp written with 'T' and 'Z' or with a blank and 'UTC'; null when it is neither."""
+    return F.regexp_replace(text, r"( UTC|Z)$", "").try_cast("timestamp_ntz")
+
+
+def micros(moment: Column) -> Column:
+    """Microseconds since 1970 of a time stamp without zone, whatever the session's zone is."""
+    day = F.unix_date(F.to_date(moment)).cast("bigint") * 86_400_000_000
+    clock = (F.hour(moment) * 60 + F.minute(moment)).cast("bigint") * 60_000_000
+    return day + clock + (F.extract(F.lit("SECOND"), moment) * 1_000_000).cast("bigint")
 
 
 def later_wins(pairs: Column) -> Column:

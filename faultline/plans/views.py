@@ -367,3 +367,186 @@ def review_records(spark: S, sf: str) -> DataFrame:
         F.col("conv_id").alias("error_id"), F.concat(F.lit("err "), c).alias("error"), F.concat(F.lit("fix "), c).alias("fix"),
         F.lit("c1").alias("channel_id"), F.concat(F.lit("m"), c).alias("message_ts"),
     )
+
+
+# ---- raw inputs, as the outside world sends them ----
+
+def _json(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The other columns as one JSON document per row."""
+    return df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("body"))
+
+
+def gitlab_payloads(spark: S, sf: str) -> DataFrame:
+    """Pipeline webhooks: (pipeline_no, hook, body). Nulls are left out of the JSON, as a sender would."""
+    p = pipelines(spark, sf)
+    k = F.col("pipeline_id")
+    created = F.when(k % 2 == 0, F.concat("created_at", F.lit(" UTC"))).otherwise(
+        F.concat(F.translate("created_at", " ", "T"), F.lit("Z")))
+    attributes = F.struct(
+        k.alias("id"), F.col("pipeline_url").alias("url"), "ref", "sha", "status", "source", "stages",
+        created.alias("created_at"), "duration",
+    )
+    build = F.struct((k * 10).alias("id"), F.lit("build").alias("stage"), F.lit("compile").alias("name"), "status",
+                     F.when(k % 2 == 0, True).alias("allow_failure"))
+    body = p.select(
+        F.col("pipeline_id").alias("pipeline_no"), F.col("event_type").alias("hook"),
+        F.when(k % 4 != 0, "pipeline").alias("object_kind"), attributes.alias("object_attributes"),
+        F.struct(F.col("project_id").alias("id"), F.col("project_name").alias("name")).alias("project"),
+        F.when(F.col("has_merge_request"), F.struct(k.alias("iid"))).otherwise(
+            F.when(k % 5 == 1, F.struct(F.lit(None).cast("bigint").alias("iid")))).alias("merge_request"),
+        F.struct("username", F.col("user_full_name").alias("name")).alias("user"), F.array(build).alias("builds"),
+    )
+    return _json(body, ["pipeline_no", "hook"])
+
+
+def jenkins_payloads(spark: S, sf: str) -> DataFrame:
+    """Build webhooks in the four layouts; some of the last have no build number."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    s = k.cast("string")
+    name = F.concat(F.lit("job-"), (F.col("o_custkey") % 40).cast("string"))
+    url = F.concat(F.lit("https://bob.example.com/job/"), name)
+    m = k % 5
+    nested = F.struct(s.alias("number"), F.concat(F.lit("u"), s).alias("url"), F.when(k % 2 == 0, "FAILURE").alias("status"))
+    body = o.select(
+        k.alias("event_no"), F.when(m == 0, name).alias("job_name"), F.when(m == 0, s).alias("build_number"),
+        F.when(m == 0, "https://ci.example.com/").alias("jenkins_url"), F.when(m == 0, "t1").alias("timestamp"),
+        F.when(m == 1, F.struct(name.alias("name"), url.alias("url"))).alias("job"),
+        F.when(m.isin(1, 2), nested).alias("build"), F.when(m.isin(2, 3, 4), name).alias("name"),
+        F.when(m == 3, s).alias("number"),
+    )
+    return _json(body, ["event_no"])
+
+
+def stage_payloads(spark: S, sf: str) -> DataFrame:
+    """Stage descriptions: one document per console."""
+    nodes = F.transform("nodes", lambda n: F.struct(n["name"].alias("name"), n["status"].alias("status"), n["duration_ms"].alias("durationMillis")))
+    stage = F.struct(F.col("stage_pos").cast("string").alias("id"), "name", "status", F.col("duration_ms").alias("durationMillis"), nodes.alias("stageFlowNodes"))
+    return _json(stage_meta(spark, sf).select("log_id", "stage_pos", F.array(stage).alias("stages")), ["log_id", "stage_pos"])
+
+
+def build_payloads(spark: S, sf: str) -> DataFrame:
+    """Build metadata with repeated parameters, several actions and causes."""
+    o = table(spark, sf, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+
+    def param(name, value):
+        return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+    def action(kind, params, user):
+        return F.struct(F.lit(kind).alias("_class"), params.alias("parameters"), user.alias("causes"))
+
+    no_params = F.lit(None).cast("array<struct<name: string, value: string>>")
+    no_causes = F.lit(None).cast("array<struct<_class: string, userId: string>>")
+    user = F.array(
+        F.struct(F.lit("hudson.model.Cause$RemoteCause").alias("_class"), F.lit("remote").alias("userId")),
+        F.struct(F.lit("hudson.model.Cause$UserIdCause").alias("_class"), F.when(k % 3 != 0, F.concat(F.lit("user"), c)).alias("userId")),
+    )
+    actions = F.array(
+        action("hudson.model.CauseAction", no_params, user),
+        action("hudson.model.ParametersAction", F.array(param("branch", F.lit("old")), param("repo", F.concat(F.lit("r"), c))), no_causes),
+        action("other.Action", F.array(param("branch", F.lit("no"))), no_causes),
+        action("hudson.model.ParametersAction", F.array(param("branch", F.concat(F.lit("b"), c))), no_causes),
+    )
+    body = o.select(
+        k.alias("build_id"), F.lit("UNKNOWN").alias("status"), F.when(k % 2 == 0, k * 5).alias("duration"),
+        (k + 1000).alias("timestamp"), F.when(k % 4 != 0, "FAILURE").alias("result"), actions.alias("actions"),
+    )
+    return _json(body, ["build_id", "status"])
+
+
+def fix_files(spark: S, sf: str) -> DataFrame:
+    """Fix import files in four shapes, one per labelled document; toxic ones have a blank fix."""
+    d, q = F.col("doc_id"), F.col("quality").cast("string")
+    entry = F.struct(
+        F.when(d % 2 == 0, F.col("text")).alias("error_text"), F.when(d % 2 == 1, F.col("text")).alias("error"),
+        F.when(F.col("toxic") == 1, "").otherwise(F.concat(F.lit("fix "), d.cast("string"))).alias("fix"),
+        F.when(d % 3 == 0, "ann").alias("approver"), F.when(d % 3 == 1, "ben").alias("approved_by"), q.alias("quality"),
+    )
+    e = F.to_json(entry)
+    body = (
+        F.when(d % 4 == 0, F.concat(F.lit(" ["), e, F.lit("]"))).when(d % 4 == 1, F.concat(F.lit('{"entries": ['), e, F.lit("]}")))
+        .when(d % 4 == 2, F.concat(F.lit('{"items": ['), e, F.lit("]}"))).otherwise(e)
+    )
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return table(spark, sf, "labels").join(docs, "doc_id").select("doc_id", body.alias("body"))
+
+
+def domain_files(spark: S, sf: str) -> DataFrame:
+    """Domain pattern files, one per benchmark item."""
+    i = F.col("item_id")
+    item = F.struct(F.when(i % 7 == 0, "  ").otherwise(F.col("text")).alias("failure"),
+                    F.when(i % 3 != 0, F.concat(F.lit("see "), i.cast("string"))).alias("solution"))
+    category = F.when(i % 2 == 0, "IT").otherwise("Devops")
+    body = F.concat(F.lit('{"'), category, F.lit('": ['), F.to_json(item), F.lit("]}"))
+    return table(spark, sf, "benchmark").select(i.alias("item_id"), body.alias("body"))
+
+
+def registry_files(spark: S, sf: str) -> DataFrame:
+    """Instance registries, one per nation, each naming its URL twice."""
+    n = F.col("n_nationkey").cast("string")
+
+    def inst(url, user):
+        return F.struct(url.alias("jenkins_url"), user.alias("jenkins_user"), F.col("n_name").alias("description"))
+
+    both = F.array(
+        inst(F.concat(F.lit("https://CI"), n, F.lit(".example.com/")), F.concat(F.lit("old"), n)),
+        inst(F.concat(F.lit("https://ci"), n, F.lit(".example.com")), F.concat(F.lit("bot"), n)),
+    )
+    return _json(table(spark, sf, "nation").select("n_nationkey", both.alias("instances")), ["n_nationkey"])
+
+
+def app_log_lines(spark: S, sf: str) -> DataFrame:
+    """Lines of the service log, one file per user, with continuation lines."""
+    e = number_rows(
+        table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"],
+        ["ts", "event_id"], F.date_trunc("day", "ts"), "line_no",
+    )
+    i, u = F.col("event_id"), F.col("user_id")
+    s = i.cast("string")
+    level = F.when(F.col("event_type") == "error", "ERROR ").when(F.col("event_type") == "signup", "WARN  ").otherwise("INFO  ")
+    ctx = F.concat(
+        F.lit(" | pipeline_id="), (u % 50).cast("string"), F.lit(" project_name=p"), (u % 10).cast("string"),
+        F.lit(" event_type=Pipeline Hook processing_time="), (i % 400).cast("string"),
+    )
+    head = F.concat(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" | "), level, F.lit(" | src.mod"), (i % 7).cast("string"),
+        F.lit("        | r"), (i % 97).cast("string"), F.lit("    | message "), s,
+        F.when(i % 4 == 0, " | more").otherwise(""), F.when(i % 5 != 0, ctx).otherwise(""),
+    )
+    raw = F.when(i % 9 == 4, F.concat(F.lit('  File "x.py", line '), s)).otherwise(head)
+    return e.select(u.alias("file"), "line_no", raw.alias("raw"))
+
+
+def api_log_lines(spark: S, sf: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = k.cast("string")
+    line = F.concat(
+        F.lit("["), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("] PIPELINE_ID="), s, F.lit(" PROJECT_ID="),
+        (c % 25).cast("string"), F.lit(" URL=http://bfa.example.com/api/analyze STATUS="),
+        F.when(k % 6 == 0, "ERROR").otherwise("200"), F.lit(" DURATION="), (k % 3000).cast("string"), F.lit("ms "),
+        F.when(k % 6 == 0, F.concat(F.lit("ERROR=read timed out "), s, F.lit(" "))).otherwise(""),
+        F.lit('RESPONSE={"n": '), s, F.lit("}"),
+    )
+    return table(spark, sf, "orders").select(F.when(k % 50 == 0, "noise").otherwise(line).alias("raw"))
+
+
+def listing(spark: S, sf: str) -> DataFrame:
+    """Stored files: job logs, build stage logs and consoles, and pipeline metadata."""
+    li = table(spark, sf, "lineitem")
+    k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
+    jobs_ = li.select(
+        F.when(n < 5, F.concat(F.lit("/data/NATION_"), (F.col("l_orderkey") % 25).cast("string"), F.lit("_"), (F.col("l_orderkey") % 25).cast("string"),
+                               F.lit("/pipeline_"), k, F.lit("/job_"), jobs_key(), F.lit("_job_"), n.cast("string"), F.lit(".log")))
+        .when(n == 5, F.concat(F.lit("/data/jenkins-builds/job"), (F.col("l_partkey") % 40).cast("string"), F.lit("/"), k, F.lit("/stage_S"), F.col("l_suppkey").cast("string"), F.lit(".log")))
+        .when(n == 6, F.concat(F.lit("/data/jenkins-builds/job"), (F.col("l_partkey") % 40).cast("string"), F.lit("/"), k, F.lit("/console.log")))
+        .otherwise(F.concat(F.lit("/data/NATION_1_1/pipeline_"), k, F.lit("/metadata.json"))).alias("path"),
+        F.floor("l_extendedprice").cast("bigint").alias("size"), F.col("l_shipdate").alias("mtime"),
+    )
+    return jobs_
+
+
+def snapshots(spark: S, sf: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    tier = F.when(p == "1-URGENT", "daily").when(p == "2-HIGH", "weekly").when(p == "3-MEDIUM", "monthly").otherwise("manual")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id"), tier.alias("tier"), F.col("o_orderdate").alias("mtime"))

@@ -87,7 +87,7 @@ def app_log(lines: DataFrame) -> DataFrame:
     traces = app_log_traces(lines).groupBy("file", "record_line").agg(F.count("*").alias("trace_lines"))
     records = lines.filter(F.col("raw").rlike(_HEADER)).select(
         "file", F.col("line_no").alias("record_line"),
-        F.to_timestamp_ntz(F.btrim(parts[0]), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("ts"),
+        F.btrim(parts[0]).try_cast("timestamp_ntz").alias("ts"),
         F.btrim(parts[1]).alias("level"), F.btrim(parts[2]).alias("logger"), F.btrim(parts[3]).alias("request_id"),
         F.array_join(F.slice(parts, F.lit(5), n), " | ").alias("message"),
         F.when(last.isNotNull(), text.later_wins(pairs)).alias("ctx"),
@@ -151,9 +151,9 @@ def request_trace(records: DataFrame) -> DataFrame:
     Requests are cut by hour, so one busy request id does not fill one task.
     """
     placed = records.withColumn("_pos", F.struct("ts", "file", "record_line"))
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
+    hour = F.floor(text.micros(F.col("ts")) / F.lit(3_600_000_000)).cast("bigint")
     timed = carry_forward(placed, ["request_id"], "_pos", last={"_prev": F.col("ts")}, block=hour, inclusive=False)
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
+    gap = text.micros(F.col("ts")) - text.micros(F.col("_prev"))
     return timed.select(
         "request_id", "ts", "file", "record_line", "level", "logger", "message", (gap / 1000).cast("bigint").alias("step_ms")
     )
@@ -173,7 +173,7 @@ def api_calls(lines: DataFrame, column: str = "raw") -> DataFrame:
         return F.regexp_extract(column, _API, i)
 
     return hit.select(
-        F.to_timestamp_ntz(at(1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), at(2).try_cast("bigint").alias("pipeline_id"),
+        at(1).try_cast("timestamp_ntz").alias("ts"), at(2).try_cast("bigint").alias("pipeline_id"),
         at(3).try_cast("bigint").alias("project_id"), at(4).alias("url"), at(5).alias("status"),
         at(6).cast("bigint").alias("duration_ms"), text.filled(at(7)).alias("error"), at(8).alias("response"),
     )
@@ -215,8 +215,8 @@ def largest_logs(listing: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def _age_days(mtime: Column, as_of: str) -> Column:
-    now = F.lit(as_of).cast("timestamp_ntz").cast("timestamp")
-    return F.floor((F.unix_micros(now) - F.unix_micros(mtime.cast("timestamp"))) / F.lit(86_400_000_000)).cast("bigint")
+    now = F.lit(as_of).cast("timestamp_ntz")
+    return F.floor((text.micros(now) - text.micros(mtime)) / F.lit(86_400_000_000)).cast("bigint")
 
 
 def expire_artefacts(listing: DataFrame, as_of: str, days: int = 90) -> DataFrame:
