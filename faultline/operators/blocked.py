@@ -83,12 +83,14 @@ def spans_to_blocks(spans: DataFrame, start: str, end: str, size: int = BLOCK) -
     return spans.filter(e >= s).withColumn("_blk", F.explode(F.sequence(block_of(s, size), block_of(e, size))))
 
 
-def split_oversized(df: DataFrame, keys: Sequence[str], row_key: Column, limit: int, name: str = "part") -> DataFrame:
-    """Number the parts of keys that hold more than `limit` rows; ordinary keys stay whole as part 0."""
-    big = (
-        df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
-    )
+def split_oversized(
+    df: DataFrame, keys: Sequence[str], row_key: Column, limit: int, weight: Column | None = None,
+    weight_limit: int = 1 << 28, name: str = "part",
+) -> DataFrame:
+    """Number the parts of keys with more than `limit` rows or `weight_limit` of weight; ordinary keys stay whole as part 0."""
+    weighed = F.sum(weight) if weight is not None else F.lit(0)
+    parts = F.greatest(F.ceil(F.count("*") / limit), F.ceil(weighed / weight_limit)).cast("int")
+    big = df.groupBy(*keys).agg(parts.alias("_parts")).filter(F.col("_parts") > 1)
     return df.join(big, list(keys), "left").withColumn(
         name, F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_key), F.col("_parts")).cast("int"))
     ).drop("_parts")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .blocked import with_halo
+from .blocked import block_of, with_halo
 
 
 def explode_lines(logs: DataFrame, content: str = "content") -> DataFrame:
@@ -70,25 +70,38 @@ def error_count(lines: DataFrame, **patterns) -> DataFrame:
     )
 
 
-def error_line_samples(lines: DataFrame, **patterns) -> DataFrame:
-    """Per log and pattern the 1-based line numbers: all when five or fewer, else the first five and the last."""
-    hit = matched_lines(lines, **patterns).filter(F.col("ignored_by").isNull()).select(
-        "log_id", "pattern", (F.col("line_no") + 1).alias("n")
+def pattern_samples(lines: DataFrame, **patterns) -> DataFrame:
+    """Per log, kind and pattern: `lines` and a `sample` of 1-based line numbers, in one pass over the lines.
+
+    The sample shows all numbers when there are five or fewer, else the first five and the last. The numbers are
+    gathered per block of lines, five at most, and the first five blocks of a pattern hold its first five lines.
+    """
+    keys = ["log_id", "kind", "pattern"]
+    hit = matched_lines(lines, **patterns).select(
+        "log_id", F.when(F.col("ignored_by").isNull(), "error").otherwise("ignored").alias("kind"),
+        F.coalesce("ignored_by", "pattern").alias("pattern"), (F.col("line_no") + 1).alias("n"),
     )
-    order = Window.partitionBy("log_id", "pattern").orderBy("n")
-    first = (
-        hit.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= 5)
-        .groupBy("log_id", "pattern").agg(F.array_sort(F.collect_list("n")).alias("_first"))
+    per_block = hit.groupBy(*keys, block_of(F.col("n")).alias("_blk")).agg(
+        F.count("*").alias("_lines"), F.max("n").alias("_last"), F.slice(F.array_sort(F.collect_list("n")), 1, 5).alias("_first")
+    )
+    order = Window.partitionBy(*keys).orderBy("_blk")
+    early = F.when(F.col("_r") <= 5, F.col("_first"))
+    total = per_block.withColumn("_r", F.row_number().over(order)).groupBy(*keys).agg(
+        F.sum("_lines").alias("lines"), F.max("_last").alias("_last"),
+        F.slice(F.array_sort(F.flatten(F.collect_list(early))), 1, 5).alias("_first"),
     )
-    totals = hit.groupBy("log_id", "pattern").agg(F.count("*").alias("lines"), F.max("n").alias("_last"))
-    shown = F.array_join(F.col("_first").cast("array<string>"), ",")
     tail = F.when(F.col("lines") > 5, F.concat(F.lit(" ... "), F.col("_last").cast("string"))).otherwise("")
-    return totals.join(first, ["log_id", "pattern"]).select(
-        "log_id", "pattern", "lines",
-        F.concat(shown, tail, F.lit(" ("), F.col("lines").cast("string"), F.lit(" total)")).alias("sample"),
+    shown = F.array_join(F.col("_first").cast("array<string>"), ",")
+    return total.select(
+        *keys, "lines", F.concat(shown, tail, F.lit(" ("), F.col("lines").cast("string"), F.lit(" total)")).alias("sample")
     )
 
 
+def error_line_samples(lines: DataFrame, **patterns) -> DataFrame:
+    """Per log and pattern the line numbers of its errors, shortened when there are more than five."""
+    return pattern_samples(lines, **patterns).filter(F.col("kind") == "error").drop("kind")
+
+
 def log_sizes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("log_id").agg((F.max("line_no") + 1).alias("total_lines"))
 

@@ -114,14 +114,16 @@ _STEP = "struct<step_name: string, error_lines: array<string>>"
 def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFrame, limit: int = JOBS_PER_PART) -> DataFrame:
     """One payload per pipeline with its job names and failed steps, jobs in the order of `job_order`.
 
-    A pipeline with more than `limit` jobs is continued in further rows (`part` 1, 2, ...), so a payload stays bounded.
+    A pipeline with more than `limit` jobs or a very long text is continued in further rows (`part` 1, 2, ...), so that
+    a payload stays bounded.
     """
     steps = failed_steps_gitlab(jobs, texts).select("pipeline_id", "job_id", "job_order", "name", "step_name", "error_lines")
     others = jobs.filter(F.coalesce(F.col("status") != "failed", F.lit(True))).select(
         "pipeline_id", "job_id", "job_order", "name", F.lit(None).cast("string").alias("step_name"),
         F.lit(None).cast("array<string>").alias("error_lines"),
     )
-    cut = split_oversized(steps.unionByName(others), ["pipeline_id"], F.col("job_id"), limit)
+    chars = F.coalesce(F.length(F.array_join("error_lines", "")), F.lit(0))
+    cut = split_oversized(steps.unionByName(others), ["pipeline_id"], F.col("job_id"), limit, chars)
     job = F.struct("job_order", "job_id", F.coalesce("name", F.lit("unknown")).alias("name"), "step_name", "error_lines")
     listed = cut.groupBy("pipeline_id", "part").agg(F.array_sort(F.collect_list(job)).alias("_jobs"))
     failed = F.filter("_jobs", lambda j: j["step_name"].isNotNull())
@@ -142,7 +144,8 @@ def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFram
 
 def build_failures_jenkins(builds: DataFrame, stages: DataFrame, limit: int = JOBS_PER_PART) -> DataFrame:
     """One payload per build: `builds(build_id, job_name, build_url, parameters, triggered_by)`, `stages(build_id, stage_pos, ...)`."""
-    steps = split_oversized(failed_steps_jenkins(stages), ["build_id"], F.col("stage_pos"), limit)
+    chars = F.length(F.array_join("error_lines", ""))
+    steps = split_oversized(failed_steps_jenkins(stages), ["build_id"], F.col("stage_pos"), limit, chars)
     step = F.struct("stage_pos", "step_name", "error_lines")
     listed = steps.groupBy("build_id", "part").agg(F.array_sort(F.collect_list(step)).alias("_steps"))
     p = F.col("parameters")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .blocked import block_of, carry_forward, number_rows, spans_to_blocks
-from .lines import clean_lines, error_lines, log_sizes
+from .lines import clean_lines, error_lines, log_sizes, pattern_samples
 
 Buckets = Sequence[tuple[int, int, int]]
 
@@ -199,14 +199,14 @@ def section_lines(lines: DataFrame, sections: DataFrame) -> DataFrame:
     spans = spans_to_blocks(
         sections.select("log_id", "section_no", "start_line", (F.col("end_line") - 1).alias("_last")), "start_line", "_last"
     )
-    shown = clean_lines(lines).filter(F.col("clean") != "").withColumn("_blk", block_of(F.col("line_no")))
-    return (
-        shown.join(spans, ["log_id", "_blk"])
+    # Only the lines inside a section are cleaned here.
+    inside = (
+        lines.select("log_id", "line_no", "raw", block_of(F.col("line_no")).alias("_blk")).join(spans, ["log_id", "_blk"])
         .filter(F.col("line_no").between(F.col("start_line"), F.col("_last")))
-        .select(
-            "log_id", "section_no", "line_no",
-            F.concat(F.lit("Line "), (F.col("line_no") + 1).cast("string"), F.lit(": "), F.col("clean")).alias("text"),
-        )
+    )
+    return clean_lines(inside).filter(F.col("clean") != "").select(
+        "log_id", "section_no", "line_no",
+        F.concat(F.lit("Line "), (F.col("line_no") + 1).cast("string"), F.lit(": "), F.col("clean")).alias("text"),
     )
 
 
@@ -252,11 +252,7 @@ def fixed_context(lines: DataFrame, before: int, after: int, **patterns) -> Data
 
 def error_summary(lines: DataFrame, plan: ContextPlan | None = None, **patterns) -> DataFrame:
     """One record per log with errors: totals, settings, counts and samples per pattern, ignored counts."""
-    from .lines import error_line_samples, error_pattern_counts
-
     plan = plan or context_plan()
-    counts = error_pattern_counts(lines, **patterns)
-    samples = error_line_samples(lines, **patterns).select("log_id", "pattern", "sample")
 
     def as_map(kind: str, value: str):
         entry = F.when(F.col("kind") == kind, F.struct("pattern", value))
@@ -274,8 +270,7 @@ def error_summary(lines: DataFrame, plan: ContextPlan | None = None, **patterns)
     else:
         used = f"{plan.before} before, {plan.after} after (fixed)"
     return (
-        counts.join(samples.withColumn("kind", F.lit("error")), ["log_id", "pattern", "kind"], "left")
-        .groupBy("log_id")
+        pattern_samples(lines, **patterns).groupBy("log_id")
         .agg(
             total.alias("total_errors_found"),
             F.lit(",".join(f"{n}:{b}:{a}" for n, b, a in shown)).alias("error_settings"),

@@ -111,8 +111,8 @@ def _prefix_matches(rests: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _named_starts(matches: DataFrame, wanted: DataFrame, name: Column) -> DataFrame:
     """Start lines by wanted name: (log_id, name, line_no). An equi-join on the names a line could stand for."""
-    keys = wanted.select("log_id", "name", name.alias("_match")).distinct()
-    return matches.distinct().join(keys, ["log_id", "_match"]).select("log_id", "name", "line_no")
+    keys = wanted.select("log_id", "name", name.alias("_match"))
+    return matches.join(keys, ["log_id", "_match"]).select("log_id", "name", "line_no")
 
 
 def _next_end(starts: DataFrame, ends: DataFrame) -> DataFrame:
