@@ -60,7 +60,8 @@ PARAMETERS_ACTION = "hudson.model.ParametersAction"
 CAUSE_ACTION = "hudson.model.CauseAction"
 USER_CAUSE = "hudson.model.Cause$UserIdCause"
 
-# ---- fixed values: secret patterns, (prefix)(value), first match decides ----
+# ---- fixed values: secret patterns, (prefix)(value), first match decides; and a lower-case text each one needs ----
+SECRET_MARKS = ("glpat-", "gldt-", "token", "secret", "authorization:", "private-token:")
 SECRET_PATTERNS = (
     r"(glpat-)([a-zA-Z0-9_-]{20,})",
     r"(gldt-)([a-zA-Z0-9_-]{20,})",

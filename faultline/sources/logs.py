@@ -10,28 +10,37 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators.blocked import carry_forward
 
-# ---- fixed values: layout of the stored tree ----
-JOB_PATH = r"^(?:.*/)?([^/]+)_(\d+)/pipeline_(\d+)/job_([^_/]+)_([^/]*)\.log$"
-STAGE_PATH = r"^(?:.*/)?jenkins-builds/([^/]+)/(\d+)/(?:stage_([^/]+)|console)\.log$"
-
-
 def path_keys(files: DataFrame, path: str = "path") -> DataFrame:
-    """Add the keys that a stored log's path tells; `source` is null for other files."""
-    p = F.col(path)
-    job, stage = p.rlike(JOB_PATH), p.rlike(STAGE_PATH)
+    """Add the keys that a stored log's path tells; `source` is null for other files.
+
+    Layouts: {project}_{id}/pipeline_{id}/job_{id}_{name}.log and jenkins-builds/{job}/{number}/stage_{name}.log or
+    console.log.
+    """
+    # The split path comes out of a generator, so that it is made once for all keys.
+    cut = files.select("*", F.explode(F.array(F.split(path, "/"))).alias("_p"))
 
-    def at(pattern: str, group: int, hit: Column) -> Column:
-        return F.when(hit, F.regexp_extract(p, pattern, group))
+    def part(i: int) -> Column:
+        return F.coalesce(F.try_element_at("_p", F.lit(i)), F.lit(""))
 
-    return files.withColumns(
+    file, parent, grand = part(-1), part(-2), part(-3)
+    job_file, run, project = r"^job_([^_]+)_(.*)\.log$", r"^pipeline_(\d+)$", r"^(.+)_(\d+)$"
+    is_job = file.startswith("job_") & parent.startswith("pipeline_") & file.rlike(job_file) & parent.rlike(run) & grand.rlike(project)
+    is_stage = (part(-4) == "jenkins-builds") & parent.rlike(r"^\d+$") & (
+        (file == "console.log") | (file.startswith("stage_") & file.endswith(".log"))
+    )
+    kind = F.when(is_job, "gitlab").when(is_stage, "jenkins")
+    known = cut.select("*", F.explode_outer(F.array(kind)).alias("source"))
+    git, jenkins = F.col("source") == "gitlab", F.col("source") == "jenkins"
+    return known.withColumns(
         {
-            "source": F.when(job, "gitlab").when(stage, "jenkins"),
-            "project_dir": F.when(job, F.concat_ws("_", at(JOB_PATH, 1, job), at(JOB_PATH, 2, job))),
-            "project_id": at(JOB_PATH, 2, job).cast("bigint"), "pipeline_id": at(JOB_PATH, 3, job).cast("bigint"),
-            "job_id": at(JOB_PATH, 4, job), "job_name": F.coalesce(at(JOB_PATH, 5, job), at(STAGE_PATH, 1, stage)),
-            "build_number": at(STAGE_PATH, 2, stage).cast("bigint"), "stage": text.filled(at(STAGE_PATH, 3, stage)),
+            "project_dir": F.when(git, grand), "project_id": F.when(git, F.regexp_extract(grand, project, 2)).cast("bigint"),
+            "pipeline_id": F.when(git, F.regexp_extract(parent, run, 1)).cast("bigint"),
+            "job_id": F.when(git, F.regexp_extract(file, job_file, 1)),
+            "job_name": F.when(git, F.regexp_extract(file, job_file, 2)).when(jenkins, grand),
+            "build_number": F.when(jenkins, parent).cast("bigint"),
+            "stage": F.when(jenkins & (file != "console.log"), F.regexp_extract(file, r"^stage_(.*)\.log$", 1)),
         }
-    )
+    ).drop("_p")
 
 
 def read_log_store(spark: SparkSession, root: str) -> DataFrame:
