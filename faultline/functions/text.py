@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-_BLANK = r"[\s\x1c-\x1f]"
+# ---- fixed values: the characters that count as white space ----
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    """Drop white space at both ends (Spark's trim keeps tabs)."""
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    """Drop white space at both ends (Spark's trim alone keeps tabs)."""
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def not_blank(text: Column) -> Column:
@@ -29,17 +30,18 @@ def filled(text: Column) -> Column:
 
 
 def clean_line(raw: Column, max_length: int = fixed.MAX_LINE_LENGTH) -> Column:
-    """Readable ASCII form of one log line: no colour codes, no leading time stamp, single spaces."""
-    text = strip(raw)
+    """Readable ASCII form of one log line: no colour codes, no leading time stamp, single spaces.
+
+    Every step uses the former one once, so the expression stays a chain; a run of blanks and of characters outside
+    ASCII becomes one blank in a single step, and a lone blank costs nothing.
+    """
+    stamp = r"(?:\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[.,]\d+\s*)?(?:\[\d{2}:\d{2}:\d{2}\])?"
+    text = strip(F.coalesce(raw, F.lit("")))
     text = F.regexp_replace(text, r"\x1b\[[0-9;]*m", "")
-    text = F.regexp_replace(text, r"(?U)^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[.,]\d+\s*", "")
-    text = F.regexp_replace(text, r"(?U)^\[\d{2}:\d{2}:\d{2}\]", "")
-    text = F.regexp_replace(text, r"[^\x20-\x7e\t\n]", " ")
-    text = F.regexp_replace(text, " +", " ")
-    text = strip(text)
-    return F.when(F.length(text) > max_length, F.concat(F.left(text, F.lit(max_length)), F.lit("..."))).otherwise(
-        F.coalesce(text, F.lit(""))
-    )
+    text = F.regexp_replace(text, f"(?U)^{stamp}", "")
+    text = F.regexp_replace(text, r"[^\x21-\x7e\t\n]{2,}|[^\x20-\x7e\t\n]", " ")
+    text = F.btrim(text, F.lit(" \t\n"))
+    return F.regexp_replace(text, f"(?s)^(.{{{max_length}}}).+", "$1...")
 
 
 def quoted(value: str) -> str:

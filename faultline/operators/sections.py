@@ -183,10 +183,15 @@ def pick_errors(errors: DataFrame, plan: ContextPlan) -> DataFrame:
     return _capped_picks(errors, plan) if plan.buckets else _uncapped_picks(errors, plan)
 
 
-def bottom_up_sections(lines: DataFrame, plan: ContextPlan | None = None, **patterns) -> DataFrame:
-    """Sections of each log: (log_id, section_no, error_line, start_line, end_line), end exclusive."""
+def bottom_up_sections(
+    lines: DataFrame, plan: ContextPlan | None = None, errors: DataFrame | None = None, **patterns
+) -> DataFrame:
+    """Sections of each log: (log_id, section_no, error_line, start_line, end_line), end exclusive.
+
+    `errors` may pass the error lines when they have been found already.
+    """
     plan = plan or context_plan()
-    picks = pick_errors(error_lines(lines, **patterns), plan)
+    picks = pick_errors(error_lines(lines, **patterns) if errors is None else errors, plan)
     return picks.join(log_sizes(lines), "log_id").select(
         "log_id", "section_no", "error_line",
         F.greatest(F.col("error_line") - F.col("before"), F.lit(0)).alias("start_line"),
@@ -217,12 +222,14 @@ def section_texts(lines: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-def format_sections(lines: DataFrame, plan: ContextPlan | None = None, **patterns) -> DataFrame:
+def format_sections(
+    lines: DataFrame, plan: ContextPlan | None = None, errors: DataFrame | None = None, **patterns
+) -> DataFrame:
     """One text per log with a separator between sections. Needs a capped plan, so that the text is bounded."""
     plan = plan or context_plan()
     if plan.cap is None:
         raise ValueError("format_sections needs context buckets; use section_texts for an uncapped context")
-    texts = section_texts(lines, bottom_up_sections(lines, plan, **patterns))
+    texts = section_texts(lines, bottom_up_sections(lines, plan, errors, **patterns))
     ordered = F.array_sort(F.collect_list(F.struct("section_no", "text")))
     return texts.groupBy("log_id").agg(
         F.count("*").alias("sections"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..operators import lines as ln
 from ..operators import sections as sec
+from ..operators.shared import settle
 from . import sql_views as sv
 from . import views
 from .registry import query
@@ -57,11 +58,12 @@ texts as (
 def overview(spark, sf):
     """What broke in each log: totals, first error line shown and the text of all sections."""
     lines = views.log_lines(spark, sf)
-    totals = ln.error_count(lines)
-    shown = sec.bottom_up_sections(lines, BUCKET_PLAN).groupBy("log_id").agg(F.min("error_line").alias("first_error_line"))
-    texts = sec.format_sections(lines, BUCKET_PLAN)
+    errors = settle(ln.error_lines(lines).select("log_id", "line_no"), "error_lines")
+    totals = errors.groupBy("log_id").agg(F.count("*").alias("total_errors"))
+    shown = sec.bottom_up_sections(lines, BUCKET_PLAN, errors).groupBy("log_id").agg(F.min("error_line").alias("first_error_line"))
+    texts = sec.format_sections(lines, BUCKET_PLAN, errors)
     return texts.join(shown, "log_id").join(totals, "log_id").select(
-        "log_id", F.col("errors").alias("total_errors"), "sections", "first_error_line", "text"
+        "log_id", "total_errors", "sections", "first_error_line", "text"
     )
 
 
