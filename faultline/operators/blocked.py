@@ -68,6 +68,34 @@ def carry_forward(
     )
 
 
+def attach_last(df: DataFrame, states: DataFrame, keys: Sequence[str], pos: str, name: str) -> DataFrame:
+    """Add the newest state at or before the row, by key and position: an as-of join with one shuffle of the rows.
+
+    `states(keys, pos, name)` is usually much smaller than `df`; only it is summed up per block.
+    """
+    block = block_of(F.col(pos))
+    rows = df.withColumn(name, F.lit(None).cast(states.schema[name].dataType)).withColumn("_own", F.lit(1))
+    marks = states.select(*keys, pos, name).withColumn("_own", F.lit(0))
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_blk", block)
+    ends = states.groupBy(*keys, block.alias("_blk")).agg(F.max_by(name, pos).alias("_e"))
+    blocks = df.select(*keys, block.alias("_blk")).distinct()
+    carry = _carried(blocks, ends, keys)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(pos, "_own").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        both.join(carry, [*keys, "_blk"], "left")
+        .withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(inside), F.col("_c")))
+        .filter(F.col("_own") == 1).select(*df.columns, name)
+    )
+
+
+def _carried(blocks: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For every block the state carried into it from the blocks before."""
+    marked = blocks.withColumn("_e", F.lit(None).cast(ends.schema["_e"].dataType)).unionByName(ends)
+    merged = marked.groupBy(*keys, "_blk").agg(F.first("_e", ignorenulls=True).alias("_e"))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    return merged.select(*keys, "_blk", F.last("_e", ignorenulls=True).over(before).alias("_c")).filter(F.col("_c").isNotNull())
+
+
 def with_halo(df: DataFrame, pos: str, reach: int, size: int = BLOCK) -> DataFrame:
     """Copy rows near a block edge into the neighbour block, so a window of `reach` rows never leaves its block.
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 PIVOTS = 64
 BLOCK_ROWS = 4096
 _SLACK = 1e-6
@@ -78,8 +80,9 @@ def nearest(
             beyond = (d2 - d2[np.arange(len(own)), own][:, None]) / np.where(width == 0, 1.0, 2 * width)
             yield pd.DataFrame({"vec": pdf["vec"], "cell": pd.Series([np.flatnonzero(b <= reach) for b in beyond], dtype=object)})
 
-    placed = item_vectors.mapInPandas(to_cell, f"vec array<double>, ids array<{id_type}>, cell bigint")
-    routed = query_vectors.mapInPandas(to_cells, "vec array<double>, cell array<bigint>").select("vec", F.explode("cell").alias("cell"))
+    placed = settle(item_vectors.mapInPandas(to_cell, f"vec array<double>, ids array<{id_type}>, cell bigint"), "placed")
+    routed = query_vectors.mapInPandas(to_cells, "vec array<double>, cell array<bigint>")
+    routed = settle(routed.select("vec", F.explode("cell").alias("cell")), "routed")
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))

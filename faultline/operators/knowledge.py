@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from .knn import nearest
+from .shared import settle
 
 
 def search_fixes_by_error(fixes: DataFrame, needle: str) -> DataFrame:
@@ -80,7 +81,7 @@ def resolve_fix_cascade(
     once = errors.groupBy("error_hash").agg(F.first("embedding", ignorenulls=True).alias("embedding"))
     sme = sme_cache.groupBy("error_hash").agg(F.max_by("fix_text", "ts").alias("_sme"))
     ai = live_ai_cache(ai_cache, as_of).select("error_hash", F.col("fix_text").alias("_ai"))
-    cached = once.join(sme, "error_hash", "left").join(ai, "error_hash", "left")
+    cached = settle(once.join(sme, "error_hash", "left").join(ai, "error_hash", "left"), "cached")
     unresolved = cached.filter(F.col("_sme").isNull() & F.col("_ai").isNull())
     found = knn_fix(unresolved.select(F.col("error_hash").alias("query_id"), "embedding"), fixes, **knn).select(
         F.col("query_id").alias("error_hash"), F.col("fix_text").alias("_knn"), "confidence"

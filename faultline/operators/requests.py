@@ -84,10 +84,10 @@ def latency_percentiles(requests: DataFrame, as_of: str, hours: int = 24) -> Dat
         .groupBy("processing_time").agg(F.count("*").alias("_n"))
     )
     ranked = carry_forward(times, [], "processing_time", sums={"_upto": F.col("_n")}, block=F.floor("processing_time"))
-    total = times.select(F.sum("_n")).scalar()
+    ranked = ranked.withColumn("_total", times.select(F.sum("_n")).scalar())
 
     def at(q: float, name: str) -> Column:
-        rank = F.lit(q) * (total - 1)
+        rank = F.lit(q) * (F.col("_total") - 1)
         low = F.min(F.when(F.col("_upto") > F.floor(rank), F.col("processing_time")))
         high = F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("processing_time")))
         return (low + (high - low) * F.first(rank - F.floor(rank))).alias(name)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocked import carry_forward
+from .shared import settle
 
 KEY = ["error_id"]
 
@@ -28,6 +29,7 @@ def review_outcomes(actions: DataFrame, records: DataFrame) -> DataFrame:
     present = (F.length("_error") > 0) & (F.col("_removed").isNull() | (F.col("seq") <= F.col("_removed")))
     joined = joined.withColumn("_present", F.coalesce(present, F.lit(False)))
     opened = button & (act == "edit") & F.col("_present")
+    joined = settle(joined, "actions")
     edited = carry_forward(
         joined, KEY, "seq", last={"_edit": F.when(opened, F.struct("seq", "user_id", "channel_id"))}
     )
@@ -53,6 +55,7 @@ def review_outcomes(actions: DataFrame, records: DataFrame) -> DataFrame:
         edited.withColumn("_edit_seq", F.col("_edit.seq")).join(closing, ["error_id", "_edit_seq"], "left")
         .withColumn("outcome", outcome)
     )
+    judged = settle(judged.select(*actions.columns, "outcome", "_fix"), "judged")
     texts = carry_forward(judged, KEY, "seq", last={"_last_text": F.when(F.col("outcome") == "edited", F.trim("text"))})
     saved = F.when(F.col("outcome").isin("approved", "edited"), F.coalesce("_last_text", "_fix"))
     return texts.select(*actions.columns, "outcome", saved.alias("saved_fix"))

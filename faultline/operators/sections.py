@@ -18,9 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, text
 from .blocked import block_of, carry_forward, number_rows, spans_to_blocks
-from .lines import clean_lines, error_lines, log_sizes, pattern_samples
+from .lines import clean_lines, error_lines, is_error, log_sizes, pattern_samples
+from .shared import settle
 
 Buckets = Sequence[tuple[int, int, int]]
 
@@ -84,6 +85,18 @@ def _bucket_value(n: str, buckets: Buckets, index: int) -> str:
     return f"case{out} else {buckets[-1][index]} end"
 
 
+def _fold(plan: ContextPlan) -> str:
+    """SQL text: the picks, last line first, out of `_errs`, the error lines of one log in falling order."""
+    before = _bucket_value("size(s.p)", plan.buckets, 1) if plan.buckets else str(plan.before)
+    room = f"size(s.p) < {plan.cap}" if plan.buckets else "true"
+    return f"""aggregate(_errs,
+        named_struct('lim', cast(9223372036854775807 as bigint), 'p', cast(array() as array<bigint>)),
+        (s, x) -> if(x <= s.lim and {room},
+                     named_struct('lim', greatest(cast(0 as bigint), x - ({before})) - 1, 'p', concat(s.p, array(x))),
+                     s),
+        s -> s.p)"""
+
+
 def _capped_picks(errors: DataFrame, plan: ContextPlan) -> DataFrame:
     last = Window.partitionBy("log_id").orderBy(F.desc("line_no"))
     gathered = (
@@ -91,14 +104,7 @@ def _capped_picks(errors: DataFrame, plan: ContextPlan) -> DataFrame:
         .filter(F.col("_r") <= plan.reach)
         .groupBy("log_id").agg(F.sort_array(F.collect_list("line_no"), asc=False).alias("_errs"))
     )
-    before = _bucket_value("size(s.p)", plan.buckets, 1)
-    fold = f"""aggregate(_errs,
-        named_struct('lim', cast(9223372036854775807 as bigint), 'p', cast(array() as array<bigint>)),
-        (s, x) -> if(x <= s.lim and size(s.p) < {plan.cap},
-                     named_struct('lim', greatest(cast(0 as bigint), x - ({before})) - 1, 'p', concat(s.p, array(x))),
-                     s),
-        s -> s.p)"""
-    picks = gathered.select("log_id", F.expr(fold).alias("_p")).select(
+    picks = gathered.select("log_id", F.expr(_fold(plan)).alias("_p")).select(
         "log_id", F.size("_p").alias("_total"), F.posexplode("_p").alias("_n", "error_line")
     )
     return picks.select(
@@ -237,9 +243,43 @@ def format_sections(
     )
 
 
+def extract_error_sections(
+    logs: DataFrame, plan: ContextPlan | None = None, content: str = "content",
+    patterns: Sequence[str] = fixed.ERROR_PATTERNS, ignore: Sequence[str] = fixed.IGNORE_PATTERNS,
+) -> DataFrame:
+    """Whole-log form: add `total_errors`, `sections` and `text` (null without errors) to rows that hold a log each.
+
+    Everything happens inside the row, so job logs that were read as a tail need no shuffle at all. For logs too long
+    for one row use the line table and `format_sections`.
+    """
+    plan = plan or context_plan()
+
+    def let(df: DataFrame, **values) -> DataFrame:
+        """Columns that later steps use many times; a generator keeps them from being copied into each use."""
+        for name, value in values.items():
+            df = df.select("*", F.explode(F.array(value)).alias(name))
+        return df
+
+    before, after = [_bucket_value("n", plan.buckets, i) if plan.buckets else str(v) for i, v in ((1, plan.before), (2, plan.after))]
+    hits = f"filter(transform(_low, (x, i) -> if({is_error('x', patterns, ignore)}, cast(i as bigint), null)), i -> i is not null)"
+    lines_of = f"""transform(_picks, (x, n) -> array_join(transform(
+        slice(_clean, cast(greatest(x - ({before}), 0) + 1 as int), cast(x + ({after}) + 1 - greatest(x - ({before}), 0) as int)),
+        (l, i) -> if(l = '', null, concat('Line ', cast(greatest(x - ({before}), 0) + i + 1 as string), ': ', l))), '\n'))"""
+    split = F.split(F.coalesce(F.col(content), F.lit("")), "\n")
+    ready = let(logs, _clean=F.transform(split, lambda line: text.clean_line(line)))
+    ready = let(ready, _low=F.transform("_clean", F.lower))
+    ready = let(ready, _errs=F.reverse(F.expr(hits)))
+    ready = let(ready, _picks=F.expr(_fold(plan)))
+    separator = f"\n\n{fixed.SECTION_SEPARATOR}\n\n"
+    return ready.select(
+        *logs.columns, F.size("_errs").alias("total_errors"), F.size("_picks").alias("sections"),
+        F.when(F.size("_picks") > 0, F.array_join(F.reverse(F.expr(lines_of)), separator)).alias("text"),
+    )
+
+
 def fixed_context(lines: DataFrame, before: int, after: int, **patterns) -> DataFrame:
     """Ranges of `before`/`after` lines around every error line, overlapping or touching ones merged."""
-    errors = error_lines(lines, **patterns).select("log_id", "line_no")
+    errors = settle(error_lines(lines, **patterns).select("log_id", "line_no"), "error_lines")
     prev = carry_forward(errors, ["log_id"], "line_no", {"_prev": F.col("line_no")}, inclusive=False)
     opens = F.col("_prev").isNull() | (
         F.greatest(F.col("line_no") - before, F.lit(0)) > F.col("_prev") + after + 1

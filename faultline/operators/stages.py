@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .blocked import block_of, carry_forward, spans_to_blocks
+from .blocked import attach_last, block_of, carry_forward, spans_to_blocks
 from .lines import error_lines, is_error, log_sizes
 from .sections import ContextPlan, context_plan, format_sections
 from .shared import settle
@@ -27,35 +27,44 @@ def segment_console(lines: DataFrame) -> DataFrame:
     raw = F.col("raw")
     header = F.regexp_extract(raw, r"\[Pipeline\] stage \((.*?)\)", 1)
     branch = F.regexp_extract(raw, r"\[Pipeline\] \{ \((.*?)\)", 1)
-    kind = (
+    kind = F.when(
+        raw.contains("[Pipeline] "),
         F.when(raw.rlike(r"\[Pipeline\] stage \(.*?\)"), "stage")
         .when(raw.contains("[Pipeline] parallel"), "open")
         .when(raw.rlike(r"\[Pipeline\] \{ \(.*?\)"), "branch")
-        .when(raw.contains("[Pipeline] // parallel"), "close")
+        .when(raw.contains("[Pipeline] // parallel"), "close"),
     )
-    marked = lines.withColumn("_kind", kind)
     is_stage = F.col("_kind") == "stage"
+    # Marker lines are few; all the bookkeeping is done on them alone.
+    marks = settle(
+        lines.withColumn("_kind", kind).filter(F.col("_kind").isNotNull())
+        .select("log_id", "line_no", "_kind", F.when(is_stage, header).when(F.col("_kind") == "branch", branch).alias("_name")),
+        "markers",
+    )
     staged = carry_forward(
-        marked, KEY, "line_no",
+        marks, KEY, "line_no",
         last={
-            "_mode": F.when(F.col("_kind").isin("stage", "open", "close"), F.col("_kind")),
-            "stage_name": F.when(is_stage, header),
+            "_mode": F.when(F.col("_kind") != "branch", F.col("_kind")),
+            "stage_name": F.when(is_stage, F.col("_name")),
         },
         sums={"stage_no": F.when(is_stage, 1).otherwise(0)},
     )
     opens = (F.col("_kind") == "branch") & (F.col("_mode") == "open")
-    turns = opens | F.col("_kind").isin("stage", "close")
-    staged = staged.withColumn("_turn", F.when(turns, F.struct(F.col("line_no").alias("at"), F.when(opens, branch).alias("name"))))
-    blocked = carry_forward(staged, KEY, "line_no", last={"_block": F.col("_turn")})
-    last_turn = staged.filter(F.col("_turn").isNotNull()).groupBy("log_id").agg(F.max("line_no").alias("_last_turn"))
-    content = F.col("_kind").isNull() | ((F.col("_kind") == "branch") & F.col("_turn").isNull())
-    in_block = F.col("_block.name").isNotNull()
+    turns = staged.filter(opens | F.col("_kind").isin("stage", "close"))
+    state = F.struct(
+        F.col("line_no").alias("at"), F.col("stage_no"), F.col("stage_name"), F.when(opens, F.col("_name")).alias("block")
+    )
+    turns = settle(turns.select("log_id", "line_no", state.alias("_state")), "turns")
+    last_turn = turns.groupBy("log_id").agg(F.max("line_no").alias("_last_turn"))
+    content = lines.withColumn("_kind", kind).filter(F.col("_kind").isNull() | (F.col("_kind") == "branch")).drop("_kind")
+    in_block = F.col("_state.block").isNotNull()
     return (
-        blocked.filter(content & (F.col("stage_no") > 0)).join(last_turn, KEY)
+        attach_last(content, turns, KEY, "line_no", "_state")
+        .filter((F.col("_state.stage_no") > 0) & (F.col("_state.at") != F.col("line_no"))).join(last_turn, KEY)
         .select(
-            *lines.columns, "stage_no", "stage_name", F.when(in_block, F.col("_block.at")).alias("block_start"),
-            F.col("_block.name").alias("block_name"),
-            (~in_block | (F.col("_block.at") < F.col("_last_turn"))).alias("block_closed"),
+            *lines.columns, F.col("_state.stage_no").alias("stage_no"), F.col("_state.stage_name").alias("stage_name"),
+            F.when(in_block, F.col("_state.at")).alias("block_start"), F.col("_state.block").alias("block_name"),
+            (~in_block | (F.col("_state.at") < F.col("_last_turn"))).alias("block_closed"),
         )
     )
 
@@ -126,11 +135,19 @@ def _next_end(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return both.filter(F.col("name").isNotNull()).select("log_id", "name", "start_line", "end_line")
 
 
-def _spans(lines: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+def _marks(lines: DataFrame, hit: Column) -> DataFrame:
+    """The few lines that start or end something, found in one pass and stored."""
+    return settle(lines.filter(hit).select("log_id", "line_no", "raw"), "marks")
+
+
+def _cut(lines: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Lines after the first start line of a name up to its next end line, without repeated start lines."""
+    starts = settle(starts, "starts")
     first = starts.groupBy("log_id", "name").agg(F.min("line_no").cast("bigint").alias("start_line"))
-    return _next_end(first, ends).join(log_sizes(lines), KEY).select(
+    spans = _next_end(first, ends.select("log_id", "line_no")).join(log_sizes(lines), KEY).select(
         "log_id", "name", "start_line", F.coalesce("end_line", "total_lines").alias("end_line")
     )
+    return span_lines(lines, spans, starts)
 
 
 def span_lines(lines: DataFrame, spans: DataFrame, skip: DataFrame | None = None) -> DataFrame:
@@ -149,27 +166,29 @@ def span_lines(lines: DataFrame, spans: DataFrame, skip: DataFrame | None = None
 def slice_stage(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Lines of each wanted stage (log_id, name): from 'stage (NAME)' in any case to the next '// stage'."""
     low = F.lower("raw")
-    starts = _named_starts(_closed_matches(_rests(lines, low, "stage (")), wanted, F.lower("name"))
-    ends = lines.filter(low.contains("// stage") & ~low.contains("stage (")).select("log_id", "line_no")
-    return span_lines(lines, _spans(lines, starts, ends), starts)
+    marks = _marks(lines.withColumn("raw", low), F.col("raw").contains("stage (") | F.col("raw").contains("// stage"))
+    raw = F.col("raw")
+    starts = _named_starts(_closed_matches(_rests(marks, raw, "stage (")), wanted, F.lower("name"))
+    return _cut(lines, starts, marks.filter(raw.contains("// stage") & ~raw.contains("stage (")))
 
 
 def slice_block(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Lines of each wanted block: from '{ (NAME)' or 'Branch: NAME' to '[Pipeline] }' or '// parallel'."""
     raw = F.col("raw")
-    closed = _closed_matches(_rests(lines, raw, "{ ("))
-    open_ended = _prefix_matches(_rests(lines, raw, "Branch: "), wanted)
+    begins, ends = raw.contains("{ (") | raw.contains("Branch: "), raw.contains("[Pipeline] }") | raw.contains("// parallel")
+    marks = _marks(lines, begins | ends)
+    closed = _closed_matches(_rests(marks, raw, "{ ("))
+    open_ended = _prefix_matches(_rests(marks, raw, "Branch: "), wanted)
     starts = _named_starts(closed.unionByName(open_ended), wanted, F.col("name"))
-    ends = lines.filter((raw.contains("[Pipeline] }") | raw.contains("// parallel")) & ~raw.contains("{ (") & ~raw.contains("Branch: "))
-    return span_lines(lines, _spans(lines, starts, ends.select("log_id", "line_no")), starts)
+    return _cut(lines, starts, marks.filter(ends & ~begins))
 
 
 def slice_step(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Lines of each wanted step: from the first line with '{ (NAME', a prefix match, to '[Pipeline] }'."""
     raw = F.col("raw")
-    starts = _named_starts(_prefix_matches(_rests(lines, raw, "{ ("), wanted), wanted, F.col("name"))
-    ends = lines.filter(raw.contains("[Pipeline] }") & ~raw.contains("{ ("))
-    return span_lines(lines, _spans(lines, starts, ends.select("log_id", "line_no")), starts)
+    marks = _marks(lines, raw.contains("{ (") | raw.contains("[Pipeline] }"))
+    starts = _named_starts(_prefix_matches(_rests(marks, raw, "{ ("), wanted), wanted, F.col("name"))
+    return _cut(lines, starts, marks.filter(raw.contains("[Pipeline] }") & ~raw.contains("{ (")))
 
 
 def slice_stage_two_line(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -178,14 +197,15 @@ def slice_stage_two_line(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     The start and the end marker belong to the slice; without an end marker it runs to the end of the log.
     """
     raw = F.col("raw")
-    bare = lines.filter(raw.rlike(r"(?i)^\[Pipeline\]\s+stage\s*$")).select("log_id", (F.col("line_no") + 1).alias("line_no"))
+    marks = _marks(lines, raw.rlike(r"(?i)^\[Pipeline\]\s+(stage|\{\s*\(|//\s+stage)"))
+    bare = marks.filter(raw.rlike(r"(?i)^\[Pipeline\]\s+stage\s*$")).select("log_id", (F.col("line_no") + 1).alias("line_no"))
     opener = r"(?i)^\[Pipeline\]\s+\{\s*\("
-    opened = lines.filter(raw.rlike(opener)).select("log_id", "line_no", F.regexp_replace(raw, opener, "").alias("_rest"))
-    marks = opened.join(bare, ["log_id", "line_no"]).withColumn("line_no", F.col("line_no") - 1)
+    opened = marks.filter(raw.rlike(opener)).select("log_id", "line_no", F.regexp_replace(raw, opener, "").alias("_rest"))
+    pairs = opened.join(bare, ["log_id", "line_no"]).withColumn("line_no", F.col("line_no") - 1)
     names = F.transform(_closed_names(F.col("_rest")), lambda n: F.lower(F.regexp_replace(n, r"\s+$", "")))
-    matches = marks.select("log_id", "line_no", F.explode(names).alias("_match"))
+    matches = pairs.select("log_id", "line_no", F.explode(names).alias("_match"))
     starts = _named_starts(matches, wanted, F.lower("name"))
-    ends = lines.filter(raw.rlike(r"(?i)^\[Pipeline\]\s+//\s+stage\s*$")).select("log_id", "line_no")
+    ends = marks.filter(raw.rlike(r"(?i)^\[Pipeline\]\s+//\s+stage\s*$")).select("log_id", "line_no")
     first = starts.groupBy("log_id", "name").agg(F.min("line_no").cast("bigint").alias("start_line"))
     spans = _next_end(first, ends).join(log_sizes(lines), KEY).select(
         "log_id", "name", (F.col("start_line") - 1).alias("start_line"),

@@ -225,3 +225,16 @@ _HYBRID = ("token", "###")
   case when hit then len(last) else least(len(p), 20) end as total_lines from f""")
 def _(spark, sf):
     return ln.hybrid_log(_docs(spark, sf), 3, 20, patterns=_HYBRID, ignore=("$$$",))
+
+
+_DOC_LINES = f"""log_lines as (select doc_id as log_id, unnest(range(len(string_split(text, chr(10))))) as line_no,
+    unnest(string_split(text, chr(10))) as raw from documents where length(text) > 0), {sv.clean_lines_cte()},
+  {sv.errors_cte(('tion ', '###'), ('$$$',))}"""
+
+
+@query("extract_error_sections", f"""with recursive {_CAPPED.replace(_ERRORS, _DOC_LINES)}, {_TEXTS}
+  select doc_id as log_id, (select count(*) from errors e where e.log_id = doc_id) as total_errors, coalesce(sections, 0) as sections, t.text
+  from documents left join texts t on t.log_id = doc_id""")
+def _(spark, sf):
+    out = sec.extract_error_sections(_docs(spark, sf), BUCKET_PLAN, patterns=("tion ", "###"), ignore=("$$$",))
+    return out.drop("content")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import payload as pl
 from ..operators import sections as sec
+from ..operators.shared import settle
 from . import line_queries as lq
 from . import sql_views as sv
 from . import stage_queries as sq
@@ -73,7 +74,7 @@ def _(spark, sf):
 
 
 def _texts(spark, sf):
-    return sec.format_sections(views.log_lines(spark, sf), lq.BUCKET_PLAN).select("log_id", "text")
+    return settle(sec.format_sections(views.log_lines(spark, sf), lq.BUCKET_PLAN).select("log_id", "text"), "texts")
 
 
 _GITLAB = f"{lq._CAPPED}, {lq._TEXTS}, {sv.PIPELINES}, {sv.JOBS}"

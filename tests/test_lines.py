@@ -170,3 +170,16 @@ def test_grep_context_across_blocks(logs):
     body = "\n".join("hit" if i in (9, 10, 31) else "-" for i in range(50))
     near = ln.grep_context(logs({"a": body}), F.col("raw") == "hit", 2, block=10)
     assert sorted(r.line_no for r in near.collect()) == [7, 8, 9, 10, 11, 12, 29, 30, 31, 32, 33]
+
+
+@pytest.mark.parametrize("plan", [sec.context_plan(buckets=((2, 3, 1), (9, 1, 0)), mode="buckets"), sec.context_plan()])
+def test_whole_log_form_equals_line_form(spark, logs, plan):
+    import random
+
+    r = random.Random(2)
+    texts = {str(i): "\n".join(r.choice(["", "ok", " \x1b[1mmake: *** x", "error: tag 1", "é ok"]) for _ in range(r.randint(1, 90))) for i in range(25)}
+    texts["none"], texts["empty"] = "fine", ""
+    whole = spark.createDataFrame(list(texts.items()), "log_id string, content string")
+    got = {r.log_id: r.text for r in sec.extract_error_sections(whole, plan).collect()}
+    want = {r.log_id: r.text for r in sec.format_sections(logs(texts), plan).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == want and got["none"] is None and got["empty"] is None
