@@ -167,9 +167,8 @@ def build_failures_jenkins(builds: DataFrame, stages: DataFrame, limit: int = JO
 
 def match_user_exact(people: DataFrame, users: DataFrame) -> DataFrame:
     """`people(person)` with `user_id`: by e-mail when the text has '@', else the first user whose name equals it."""
-    ids = people.select("person").distinct()
-    names = _names(users).groupBy("_name").agg(F.min_by("id", "pos").alias("_by_name"))
-    return _match(ids, users, names, people)
+    names = _names(users).groupBy("_name").agg(F.min("pos").alias("_by_name"))
+    return _match(people, users, names)
 
 
 def match_user_fuzzy(people: DataFrame, users: DataFrame) -> DataFrame:
@@ -178,27 +177,32 @@ def match_user_fuzzy(people: DataFrame, users: DataFrame) -> DataFrame:
     Every part of every name is a key of an aggregate that keeps its first user, so the look-up is an equi-join; no
     (person, user) pairs are formed.
     """
-    ids = people.select("person").distinct()
+    # Only parts as long as some wanted text can matter; the set holds one number per length.
+    lengths = people.select(F.collect_set(F.length("person"))).scalar()
     n = F.length("_name")
-    starts = _names(users).withColumn("_s", F.explode(F.sequence(F.lit(1), n)))
-    parts = starts.withColumn("_l", F.explode(F.sequence(F.lit(1), n - F.col("_s") + 1)))
-    first = (
-        parts.select(F.substr("_name", F.col("_s"), F.col("_l")).alias("_name"), "id", "pos")
-        .groupBy("_name").agg(F.min_by("id", "pos").alias("_by_name"))
+    parts = (
+        _names(users).withColumn("_l", F.explode(F.sequence(F.lit(1), n))).filter(F.array_contains(lengths, F.col("_l")))
+        .withColumn("_s", F.explode(F.sequence(F.lit(1), n - F.col("_l") + 1)))
     )
-    return _match(ids, users, first, people)
+    first = parts.select(F.substr("_name", F.col("_s"), F.col("_l")).alias("_name"), "pos").groupBy("_name").agg(
+        F.min("pos").alias("_by_name")
+    )
+    return _match(people, users, first)
 
 
 def _names(users: DataFrame) -> DataFrame:
     both = F.array_distinct(F.array(F.lower(F.coalesce("real_name", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))))
-    return users.select("id", "pos", F.explode(both).alias("_name")).filter(F.col("_name") != "")
+    return users.select("pos", F.explode(both).alias("_name")).filter(F.col("_name") != "")
 
 
-def _match(ids: DataFrame, users: DataFrame, names: DataFrame, people: DataFrame) -> DataFrame:
-    mails = users.filter(F.length("email") > 0).groupBy("email").agg(F.min_by("id", "pos").alias("_by_mail"))
+def _match(people: DataFrame, users: DataFrame, names: DataFrame) -> DataFrame:
+    """Each distinct text once: by mail, else by name; then the user at that place of the directory."""
+    ids = people.select("person").distinct()
+    mails = users.filter(F.length("email") > 0).groupBy("email").agg(F.min("pos").alias("_by_mail"))
     found = (
         ids.withColumn("email", F.when(F.col("person").contains("@"), F.col("person"))).join(mails, "email", "left")
         .withColumn("_name", F.when(F.col("_by_mail").isNull(), F.lower("person"))).join(names, "_name", "left")
-        .select("person", F.coalesce("_by_mail", "_by_name").alias("user_id"))
+        .select("person", F.coalesce("_by_mail", "_by_name").alias("pos"))
+        .join(users.select("pos", F.col("id").alias("user_id")), "pos", "left").drop("pos")
     )
     return people.join(found, "person", "left")

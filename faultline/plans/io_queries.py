@@ -166,7 +166,7 @@ def _(spark, sf):
 
 
 @query("src_api_log", """select strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as ts, o_orderkey as pipeline_id, o_custkey % 25 as project_id,
-  'http://bfa.example.com/api/analyze' as url, case when o_orderkey % 6 = 0 then 'ERROR' else '200' end as status, o_orderkey % 3000 as duration_ms,
+  'http://collector.example.com/api/analyze' as url, case when o_orderkey % 6 = 0 then 'ERROR' else '200' end as status, o_orderkey % 3000 as duration_ms,
   case when o_orderkey % 6 = 0 then 'read timed out ' || o_orderkey end as error, '{"n": ' || o_orderkey || '}' as response from orders where o_orderkey % 50 <> 0""")
 def _(spark, sf):
     return _stamp(lg.api_calls(views.api_log_lines(spark, sf)), "ts")

@@ -31,10 +31,10 @@ def table(spark: S, sf: str, name: str) -> DataFrame:
 
 
 def numbered_events(spark: S, sf: str) -> DataFrame:
-    """Events as lines of one log per user; numbering is cut by day, so no user is sorted in one task."""
+    """Events as lines of one log per user; numbering is cut by hour, so no user is sorted in one task."""
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     numbered = number_rows(
-        events.withColumnRenamed("user_id", "log_id"), ["log_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "line_no"
+        events.withColumnRenamed("user_id", "log_id"), ["log_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "line_no"
     )
     return stored(spark, sf, "numbered_events", numbered)
 
@@ -503,11 +503,8 @@ def registry_files(spark: S, sf: str) -> DataFrame:
 
 def app_log_lines(spark: S, sf: str) -> DataFrame:
     """Lines of the service log, one file per user, with continuation lines."""
-    e = number_rows(
-        table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"],
-        ["ts", "event_id"], F.date_trunc("day", "ts"), "line_no",
-    )
-    i, u = F.col("event_id"), F.col("user_id")
+    e = numbered_events(spark, sf)
+    i, u = F.col("event_id"), F.col("log_id")
     s = i.cast("string")
     level = F.when(F.col("event_type") == "error", "ERROR ").when(F.col("event_type") == "signup", "WARN  ").otherwise("INFO  ")
     ctx = F.concat(
@@ -528,7 +525,7 @@ def api_log_lines(spark: S, sf: str) -> DataFrame:
     s = k.cast("string")
     line = F.concat(
         F.lit("["), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("] PIPELINE_ID="), s, F.lit(" PROJECT_ID="),
-        (c % 25).cast("string"), F.lit(" URL=http://bfa.example.com/api/analyze STATUS="),
+        (c % 25).cast("string"), F.lit(" URL=http://collector.example.com/api/analyze STATUS="),
         F.when(k % 6 == 0, "ERROR").otherwise("200"), F.lit(" DURATION="), (k % 3000).cast("string"), F.lit("ms "),
         F.when(k % 6 == 0, F.concat(F.lit("ERROR=read timed out "), s, F.lit(" "))).otherwise(""),
         F.lit('RESPONSE={"n": '), s, F.lit("}"),
