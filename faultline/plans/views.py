@@ -165,7 +165,7 @@ def jobs(spark: S, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     key = jobs_key()
     flag = F.col("l_returnflag")
-    return li.select(
+    return stored(spark, sf, "jobs", li.select(
         F.col("l_orderkey").alias("pipeline_id"), key.alias("job_id"),
         F.concat(F.lit("job "), F.col("l_linenumber").cast("string")).alias("name"),
         F.when(F.col("l_linestatus") == "F", "build").otherwise("test").alias("stage"),
@@ -174,7 +174,7 @@ def jobs(spark: S, sf: str) -> DataFrame:
         F.col("l_quantity").alias("duration"),
         F.col("l_partkey").alias("log_id"),
         F.struct(*JOB_ORDER).alias("job_order"),
-    )
+    ))
 
 
 def stage_numbers(spark: S, sf: str) -> DataFrame:
@@ -231,13 +231,13 @@ def builds(spark: S, sf: str) -> DataFrame:
         F.struct(F.lit("gitlabSourceBranch").alias("key"),
                  F.when(k % 7 == 0, "unknown").otherwise(F.concat(F.lit("br"), s)).alias("value")),
     )
-    return table(spark, sf, "orders").select(
+    return stored(spark, sf, "builds", table(spark, sf, "orders").select(
         k.alias("build_id"), F.concat(F.lit("job "), (c % 40).cast("string")).alias("job_name"),
         F.concat(F.lit("https://ci"), (c % 30).cast("string"), F.lit(".example.com/job/"), s).alias("build_url"),
         F.when(c % 31 != 0, F.concat(F.lit("HTTPS://CI"), (c % 30).cast("string"), F.lit(".example.com//"))).otherwise("").alias("jenkins_url"),
         F.when(k % 4 == 0, "Jenkins").when(k % 4 == 1, F.concat(F.lit("user"), (c % 50).cast("string"))).alias("user_id"),
         F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("parameters"),
-    )
+    ))
 
 
 def ci_projects(spark: S, sf: str) -> DataFrame:
@@ -537,7 +537,7 @@ def listing(spark: S, sf: str) -> DataFrame:
     """Stored files: job logs, build stage logs and consoles, and pipeline metadata."""
     li = table(spark, sf, "lineitem")
     k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
-    jobs_ = li.select(
+    files = li.select(
         F.when(n < 5, F.concat(F.lit("/data/NATION_"), (F.col("l_orderkey") % 25).cast("string"), F.lit("_"), (F.col("l_orderkey") % 25).cast("string"),
                                F.lit("/pipeline_"), k, F.lit("/job_"), jobs_key(), F.lit("_job_"), n.cast("string"), F.lit(".log")))
         .when(n == 5, F.concat(F.lit("/data/jenkins-builds/job"), (F.col("l_partkey") % 40).cast("string"), F.lit("/"), k, F.lit("/stage_S"), F.col("l_suppkey").cast("string"), F.lit(".log")))
@@ -545,7 +545,7 @@ def listing(spark: S, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("/data/NATION_1_1/pipeline_"), k, F.lit("/metadata.json"))).alias("path"),
         F.floor("l_extendedprice").cast("bigint").alias("size"), F.col("l_shipdate").alias("mtime"),
     )
-    return jobs_
+    return stored(spark, sf, "listing", files)
 
 
 def snapshots(spark: S, sf: str) -> DataFrame:
