@@ -91,7 +91,7 @@ def _(spark, sf):
 
 
 @query("pipeline_summary", f"""{_J}, per as (select pipeline_id, status, count(*) as n, min(pos) as first from jobs group by 1, 2),
-  tot as (select pipeline_id, sum(n) as jobs, string_agg(n || ' ' || status, ', ' order by first) as job_counts from per group by 1)
+  tot as (select pipeline_id, cast(sum(n) as bigint) as jobs, string_agg(n || ' ' || status, ', ' order by first) as job_counts from per group by 1)
   select t.pipeline_id, ref, pipeline_type, status, case when coalesce(duration, 0) = 0 then 'N/A'
     else (cast(duration as bigint) // 60) || 'm ' || (cast(duration as bigint) % 60) || 's' end as duration_text,
   coalesce(jobs, 0) as jobs, coalesce(job_counts, '') as job_counts from typed t left join tot using (pipeline_id)""")
@@ -112,7 +112,7 @@ _WINDOW = f"timestamp > timestamp '{AS_OF}' - interval 72 hours"
   round(case when count(*) filter (status in ('completed', 'failed')) > 0 then 100.0 * count(*) filter (status = 'completed')
     / count(*) filter (status in ('completed', 'failed')) else 0 end, 2) as success_rate,
   round(coalesce(avg(processing_time), 0), 2) as avg_processing_time_seconds,
-  coalesce(sum(success_count + coalesce(error_count, 0)), 0) as total_jobs_processed from requests where {_WINDOW}""")
+  cast(coalesce(sum(success_count + coalesce(error_count, 0)), 0) as bigint) as total_jobs_processed from requests where {_WINDOW}""")
 def _(spark, sf):
     return rq.request_summary(views.requests(spark, sf), AS_OF, 72)
 

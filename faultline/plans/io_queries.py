@@ -192,7 +192,7 @@ def _(spark, sf):
 @query("storage_stats", f"""with {_LISTING} select count(distinct l_orderkey % 25) filter (l_linenumber < 5) as projects,
   count(distinct l_orderkey) filter (l_linenumber < 5) as pipelines, count(distinct l_partkey % 40) filter (l_linenumber in (5, 6)) as build_jobs,
   count(distinct (l_partkey % 40, l_orderkey)) filter (l_linenumber in (5, 6)) as builds, count(*) filter (l_linenumber < 7) as log_files,
-  sum(size) filter (l_linenumber < 7) as total_bytes, round(sum(size) filter (l_linenumber < 7) / 1048576.0, 2) as total_mb from listing""")
+  cast(sum(size) filter (l_linenumber < 7) as bigint) as total_bytes, round(sum(size) filter (l_linenumber < 7) / 1048576.0, 2) as total_mb from listing""")
 def _(spark, sf):
     return lg.storage_stats(views.listing(spark, sf))
 
@@ -209,7 +209,7 @@ def _(spark, sf):
 
 
 _EXPIRY = f"""{_LISTING}, runs as (select case when contains(path, '/jenkins-builds/') then 'jenkins' else 'gitlab' end as source,
-  regexp_replace(path, '/[^/]+$', '') as directory, sum(size) as bytes, max(mtime) as newest from listing group by 1, 2),
+  regexp_replace(path, '/[^/]+$', '') as directory, cast(sum(size) as bigint) as bytes, max(mtime) as newest from listing group by 1, 2),
 aged as (select *, cast(floor(epoch(timestamp '2003-01-01 00:00:00' - newest) / 86400) as bigint) as age_days from runs),
 plan as (select source, directory, bytes, age_days, age_days > 900 as expired,
   bool_and(age_days > 900) over (partition by regexp_replace(directory, '/[^/]+$', '')) as parent_empty from aged)"""
@@ -221,7 +221,7 @@ def _(spark, sf):
     return lg.expire_artefacts(views.listing(spark, sf), _OLD, 900)
 
 
-@query("expiry_summary", f"with {_EXPIRY} select source, count(*) filter (expired) as directories, coalesce(sum(bytes) filter (expired), 0) as bytes_freed from plan group by 1")
+@query("expiry_summary", f"with {_EXPIRY} select source, count(*) filter (expired) as directories, cast(coalesce(sum(bytes) filter (expired), 0) as bigint) as bytes_freed from plan group by 1")
 def _(spark, sf):
     return lg.expiry_summary(lg.expire_artefacts(views.listing(spark, sf), _OLD, 900))
 
@@ -294,7 +294,7 @@ def _(spark, sf):
     return back.select("source", "pipeline_id", F.size("failed_steps").alias("steps"))
 
 
-@query("sink_error_summary", f"""with recursive {lq._MATCHED}, {lq._COUNTS} select log_id, sum(lines) filter (kind = 'error') as total_errors_found, 10 as max_errors_extracted,
+@query("sink_error_summary", f"""with recursive {lq._MATCHED}, {lq._COUNTS} select log_id, cast(sum(lines) filter (kind = 'error') as bigint) as total_errors_found, 10 as max_errors_extracted,
   '/logs/' || log_id || '.log' as extracted_content from counts group by 1 having sum(lines) filter (kind = 'error') > 0""")
 def _(spark, sf):
     where = F.concat(F.lit("/logs/"), F.col("log_id").cast("string"), F.lit(".log"))

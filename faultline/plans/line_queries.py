@@ -124,7 +124,7 @@ def _flat(col):
 
 
 _SUMMARY = f"""{_MATCHED}, {_COUNTS}, {_SAMPLES}
-select log_id, sum(case when kind = 'error' then c.lines else 0 end) as total_errors_found,
+select log_id, cast(sum(case when kind = 'error' then c.lines else 0 end) as bigint) as total_errors_found,
   '2:3:1,3:2:1,5:1:0' as error_settings, 'bottom-up' as search_technique,
   'incremental buckets (errors 1-2: 3b/1a, errors 3-5: 2b/1a, errors 6-10: 1b/0a)' as context_used,
   coalesce(string_agg(c.pattern || '=' || c.lines, '; ' order by c.pattern || '=' || c.lines) filter (kind = 'error'), '') as error_types,

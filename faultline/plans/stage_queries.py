@@ -115,7 +115,7 @@ stage_nodes as (select log_id, n as stage_pos, 0 as node_pos, 'B' || n as name,
     and case when w.is_parallel then {_BLOCK_START} else {_STAGE_START} end) as s from wanted w),
   spans as (select f.*, (select min(l.line_no) from console l where l.log_id = f.log_id and l.line_no > f.s
     and case when f.is_parallel then {_BLOCK_END} else {_STAGE_END} end) as e from firsts f),
-  sized as (select w.log_id, w.name, count(*) as lines, sum(length(l.raw)) as chars from spans w join console l
+  sized as (select w.log_id, w.name, count(*) as lines, cast(sum(length(l.raw)) as bigint) as chars from spans w join console l
     on l.log_id = w.log_id and l.line_no > w.s and (w.e is null or l.line_no < w.e) group by 1, 2)
   select p.*, coalesce(lines, 0) as lines, coalesce(chars, 0) as chars from parts p left join sized s
     on s.log_id = p.log_id and s.name = p.part_name""")
