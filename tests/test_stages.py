@@ -92,3 +92,60 @@ def test_stage_tree(spark, logs):
     got = {(r.stage_name, r.part_name): (r.is_parallel, r.lines) for r in st.stage_tree(stages, logs({"a": CONSOLE})).collect()}
     assert got == {("Build", "Unit"): (True, 4), ("Build", "Lint"): (True, 1), ("Test", "Test"): (False, 4)}
     assert st.stage_tree(stages.filter(F.lit(False)), logs({"a": CONSOLE})).count() == 0
+
+
+def scan_segments(rows):
+    """The rule as a plain scan: (stage_no, stage) -> lines, and (stage_no, block start, block) -> lines."""
+    stages, blocks = {}, {}
+    no, name, parallel, block, open_lines = 0, None, False, None, []
+
+    def close():
+        nonlocal block, open_lines
+        if block is not None and no:
+            blocks[(no, *block)] = open_lines
+        block, open_lines = None, []
+
+    for i, line in enumerate(rows):
+        if line.startswith("[Pipeline] stage ("):
+            close()
+            no, name, parallel = no + 1, line[18:-1], False
+        elif line == "[Pipeline] parallel":
+            parallel = True
+        elif line.startswith("[Pipeline] { (") and parallel:
+            close()
+            block = (i, line[14:-1])
+        elif line == "[Pipeline] // parallel":
+            close()
+            parallel = False
+        elif block is not None:
+            open_lines.append(line)
+        elif no:
+            stages.setdefault((no, name), []).append(line)
+    return stages, {k: v for k, v in blocks.items() if v}
+
+
+def test_long_console_equals_plain_scan(spark, logs):
+    import random
+
+    r = random.Random(4)
+    kinds = ["[Pipeline] stage (S{})", "[Pipeline] parallel", "[Pipeline] {{ (B{})", "[Pipeline] // parallel", "[Pipeline] // stage"]
+    rows = [r.choice(kinds).format(r.randint(0, 40)) if r.random() < 0.004 else f"l{i}" for i in range(13000)]
+    lines = logs({"a": "\n".join(rows), "b": "x\n[Pipeline] stage (Only)\ny"})
+    want_stages, want_blocks = scan_segments(rows)
+    mine = lines.filter("log_id = 'a'")
+    assert by_group(st.segment_stages(lines).filter("log_id = 'a'"), "stage_no", "stage_name") == want_stages
+    assert by_group(st.segment_parallel(mine), "stage_no", "block_start", "block_name") == want_blocks
+    names = [f"S{i}" for i in range(41)]
+    want = {}
+    for name in names:
+        inside, kept = False, []
+        for line in rows:
+            if f"stage ({name})".lower() in line.lower():
+                inside = True
+            elif inside and "// stage" in line:
+                break
+            elif inside:
+                kept.append(line)
+        if kept:
+            want[(name,)] = kept
+    assert by_group(st.slice_stage(mine, wanted(spark, *names)), "name") == want
