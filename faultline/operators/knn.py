@@ -7,15 +7,20 @@ returns only its best k. Equal stored vectors are folded together first, so copi
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settle
 
+# Executors get these functions with the task; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIVOTS = 64
 BLOCK_ROWS = 4096
 _SLACK = 1e-6

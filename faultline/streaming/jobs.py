@@ -6,9 +6,11 @@ job works off what is there and stops; pass `every` for a processing-time trigge
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +20,10 @@ from ..functions import fixed
 from ..operators.events import route_event
 from ..sources.events import gitlab_events
 
+# Executors get the state functions with the task; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(fixed)
+
 
 def _begin(writer, every: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
