@@ -157,10 +157,10 @@ def learn_from(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
     chance = min(1.0, 1.1 * sample / max(known.count(), 1))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = known.filter(spot < int(chance * (1 << 30))).orderBy(spot, "doc_id").limit(sample)
-    rows = stats.dropDuplicates(["doc_id"]).join(chosen, "doc_id").select("quality", *names).orderBy("quality", *names).collect()
+    rows = stats.dropDuplicates(["doc_id"]).join(chosen, "doc_id").select("quality", *names).collect()
     if not rows:
         return []
-    table = np.array([tuple(r) for r in rows], dtype=np.float64)
+    table = np.array(sorted(tuple(r) for r in rows), dtype=np.float64)
     return learn(table[:, 1:], table[:, 0] == 0, names)
 
 

@@ -13,8 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
-_CHUNK = 1 << 20
+SLICE_BYTES = 1 << 20
+_CHUNK = 1 << 18
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
