@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, rules
+from . import exact, mixing, packing, quality, rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,3 +38,57 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     judged, _ = rules.judge(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
     return judged.drop("rule")
+
+
+@query(
+    "op6_exact_dedup",
+    r"""
+    WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+    g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+    """,
+)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.assign(_table(spark, sf, "documents"))
+
+
+@query(
+    "op8_source_mix",
+    r"""
+    WITH d AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), text, ''))[1:10])::BIGINT AS spot
+      FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+      2 * source_size AS cap FROM s),
+    v AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS goal, sum(weight) OVER () AS everything,
+      coalesce(sum(cap) OVER b, 0) AS capped, coalesce(sum(weight) OVER b, 0) AS taken_weight FROM w
+      WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT *, max((goal - capped::DOUBLE) / (everything - taken_weight)) OVER () AS level FROM v),
+    t AS (SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target FROM l),
+    c AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS copies FROM t),
+    r AS (SELECT *, target - copies * source_size AS rest FROM c),
+    h AS (SELECT source, spot, sum(size)::BIGINT AS bar,
+      sum(sum(size)) OVER (PARTITION BY source ORDER BY spot)::BIGINT AS upto FROM d GROUP BY source, spot),
+    e AS (SELECT h.source, h.spot, CASE WHEN upto <= rest THEN 1 WHEN upto - bar > rest THEN 0
+      WHEN 2 * (rest - (upto - bar)) > bar THEN 1 ELSE 0 END AS more
+      FROM h JOIN r ON h.source IS NOT DISTINCT FROM r.source)
+    SELECT doc_id, size::BIGINT AS size, source_size, target,
+      (size * (copies + CASE WHEN copies < 2 THEN more ELSE 0 END))::BIGINT AS taken
+    FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+    JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.spot = e.spot
+    """,
+)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.take(_table(spark, sf, "documents"))
+
+
+@query("op9_length_packing")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_secret_trigrams")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(_table(spark, sf, "documents"))
