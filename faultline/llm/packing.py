@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import heapq
 import os
+import sys
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -20,57 +23,109 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.shared import settle
-from .words import texts_of
+from .words import LOWER, Texts, hash_words, hashes_of, texts_of, words_of
 
 LENGTH = 2048
 END = 1
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_500_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 TAIL = b".,;:!?*#$%&"
 
 
-class WordIds(dict):
-    """Ids of words as little-endian 32-bit strings; a word is what stands between ASCII white space.
+class WordIds:
+    """Token ids of words, kept as sorted word hashes with stretches of one array of ids.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are its words' ids. Marks that end a word are
-    tokenized apart from its letters, so they are looked up apart.
+    A word is what stands between ASCII white space. The tokenizer drops white space and never joins over it, so a text's ids
+    are its words' ids. Marks that end a word are tokenized apart from its letters, so they are looked up apart.
     """
 
     def __init__(self, definition: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-
-    def encode(self, words: list[bytes]) -> None:
-        if words:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            self.update(zip(words, (np.array(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        parts: list[tuple[bytes, bytes, bytes]] = []
-        new: set[bytes] = set()
-        for word in words.difference(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands, and whether it does."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys = np.insert(self.keys, at, hashes[order])
+        self.starts = np.insert(self.starts, at, starts[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
+
+    def spell(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, one after the other."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
+
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Tokenize new words."""
+        cores, tails, split = [], [], []
+        for n, word in enumerate(words):
             core = word.rstrip(TAIL)
             if core and len(core) < len(word) and b"<|" not in word and core.decode()[-1].isalpha():
-                tail = word[len(core) :]
-                parts.append((word, core, tail))
-                new.add(core)
-                new.add(tail)
-            else:
-                new.add(word)
-        self.encode(sorted(new.difference(self)))
-        for word, core, tail in parts:
-            self[word] = self[core] + self[tail]
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+                cores.append(core)
+                tails.append(word[len(core) :])
+                split.append(n)
+        whole = set(words)
+        whole.difference_update(words[n] for n in split)
+        whole.update(cores, tails)
+        parts = [w.decode() for w in sorted(whole)]
+        if parts:
+            keys = hash_words(parts)
+            lacking = np.flatnonzero(~self.find(keys)[1])
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([parts[n] for n in lacking], add_special_tokens=False)]
+            sizes = np.array([len(ids) for ids in found], dtype=np.int64)
+            self.add(keys[lacking], sizes, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())))
+        if split:
+            core_at, _ = self.find(hash_words([c.decode() for c in cores]))
+            tail_at, _ = self.find(hash_words([t.decode() for t in tails]))
+            ids = self.spell(np.column_stack([core_at, tail_at]).ravel())
+            self.add(hashes[split], self.sizes[core_at] + self.sizes[tail_at], ids)
+
+    def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids begin, with one more at the end."""
+        data = texts.data
+        raw = data.tobytes()
         # Case is folded by the tokenizer; folding first saves words, but special tokens and combining marks must be left alone.
-        split = [(t if b"<|" in t or b"\xcc" in t else t.lower()).split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        if b"<|" not in raw and b"\xcc" not in raw:
+            data = LOWER[data]
+            raw = data.tobytes()
+        words = words_of(data, texts.offsets)
+        keys, first, back = np.unique(hashes_of(data, words), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > KEPT_WORDS:
+            self.forget()
+        new = np.flatnonzero(~self.find(keys)[1])
+        starts, ends = words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
+        self.learn([raw[a:b] for a, b in zip(starts, ends, strict=True)], keys[new])
+        at = self.find(keys)[0][back]
+        counts = np.bincount(words.docs, weights=self.sizes[at], minlength=texts.count).astype(np.int64)
+        return self.spell(at), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _word_ids(definition: str) -> WordIds:
+    """The worker's word ids, kept from task to task as long as the worker lives."""
+    kept = sys.modules.setdefault("_faultline_worker", ModuleType("_faultline_worker"))
+    if getattr(kept, "definition", None) != definition:
+        kept.words, kept.definition = WordIds(definition), definition
+    return kept.words
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, length: int, end: int) -> DataFrame:
@@ -79,20 +134,20 @@ def _tokenized(docs: DataFrame, tokenizer: str, length: int, end: int) -> DataFr
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(definition.value)
+        words = _word_ids(definition.value)
         task = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, dtype=np.int64)
         last = np.array([end], dtype="<u4").tobytes()
         for texts in texts_of(batches):
-            raw = texts.data.tobytes()
-            cut = texts.offsets.tolist()
+            ids, cut = words.ids(texts)
+            raw, cut = ids.astype("<u4").tobytes(), cut.tolist()
             columns: list[list[int]] = [[], [], [], [], [], []]
-            for row, ids in enumerate(words.ids([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])):
-                ids += last
-                total = len(ids) // 4
+            for row in range(texts.count):
+                own = raw[4 * cut[row] : 4 * cut[row + 1]] + last
+                total = len(own) // 4
                 for start in range(0, total, length):
                     size = min(length, total - start)
-                    values = (row, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total, int(seen[size]))
+                    values = (row, start, size, zlib.crc32(own[4 * start : 4 * (start + size)]), total, int(seen[size]))
                     seen[size] += 1
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
