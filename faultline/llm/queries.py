@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, quality, rules, secrets
+from . import exact, mixing, ngram_join, packing, quality, rules, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,3 +92,13 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_secret_trigrams")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(_table(spark, sf, "documents"))
+
+
+@query("op7_toxicity_grammar")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query("op5_ngram_join")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf, "documents"))

@@ -138,10 +138,9 @@ class _Powers:
 _powers = _Powers()
 
 
-def hashes_of(data: np.ndarray, runs: Runs) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run."""
-    starts, ends = runs.starts, runs.ends
-    out = np.empty(len(starts), dtype=np.uint64)
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stops: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the stretches from `starts` to each of `stops`, none of which goes beyond the run's end."""
+    out = [np.empty(len(starts), dtype=np.uint64) for _ in stops]
     i = 0
     while i < len(starts):
         lo = int(starts[i])
@@ -151,9 +150,24 @@ def hashes_of(data: np.ndarray, runs: Runs) -> np.ndarray:
         running = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(BYTE_VALUES[part] * power[: len(part)], out=running[1:])
         at = starts[i:j] - lo
-        out[i:j] = (running[ends[i:j] - lo] - running[at]) * inverse[at]
+        for found, stop in zip(out, stops, strict=True):
+            found[i:j] = (running[stop[i:j] - lo] - running[at]) * inverse[at]
         i = j
-    return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    for found, stop in zip(out, stops, strict=True):
+        found ^= (stop - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return [mix(found) for found in out]
+
+
+def hashes_of(data: np.ndarray, runs: Runs) -> np.ndarray:
+    """A 64-bit hash of the bytes of each run."""
+    return _hashes(data, runs.starts, runs.ends, [runs.ends])[0]
+
+
+def stem_hashes_of(data: np.ndarray, runs: Runs, lengths: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hash of each run, and of its first k bytes for each k (of the run itself where it is shorter)."""
+    stops = [np.minimum(runs.starts + k, runs.ends) for k in lengths]
+    whole, *stems = _hashes(data, runs.starts, runs.ends, [runs.ends, *stops])
+    return whole, stems
 
 
 def hash_words(words: list[str]) -> np.ndarray:
