@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, ngram_join, packing, quality, rules, secrets, toxicity
+from . import exact, lm, mixing, ngram_join, packing, quality, rules, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +102,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_ngram_join")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf, "documents"))
+
+
+@query("op2_recurrent_lm")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score(_table(spark, sf, "documents"))
