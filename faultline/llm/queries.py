@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lm, mixing, ngram_join, packing, quality, rules, secrets, toxicity
+from . import exact, licenses, lm, mixing, ngram_join, packing, quality, rules, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,3 +107,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_recurrent_lm")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(_table(spark, sf, "documents"))
+
+
+@query("op3_license_patience")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf, "documents"))
