@@ -20,7 +20,7 @@ TAILS = 64
 HIDDEN = 32
 START = VOCABULARY + TAILS
 TRAIN_STREAMS, TRAIN_WINDOW = 64, 16
-SCORE_STREAMS, SCORE_WINDOW = 256, 32
+SCORE_STREAMS, SCORE_WINDOW = 384, 32
 RATE = 0.15
 ABSENT = -30.0
 
@@ -80,9 +80,12 @@ def _step(p: Parameters, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]
     return z, r, n, past, n + z * (h - n)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Row by row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def _class_of(target: np.ndarray) -> np.ndarray:
@@ -91,20 +94,29 @@ def _class_of(target: np.ndarray) -> np.ndarray:
 
 def _by_class(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Rows of each word class that the targets name."""
-    order = np.argsort(target, kind="stable")
-    order = order[: np.searchsorted(target[order], VOCABULARY)]
-    names = target[order] // PER_CLASS
-    cuts = np.flatnonzero(np.diff(names)) + 1
-    return [(int(names[part[0]]), order[part]) for part in np.split(np.arange(len(order)), cuts) if len(part)]
+    words = np.flatnonzero(target < VOCABULARY)
+    names = (target[words] // PER_CLASS).astype(np.uint8)
+    order = np.argsort(names, kind="stable")
+    edges = np.searchsorted(names[order], np.arange(CLASSES + 1))
+    return [(c, words[order[a:b]]) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+
+
+def _picked(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Log softmax of the wanted column of each row; `x` is used up."""
+    x -= x.max(1, keepdims=True)
+    out = x[np.arange(len(x)), wanted]
+    np.exp(x, out=x)
+    return out - np.log(x.sum(1))
 
 
 def log_probabilities(p: Parameters, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(class) + log P(word | class) per row; for a tail target only log P(class)."""
-    rows = np.arange(len(target))
-    out = _log_softmax(states @ p.top + p.top_bias)[rows, _class_of(target)].astype(np.float64)
+    out = np.empty(len(target))
+    wanted = _class_of(target)
+    for a in range(0, len(target), 4096):
+        out[a : a + 4096] = _picked(states[a : a + 4096] @ p.top + p.top_bias, wanted[a : a + 4096])
     for c, part in _by_class(target):
-        inside = _log_softmax(states[part] @ p.words[c] + p.word_bias[c])
-        out[part] += inside[np.arange(len(part)), target[part] % PER_CLASS]
+        out[part] += _picked(states[part] @ p.words[c] + p.word_bias[c], target[part] % PER_CLASS)
     return out
 
 
@@ -146,6 +158,11 @@ def score(p: Parameters, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Natural log probability of each document, tail words by their class alone."""
     inputs, targets, owner, lengths = _laid(tokens, edges, SCORE_STREAMS)
     out = np.zeros(len(edges) - 1)
+    # sigmoid(x) = (tanh(x / 2) + 1) / 2: the halves of both gates are taken into the weights.
+    half = np.float32(0.5)
+    embed, recur = p.embed.copy(), p.recur.copy()
+    embed[:, : 2 * HIDDEN] *= half
+    recur[:, : 2 * HIDDEN] *= half
     h = np.zeros((inputs.shape[1], HIDDEN), dtype=np.float32)
     for start in range(0, len(inputs), SCORE_WINDOW):
         live = int(np.searchsorted(-lengths, -start, side="left"))  # streams longer than `start`; they stand in front
@@ -153,10 +170,21 @@ def score(p: Parameters, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
         states = np.empty((*x.shape, HIDDEN), dtype=np.float32)
         now = h[:live]
         for t in range(len(x)):
-            now = np.where((x[t] == START)[:, None], np.float32(0), now)
-            now = _step(p, x[t], now)[4]
+            now[x[t] == START] = 0
+            given, kept = embed.take(x[t], axis=0), now @ recur
+            gates = given[:, : 2 * HIDDEN]
+            gates += kept[:, : 2 * HIDDEN]
+            np.tanh(gates, out=gates)
+            gates *= half
+            gates += half
+            n = kept[:, 2 * HIDDEN :]
+            n *= gates[:, HIDDEN:]
+            n += given[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            now -= n
+            now *= gates[:, :HIDDEN]
+            now += n
             states[t] = now
-        h[:live] = now
         target = targets[start : start + SCORE_WINDOW, :live].ravel()
         good = np.flatnonzero(target >= 0)
         found = log_probabilities(p, states.reshape(-1, HIDDEN)[good], target[good])
@@ -180,16 +208,17 @@ class Trainer:
         """Gradients of both softmaxes; returns the states' gradient."""
         p = self.p
         rows = np.arange(len(target))
-        error = np.exp(_log_softmax(states @ p.top + p.top_bias))
+        error = _softmax(states @ p.top + p.top_bias)
         error[rows, _class_of(target)] -= 1
         error *= weight
         back = error @ p.top.T
         for c, part in _by_class(target):
-            inside = np.exp(_log_softmax(states[part] @ p.words[c] + p.word_bias[c]))
+            own = states[part]
+            inside = _softmax(own @ p.words[c] + p.word_bias[c])
             inside[np.arange(len(part)), target[part] % PER_CLASS] -= 1
             inside *= weight
             back[part] += inside @ p.words[c].T
-            self._move(4, "words", states[part].T @ inside, c)
+            self._move(4, "words", own.T @ inside, c)
             # Words without a training count keep their bias.
             self._move(5, "word_bias", np.where(p.word_bias[c] <= ABSENT / 2, np.float32(0), inside.sum(0)), c)
         self._move(2, "top", states.T @ error)

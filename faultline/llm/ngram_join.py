@@ -10,6 +10,7 @@ Pairs are never rows: tasks compare blocks of bounded size and give back edges o
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from math import lgamma
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.shared import settle
 from .graph import components
 from .tables import with_group
-from .words import Texts, _powers, hashes_of, mix, shingles_of, texts_of, words_of
+from .words import Texts, hashes_of, mix, powers, shingles_of, texts_of, words_of
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -111,7 +112,7 @@ def _shingled(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     hashes = hashes_of(texts.data, words)
     n_words = np.bincount(words.docs, minlength=texts.count)
     edges = np.concatenate([[0], np.cumsum(n_words)])
-    power, inverse = _powers.upto(len(hashes) + 1)
+    power, inverse = powers(len(hashes) + 1)
     key = np.empty((texts.count, 2), dtype=np.uint64)
     for k, salt in enumerate((0x1B873593, 0xE6546B64)):
         running = np.zeros(len(hashes) + 1, dtype=np.uint64)
@@ -244,6 +245,7 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
         return key[np.concatenate(lefts)], key[np.concatenate(rights)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
         held: tuple[np.ndarray, ...] | None = None
         for batch in batches:
             if not batch.num_rows:

@@ -10,11 +10,9 @@ from __future__ import annotations
 
 import heapq
 import os
-import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.shared import settle
-from .words import LOWER, Texts, hash_words, hashes_of, texts_of, words_of
+from .words import LOWER, Texts, hash_words, hashes_of, texts_of, words_of, worker_store
 
 LENGTH = 2048
 END = 1
@@ -122,7 +120,7 @@ class WordIds:
 
 def _word_ids(definition: str) -> WordIds:
     """The worker's word ids, kept from task to task as long as the worker lives."""
-    kept = sys.modules.setdefault("_faultline_worker", ModuleType("_faultline_worker"))
+    kept = worker_store()
     if getattr(kept, "definition", None) != definition:
         kept.words, kept.definition = WordIds(definition), definition
     return kept.words

@@ -7,7 +7,10 @@ No Python object is made per word or character.
 
 from __future__ import annotations
 
+import gc
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +57,8 @@ SHINGLE_FACTORS = np.random.default_rng(21).integers(0, 1 << 63, 5, dtype=np.uin
 
 def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """Cut each batch into runs of rows of about `limit` bytes of text (one row at least). Null counts as empty."""
+    # What the worker's last task left in reference cycles (functions that came by value, with their arrays) goes first.
+    gc.collect()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -113,29 +118,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the odd number and of its inverse; travels to a task without its tables."""
+def worker_store() -> ModuleType:
+    """A place that lives as long as the Python worker, from task to task."""
+    return sys.modules.setdefault("_faultline_worker", ModuleType("_faultline_worker"))
 
-    def __init__(self) -> None:
-        self.kept: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __reduce__(self):
-        return _Powers, ()
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.kept is not None and len(self.kept[0]) >= n:
-            return self.kept
-        both = []
-        for base in (_ODD, _INVERSE):
-            p = np.full(max(n, _CHUNK), base, dtype=np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        if n <= _CHUNK:
-            self.kept = (both[0], both[1])
-        return both[0], both[1]
-
-
-_powers = _Powers()
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, at least, of the odd number and of its inverse."""
+    store = worker_store()
+    kept = getattr(store, "powers", None)
+    if kept is not None and len(kept[0]) >= n:
+        return kept
+    both = []
+    for base in (_ODD, _INVERSE):
+        p = np.full(max(n, _CHUNK), base, dtype=np.uint64)
+        p[0] = 1
+        both.append(np.multiply.accumulate(p))
+    if n <= _CHUNK:
+        store.powers = (both[0], both[1])
+    return both[0], both[1]
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stops: list[np.ndarray]) -> list[np.ndarray]:
@@ -146,7 +147,7 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stops: list[
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + _CHUNK, side="right")))
         part = data[lo : int(ends[j - 1])]
-        power, inverse = _powers.upto(len(part))
+        power, inverse = powers(len(part))
         running = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(BYTE_VALUES[part] * power[: len(part)], out=running[1:])
         at = starts[i:j] - lo
