@@ -140,8 +140,8 @@ def _laid(tokens: np.ndarray, edges: np.ndarray, count: int) -> tuple[np.ndarray
     columns = streams(sizes, count)
     lengths = np.array([int(sizes[docs].sum()) for docs in columns])
     steps = int(lengths.max()) if len(lengths) else 0
-    inputs = np.full((steps, len(columns)), START, dtype=np.int32)
-    targets = np.full((steps, len(columns)), -1, dtype=np.int32)
+    inputs = np.full((steps, len(columns)), START, dtype=np.int16)
+    targets = np.full((steps, len(columns)), -1, dtype=np.int16)
     owner = np.zeros((steps, len(columns)), dtype=np.int32)
     for n, docs in enumerate(columns):
         at = 0
@@ -156,8 +156,12 @@ def _laid(tokens: np.ndarray, edges: np.ndarray, count: int) -> tuple[np.ndarray
 
 def score(p: Parameters, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Natural log probability of each document, tail words by their class alone."""
-    inputs, targets, owner, lengths = _laid(tokens, edges, SCORE_STREAMS)
     out = np.zeros(len(edges) - 1)
+    if not len(tokens):
+        return out
+    # No more streams than keep all of them as long as the longest document.
+    count = min(SCORE_STREAMS, max(SCORE_STREAMS // 8, len(tokens) // int(np.diff(edges).max())))
+    inputs, targets, owner, lengths = _laid(tokens, edges, count)
     # sigmoid(x) = (tanh(x / 2) + 1) / 2: the halves of both gates are taken into the weights.
     half = np.float32(0.5)
     embed, recur = p.embed.copy(), p.recur.copy()
@@ -260,7 +264,13 @@ class Trainer:
         return h
 
     def learn(self, tokens: np.ndarray, edges: np.ndarray) -> None:
-        inputs, targets, _, _ = _laid(tokens, edges, TRAIN_STREAMS)
-        h = np.zeros((inputs.shape[1], HIDDEN), dtype=np.float32)
-        for start in range(0, len(inputs), TRAIN_WINDOW):
+        """Documents one after the other, cut into streams of equal length; only a stream's first document may begin in its middle."""
+        inputs = np.concatenate([[START], tokens[:-1]]).astype(np.int32)
+        inputs[edges[:-1]] = START
+        length = -(-len(tokens) // TRAIN_STREAMS)
+        x = np.full((2, TRAIN_STREAMS * length), START, dtype=np.int32)
+        x[0, : len(tokens)], x[1, : len(tokens)], x[1, len(tokens) :] = inputs, tokens, -1
+        inputs, targets = (np.ascontiguousarray(a.reshape(TRAIN_STREAMS, length).T) for a in x)
+        h = np.zeros((TRAIN_STREAMS, HIDDEN), dtype=np.float32)
+        for start in range(0, length, TRAIN_WINDOW):
             h = self.window(inputs[start : start + TRAIN_WINDOW], targets[start : start + TRAIN_WINDOW], h)

@@ -26,7 +26,7 @@ from .words import LOWER, Texts, hashes_of, mix, texts_of, words_of
 KEPT = 1 << 18
 ROUNDS = 2
 SHARE = 0.05
-POOL = 1_500_000
+POOL = 4_000_000
 PENDING = 2_000_000
 PART = 1 << 14
 END = np.uint64(0xE7D0)
