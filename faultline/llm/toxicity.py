@@ -400,7 +400,7 @@ def _curve(rows: DataFrame, lexicon: Lexicon, machine: Transducer) -> tuple[np.n
 
     got = sorted(tuple(r) for r in rows.mapInArrow(run, "x double, size long, ones long, n long").collect())
     bare = [r for r in got if np.isnan(r[0])]
-    rest = (sum(r[2] for r in bare) + 0.25) / (sum(r[3] for r in bare) + 0.5)
+    rest = (sum(r[2] for r in bare) + 0.1) / (sum(r[3] for r in bare) + 4.0)
     # A few rows of doubt on either side keep the curve finite where evidence and labels agree throughout.
     data = np.array([(r[0], r[1], r[2]) for r in got if not np.isnan(r[0])], dtype=np.float64).reshape(-1, 3)
     z = np.vstack([_points(data[:, 0], data[:, 1]), _points(np.array([-1.0, 0.0, 7.0, 9.0]), np.full(4, 300.0))])
@@ -470,8 +470,8 @@ def score(
 ) -> DataFrame:
     """Toxicity of each document -> (doc_id, held_out, score, predicted).
 
-    Labels are learned only from documents outside the held-out fold. One row out per row in; null and empty texts have no clause
-    and get the share of toxic documents among those without a match; ids may be null (never learned from) or repeated; an
+    Labels are learned only from documents outside the held-out fold; without labels only threats count. One row out per row in; null
+    and empty texts have no clause and get the share of toxic documents among those without a match; ids may be null (never learned from) or repeated; an
     empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
