@@ -193,8 +193,12 @@ def normalize_symbols(text: Column) -> Column:
 
 
 def parse_moment(text: Column) -> Column:
-    """Time stamp written with 'T' and 'Z' or with a blank and 'UTC'; null when it is neither."""
-    return F.regexp_replace(text, r"( UTC|Z)$", "").try_cast("timestamp_ntz")
+    """Time stamp in UTC, written with 'T' or a blank and with 'Z', 'UTC', an offset or none of them; null when unreadable."""
+    offset = r"(:\d\d(?:\.\d+)?) ?([+-])(\d\d):?(\d\d)$"
+    hours, minutes = F.regexp_extract(text, offset, 3).try_cast("int"), F.regexp_extract(text, offset, 4).try_cast("int")
+    ahead = F.when(F.regexp_extract(text, offset, 2) == "-", -1).otherwise(1) * (60 * hours + minutes)
+    local = F.regexp_replace(F.regexp_replace(text, r"( UTC|Z)$", ""), offset, "$1").try_cast("timestamp_ntz")
+    return local - F.make_dt_interval(mins=F.coalesce(ahead, F.lit(0)))
 
 
 def micros(moment: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .blocked import carry_forward
 from .shared import settle
 
@@ -56,7 +57,7 @@ def review_outcomes(actions: DataFrame, records: DataFrame) -> DataFrame:
         .withColumn("outcome", outcome)
     )
     judged = settle(judged.select(*actions.columns, "outcome", "_fix"), "judged")
-    texts = carry_forward(judged, KEY, "seq", last={"_last_text": F.when(F.col("outcome") == "edited", F.trim("text"))})
+    texts = carry_forward(judged, KEY, "seq", last={"_last_text": F.when(F.col("outcome") == "edited", strip(F.coalesce("text", F.lit(""))))})
     saved = F.when(F.col("outcome").isin("approved", "edited"), F.coalesce("_last_text", "_fix"))
     return texts.select(*actions.columns, "outcome", saved.alias("saved_fix"))
 

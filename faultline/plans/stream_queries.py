@@ -12,10 +12,10 @@ from .event_queries import _stamp
 from .registry import query
 
 
-def _stream(spark, rows, name, files):
-    """The rows as a stream: stored as files, read a few files per micro-batch."""
+def _stream(spark, rows, name, files, *keys):
+    """The rows as a stream: stored as files, read a few files per micro-batch. The rows of a key stay in one file."""
     path = new_path(spark, name)
-    rows.repartition(files).write.parquet(path)
+    rows.repartition(files, *keys).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(files // 2, 1)).parquet(path)
 
 
@@ -28,10 +28,16 @@ def _run(spark, start, source, name, **args):
 @query("stream_ingest", f"""with {sv.PIPELINES} select pipeline_id, project_id, pipeline_type, ref, sha, source, event_type,
   case when event_type <> 'Pipeline Hook' then 'ignored' when status in ('running', 'pending', 'created') then 'skipped' else 'queued' end as status from typed""")
 def _(spark, sf):
-    source = _stream(spark, views.gitlab_payloads(spark, sf), "deliveries", 4)
+    source = _stream(spark, views.all_deliveries(spark, sf), "deliveries", 4)
     return spark.read.parquet(_run(spark, jobs.start_ingest, source, "ingest"))
 
 
+@query("stream_rejects", f"""with {sv.PIPELINES} select pipeline_id as pipeline_no, event_type as hook from typed where pipeline_id % 9 = 0""")
+def _(spark, sf):
+    source = _stream(spark, views.all_deliveries(spark, sf), "deliveries", 4)
+    return spark.read.parquet(_run(spark, jobs.start_rejects, source, "rejects")).select("pipeline_no", "hook")
+
+
 @query("stream_request_state", f"""with {sv.REQUESTS} select id, status, case when status <> 'processing' then processing_time end as processing_time,
   case when status <> 'processing' then success_count end as success_count, case when status <> 'processing' then error_count end as error_count,
   case when status <> 'processing' then error_message end as error_message from requests""")
@@ -48,8 +54,7 @@ def _(spark, sf):
   from requests group by 1, 2""")
 def _(spark, sf):
     source = _stream(spark, views.requests(spark, sf).select("id", "timestamp", "status"), "requests", 4)
-    # The files are not in time order, so nothing may count as late here.
-    out = _run(spark, jobs.start_status_timeline, source, "timeline", late="3650 days")
+    out = _run(spark, jobs.start_status_timeline, source, "timeline")
     return _stamp(jobs.latest_counts(spark, out), "time_bucket")
 
 
@@ -68,6 +73,6 @@ def _(spark, sf):
         "channel_id", F.col("message_ts").alias("thread_ts"), F.col("fix").alias("text"), "error",
     )
     events = records.unionByName(views.reviews(spark, sf).withColumn("error", none))
-    # One file: an error's events must arrive in order.
-    source = _stream(spark, events, "reviews", 1)
+    # An error's events must arrive in order.
+    source = _stream(spark, events, "reviews", 4, "error_id")
     return spark.read.parquet(_run(spark, jobs.start_review, source, "review"))

@@ -49,8 +49,16 @@ def _parsed(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn("_e", F.from_json(column, schema)).drop(column)
 
 
+def readable(events: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(rows whose text is a JSON object, all others as they came)."""
+    good = F.from_json(column, "map<string, string>").isNotNull()
+    return events.filter(good), events.filter(~good)
+
+
 def gitlab_events(events: DataFrame, column: str = "body") -> DataFrame:
-    """Pipeline events as typed rows; missing parts become nulls or empty lists."""
+    """Pipeline events as typed rows; missing parts become nulls or empty lists. Text that is no JSON object gives no row; `readable`
+    tells such rows apart."""
+    events, _ = readable(events, column)
     a, p = F.col("_e.object_attributes"), F.col("_e.project")
     keep = [c for c in events.columns if c != column]
     return _parsed(events, column, GITLAB_EVENT).select(

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
 from ..operators.events import route_event
-from ..sources.events import gitlab_events
+from ..sources.events import gitlab_events, readable
 
 # Executors get the state functions with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,6 +49,12 @@ def routed_requests(payloads: DataFrame) -> DataFrame:
     )
 
 
+def start_rejects(payloads: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Deliveries whose body is no JSON object, as they came; `start_ingest` leaves them out."""
+    writer = readable(payloads)[1].writeStream.format("parquet").outputMode("append")
+    return _begin(writer.option("path", path).option("checkpointLocation", checkpoint), every)
+
+
 def start_ingest(payloads: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     writer = routed_requests(payloads).writeStream.format("parquet").outputMode("append")
     return _begin(writer.option("path", path).option("checkpointLocation", checkpoint), every)
@@ -70,24 +76,23 @@ def start_request_changes(changes: DataFrame, path: str, checkpoint: str, every:
 
 # ---- live status counts ----
 
-def status_counts(requests: DataFrame, late: str = "2 hours", bucket: str = "1 hour") -> DataFrame:
-    at = F.col("timestamp").cast("timestamp")
-    timed = requests.select(at.alias("at"), "status").withWatermark("at", late)
-    counts = timed.groupBy(F.window("at", bucket).alias("w"), "status").agg(F.count("*").alias("requests"))
+def status_counts(requests: DataFrame, bucket: str = "1 hour") -> DataFrame:
+    """Requests per time bucket and status."""
+    counts = requests.groupBy(F.window(F.col("timestamp").cast("timestamp"), bucket).alias("w"), "status").agg(F.count("*").alias("requests"))
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("time_bucket"), "status", "requests")
 
 
-def start_status_timeline(
-    requests: DataFrame, path: str, checkpoint: str, late: str = "2 hours", every: str | None = None
-) -> StreamingQuery:
-    """Changed counts of every micro-batch; `latest_counts` gives the current timeline."""
-    writer = status_counts(requests, late).writeStream.outputMode("update").foreachBatch(_append_batches(path))
+def start_status_timeline(requests: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Counts of every micro-batch by themselves; `latest_counts` adds them up. A row may come as late as it likes, and there is no
+    state to keep."""
+    sink = _append_batches(path)
+    writer = requests.writeStream.foreachBatch(lambda df, batch: sink(status_counts(df), batch))
     return _begin(writer.option("checkpointLocation", checkpoint), every)
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(path)
-    return stored.groupBy("time_bucket", "status").agg(F.max_by("requests", "batch").alias("requests"))
+    """The timeline so far."""
+    return spark.read.parquet(path).groupBy("time_bucket", "status").agg(F.sum("requests").alias("requests"))
 
 
 # ---- AI cache: last write wins, entries live for a day ----
@@ -114,8 +119,11 @@ def _cache_entries(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     )
 
 
-def ai_cache(writes: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Stream of cache writes `(error_hash, fix_text, cached_at)` -> the entry now valid per key, with its end."""
+def ai_cache(writes: DataFrame, late: str = f"{fixed.CACHE_HOURS} hours") -> DataFrame:
+    """Stream of cache writes `(error_hash, fix_text, cached_at)` -> the entry now valid per key, with its end.
+
+    A write counts as late only once its entry would have ended, so no valid entry is lost.
+    """
     timed = writes.withColumn("cached_at", F.col("cached_at").cast("timestamp")).withWatermark("cached_at", late)
     return timed.groupBy("error_hash").applyInPandasWithState(
         _cache_entries, "error_hash string, fix_text string, cached_at timestamp, expires_at timestamp",
@@ -169,7 +177,7 @@ def _step(state: dict, a) -> tuple[str | None, str | None]:
         return "wrong_thread", None
     if not state.get("error"):
         return "missing_error", None
-    state.update(fix=a.text.strip(), editor=None, edit_channel=None)
+    state.update(fix=(a.text or "").strip(), editor=None, edit_channel=None)
     return "edited", state["fix"]
 
 

@@ -31,6 +31,19 @@ def test_gitlab_event_types_and_defaults(spark):
     assert (job.job_id, job.name, job.allow_failure, job.runner) == (9, "j", False, None)
 
 
+def test_offsets_and_broken_bodies(spark):
+    from faultline.functions.text import parse_moment
+
+    stamps = ["2024-01-01T10:00:00+02:00", "2024-01-01 10:00:00.5 -0130", "2024-01-01T10:00:00Z", "2024-01-01 10:00:00 UTC", "2024-01-01", "soon", None]
+    got = [r.m for r in spark.createDataFrame([(s,) for s in stamps], "s string").select(parse_moment(F.col("s")).alias("m")).collect()]
+    ten = dt.datetime(2024, 1, 1, 10)
+    assert got == [ten.replace(hour=8), dt.datetime(2024, 1, 1, 11, 30, 0, 500_000), ten, ten, dt.datetime(2024, 1, 1), None, None]
+    rows = spark.createDataFrame([(1, '{"object_kind": "pipeline"}'), (2, "not json"), (3, None), (4, "{}")], "no int, body string")
+    good, bad = se.readable(rows)
+    assert sorted(r.no for r in good.collect()) == [1, 4] and sorted(r.no for r in bad.collect()) == [2, 3]
+    assert sorted(r.no for r in se.gitlab_events(rows).collect()) == [1, 4]
+
+
 def test_jenkins_layouts(spark):
     docs = [
         {"job_name": "j", "build_number": "7", "jenkins_url": "https://ci/"},

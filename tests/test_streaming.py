@@ -24,12 +24,43 @@ def test_timeline_equals_batch(spark):
     rows = spark.createDataFrame(
         [(i, start + dt.timedelta(minutes=17 * i), "completed" if i % 3 else "failed") for i in range(60)], "id int, timestamp timestamp_ntz, status string"
     )
-    out, _ = run(spark, jobs.start_status_timeline, stream(spark, rows), late="30 days")
+    out, _ = run(spark, jobs.start_status_timeline, stream(spark, rows))
     want = status_timeline(rows, "2024-01-02 00:00:00", 48)
     pair = lambda df: sorted(tuple(r) for r in df.select("time_bucket", "status", "requests").collect())
     assert pair(jobs.latest_counts(spark, out)) == pair(want)
 
 
+def test_late_rows_count_and_valid_entries_stay(spark):
+    """A row may be far older than what came before, a cache write as old as entries live."""
+    at = dt.datetime(2024, 1, 1, 12)
+    path, out, mark = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "mark")
+    schema = "id int, timestamp timestamp_ntz, status string"
+    for n, back in enumerate((0, 0, 6, 900)):
+        spark.createDataFrame([(n, at - dt.timedelta(hours=back), "failed")], schema).coalesce(1).write.mode("append").parquet(path)
+        jobs.start_status_timeline(spark.readStream.schema(schema).parquet(path), out, mark).awaitTermination()
+    got = {r.time_bucket: r.requests for r in jobs.latest_counts(spark, out).collect()}
+    assert got == {at: 2, at - dt.timedelta(hours=6): 1, at - dt.timedelta(hours=900): 1}
+
+    path, out, mark = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "mark")
+    schema = "error_hash string, fix_text string, cached_at timestamp_ntz"
+    for key, back in (("a", 0), ("b", 0), ("c", 3), ("d", 23)):
+        spark.createDataFrame([(key, "fix", at - dt.timedelta(hours=back))], schema).coalesce(1).write.mode("append").parquet(path)
+        jobs.start_ai_cache(spark.readStream.schema(schema).parquet(path), out, mark).awaitTermination()
+    assert sorted(r.error_hash for r in jobs.valid_entries(spark, out, "2024-01-01 12:30:00").collect()) == ["a", "b", "c", "d"]
+
+
+def test_broken_deliveries_are_rejected(spark):
+    body = '{"object_attributes": {"id": 1, "status": "failed", "source": "push"}}'
+    rows = spark.createDataFrame(
+        [("Pipeline Hook", body), ("Pipeline Hook", "not json"), ("Pipeline Hook", body[:20]), ("Pipeline Hook", None), ("Push Hook", "[1]")],
+        "hook string, body string",
+    )
+    good, _ = run(spark, jobs.start_ingest, stream(spark, rows))
+    bad, _ = run(spark, jobs.start_rejects, stream(spark, rows))
+    assert [r.pipeline_id for r in spark.read.parquet(good).collect()] == [1]
+    assert sorted(str(r.body) for r in spark.read.parquet(bad).collect()) == sorted(["not json", body[:20], "None", "[1]"])
+
+
 def test_every_delivery_is_kept_and_restart_adds_nothing(spark):
     body = '{"object_attributes": {"id": 1, "status": "%s", "source": "push"}}'
     rows = spark.createDataFrame(
@@ -65,12 +96,13 @@ def test_review_state_lives_across_batches(spark):
     schema = "error_id bigint, seq bigint, kind string, action string, user_id string, channel_id string, thread_ts string, text string, error string"
     batches = [
         [(1, -1, "record", None, None, "c", "m", "fix", "err"), (1, 0, "button", "edit", "u", "c", None, None, None)],
-        [(1, 1, "reply", None, "u", "c", None, "x", None), (1, 2, "reply", None, "u", "c", "m", " new ", None)],
+        [(1, 1, "reply", None, "u", "c", None, "x", None), (1, 2, "reply", None, "u", "c", "m", "\t new\n", None)],
         [(1, 3, "button", "approve", "v", "c", None, None, None), (1, 4, "reply", None, "u", "c", "m", "z", None)],
+        [(1, 5, "button", "edit", "u", "c", None, None, None), (1, 6, "reply", None, "u", "c", "m", None, None)],
     ]
     path, out, mark = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "mark")
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         jobs.start_review(spark.readStream.schema(schema).parquet(path), out, mark).awaitTermination()
     got = [(r.seq, r.outcome, r.saved_fix) for r in spark.read.parquet(out).orderBy("seq").collect()]
-    assert got == [(0, "edit_opened", None), (1, "must_reply_in_thread", None), (2, "edited", "new"), (3, "approved", "new"), (4, "ignored", None)]
+    assert got == [(0, "edit_opened", None), (1, "must_reply_in_thread", None), (2, "edited", "new"), (3, "approved", "new"), (4, "ignored", None), (5, "edit_opened", None), (6, "edited", "")]
