@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .blocked import split_oversized
-
-JOBS_PER_PART = 1000
 
 
 def attach_logs(jobs: DataFrame, logs: DataFrame) -> DataFrame:
@@ -76,16 +73,30 @@ def resolve_trigger_user(
             "_branch": known(param("gitlabSourceBranch")),
         }
     )
+    # A row without a key matches nothing; its key is replaced by one of many that no table has, so that such rows spread.
+    lot = F.pmod(F.monotonically_increasing_id(), F.lit(4096))
+
+    def spread(key: str, *with_key: str) -> Column:
+        lacking = F.col(key).isNull()
+        for other in with_key:
+            lacking = lacking | F.col(other).isNull()
+        return F.when(lacking, F.concat(F.lit("\u0000"), F.col("_lot").cast("string"))).otherwise(F.col(key).cast("string"))
+
+    def look_up(rows: DataFrame, table: DataFrame, key: str, *with_key: str) -> DataFrame:
+        found = table.dropna(subset=[key, *with_key]).withColumn("_key", F.col(key).cast("string"))
+        found = found.select("_key", *[F.col(k).alias(f"_with_{k}") for k in with_key], *[c for c in table.columns if c not in (key, *with_key)])
+        same = [F.col("_want") == F.col("_key"), *[F.coalesce(F.col(k), F.lit("") if k == "namespace" else F.lit(-1)) == F.col(f"_with_{k}") for k in with_key]]
+        out = rows.withColumn("_want", spread(key, *with_key)).join(found, same, "left")
+        return out.drop("_want", "_key", *[f"_with_{k}" for k in with_key])
+
     # Builds started by hand need no look-up.
     by_hand = keyed.filter(F.col("_manual").isNotNull()).withColumn("_found", F.col("_manual"))
-    looked_up = (
-        keyed.filter(F.col("_manual").isNull())
-        .join(projects, ["namespace", "repo"], "left")
-        .join(merge_requests.withColumnRenamed("username", "_mr_author"), ["project_id", "iid"], "left")
-        .join(authors, ["project_id", "sha"], "left")
-        .join(heads, ["project_id", "_branch"], "left")
-        .withColumn("_found", F.coalesce(*[text.filled(F.col(c)) for c in ("_mr_author", "_author", "_head_author")]))
-    )
+    asked = keyed.filter(F.col("_manual").isNull()).withColumn("_lot", lot)
+    asked = look_up(asked, projects.select("namespace", "repo", "project_id"), "repo", "namespace")
+    asked = look_up(asked, merge_requests.select("project_id", "iid", F.col("username").alias("_mr_author")), "iid", "project_id")
+    asked = look_up(asked, authors, "sha", "project_id")
+    asked = look_up(asked, heads, "_branch", "project_id")
+    looked_up = asked.withColumn("_found", F.coalesce(*[text.filled(F.col(c)) for c in ("_mr_author", "_author", "_head_author")]))
     named = F.concat(F.coalesce(F.col("_found"), F.lit(fixed.SYSTEM_USER)), F.lit(fixed.MAIL_DOMAIN)).alias("triggered_by")
     return by_hand.select(*builds.columns, named).unionByName(looked_up.select(*builds.columns, named))
 
@@ -108,60 +119,61 @@ def failed_steps_jenkins(stages: DataFrame) -> DataFrame:
     )
 
 
-_STEP = "struct<step_name: string, error_lines: array<string>>"
+def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row per job under its pipeline's header, in one form at every size.
 
-
-def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFrame, limit: int = JOBS_PER_PART) -> DataFrame:
-    """One payload per pipeline with its job names and failed steps, jobs in the order of `job_order`.
-
-    A pipeline with more than `limit` jobs or a very long text is continued in further rows (`part` 1, 2, ...), so that
-    a payload stays bounded.
+    Header: source, repo, branch, commit, pipeline_id (its URL), triggered_by. Job: job_order, job_id, job_name, failed, error_lines
+    (the error sections of a failed job's log; empty for other jobs). Nothing is gathered per pipeline, so a pipeline
+    may have any number of jobs; `one_payload` nests the rows of a single pipeline.
     """
-    steps = failed_steps_gitlab(jobs, texts).select("pipeline_id", "job_id", "job_order", "name", "step_name", "error_lines")
+    shown = ("pipeline_id", "job_order", "job_id", F.coalesce("name", F.lit("unknown")).alias("job_name"))
+    steps = failed_steps_gitlab(jobs, texts).select(*shown, F.lit(True).alias("failed"), "error_lines")
     others = jobs.filter(F.coalesce(F.col("status") != "failed", F.lit(True))).select(
-        "pipeline_id", "job_id", "job_order", "name", F.lit(None).cast("string").alias("step_name"),
-        F.lit(None).cast("array<string>").alias("error_lines"),
+        *shown, F.lit(False).alias("failed"), F.array().cast("array<string>").alias("error_lines")
     )
-    chars = F.coalesce(F.length(F.array_join("error_lines", "")), F.lit(0))
-    cut = split_oversized(steps.unionByName(others), ["pipeline_id"], F.col("job_id"), limit, chars)
-    job = F.struct("job_order", "job_id", F.coalesce("name", F.lit("unknown")).alias("name"), "step_name", "error_lines")
-    listed = cut.groupBy("pipeline_id", "part").agg(F.array_sort(F.collect_list(job)).alias("_jobs"))
-    failed = F.filter("_jobs", lambda j: j["step_name"].isNotNull())
     user = F.coalesce(text.filled(F.col("username")), text.filled(F.col("user_full_name")))
-    return pipelines.join(listed, "pipeline_id").select(
+    headers = pipelines.select(
+        F.col("pipeline_id").alias("_pipeline"),
         F.lit("gitlab").alias("source"),
         text.repo_short_name(F.col("project_name")).alias("repo"),
         F.coalesce("ref", F.lit("unknown")).alias("branch"),
         text.short_sha(F.col("sha")).alias("commit"),
-        F.array_join(F.transform("_jobs", lambda j: j["name"]), ",").alias("job_name"),
-        F.coalesce("pipeline_url", F.lit("")).alias("pipeline_id"),
+        F.coalesce("pipeline_url", F.lit("")).alias("_url"),
         F.coalesce(F.concat(user, F.lit(fixed.MAIL_DOMAIN)), F.col("source"), F.lit("unknown")).alias("triggered_by"),
-        F.transform(failed, lambda j: F.struct(j["step_name"].alias("step_name"), j["error_lines"].alias("error_lines")))
-        .cast(f"array<{_STEP}>").alias("failed_steps"),
-        "part",
+    )
+    rows = headers.join(steps.unionByName(others), F.col("_pipeline") == F.col("pipeline_id"))
+    return rows.select(
+        "source", "repo", "branch", "commit", F.col("_url").alias("pipeline_id"), "triggered_by", "job_order", "job_id", "job_name",
+        "failed", "error_lines",
     )
 
 
-def build_failures_jenkins(builds: DataFrame, stages: DataFrame, limit: int = JOBS_PER_PART) -> DataFrame:
-    """One payload per build: `builds(build_id, job_name, build_url, parameters, triggered_by)`, `stages(build_id, stage_pos, ...)`."""
-    chars = F.length(F.array_join("error_lines", ""))
-    steps = split_oversized(failed_steps_jenkins(stages), ["build_id"], F.col("stage_pos"), limit, chars)
-    step = F.struct("stage_pos", "step_name", "error_lines")
-    listed = steps.groupBy("build_id", "part").agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+def build_failures_jenkins(builds: DataFrame, stages: DataFrame) -> DataFrame:
+    """One row per failed stage under its build's header; a build without failed stages has one row without a step.
+
+    `builds(build_id, job_name, build_url, parameters, triggered_by)`, `stages(build_id, stage_pos, ...)`.
+    """
+    steps = failed_steps_jenkins(stages).select(F.col("build_id").alias("_build"), "stage_pos", "step_name", "error_lines")
     p = F.col("parameters")
-    return builds.join(listed, "build_id", "left").select(
+    return builds.join(steps, F.col("build_id") == F.col("_build"), "left").select(
         F.lit("jenkins").alias("source"),
         F.coalesce(p["gitlabSourceRepoName"], F.col("job_name")).alias("repo"),
         F.coalesce(p["gitlabSourceBranch"], F.lit("unknown")).alias("branch"),
         F.coalesce(p["gitlabMergeRequestLastCommit"], F.lit("unknown")).alias("commit"),
-        "job_name",
-        F.col("build_url").alias("pipeline_id"),
-        "triggered_by",
-        F.coalesce(
-            F.transform("_steps", lambda s: F.struct(s["step_name"].alias("step_name"), s["error_lines"].alias("error_lines"))),
-            F.array().cast(f"array<{_STEP}>"),
-        ).alias("failed_steps"),
-        F.coalesce("part", F.lit(0)).alias("part"),
+        "job_name", F.col("build_url").alias("pipeline_id"), "triggered_by", "stage_pos", "step_name", "error_lines",
+    )
+
+
+def one_payload(failures: DataFrame, pipeline_id: str) -> DataFrame:
+    """The nested payload of one pipeline, from the rows of `build_failures_gitlab`: job names and failed steps in job order."""
+    rows = failures.filter(F.col("pipeline_id") == pipeline_id)
+    job = F.struct("job_order", "job_id", "job_name", "failed", "error_lines")
+    header = ("source", "repo", "branch", "commit", "pipeline_id", "triggered_by")
+    nested = rows.groupBy(*header).agg(F.array_sort(F.collect_list(job)).alias("_jobs"))
+    failed = F.filter("_jobs", lambda j: j["failed"])
+    return nested.select(
+        *header, F.array_join(F.col("_jobs.job_name"), ",").alias("job_name"),
+        F.transform(failed, lambda j: F.struct(j["job_name"].alias("step_name"), j["error_lines"].alias("error_lines"))).alias("failed_steps"),
     )
 
 

@@ -23,7 +23,7 @@ _TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
   pipeline_type, status, ref, sha, source, created_at, duration, username, user_full_name, array_to_string(stages, ',') as stages,
   0 as variables, 'compile ' || status as builds from typed""")
 def _(spark, sf):
-    out = se.gitlab_events(views.gitlab_payloads(spark, sf).drop("hook"))
+    out = se.gitlab_events(views.all_deliveries(spark, sf).drop("hook"))
     return _stamp(out, "created_at").select(
         "pipeline_no", "event_type", "pipeline_id", "pipeline_url", "project_id", "project_name", "pipeline_type", "status",
         "ref", "sha", "source", "created_at", "duration", F.col("user.username").alias("username"),
@@ -291,7 +291,7 @@ def _(spark, sf):
     failures = pl.build_failures_gitlab(views.pipelines(spark, sf), views.jobs(spark, sf), pq._texts(spark, sf))
     path = sinks.failures_json(failures, new_path(spark, "failures"))
     back = spark.read.schema(failures.schema).json(path)
-    return back.select("source", "pipeline_id", F.size("failed_steps").alias("steps"))
+    return back.groupBy("source", "pipeline_id").agg(F.count_if("failed").alias("steps"))
 
 
 @query("sink_error_summary", f"""with recursive {lq._MATCHED}, {lq._COUNTS} select log_id, cast(sum(lines) filter (kind = 'error') as bigint) as total_errors_found, 10 as max_errors_extracted,

@@ -13,11 +13,6 @@ from . import views
 from .registry import query
 
 
-def _flat_steps(df):
-    step = F.transform("failed_steps", lambda s: F.concat(s["step_name"], F.lit("="), F.array_join(s["error_lines"], "|")))
-    return df.withColumn("failed_steps", F.array_join(step, "\n##\n"))
-
-
 _BUILDS = """builds as (
   select o_orderkey as build_id, 'job ' || (o_custkey % 40) as job_name,
     'https://ci' || (o_custkey % 30) || '.example.com/job/' || o_orderkey as build_url,
@@ -87,18 +82,17 @@ def _(spark, sf):
     return out.select("job_id", "step_name", F.array_join("error_lines", "").alias("error_text"), F.size("error_lines").alias("texts"))
 
 
-@query("build_failures_gitlab", f"""with recursive {_GITLAB}, listed as (
-  select j.pipeline_id, string_agg(name, ',' order by pos) as job_name,
-    coalesce(string_agg(name || '=' || coalesce(text, ''), chr(10) || '##' || chr(10) order by pos) filter (status = 'failed'), '') as failed_steps
-  from jobs j left join texts using (log_id) group by 1)
+@query("build_failures_gitlab", f"""with recursive {_GITLAB}
   select 'gitlab' as source, split_part(project_name, '/', -1) as repo, ref as branch, coalesce(left(sha, 7), 'unknown') as commit,
-  job_name, pipeline_url as pipeline_id, coalesce(coalesce(username, user_full_name) || '@internal.com', source) as triggered_by,
-  failed_steps, 0 as part from pipelines join listed using (pipeline_id) where status not in ('running', 'pending', 'created')""")
+  pipeline_url as pipeline_id, coalesce(coalesce(username, user_full_name) || '@internal.com', p.source) as triggered_by,
+  j.job_id, j.name as job_name, j.status = 'failed' as failed, case when j.status = 'failed' then coalesce(text, '') else '' end as error_text
+  from pipelines p join jobs j using (pipeline_id) left join texts using (log_id) where p.status not in ('running', 'pending', 'created')""")
 def gitlab_failures(spark, sf):
     from ..operators import events as ev
 
     kept = ev.filter_processable(views.pipelines(spark, sf))
-    return _flat_steps(pl.build_failures_gitlab(kept, views.jobs(spark, sf), _texts(spark, sf)))
+    out = pl.build_failures_gitlab(kept, views.jobs(spark, sf), _texts(spark, sf))
+    return out.withColumn("error_text", F.array_join("error_lines", "|")).drop("error_lines", "job_order")
 
 
 def _stage_rows(spark, sf):
@@ -123,13 +117,14 @@ def _(spark, sf):
 
 
 @query("build_failures_jenkins", f"""with recursive {_GITLAB}, {_TRIGGER}, listed as (
-  select pipeline_id as build_id, string_agg(name || '=' || {_STEP_TEXT}, chr(10) || '##' || chr(10) order by pos) as failed_steps
-  from jobs left join texts using (log_id) where status = 'failed' group by 1)
+  select pipeline_id as build_id, name as step_name, {_STEP_TEXT} as error_text
+  from jobs left join texts using (log_id) where status = 'failed')
   select 'jenkins' as source, repo, case when branch is null then 'unknown' else branch end as branch,
   coalesce(sha, 'unknown') as commit, job_name, build_url as pipeline_id, triggered_by,
-  coalesce(failed_steps, '') as failed_steps, 0 as part from triggered left join listed using (build_id)""")
+  step_name, error_text from triggered left join listed using (build_id)""")
 def jenkins_failures(spark, sf):
-    return _flat_steps(pl.build_failures_jenkins(_triggered(spark, sf), _stage_rows(spark, sf)))
+    out = pl.build_failures_jenkins(_triggered(spark, sf), _stage_rows(spark, sf))
+    return out.withColumn("error_text", F.array_join("error_lines", "|")).drop("error_lines", "stage_pos")
 
 
 _USERS = """users as (select 'U' || c_custkey as id, c_custkey as pos, lower(replace(c_name, '#', '.')) || '@internal.com' as email,

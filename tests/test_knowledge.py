@@ -143,23 +143,24 @@ def test_trigger_user_chain(spark):
     assert users == {1: "ann", 2: "mia", 3: "cy", 4: "Cee Two", 5: "hd", 6: "jenkins", 7: "jenkins", 8: "jenkins"}
 
 
-def test_gitlab_payload_parts(spark):
+def test_gitlab_payload_rows(spark):
     pipes = spark.createDataFrame(
         [(1, "u1", "a/b/app", "main", "0123456789", None, "Bo", "push"), (2, "u2", "solo", None, None, None, None, "push")],
         "pipeline_id int, pipeline_url string, project_name string, ref string, sha string, username string, user_full_name string, source string",
     )
-    rows = [(1, f"j{i}", i, f"n{i}", "failed" if i % 2 else "success", "L") for i in range(9)] + [(2, "k", 0, "only", "failed", "none")]
+    rows = [(1, f"j{i}", i, f"n{i}", "failed" if i % 2 else "success", "L") for i in range(5000)] + [(2, "k", 0, "only", "failed", "none")]
     jobs = spark.createDataFrame(rows, "pipeline_id int, job_id string, job_order int, name string, status string, log_id string")
     texts = spark.createDataFrame([("L", "Line 1: bad")], "log_id string, text string")
-    whole = {r.pipeline_id: r for r in pl.build_failures_gitlab(pipes, jobs, texts).collect()}
-    one, two = whole["u1"], whole["u2"]
-    assert (one.repo, one.commit, one.triggered_by, one.job_name) == ("app", "0123456", "Bo@internal.com", ",".join(f"n{i}" for i in range(9)))
-    assert [(s.step_name, s.error_lines) for s in one.failed_steps] == [(f"n{i}", ["Line 1: bad"]) for i in (1, 3, 5, 7)]
+    failures = pl.build_failures_gitlab(pipes, jobs, texts)
+    one = failures.filter("pipeline_id = 'u1'").orderBy("job_order").collect()
+    assert [(r.job_name, r.failed, r.error_lines) for r in one] == [(f"n{i}", i % 2 == 1, ["Line 1: bad"] if i % 2 else []) for i in range(5000)]
+    assert {(r.repo, r.commit, r.triggered_by) for r in one} == {("app", "0123456", "Bo@internal.com")}
+    whole = pl.one_payload(failures, "u1").first()
+    assert whole.job_name == ",".join(f"n{i}" for i in range(5000))
+    assert [s.step_name for s in whole.failed_steps] == [f"n{i}" for i in range(1, 5000, 2)]
+    two = pl.one_payload(failures, "u2").first()
     assert (two.repo, two.branch, two.commit, two.triggered_by) == ("solo", "unknown", "unknown", "push")
     assert [(s.step_name, s.error_lines) for s in two.failed_steps] == [("only", [])]
-    parts = pl.build_failures_gitlab(pipes, jobs, texts, limit=3).filter("pipeline_id = 'u1'").collect()
-    assert len(parts) > 1 and sum(len(r.failed_steps) for r in parts) == 4
-    assert sorted(",".join(r.job_name for r in parts).split(",")) == [f"n{i}" for i in range(9)]
 
 
 def test_match_users(spark):

@@ -116,6 +116,21 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.content for r in spark.read.parquet(tree).collect()) == ["x", "z"]
 
 
+def test_merge_keeps_fields_the_new_record_lacks(spark):
+    old = spark.createDataFrame([(1, 1, "a", "x"), (2, 1, "b", "y")], "k int, version int, s string, t string")
+    new = spark.createDataFrame([(1, 2, None), (1, 3, "c"), (3, 2, "d")], "k int, version int, s string")
+    got = {r.k: (r.s, r.t, r.last_updated) for r in sinks.merge_latest(old, new, ["k"]).collect()}
+    assert got == {1: ("c", "x", 3), 2: ("b", "y", 1), 3: ("d", None, 2)}
+
+
+def test_sweep_deletes_what_was_written(spark, tmp_path, monkeypatch):
+    from faultline.operators import shared
+
+    monkeypatch.setattr(shared, "_written", {})
+    kept = shared.settle(spark.range(3), "kept")
+    assert kept.count() == 3 and shared.sweep(spark) == 1 and shared.sweep(spark) == 0
+
+
 def test_merge_latest(spark):
     old = spark.createDataFrame([(1, 1, "a", "x"), (2, 1, "b", "y")], "k int, version int, s string, t string")
     new = spark.createDataFrame([(1, 2, "c", None)], "k int, version int, s string, t string")
