@@ -112,14 +112,12 @@ def spans_to_blocks(spans: DataFrame, start: str, end: str, size: int = BLOCK) -
     return spans.filter(e >= s).withColumn("_blk", F.explode(F.sequence(block_of(s, size), block_of(e, size))))
 
 
-def split_oversized(
-    df: DataFrame, keys: Sequence[str], row_key: Column, limit: int, weight: Column | None = None,
-    weight_limit: int = 1 << 28, name: str = "part",
-) -> DataFrame:
-    """Number the parts of keys with more than `limit` rows or `weight_limit` of weight; ordinary keys stay whole as part 0."""
-    weighed = F.sum(weight) if weight is not None else F.lit(0)
-    parts = F.greatest(F.ceil(F.count("*") / limit), F.ceil(weighed / weight_limit)).cast("int")
-    big = df.groupBy(*keys).agg(parts.alias("_parts")).filter(F.col("_parts") > 1)
-    return df.join(big, list(keys), "left").withColumn(
-        name, F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_key), F.col("_parts")).cast("int"))
-    ).drop("_parts")
+def last_rows(df: DataFrame, keys: Sequence[str], pos: str, count: int) -> DataFrame:
+    """The last `count` rows of each key by position. Only blocks that can hold such rows are sorted, each by itself."""
+    cut = df.withColumn("_blk", block_of(F.col(pos)))
+    sizes = cut.groupBy(*keys, "_blk").agg(F.count("*").alias("_n"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    held = sizes.select(*keys, "_blk", F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_above")).filter(F.col("_above") < count)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(F.desc(pos))
+    ranked = cut.join(held, [*keys, "_blk"]).withColumn("_r", F.col("_above") + F.row_number().over(inside))
+    return ranked.filter(F.col("_r") <= count).select(*df.columns)

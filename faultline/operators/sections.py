@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .blocked import block_of, carry_forward, number_rows, spans_to_blocks
+from .blocked import block_of, carry_forward, last_rows, number_rows, spans_to_blocks
 from .lines import clean_lines, error_lines, is_error, log_sizes, pattern_samples
 from .shared import settle
 
@@ -60,8 +60,20 @@ def context_plan(
 
 
 def parse_buckets(text: str) -> Buckets:
-    """'50:50:10,100:10:5' -> ((50, 50, 10), (100, 10, 5))."""
-    return tuple(tuple(int(n) for n in part.split(":")) for part in text.split(",") if part.strip())
+    """'100:10:5,50:50:10' -> ((50, 50, 10), (100, 10, 5)): by size. Sizes are positive and differ, contexts are not negative; an
+    empty text gives the default."""
+    out = []
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        numbers = part.split(":")
+        if len(numbers) != 3 or not all(n.strip().lstrip("+-").isdigit() for n in numbers):
+            raise ValueError(f"a bucket is errors:before:after, not {part!r}")
+        errors, before, after = map(int, numbers)
+        if errors <= 0 or before < 0 or after < 0:
+            raise ValueError(f"bucket {part!r}: errors must be positive, contexts not negative")
+        out.append((errors, before, after))
+    if len({b[0] for b in out}) < len(out):
+        raise ValueError("two buckets have the same size")
+    return tuple(sorted(out)) or fixed.CONTEXT_BUCKETS
 
 
 def adaptive_context(counts: DataFrame, buckets: Buckets = fixed.CONTEXT_BUCKETS) -> DataFrame:
@@ -98,12 +110,8 @@ def _fold(plan: ContextPlan) -> str:
 
 
 def _capped_picks(errors: DataFrame, plan: ContextPlan) -> DataFrame:
-    last = Window.partitionBy("log_id").orderBy(F.desc("line_no"))
-    gathered = (
-        errors.select("log_id", "line_no").withColumn("_r", F.row_number().over(last))
-        .filter(F.col("_r") <= plan.reach)
-        .groupBy("log_id").agg(F.sort_array(F.collect_list("line_no"), asc=False).alias("_errs"))
-    )
+    reachable = last_rows(errors.select("log_id", "line_no"), ["log_id"], "line_no", plan.reach)
+    gathered = reachable.groupBy("log_id").agg(F.sort_array(F.collect_list("line_no"), asc=False).alias("_errs"))
     picks = gathered.select("log_id", F.expr(_fold(plan)).alias("_p")).select(
         "log_id", F.size("_p").alias("_total"), F.posexplode("_p").alias("_n", "error_line")
     )

@@ -275,17 +275,19 @@ def hybrid_lines(lines: DataFrame, tail: int = fixed.TAIL_LINES, head: int = fix
 
 def stage_log_choice(
     failed: DataFrame, own_logs: DataFrame, console: DataFrame, plan: ContextPlan | None = None,
-    tail: int = fixed.TAIL_LINES, head: int = fixed.HEAD_LINES,
+    tail: int | None = None, head: int | None = None,
 ) -> DataFrame:
-    """Text to show for each failed stage: (log_id, name, choice, text).
+    """Text to show for each failed stage: (log_id, name, choice, part, text).
 
     `failed(log_id, name, step_name)`; `own_logs(log_id, name, line_no, raw)` are logs of single stages. In order: the
     stage's own log, the slice of its failed step, its slice of the console, the whole console; of all but the step
-    slice the error sections when there are any. The console is read the hybrid way first, which bounds every text.
+    slice the error sections when there are any. Sections are one bounded text (part 0); lines shown as they are come in
+    parts of one block of lines each, so no text grows with the log. The whole console is read; `tail` and `head` together
+    ask for the hybrid read of it instead.
     """
     plan = plan or context_plan()
     stage = ["log_id", "name"]
-    console = settle(hybrid_lines(console, tail, head), "console")
+    console = settle(console if tail is None or head is None else hybrid_lines(console, tail, head), "console")
     failed = failed.select(*stage, "step_name")
 
     def without(rows: DataFrame, done: DataFrame) -> DataFrame:
@@ -316,14 +318,15 @@ def stage_log_choice(
 
     def plain(lines: DataFrame) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("line_no", "raw")))
-        return lines.groupBy("log_id").agg(F.array_join(F.transform(ordered, lambda x: x["raw"]), "\n").alias("text"))
+        blocks = lines.groupBy("log_id", block_of(F.col("line_no")).alias("part"))
+        return blocks.agg(F.array_join(F.transform(ordered, lambda x: x["raw"]), "\n").alias("text"))
 
-    cut = format_sections(candidates, plan).select("log_id", "text")
+    cut = format_sections(candidates, plan).select("log_id", F.lit(0).cast("bigint").alias("part"), "text")
     uncut = tagged(by_step, "step").unionByName(candidates.join(error_lines(candidates).select("log_id").distinct(), KEY, "left_anti"))
     texts = (
         cut.withColumn("choice", F.concat("log_id.choice", F.lit(" sections")))
         .unionByName(plain(uncut).withColumn("choice", F.col("log_id.choice")))
-        .select("log_id.log_id", "log_id.name", "choice", "text")
+        .select("log_id.log_id", "log_id.name", "choice", "part", "text")
     )
     of_console = texts.filter(F.col("name").isNull()).drop("name")
     return texts.filter(F.col("name").isNotNull()).unionByName(rest.join(of_console, KEY))

@@ -21,6 +21,8 @@ _SIZES = "sizes as (select log_id, max(line_no) + 1 as total_lines from log_line
 
 _BEFORE = "case when n < 2 then 3 when n < 5 then 2 else 1 end"
 _AFTER = "case when n < 2 then 1 when n < 5 then 1 else 0 end"
+_DEFAULT_BEFORE = "case when n < 50 then 50 when n < 150 then 10 else 5 end"
+_DEFAULT_AFTER = "case when n < 50 then 10 when n < 150 then 5 else 2 end"
 # Next pick: the highest error line at or under the limit left by the former pick.
 _CAPPED = f"""{_ERRORS}, {_SIZES},
 picks(log_id, n, x) as (
@@ -166,6 +168,15 @@ def _(spark, sf):
     return sec.bottom_up_sections(views.log_lines(spark, sf), BUCKET_PLAN)
 
 
+_DEFAULT_CAPPED = _CAPPED.replace(_BEFORE.replace("n <", "p.n <"), _DEFAULT_BEFORE.replace("n <", "p.n <")).replace(
+    _BEFORE, _DEFAULT_BEFORE).replace(_AFTER, _DEFAULT_AFTER).replace("p.n + 1 < 10", "p.n + 1 < 300")
+
+
+@query("incremental_buckets_default", f"with recursive {_DEFAULT_CAPPED} select * from sections")
+def _(spark, sf):
+    return sec.bottom_up_sections(views.log_lines(spark, sf))
+
+
 @query("section_texts", f"with recursive {_FIXED}, {_SECTION_TEXTS} select * from section_texts")
 def _(spark, sf):
     lines = views.log_lines(spark, sf)

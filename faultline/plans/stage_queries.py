@@ -181,10 +181,10 @@ sec_texts as (select k.src, k.log_id, k.name, k.n, string_agg('Line ' || (c.line
   from secs k join cleaned c on c.src = k.src and c.log_id = k.log_id and c.name = k.name and c.line_no between k.s and k.e where c.clean <> '' group by 1, 2, 3, 4),
 cut as (select src, log_id, name, string_agg(text, chr(10) || chr(10) || '--- Next Error Section ---' || chr(10) || chr(10) order by n desc) as text from sec_texts group by 1, 2, 3),
 choices as (
-  select log_id, name, src || ' sections' as choice, text from cut
+  select log_id, name, src || ' sections' as choice, 0 as part, text from cut
   union all
-  select log_id, name, src, string_agg(raw, chr(10) order by line_no) from cand c
-  where not exists (select 1 from cut k where k.src = c.src and k.log_id = c.log_id and k.name = c.name) group by 1, 2, 3)"""
+  select log_id, name, src, line_no // 4096, string_agg(raw, chr(10) order by line_no) from cand c
+  where not exists (select 1 from cut k where k.src = c.src and k.log_id = c.log_id and k.name = c.name) group by 1, 2, 3, 4)"""
 
 
 def chosen(spark, sf):

@@ -35,14 +35,13 @@ def test_number_rows_is_gapless(spark):
     assert all(r.n == r.pos for r in out.collect())
 
 
-def test_split_oversized_keeps_all_rows(spark):
+def test_last_rows_of_a_long_key(spark, monkeypatch):
     data, df = rows(spark)
-    out = blocked.split_oversized(df, ["k"], F.col("pos"), 150).collect()
-    assert len(out) == len(data)
-    assert {r.part for r in out if r.k == "b"} == {0} and len({r.part for r in out if r.k == "hot"}) > 1
-    heavy = blocked.split_oversized(df, ["k"], F.col("pos"), 10**6, F.lit(10), 1500).collect()
-    assert len({r.part for r in heavy if r.k == "hot"}) > 1
-
+    monkeypatch.setattr(blocked.block_of, "__defaults__", (16,))
+    for count in (1, 40, 10_000):
+        got = sorted((r.k, r.pos) for r in blocked.last_rows(df, ["k"], "pos", count).collect())
+        want = sorted(x for k in ("hot", "b") for x in sorted((a, p) for a, p, _ in data if a == k)[-count:])
+        assert got == want
 
 def test_spans_to_blocks(spark):
     spans = spark.createDataFrame([(5, 25), (7, 6)], "s bigint, e bigint")

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from faultline.functions import text
+from faultline.functions import fixed, text
 from faultline.operators import lines as ln
 from faultline.operators import sections as sec
 
@@ -81,7 +81,11 @@ def test_context_plan_modes():
     assert sec.context_plan().cap == 300
     assert sec.context_plan(before=3).cap is None
     assert sec.context_plan(adaptive=False).cap is None
-    assert sec.parse_buckets("5:50:10,10:10:5") == ((5, 50, 10), (10, 10, 5))
+    assert sec.parse_buckets("10:10:5, 5:50:10,") == ((5, 50, 10), (10, 10, 5))
+    assert sec.parse_buckets("") == fixed.CONTEXT_BUCKETS
+    for wrong in ("5:1", "0:1:1", "5:-1:0", "5:1:1,5:2:2", "a:1:1"):
+        with pytest.raises(ValueError):
+            sec.parse_buckets(wrong)
     with pytest.raises(ValueError):
         sec.format_sections(None, sec.context_plan(1, 1))
 

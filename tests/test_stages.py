@@ -75,6 +75,11 @@ def test_stage_log_choice(spark, logs):
     )
     own = spark.createDataFrame([("a", "Own", 0, "own text"), ("a", "Else", 0, "no")], "log_id string, name string, line_no int, raw string")
     plan = sec.context_plan(buckets=((2, 1, 0),), mode="buckets")
+    far = "\n".join(["[Pipeline] { (stepB)", "found", "[Pipeline] }", *(f"line {n}" for n in range(9000))])
+    above = st.stage_log_choice(failed.filter("name = 'Stepped'"), own, logs({"a": far}), plan).collect()
+    assert [(r.choice, r.text) for r in above] == [("step", "found")]
+    parts = st.stage_log_choice(failed.filter("name = 'One'"), own, logs({"a": far}), plan).orderBy("part").collect()
+    assert [r.choice for r in parts] == ["console"] * 3 and "\n".join(r.text for r in parts) == far
     got = {r.name: (r.choice, r.text) for r in st.stage_log_choice(failed, own, logs({"a": console}), plan).collect()}
     tail = "Line 7: [Pipeline] }\nLine 8: exception: end"
     assert got == {
