@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from .shared import settle
 
 
 def attach_logs(jobs: DataFrame, logs: DataFrame) -> DataFrame:
@@ -196,9 +197,10 @@ def match_user_fuzzy(people: DataFrame, users: DataFrame) -> DataFrame:
         _names(users).withColumn("_l", F.explode(F.sequence(F.lit(1), n))).filter(F.array_contains(lengths, F.col("_l")))
         .withColumn("_s", F.explode(F.sequence(F.lit(1), n - F.col("_l") + 1)))
     )
-    first = parts.select(F.substr("_name", F.col("_s"), F.col("_l")).alias("_name"), "pos").groupBy("_name").agg(
-        F.min("pos").alias("_by_name")
-    )
+    # Stored, so that few wanted texts are known to be few: parts that nobody asks for are then dropped before any shuffle.
+    wanted = settle(people.select(F.lower("person").alias("_name")).distinct(), "wanted-names")
+    asked = parts.select(F.substr("_name", F.col("_s"), F.col("_l")).alias("_name"), "pos").join(wanted, "_name", "left_semi")
+    first = asked.groupBy("_name").agg(F.min("pos").alias("_by_name"))
     return _match(people, users, first)
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocked import carry_forward
+from .shared import settle
+
+CUTS = 64
 
 
 def moment(as_of: str) -> Column:
@@ -76,14 +79,17 @@ def avg_time_by_type(requests: DataFrame) -> DataFrame:
 def latency_percentiles(requests: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     """Average, median, P95 and P99, exact and interpolated.
 
-    Times are first counted per value, then ranked by running counts cut at whole seconds, so that no task holds all
-    values (the built-in exact percentile would).
+    Times are first counted per value, then ranked by running counts cut at quantiles of the values themselves, so that no
+    task holds all values (the built-in exact percentile would) and none gets a busy second alone.
     """
     times = (
         within_hours(requests, as_of, hours).filter(F.col("processing_time").isNotNull())
         .groupBy("processing_time").agg(F.count("*").alias("_n"))
     )
-    ranked = carry_forward(times, [], "processing_time", sums={"_upto": F.col("_n")}, block=F.floor("processing_time"))
+    times = settle(times, "latencies")
+    edges = sorted(set(times.approxQuantile("processing_time", [k / CUTS for k in range(1, CUTS)], 0.25 / CUTS)))
+    block = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e <= F.col("processing_time")))
+    ranked = carry_forward(times, [], "processing_time", sums={"_upto": F.col("_n")}, block=block)
     ranked = ranked.withColumn("_total", times.select(F.sum("_n")).scalar())
 
     def at(q: float, name: str) -> Column:

@@ -218,6 +218,8 @@ def section_lines(lines: DataFrame, sections: DataFrame) -> DataFrame:
     spans = spans_to_blocks(
         sections.select("log_id", "section_no", "start_line", (F.col("end_line") - 1).alias("_last")), "start_line", "_last"
     )
+    # Stored, so that few spans are known to be few and the raw lines are not shuffled for them.
+    spans = settle(spans, "spans")
     # Only the lines inside a section are cleaned here.
     inside = (
         lines.select("log_id", "line_no", "raw", block_of(F.col("line_no")).alias("_blk")).join(spans, ["log_id", "_blk"])

@@ -51,20 +51,22 @@ def segment_console(lines: DataFrame) -> DataFrame:
     )
     opens = (F.col("_kind") == "branch") & (F.col("_mode") == "open")
     turns = staged.filter(opens | F.col("_kind").isin("stage", "close"))
+    # Whether a block is closed is settled on the few turns, so that content lines need no look-up by log.
+    last_turn = turns.groupBy("log_id").agg(F.max("line_no").alias("_last_turn"))
     state = F.struct(
-        F.col("line_no").alias("at"), F.col("stage_no"), F.col("stage_name"), F.when(opens, F.col("_name")).alias("block")
+        F.col("line_no").alias("at"), F.col("stage_no"), F.col("stage_name"), F.when(opens, F.col("_name")).alias("block"),
+        (F.col("line_no") < F.col("_last_turn")).alias("closed"),
     )
-    turns = settle(turns.select("log_id", "line_no", state.alias("_state")), "turns")
-    last_turn = turns.groupBy("log_id").agg(F.max("line_no").alias("_last_turn"))
+    turns = settle(turns.join(last_turn, KEY).select("log_id", "line_no", state.alias("_state")), "turns")
     content = lines.withColumn("_kind", kind).filter(F.col("_kind").isNull() | (F.col("_kind") == "branch")).drop("_kind")
     in_block = F.col("_state.block").isNotNull()
     return (
         attach_last(content, turns, KEY, "line_no", "_state")
-        .filter((F.col("_state.stage_no") > 0) & (F.col("_state.at") != F.col("line_no"))).join(last_turn, KEY)
+        .filter((F.col("_state.stage_no") > 0) & (F.col("_state.at") != F.col("line_no")))
         .select(
             *lines.columns, F.col("_state.stage_no").alias("stage_no"), F.col("_state.stage_name").alias("stage_name"),
             F.when(in_block, F.col("_state.at")).alias("block_start"), F.col("_state.block").alias("block_name"),
-            (~in_block | (F.col("_state.at") < F.col("_last_turn"))).alias("block_closed"),
+            (~in_block | F.col("_state.closed")).alias("block_closed"),
         )
     )
 
@@ -104,18 +106,12 @@ def _rests(lines: DataFrame, line: Column, marker: str) -> DataFrame:
     return lines.filter(line.contains(marker)).select("log_id", "line_no", F.explode(_after_marker(line, marker)).alias("_rest"))
 
 
-def _closed_matches(rests: DataFrame) -> DataFrame:
-    return rests.select("log_id", "line_no", F.explode(_closed_names(F.col("_rest"))).alias("_match"))
-
-
-def _prefix_matches(rests: DataFrame, wanted: DataFrame) -> DataFrame:
-    """All prefixes of the rest, up to the longest wanted name."""
-    longest = wanted.select(F.max(F.length("name"))).scalar()
-    n = F.least(F.length("_rest"), longest)
-    sized = rests.withColumn("_n", n).filter(F.col("_n") > 0)
-    return sized.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(
-        "log_id", "line_no", F.substr("_rest", F.lit(1), F.col("_i")).alias("_match")
-    )
+def _prefix_matches(rests: DataFrame, wanted: DataFrame, name: Column, then: str = "") -> DataFrame:
+    """Beginnings of the rest that are as long as some wanted name and are followed by `then`: one row per such length."""
+    lengths = rests.select("*", wanted.select(F.collect_set(F.length(name))).scalar().alias("_lengths"))
+    rest = F.col("_rest")
+    fits = F.filter("_lengths", lambda n: (n > 0) & (n <= F.length(rest)) & (F.substr(rest, n + 1, F.lit(len(then))) == then))
+    return lengths.withColumn("_n", F.explode(fits)).select("log_id", "line_no", F.substr("_rest", F.lit(1), F.col("_n")).alias("_match"))
 
 
 def _named_starts(matches: DataFrame, wanted: DataFrame, name: Column) -> DataFrame:
@@ -155,6 +151,8 @@ def span_lines(lines: DataFrame, spans: DataFrame, skip: DataFrame | None = None
     cut = spans_to_blocks(
         spans.withColumn("_from", F.col("start_line") + 1).withColumn("_to", F.col("end_line") - 1), "_from", "_to"
     )
+    # Stored, so that few spans are known to be few and the lines are not shuffled for them.
+    cut = settle(cut, "spans")
     out = (
         lines.withColumn("_blk", block_of(F.col("line_no"))).join(cut, ["log_id", "_blk"])
         .filter(F.col("line_no").between(F.col("_from"), F.col("_to")))
@@ -168,7 +166,7 @@ def slice_stage(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     low = F.lower("raw")
     marks = _marks(lines.withColumn("raw", low), F.col("raw").contains("stage (") | F.col("raw").contains("// stage"))
     raw = F.col("raw")
-    starts = _named_starts(_closed_matches(_rests(marks, raw, "stage (")), wanted, F.lower("name"))
+    starts = _named_starts(_prefix_matches(_rests(marks, raw, "stage ("), wanted, F.lower("name"), ")"), wanted, F.lower("name"))
     return _cut(lines, starts, marks.filter(raw.contains("// stage") & ~raw.contains("stage (")))
 
 
@@ -177,8 +175,8 @@ def slice_block(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     raw = F.col("raw")
     begins, ends = raw.contains("{ (") | raw.contains("Branch: "), raw.contains("[Pipeline] }") | raw.contains("// parallel")
     marks = _marks(lines, begins | ends)
-    closed = _closed_matches(_rests(marks, raw, "{ ("))
-    open_ended = _prefix_matches(_rests(marks, raw, "Branch: "), wanted)
+    closed = _prefix_matches(_rests(marks, raw, "{ ("), wanted, F.col("name"), ")")
+    open_ended = _prefix_matches(_rests(marks, raw, "Branch: "), wanted, F.col("name"))
     starts = _named_starts(closed.unionByName(open_ended), wanted, F.col("name"))
     return _cut(lines, starts, marks.filter(ends & ~begins))
 
@@ -187,7 +185,7 @@ def slice_step(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Lines of each wanted step: from the first line with '{ (NAME', a prefix match, to '[Pipeline] }'."""
     raw = F.col("raw")
     marks = _marks(lines, raw.contains("{ (") | raw.contains("[Pipeline] }"))
-    starts = _named_starts(_prefix_matches(_rests(marks, raw, "{ ("), wanted), wanted, F.col("name"))
+    starts = _named_starts(_prefix_matches(_rests(marks, raw, "{ ("), wanted, F.col("name")), wanted, F.col("name"))
     return _cut(lines, starts, marks.filter(raw.contains("[Pipeline] }") & ~raw.contains("{ (")))
 
 

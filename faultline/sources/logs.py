@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.blocked import carry_forward
+from ..operators.blocked import carry_forward, number_rows
 
 def path_keys(files: DataFrame, path: str = "path") -> DataFrame:
     """Add the keys that a stored log's path tells; `source` is null for other files.
@@ -68,10 +68,22 @@ def read_metadata_json(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files in file order: (file, line_no, raw). One file is one read, so keep files rotated."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "raw"))
+def read_lines(spark: SparkSession, path: str, **options: str | bool) -> DataFrame:
+    """Lines of text files in file order: (file, line_no, raw). An empty file has no line.
+
+    A file of any size is read in byte ranges; lines are counted per range and numbered from the sums.
+    """
+    read = spark.read.options(**options).text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"), F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    return number_rows(read, ["file"], ["_at"], F.col("_from"), "line_no").select("file", "line_no", "raw")
+
+
+def read_log_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Stored logs with their keys, one row per line; `read_log_store` gives small logs as one row each."""
+    lines = read_lines(spark, root, pathGlobFilter="*.log", recursiveFileLookup=True)
+    return path_keys(lines.withColumnRenamed("file", "path"))
 
 
 _HEADER = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} \| "

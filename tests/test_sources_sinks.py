@@ -123,6 +123,23 @@ def test_merge_keeps_fields_the_new_record_lacks(spark):
     assert got == {1: ("c", "x", 3), 2: ("b", "y", 1), 3: ("d", None, 2)}
 
 
+def test_files_are_read_in_ranges(spark, tmp_path):
+    folder = tmp_path / "app_7" / "pipeline_3"
+    folder.mkdir(parents=True)
+    texts = {"job_1_a.log": "".join(f"line {n}\r\n" for n in range(3000)), "job_2_b.log": "one\n\nthree", "job_3_c.log": "", "x.txt": "no"}
+    for name, content in texts.items():
+        (folder / name).write_bytes(content.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = lg.read_log_lines(spark, str(tmp_path)).orderBy("job_id", "line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.job_id, r.line_no, r.raw) for r in rows if r.job_id != "1"] == [("2", 0, "one"), ("2", 1, ""), ("2", 2, "three")]
+    assert [(r.line_no, r.raw) for r in rows if r.job_id == "1"] == [(n, f"line {n}\r") for n in range(3000)]
+    assert {(r.project_id, r.pipeline_id) for r in rows} == {(7, 3)}
+
+
 def test_sweep_deletes_what_was_written(spark, tmp_path, monkeypatch):
     from faultline.operators import shared
 
