@@ -21,8 +21,9 @@ from .shared import settle
 # Executors get these functions with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIVOTS = 64
+FEWEST_PIVOTS, MOST_PIVOTS = 16, 4096
 BLOCK_ROWS = 4096
+ROWS_AT_ONCE = 512
 _SLACK = 1e-6
 
 
@@ -42,12 +43,15 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nearest(
     queries: DataFrame, items: DataFrame, k: int, min_similarity: float, strict: bool = False, metric: str = "l2sq",
-    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+    pivots: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """`queries(query_id, embedding)` x `items(item_id, embedding)` -> (query_id, item_id, similarity, rank).
 
     Similarity is 1 - squared distance ('l2sq') or the cosine. Only matches at or above (`strict`: above) the minimum
     are returned; rank counts among all items, ties go to the smaller id.
+
+    There are about as many cells as the square root of the stored rows. Vectors stay where they are compared: matches and ranks
+    carry two hashes of the query vector (96 bits) in its place.
     """
     cosine = metric == "cosine"
     reach = float(np.sqrt(max((2.0 if cosine else 1.0) * (1.0 - min_similarity), 0.0))) + _SLACK
@@ -61,7 +65,9 @@ def nearest(
     query_vectors = queries.filter(F.size("embedding") > 0).select(vector.alias("vec")).distinct()
     id_type = items.schema["item_id"].dataType.simpleString()
 
-    # At most `pivots` vectors reach the driver.
+    if pivots is None:
+        pivots = min(max(int(items.count() ** 0.5), FEWEST_PIVOTS), MOST_PIVOTS)
+    # At most MOST_PIVOTS vectors reach the driver.
     sample = items.filter(F.size("embedding") > 0).select(vector.alias("vec")).distinct().orderBy(F.xxhash64("vec")).limit(pivots)
     centres = np.array([r["vec"] for r in sample.collect()], dtype=np.float64)
     if cosine and len(centres):
@@ -70,20 +76,20 @@ def nearest(
 
     def to_cell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if len(pdf):
-                pdf["cell"] = _squared(_matrix(pdf["vec"], cosine), centres).argmin(1).astype("int64")
-                yield pdf
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                part = pdf.iloc[at : at + ROWS_AT_ONCE]
+                yield part.assign(cell=_squared(_matrix(part["vec"], cosine), centres).argmin(1).astype("int64"))
 
     def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if not len(pdf) or not len(centres):
-                continue
-            d2 = _squared(_matrix(pdf["vec"], cosine), centres)
-            own = d2.argmin(1)
-            width = gaps[own]
-            # Distance of the query to the half space of another cell.
-            beyond = (d2 - d2[np.arange(len(own)), own][:, None]) / np.where(width == 0, 1.0, 2 * width)
-            yield pd.DataFrame({"vec": pdf["vec"], "cell": pd.Series([np.flatnonzero(b <= reach) for b in beyond], dtype=object)})
+            for at in range(0, len(pdf) if len(centres) else 0, ROWS_AT_ONCE):
+                asked = pdf["vec"].iloc[at : at + ROWS_AT_ONCE].reset_index(drop=True)
+                d2 = _squared(_matrix(asked, cosine), centres)
+                own = d2.argmin(1)
+                width = gaps[own]
+                # Distance of the query to the half space of another cell.
+                beyond = (d2 - d2[np.arange(len(own)), own][:, None]) / np.where(width == 0, 1.0, 2 * width)
+                yield pd.DataFrame({"vec": asked, "cell": pd.Series([np.flatnonzero(b <= reach) for b in beyond], dtype=object)})
 
     placed = settle(item_vectors.mapInPandas(to_cell, f"vec array<double>, ids array<{id_type}>, cell bigint"), "placed")
     routed = query_vectors.mapInPandas(to_cells, "vec array<double>, cell array<bigint>")
@@ -92,7 +98,7 @@ def nearest(
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
 
-    # One row per cell: never more than `pivots` rows.
+    # One row per cell: never more than MOST_PIVOTS rows.
     grid = F.broadcast(blocks(placed, "_ni").join(blocks(routed, "_nq"), "cell"))
 
     def own_block(total: str):
@@ -105,10 +111,10 @@ def nearest(
     right = placed.join(grid, "cell").withColumn("ib", own_block("_ni")).withColumn("qb", every_block("_nq"))
 
     def best(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {"vec": [], "item_id": [], "similarity": []}
+        out: dict = {"h": [], "g": [], "item_id": [], "similarity": []}
         if len(q) and len(i):
             stored, ids = _matrix(i["vec"], cosine), i["ids"].tolist()
-            asked, raw = _matrix(q["vec"], cosine), q["vec"].tolist()
+            asked, h, g = _matrix(q["vec"], cosine), q["h"].tolist(), q["g"].tolist()
             for at in range(0, len(q), 512):
                 near = _squared(asked[at:at + 512], stored)
                 top = min(k, len(i)) - 1
@@ -119,20 +125,23 @@ def nearest(
                     sims = 1.0 - (d2 / 2 if cosine else d2)
                     found = sorted((-s, one) for s, p in zip(sims, picks) for one in ids[p])
                     for s, one in found[:k]:
-                        out["vec"].append(raw[at + row])
+                        out["h"].append(h[at + row])
+                        out["g"].append(g[at + row])
                         out["item_id"].append(one)
                         out["similarity"].append(-s)
         return pd.DataFrame(
             {
-                "vec": pd.Series(out["vec"], dtype=object), "item_id": pd.Series(out["item_id"], dtype=object),
+                "h": pd.Series(out["h"], dtype="int64"), "g": pd.Series(out["g"], dtype="int32"), "item_id": pd.Series(out["item_id"], dtype=object),
                 "similarity": pd.Series(out["similarity"], dtype="float64"),
             }
         )
 
-    scored = left.select("vec", "cell", "qb", "ib").groupBy("cell", "qb", "ib").cogroup(
+    names = (F.xxhash64("vec").alias("h"), F.hash("vec").alias("g"))
+    scored = left.select("vec", *names, "cell", "qb", "ib").groupBy("cell", "qb", "ib").cogroup(
         right.select("vec", "ids", "cell", "qb", "ib").groupBy("cell", "qb", "ib")
-    ).applyInPandas(best, f"vec array<double>, item_id {id_type}, similarity double")
+    ).applyInPandas(best, f"h long, g int, item_id {id_type}, similarity double")
     bound = F.col("similarity") > min_similarity if strict else F.col("similarity") >= min_similarity
-    order = Window.partitionBy("vec").orderBy(F.desc("similarity"), "item_id")
+    order = Window.partitionBy("h", "g").orderBy(F.desc("similarity"), "item_id")
     ranked = scored.filter(bound).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return queries.select("query_id", vector.alias("vec")).join(ranked, "vec").select("query_id", "item_id", "similarity", "rank")
+    asked = queries.select("query_id", vector.alias("vec")).select("query_id", *names)
+    return asked.join(ranked, ["h", "g"]).select("query_id", "item_id", "similarity", "rank")
