@@ -25,7 +25,8 @@ from .tables import held_out, learning_labels
 from .words import texts_of
 
 FEATURES = 256
-RIDGE = 1e-3
+RIDGE = 1e-5
+LEAST_RIDGE = 0.1
 BINS = 4096
 SEED = 7
 
@@ -73,7 +74,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in texts_of(batches):
             _, ratios = measure(texts)
-            x = np.column_stack([ratios[name] for name in RATIOS]).astype(np.float32)
+            # Shares crowd near zero; their roots spread them.
+            x = np.column_stack([v if name == "log_words" else np.sqrt(np.maximum(v, 0)) for name, v in ratios.items()]).astype(np.float32)
             offsets = np.arange(0, x.size + 1, len(RATIOS), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [texts.batch.column(0).slice(texts.lo, texts.count), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))],
@@ -182,7 +184,7 @@ def fit(rows: DataFrame, features: int = FEATURES, ridge: float = RIDGE) -> Mode
         return Model(kernel, np.zeros(features + 1), np.array([0.0]), np.array([0.5]))
     third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
     a, b = _normal_equations(rows.filter(third != 0), kernel)
-    weights = np.linalg.solve(a + ridge * max(a[-1, -1], 1.0) * np.eye(len(a)), b)
+    weights = np.linalg.solve(a + max(ridge * a[-1, -1], LEAST_RIDGE) * np.eye(len(a)), b)
     points, count, ones = _bins(rows.filter(third == 0), kernel, weights)
     if not len(points):
         return Model(kernel, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
