@@ -89,7 +89,32 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op10_secret_trigrams")
+def _secret_sql() -> str:
+    """Every rule's pattern over every text, without an index."""
+    hits = " UNION ALL ".join(
+        f"SELECT row, doc_id, {number} AS number, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(text, p) AS gaps, "
+        f"regexp_extract_all(text, p, 1) AS found, regexp_extract_all(text, p, {rule.group}) AS tested "
+        f"FROM d, (SELECT '{rule.pattern.replace(chr(39), chr(39) * 2)}' AS p)"
+        for number, rule in enumerate(secrets.RULES)
+    )
+    base = len(secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in secrets.BASE_RULES)
+    zeros = ", ".join(f"coalesce(n_{rule.kind}, 0) AS n_{rule.kind}" for rule in secrets.BASE_RULES)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    h AS ({hits}),
+    u AS (SELECT row, number, kind, least, unnest(gaps[:len(found)]) AS gap, unnest(found) AS own, unnest(tested) AS test,
+      unnest(range(len(found))) AS i FROM h WHERE len(found) > 0),
+    s AS (SELECT row, number, kind, length(test) >= least AS good, length(own) AS size,
+      sum(length(gap) + length(own)) OVER (PARTITION BY row, number ORDER BY i)::BIGINT AS stop FROM u),
+    k AS (SELECT row, number, kind, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM s WHERE good),
+    g AS (SELECT row, {counts}, string_agg(span, ',' ORDER BY start, number) AS spans,
+      coalesce(string_agg(span, ',' ORDER BY start, number) FILTER (number < {base}), '') AS base FROM k GROUP BY row)
+    SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)
+    """
+
+
+@query("op10_secret_trigrams", _secret_sql())
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(_table(spark, sf, "documents"))
 

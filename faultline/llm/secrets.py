@@ -19,6 +19,8 @@ from ..operators.shared import settle
 
 # Beyond so many alternatives a part of a pattern says nothing about its text.
 MOST_STRINGS = 64
+# Matches whose starts are summed in one go.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ BASE_RULES = (
 )
 # Further kinds; their spans come on top of the base ones.
 MORE_RULES = (
-    Rule("private_key", "(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", 1, 20),
+    Rule("private_key", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 20),
     Rule("hosting", "(gh[pousr]_[A-Za-z0-9]{36,})", 1, 40),
     Rule("chat", "(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 15),
     Rule("cloud", "(AIza[A-Za-z0-9_-]{35})", 1, 39),
@@ -175,34 +177,54 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found.select("doc_id", F.array_compact(F.array(*kinds)).alias("rules")).filter(F.size("rules") > 0)
 
 
-def _spans(rule: Rule, number: int) -> Column:
-    """The matches of a rule in `text` as structs (start, number, kind, end) in code points, end exclusive.
-
-    What stands between two matches is cut out by a split with the same pattern; starts are running sums of both lengths.
-    """
-    matches = F.regexp_extract_all("text", F.lit(rule.pattern), 1)
-    tested = F.regexp_extract_all("text", F.lit(rule.pattern), rule.group)
-    gaps = F.split("text", rule.pattern, -1)
-    rows = F.transform(
-        F.sequence(F.lit(1), F.size(matches)),
-        lambda i: F.struct(
-            F.length(F.element_at(gaps, i)).alias("gap"), F.length(F.element_at(matches, i)).alias("own"),
-            (F.length(F.element_at(tested, i)) >= rule.least).alias("good"),
-        ),
-    )
-    span = "struct<start:int,number:int,kind:string,end:int,good:boolean>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-    walked = F.aggregate(
+def _walked(rows: Column) -> Column:
+    """Struct (upto, spans): spans of `rows(gap, own, good)` laid end to end from 0, and where they end."""
+    span = "struct<start:int,end:int,good:boolean>"
+    empty = F.struct(F.lit(0).alias("upto"), F.array().cast(f"array<{span}>").alias("spans"))
+    return F.aggregate(
         rows, empty,
         lambda acc, row: F.struct(
-            (acc["at"] + row["gap"] + row["own"]).alias("at"),
+            (acc["upto"] + row["gap"] + row["own"]).alias("upto"),
             F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + row["gap"]).alias("start"), F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"),
-                (acc["at"] + row["gap"] + row["own"]).alias("end"), row["good"].alias("good"),
+                (acc["upto"] + row["gap"]).alias("start"), (acc["upto"] + row["gap"] + row["own"]).alias("end"), row["good"].alias("good"),
             ))).alias("spans"),
         ),
     )
-    return F.filter(walked["spans"], lambda s: s["good"])
+
+
+def _spans(rule: Rule, number: int) -> Column:
+    """The matches of a rule in `text` as structs (start, number, kind, end, good) in code points, end exclusive.
+
+    What stands between two matches is cut out by a split with the same pattern; starts are running sums of both lengths, first inside
+    chunks of CHUNK matches, then over the chunks. Gaps and matches are zipped, so each pattern pass runs once a text.
+    """
+    pattern = F.lit(rule.pattern)
+    zipped = F.arrays_zip(
+        F.split("text", rule.pattern, -1), F.regexp_extract_all("text", pattern, 1), F.regexp_extract_all("text", pattern, rule.group)
+    )
+    # The last gap has no match behind it: its lengths are null or 0 and it is not good.
+    rows = F.transform(zipped, lambda z: F.struct(
+        F.length(z["0"]).alias("gap"), F.coalesce(F.length(z["1"]), F.lit(0)).alias("own"),
+        F.coalesce(F.length(z["2"]) >= rule.least, F.lit(False)).alias("good"),
+    ))
+    # An array of one array gives the rows a name inside the lambda; written out there, they would be found anew per chunk.
+    chunks = F.flatten(F.transform(F.array(rows), lambda every: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int")),
+        lambda c: _walked(F.slice(every, c * CHUNK + 1, F.lit(CHUNK))),
+    )))
+    chunk = "struct<start:int,end:int,good:boolean>"
+    empty = F.struct(F.lit(0).alias("upto"), F.array().cast(f"array<struct<base:int,spans:array<{chunk}>>>").alias("done"))
+    based = F.aggregate(
+        chunks, empty,
+        lambda acc, c: F.struct(
+            (acc["upto"] + c["upto"]).alias("upto"),
+            F.concat(acc["done"], F.array(F.struct(acc["upto"].alias("base"), F.filter(c["spans"], lambda s: s["good"]).alias("spans")))).alias("done"),
+        ),
+    )["done"]
+    return F.flatten(F.transform(based, lambda c: F.transform(c["spans"], lambda s: F.struct(
+        (c["base"] + s["start"]).alias("start"), F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"),
+        (c["base"] + s["end"]).alias("end"), s["good"].alias("good"),
+    ))))
 
 
 def _joined_text(spans: Column) -> Column:

@@ -156,6 +156,14 @@ def test_secrets_in_odd_texts(spark, odd_docs, odd_rows, no_docs):
     assert [r.n_assign for r in secrets.report(unnamed).collect()] == [1, 1]
 
 
+def test_secrets_of_a_text_with_thousands(spark):
+    text = "é word 0123456789abcdef0 short 0123 token=abcdefghijklm\n" * 3_000
+    key = "-----BEGIN " + "A " * 30_000 + "PRIVATE KEY-----"
+    rows = secrets.report(spark.createDataFrame([(1, text), (2, key)], "doc_id long, text string")).orderBy("doc_id").collect()
+    _held(rows, [text, key])
+    assert (rows[0].n_hex, rows[0].n_assign) == (3_000, 3_000) and rows[1].spans == f"private_key:0:{len(key)}"
+
+
 @pytest.mark.parametrize(
     ("pattern", "want"),
     [("abc", [{"abc"}]), ("ab+cd", []), ("abcd|xyz", [{"abc", "bcd"}, {"xyz"}]), ("a[bc]d", [{"abd"}, {"acd"}]), ("[a-z]+", []), ("AKIA[0-9]+", [{"aki", "kia"}])],
