@@ -399,8 +399,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` without near duplicates: of each class the row with the smallest id stays, with all its columns."""
     _, reps = _classes(docs.select("doc_id", "text"), threshold)
     order = F.struct(F.col("rep_id").isNull().alias("last"), "rep_id", "key")
-    kept = settle(with_group(reps, "root", "key", order).filter("key = _first.key").select("key"), "kept-keys")
+    kept = with_group(reps, "root", "key", order).filter("key = _first.key")
+    kept = settle(kept.select("key", F.coalesce(F.col("rep_id").cast("string"), F.lit("")).alias("_own")), "kept-keys")
+    # Met by key and id: copies of one text, which may be a third of the rows, spread over the tasks by their ids.
     whole = _with_key(docs.select(F.struct("*").alias("_doc"), "text"), "_doc", once=False)
-    one = Window.partitionBy("key").orderBy(F.col("_doc.doc_id").asc_nulls_last())
-    rows = whole.join(kept, "key", "left_semi").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1")
+    whole = whole.withColumn("_own", F.coalesce(F.col("_doc.doc_id").cast("long").cast("string"), F.lit("")))
+    # What is left of a key has one id; rows that repeat it are already in one place.
+    one = Window.partitionBy("key", "_own").orderBy("key")
+    rows = whole.join(kept, ["key", "_own"], "left_semi").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1")
     return rows.select("_doc.*")
