@@ -19,9 +19,10 @@ VOCABULARY = CLASSES * PER_CLASS
 TAILS = 64
 HIDDEN = 32
 START = VOCABULARY + TAILS
-TRAIN_STREAMS, TRAIN_WINDOW = 64, 16
+LEAST_STREAMS, TRAIN_STREAMS, TRAIN_WINDOW = 64, 512, 16
+STEPS = 128
 SCORE_STREAMS, SCORE_WINDOW = 384, 32
-RATE = 0.15
+RATE = 0.2
 ABSENT = -30.0
 
 
@@ -84,7 +85,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     """Row by row, in place."""
     x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x *= 1 / (x @ np.ones((x.shape[1], 1), dtype=x.dtype))
     return x
 
 
@@ -106,15 +107,15 @@ def _picked(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
     out = x[np.arange(len(x)), wanted]
     np.exp(x, out=x)
-    return out - np.log(x.sum(1))
+    return out - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
 
 
 def log_probabilities(p: Parameters, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(class) + log P(word | class) per row; for a tail target only log P(class)."""
     out = np.empty(len(target))
     wanted = _class_of(target)
-    for a in range(0, len(target), 4096):
-        out[a : a + 4096] = _picked(states[a : a + 4096] @ p.top + p.top_bias, wanted[a : a + 4096])
+    for a in range(0, len(target), 1024):
+        out[a : a + 1024] = _picked(states[a : a + 1024] @ p.top + p.top_bias, wanted[a : a + 1024])
     for c, part in _by_class(target):
         out[part] += _picked(states[part] @ p.words[c] + p.word_bias[c], target[part] % PER_CLASS)
     return out
@@ -211,51 +212,90 @@ class Trainer:
     def _output(self, states: np.ndarray, target: np.ndarray, weight: np.float32) -> np.ndarray:
         """Gradients of both softmaxes; returns the states' gradient."""
         p = self.p
-        rows = np.arange(len(target))
-        error = _softmax(states @ p.top + p.top_bias)
-        error[rows, _class_of(target)] -= 1
-        error *= weight
-        back = error @ p.top.T
+        back = np.empty_like(states)
+        top, top_bias = np.zeros_like(p.top), np.zeros_like(p.top_bias)
+        wanted, turned = _class_of(target), np.ascontiguousarray(p.top.T)
+        for a in range(0, len(target), 1024):  # parts that stay in the core's cache
+            own = states[a : a + 1024]
+            error = own @ p.top
+            error += p.top_bias
+            _softmax(error)
+            error[np.arange(len(own)), wanted[a : a + 1024]] -= 1
+            np.matmul(error, turned, out=back[a : a + 1024])
+            top += own.T @ error
+            top_bias += error.sum(0)
+        back *= weight
         for c, part in _by_class(target):
             own = states[part]
-            inside = _softmax(own @ p.words[c] + p.word_bias[c])
+            inside = own @ p.words[c]
+            inside += p.word_bias[c]
+            _softmax(inside)
             inside[np.arange(len(part)), target[part] % PER_CLASS] -= 1
             inside *= weight
             back[part] += inside @ p.words[c].T
             self._move(4, "words", own.T @ inside, c)
             # Words without a training count keep their bias.
             self._move(5, "word_bias", np.where(p.word_bias[c] <= ABSENT / 2, np.float32(0), inside.sum(0)), c)
-        self._move(2, "top", states.T @ error)
-        self._move(3, "top_bias", error.sum(0))
+        self._move(2, "top", top * weight)
+        self._move(3, "top_bias", top_bias * weight)
         return back
 
     def window(self, x: np.ndarray, target: np.ndarray, h: np.ndarray) -> np.ndarray:
-        p, kept, states = self.p, [], np.empty((*x.shape, HIDDEN), dtype=np.float32)
-        for t in range(len(x)):
-            h = np.where((x[t] == START)[:, None], np.float32(0), h)
-            z, r, n, past, new = _step(p, x[t], h)
-            kept.append((h, z, r, n, past))
-            states[t] = h = new
+        p, steps, half = self.p, len(x), np.float32(0.5)
+        fresh = x == START
+        given = p.embed.take(x, axis=0)  # becomes z, r and n, then their gradients
+        before = np.empty((*x.shape, HIDDEN), dtype=np.float32)
+        past, states = np.empty_like(before), np.empty_like(before)
+        for t in range(steps):
+            before[t] = h
+            h = before[t]
+            h[fresh[t]] = 0
+            kept = h @ p.recur
+            gates, n = given[t, :, : 2 * HIDDEN], given[t, :, 2 * HIDDEN :]
+            gates += kept[:, : 2 * HIDDEN]
+            gates *= half
+            np.tanh(gates, out=gates)
+            gates *= half
+            gates += half
+            past[t] = kept[:, 2 * HIDDEN :]
+            n += gates[:, HIDDEN:] * past[t]
+            np.tanh(n, out=n)
+            new = np.subtract(h, n, out=states[t])
+            new *= gates[:, :HIDDEN]
+            new += n
+            h = new
         good = target.ravel() >= 0
         if not good.any():
             return h
-        back = np.zeros((x.size, HIDDEN), dtype=np.float32)
         rows = np.flatnonzero(good)
-        back[rows] = self._output(states.reshape(-1, HIDDEN)[rows], target.ravel()[rows], np.float32(1 / len(rows)))
+        whole = len(rows) == x.size
+        flat = states.reshape(-1, HIDDEN)
+        found = self._output(flat if whole else flat[rows], target.ravel()[rows], np.float32(1 / len(rows)))
+        if whole:
+            back = found
+        else:
+            back = np.zeros((x.size, HIDDEN), dtype=np.float32)
+            back[rows] = found
         back = back.reshape(states.shape)
-        given = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
-        recur = np.zeros_like(p.recur)
+        inner = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
         carry = np.zeros_like(h)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, n, past = kept[t]
-            total = back[t] + carry
-            to_n = total * (1 - z) * (1 - n * n)
-            to_z = total * (before - n) * z * (1 - z)
-            to_r = to_n * past * r * (1 - r)
-            given[t] = np.hstack([to_z, to_r, to_n])
-            inner = np.hstack([to_z, to_r, to_n * r])
-            recur += before.T @ inner
-            carry = (total * z + inner @ p.recur.T) * (x[t] != START)[:, None]
+        turned = np.ascontiguousarray(p.recur.T)
+        for t in range(steps - 1, -1, -1):
+            z, r, n = (given[t, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+            total = carry
+            total += back[t]
+            carry = total * z
+            to_n = (total - carry) * (1 - n * n)
+            to_r = to_n * past[t] * (r - r * r)
+            own = inner[t]
+            np.multiply(carry * (1 - z), before[t] - n, out=own[:, :HIDDEN])
+            own[:, HIDDEN : 2 * HIDDEN] = to_r
+            np.multiply(to_n, r, out=own[:, 2 * HIDDEN :])
+            given[t, :, : 2 * HIDDEN] = own[:, : 2 * HIDDEN]
+            given[t, :, 2 * HIDDEN :] = to_n
+            carry += own @ turned
+            carry[fresh[t]] = 0
+        recur = before.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
         norm = float(np.sqrt((recur * recur).sum()))
         self._move(1, "recur", recur * np.float32(min(1.0, 1.0 / (norm + 1e-9))))
         order = np.argsort(x.ravel(), kind="stable")
@@ -267,10 +307,12 @@ class Trainer:
         """Documents one after the other, cut into streams of equal length; only a stream's first document may begin in its middle."""
         inputs = np.concatenate([[START], tokens[:-1]]).astype(np.int32)
         inputs[edges[:-1]] = START
-        length = -(-len(tokens) // TRAIN_STREAMS)
-        x = np.full((2, TRAIN_STREAMS * length), START, dtype=np.int32)
+        # Few streams give a short run enough steps, many make a long run cheap.
+        count = int(np.clip(len(tokens) // (STEPS * TRAIN_WINDOW), LEAST_STREAMS, TRAIN_STREAMS))
+        length = -(-len(tokens) // count)
+        x = np.full((2, count * length), START, dtype=np.int32)
         x[0, : len(tokens)], x[1, : len(tokens)], x[1, len(tokens) :] = inputs, tokens, -1
-        inputs, targets = (np.ascontiguousarray(a.reshape(TRAIN_STREAMS, length).T) for a in x)
-        h = np.zeros((TRAIN_STREAMS, HIDDEN), dtype=np.float32)
+        inputs, targets = (np.ascontiguousarray(a.reshape(count, length).T) for a in x)
+        h = np.zeros((count, HIDDEN), dtype=np.float32)
         for start in range(0, length, TRAIN_WINDOW):
             h = self.window(inputs[start : start + TRAIN_WINDOW], targets[start : start + TRAIN_WINDOW], h)

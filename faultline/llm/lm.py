@@ -2,7 +2,8 @@
 
 1. Words of all training documents are counted (hashes, summed inside each task first) and stored.
 2. The most frequent words, KEPT at most, go to the tasks with their counts; VOCABULARY of them are the model's words.
-3. In each round every task trains the model on its documents of that round; the models are averaged by the number of tokens.
+3. The rounds share out the training documents, each in one round. In a round every task trains the model on its documents of that
+   round; the models are averaged by the number of tokens.
 4. One pass scores all documents; counts of words beyond the kept ones come from a join on the word's hash.
 """
 
@@ -25,7 +26,6 @@ from .words import LOWER, Texts, hashes_of, mix, texts_of, words_of
 
 KEPT = 1 << 18
 ROUNDS = 2
-SHARE = 0.05
 POOL = 4_000_000
 PENDING = 2_000_000
 PART = 1 << 14
@@ -246,13 +246,11 @@ def _documents(docs: DataFrame, vocabulary, model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def score(
-    docs: DataFrame, folds: int = 7, remainder: int = 2, kept: int = KEPT, rounds: int = ROUNDS, share: float = SHARE
-) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, remainder: int = 2, kept: int = KEPT, rounds: int = ROUNDS) -> DataFrame:
     """Score each document -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Tokens: words of the text with A-Z lower-cased, then one end. Counts cover every training document (those outside the
-    held-out fold, with null ids too); in each round the model trains on another `share` of them, chosen by hash of id.
+    held-out fold, with null ids too), and the model trains on every one of them once: a hash of the id says in which round.
     base_score: sum of log10((c + 1) / (N + V + 1)). score: log10 probability under the model. Words that training lacks
     share the open slot of their tail class, as all unseen words share one slot in the base score. One row out per row in; null and
     empty texts are one end token; an empty table gives no rows; other columns are not read.
@@ -264,10 +262,9 @@ def score(
     known, least = vocabulary(counts, kept)
     sent = context.broadcast(known)
     model = gru.initial(known.word_counts, known.tail_words)
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
+    spot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(rounds))
     for turn in range(rounds):
-        chosen = (spot >= int(turn * share * (1 << 20))) & (spot < int((turn + 1) * share * (1 << 20)))
-        model = train_round(training.filter(chosen), sent, model)
+        model = train_round(training.filter(spot == turn), sent, model)
     rows = settle(_documents(docs, sent, context.broadcast(model.flat())), "scored-documents")
     words = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("word"))
     words = words.select("row", F.col("word.rare").alias("hash"), F.col("word.times").alias("times"))

@@ -44,6 +44,22 @@ def test_language_model_scores(spark, sf, tables):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_training_document_is_learned_once(spark, odd_docs, odd_rows, monkeypatch):
+    learned = []
+    inner = lm.train_round
+
+    def noted(docs, vocabulary, start):
+        learned.extend((r.doc_id, r.text) for r in docs.collect())
+        return inner(docs, vocabulary, start)
+
+    monkeypatch.setattr(lm, "train_round", noted)
+    more = spark.createDataFrame([(n, f"text {n} of many") for n in range(100, 300)], "doc_id long, text string")
+    lm.score(odd_docs.select("doc_id", "text").union(more)).count()
+    rows = [(i, t) for i, t, *_ in odd_rows] + [(n, f"text {n} of many") for n in range(100, 300)]
+    want = [r for r in rows if plain.fold(r[0], 7) != 2]
+    assert sorted(learned, key=str) == sorted(want, key=str)
+
+
 def test_words_beyond_the_kept_ones_are_counted_by_join(spark, odd_docs, odd_rows, no_docs):
     """With few kept words most counts come from the join; the base score must not change."""
     rows = sorted(
