@@ -66,9 +66,9 @@ def surviving(sig: np.ndarray, left: np.ndarray, right: np.ndarray, least: list[
 
 
 def all_pairs(sig: np.ndarray, blocks: np.ndarray | None, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Surviving pairs, some rows at a time: within one block, or across two blocks if `blocks` has both."""
+    """Surviving pairs, some rows at a time: all of them, or with `blocks` those across two blocks (none if one has no rows)."""
     n = len(sig)
-    two = blocks is not None and blocks.min() != blocks.max()
+    two = blocks is not None
     first = np.flatnonzero(blocks == blocks.min()) if two else np.arange(n)
     second = np.flatnonzero(blocks != blocks.min()) if two else np.arange(n)
     rows = max(1, (1 << 16) // max(len(second), 1))
@@ -227,16 +227,16 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     tiles = members.join(reps.select("key", "sig"), "key").select("bucket", "i", "j", "block", "key", "sig")
     least = least_matches(threshold)
 
-    def compare(key: np.ndarray, sig: np.ndarray, blocks: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(key: np.ndarray, sig: np.ndarray, inside: np.ndarray, blocks: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`inside`: whether the tile of each row is that of one block."""
         sizes = np.diff(edges)
         two = edges[:-1][sizes == 2]
-        across = two[blocks[two] != blocks[two + 1]]
-        same_tile = two[blocks[two] == blocks[two + 1]]
-        left, right = surviving(sig, np.concatenate([same_tile, across]), np.concatenate([same_tile, across]) + 1, least)
+        two = two[inside[two] | (blocks[two] != blocks[two + 1])]
+        left, right = surviving(sig, two, two + 1, least)
         lefts, rights = [left], [right]
         for a, b in zip(edges[:-1][sizes > 2].tolist(), edges[1:][sizes > 2].tolist(), strict=True):
             forest = Forest(b - a)
-            for left, right in all_pairs(sig[a:b], blocks[a:b], least):
+            for left, right in all_pairs(sig[a:b], None if inside[a] else blocks[a:b], least):
                 forest.tie(left, right)
             roots = forest.roots()
             tied = np.flatnonzero(roots != np.arange(b - a))
@@ -258,11 +258,11 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
             edges = _groups(list(held[:3]))
             if len(edges) > 2:
                 cut = int(edges[-2])
-                left, right = compare(held[4][:cut], held[5][:cut], held[3][:cut], edges[:-1])
+                left, right = compare(held[4][:cut], held[5][:cut], (held[1] == held[2])[:cut], held[3][:cut], edges[:-1])
                 held = tuple(a[cut:].copy() for a in held)
                 yield pa.RecordBatch.from_arrays([_binary(left), _binary(right)], names=["a", "b"])
         if held is not None:
-            left, right = compare(held[4], held[5], held[3], np.array([0, len(held[0])]))
+            left, right = compare(held[4], held[5], held[1] == held[2], held[3], np.array([0, len(held[0])]))
             yield pa.RecordBatch.from_arrays([_binary(left), _binary(right)], names=["a", "b"])
 
     ordered = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -310,14 +310,14 @@ def links(reps: DataFrame, texts: DataFrame, nodes: DataFrame, threshold: float)
     tiles = tiles.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "text")
     least = least_matches(threshold)
 
-    def verify(rows: list[tuple]) -> pa.RecordBatch | None:
+    def verify(tile: tuple[bytes, int, int] | None, rows: list[tuple]) -> pa.RecordBatch | None:
         once = {row[0]: row for row in rows}
         rows = [once[k] for k in sorted(once)]
         if len(rows) < 2:
             return None
         sets, copies = [r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64)
         sig, blocks = np.vstack([r[4] for r in rows]), np.array([r[3] for r in rows])
-        pairs = list(all_pairs(sig, blocks, least))
+        pairs = list(all_pairs(sig, None if tile[1] == tile[2] else blocks, least))
         left = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64)
         right = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64)
         if not len(left):
@@ -345,11 +345,11 @@ def links(reps: DataFrame, texts: DataFrame, nodes: DataFrame, threshold: float)
             columns = [_column(part.batch, c).slice(part.lo, part.count).to_pylist() for c in names]
             for n, (group, i, j, block, key, copies) in enumerate(zip(*columns, strict=True)):
                 if (group, i, j) != current:
-                    if (out := verify(held)) is not None:
+                    if (out := verify(current, held)) is not None:
                         yield out
                     current, held = (group, i, j), []
                 held.append((key, np.unique(shingles[edges[n] : edges[n + 1]]), copies, block, sig[n]))
-        if (out := verify(held)) is not None:
+        if (out := verify(current, held)) is not None:
             yield out
 
     ordered = tiles.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")

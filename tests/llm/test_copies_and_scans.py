@@ -83,6 +83,17 @@ def test_large_sets_are_cut_into_tiles_and_lose_no_link(spark, monkeypatch):
     assert got == dict(enumerate(plain.near(texts)))
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_links_of_few_texts_in_many_blocks_count_once(spark, monkeypatch, n):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2500)
+    for salt in range(4):
+        words = [f"t{salt}w{k}" for k in range(300)]
+        texts = [" ".join([*words, f"end{k}"]) for k in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(docs).collect()}
+        assert got == dict(enumerate(plain.near(texts)))
+
+
 def test_pruning_keeps_pairs_above_the_threshold():
     least = ngram_join.least_matches(0.8)
     assert len(least) == ngram_join.SIGNATURE // ngram_join.STEP and sorted(least) == least and 0 < least[0] < 26
