@@ -53,6 +53,46 @@ TEMPLATES = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "apache-line": "Released under the Apache License.",
+    "apache-1.0-line": "Licensed under the Apache License, Version 1.0.",
+    "apache-1.1-line": "Licensed under the Apache License, Version 1.1.",
+    "bsd-line": "Released under the BSD License.",
+    "isc-line": "Released under the ISC License.",
+    "gpl-line": "Released under the GNU General Public License.",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-line": "Released under the GNU Lesser General Public License.",
+    "lgpl-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc0-1.0-line": "Licensed under CC0 1.0.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "lgpl-2.0-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public "
+    "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+    "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+}
+
+# What tells a license from those with nearly the same words: each phrase must be aligned with words that stand side by side.
+REQUIRED = {
+    "apache-2.0-line": ("apache license", "2.0"), "apache-1.0-line": ("apache license", "1.0"), "apache-1.1-line": ("apache license", "1.1"),
+    "apache-line": ("apache license",), "apache-2.0": ("apache license", "version 2.0"),
+    "mit-line": ("mit license",), "bsd-line": ("bsd",), "isc-line": ("isc license",),
+    "gpl-line": ("gnu general public license",), "gpl-2.0-line": ("gnu general public license", "version 2"),
+    "gpl-3.0-line": ("gnu general public license", "version 3"), "gpl-notice": ("gnu general public license",),
+    "lgpl-line": ("lesser general public license",), "lgpl-2.1-line": ("lesser general public license", "version 2.1"),
+    "lgpl-3.0-line": ("lesser general public license", "version 3"), "lgpl-notice": ("lesser",), "lgpl-2.0-notice": ("library general public",),
+    "agpl-3.0-line": ("affero general public license", "version 3"), "agpl-notice": ("affero",),
+    "mpl-2.0-line": ("mozilla public license", "2.0"), "mpl-2.0": ("mozilla public license", "2.0"),
+    "cc-by-4.0-line": ("cc by 4.0",), "cc-by-sa-4.0-line": ("cc by sa 4.0",), "cc-by-nd-4.0-line": ("cc by nd 4.0",),
+    "cc-by-nc-4.0-line": ("cc by nc 4.0",), "cc-by-nc-sa-4.0-line": ("cc by nc sa 4.0",), "cc-by-nc-nd-4.0-line": ("cc by nc nd 4.0",),
+    "cc0-1.0-line": ("cc0 1.0",), "cc-by-4.0": ("attribution 4.0",), "cc-by-sa-4.0": ("attribution sharealike 4.0",),
+    "cc-by-nc-4.0": ("attribution noncommercial 4.0",),
 }
 
 _WORD = np.zeros(256, dtype=bool)
@@ -117,17 +157,37 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _place(words: list[int], phrase: list[int]) -> tuple[int, int]:
+    """Where the phrase stands in the words for the first time."""
+    for at in range(len(words) - len(phrase) + 1):
+        if words[at : at + len(phrase)] == phrase:
+            return at, at + len(phrase)
+    raise ValueError("a required phrase does not stand in its template")
+
+
+def _has(pairs: list[tuple[int, int]], phrases: list[tuple[int, int]]) -> bool:
+    """Whether the words of each phrase are aligned, with words side by side."""
+    partner = {j: i for i, j in pairs}
+    return all(a in partner and all(partner.get(a + k) == partner[a] + k for k in range(b - a)) for a, b in phrases)
+
+
 class Templates:
-    """Hashes of each template's words, and for every known word which templates have it."""
+    """Hashes of each template's words, where its required phrases stand, and for every known word which templates have it."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], required: dict[str, tuple[str, ...]]):
         self.names = list(templates)
         self.words = [template_hashes(t) for t in templates.values()]
+        self.phrases = [[_place(w, template_hashes(p)) for p in required.get(n, ())] for n, w in zip(self.names, self.words, strict=True)]
         self.known = np.array(sorted({h for words in self.words for h in words}), dtype=np.uint64)
         self.has = np.zeros((len(self.known), len(self.names)), dtype=bool)
         for n, words in enumerate(self.words):
             self.has[np.searchsorted(self.known, np.array(words, dtype=np.uint64)), n] = True
 
+    def _aligned(self, runs: Runs, hashes: np.ndarray, n: int, start: int) -> list[tuple[int, int]]:
+        """Alignment of a template with the window that begins at word `start`."""
+        stop = int(min(start + SPREAD * len(self.words[n]), np.searchsorted(runs.docs, runs.docs[start], side="right")))
+        return align([int(h) for h in hashes[start:stop]], self.words[n])
+
     def search(self, texts: Texts, coverage: float) -> list[tuple[int, int, int, float, int, int]]:
         """Matches: (text, template, words matched, coverage, first byte, end byte); overlapping ones only the best."""
         runs, hashes = _words(texts.data, texts.offsets)
@@ -147,12 +207,18 @@ class Templates:
                 start = int(spots[own[k]])
                 if start <= upto:
                     continue
-                doc = runs.docs[start]
-                stop = int(min(start + width, np.searchsorted(runs.docs, doc, side="right")))
-                pairs = align([int(h) for h in hashes[start:stop]], words)
-                if len(pairs) >= need:
-                    first, upto = start + pairs[0][0], start + pairs[-1][0]
-                    found.append((int(doc), n, len(pairs), len(pairs) / len(words), int(runs.starts[first]), int(runs.ends[upto])))
+                pairs = self._aligned(runs, hashes, n, start)
+                if len(pairs) < need or not _has(pairs, self.phrases[n]):
+                    continue
+                if self.phrases[n]:  # a window that begins in another notice: the match with the most words, then the shortest
+                    for later in spots[own[k + 1 : k + 1 + width]].tolist():
+                        if later > start + pairs[-1][0]:
+                            break
+                        other = self._aligned(runs, hashes, n, later)
+                        if len(other) >= need and (len(other), pairs[-1][0] - pairs[0][0]) >= (len(pairs), other[-1][0] - other[0][0]) and _has(other, self.phrases[n]):
+                            start, pairs = later, other
+                first, upto = start + pairs[0][0], start + pairs[-1][0]
+                found.append((int(runs.docs[start]), n, len(pairs), len(pairs) / len(words), int(runs.starts[first]), int(runs.ends[upto])))
         best: list[tuple[int, int, int, float, int, int]] = []
         for match in sorted(found, key=lambda m: (-m[2], -m[3], m)):
             if not any(o[0] == match[0] and o[4] < match[5] and match[4] < o[5] for o in best):
@@ -160,15 +226,19 @@ class Templates:
         return sorted(best, key=lambda m: (m[0], m[4], m[1]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan(
+    docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, required: dict[str, tuple[str, ...]] | None = None
+) -> DataFrame:
     """License notices in each whole text of `docs(doc_id, text)`, one row out per row in.
 
     Returns doc_id, n_licenses, licenses (their names, sorted, comma-joined), coverage (the best, 0.0 without any) and matches:
     array of structs (license, coverage, start, end) by start, in code points, end exclusive. Words are compared without case and
-    punctuation. Of overlapping matches the one with the most words counts. Null and empty texts have none; ids may be null
+    punctuation. A match has the phrases that `required` names for its license (REQUIRED for the known templates). Of overlapping matches the one with the most words counts. Null and empty texts have none; ids may be null
     or repeated; an empty table gives no rows; other columns are not read.
     """
-    known = Templates(TEMPLATES if templates is None else templates)
+    if required is None:
+        required = REQUIRED if templates is None else {}
+    known = Templates(TEMPLATES if templates is None else templates, required)
     schema = "doc_id long, matches array<struct<license: string, coverage: double, start: long, end: long>>"
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 

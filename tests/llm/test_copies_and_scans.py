@@ -138,6 +138,24 @@ def test_licenses_in_changed_and_odd_texts(spark, odd_docs, odd_rows, no_docs):
     assert licenses.scan(odd_docs).count() == len(odd_rows) and licenses.scan(no_docs).count() == 0
 
 
+def test_a_short_line_is_only_the_license_it_names(spark):
+    want = {
+        "Released under the BSD License.": "bsd-line", "Released under the Apache License": "apache-line",
+        "released under the GNU General Public License": "gpl-line", "Licensed under CC BY 4.0": "cc-by-4.0-line",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0-line", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-line",
+        "Licensed under the Apache License, Version 1.0": "apache-1.0-line", "Licensed under the MIT License": "mit-line",
+        "This work is licensed under the GNU General Public License, version 2": "gpl-2.0-line",
+        "This work is licensed under the GNU Lesser General Public License, version 3": "lgpl-3.0-line",
+        "Released under the Example License": "", "Licensed under the GNU GPL version 2": "", "Licensed under CC BY-NC 3.0": "",
+        "Released under the BSD License. Released under the MIT License.": "bsd-line,mit-line",
+        "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.": "cc-by-4.0-line,cc-by-nc-4.0-line",
+    }
+    want |= {text: name for name, text in licenses.TEMPLATES.items()}
+    docs = spark.createDataFrame([(n, f"some words {t} more words") for n, t in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
+    assert {t: got[n] for n, t in enumerate(want)} == want
+
+
 def _held(rows, texts):
     for r, text in zip(rows, texts, strict=True):
         want = plain.secrets(text)
