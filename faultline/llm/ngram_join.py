@@ -11,7 +11,7 @@ Pairs are never rows: tasks compare blocks of bounded size and give back edges o
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import lgamma
 
 import numpy as np
@@ -294,6 +294,20 @@ def _exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return shared >= threshold * (sizes[left] + sizes[right] - shared) - 1e-9
 
 
+def by_tile(rows: Iterable[tuple[tuple, bytes, Callable[[], tuple]]]) -> Iterator[tuple[tuple, dict[bytes, tuple]]]:
+    """(tile, key, how to make the row) in order of tiles -> each tile with one row per key; copies of a key are not made."""
+    current, held = None, {}
+    for tile, key, make in rows:
+        if tile != current:
+            if held:
+                yield current, held
+            current, held = tile, {}
+        if key not in held:
+            held[key] = make()
+    if held:
+        yield current, held
+
+
 def links(reps: DataFrame, texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Verified links inside each candidate set -> (key, root, links): partners counted with their copies, per tile, and the key of
     the tile's connected part.
@@ -310,8 +324,7 @@ def links(reps: DataFrame, texts: DataFrame, nodes: DataFrame, threshold: float)
     tiles = tiles.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "text")
     least = least_matches(threshold)
 
-    def verify(tile: tuple[bytes, int, int] | None, rows: list[tuple]) -> pa.RecordBatch | None:
-        once = {row[0]: row for row in rows}
+    def verify(tile: tuple[bytes, int, int], once: dict[bytes, tuple]) -> pa.RecordBatch | None:
         rows = [once[k] for k in sorted(once)]
         if len(rows) < 2:
             return None
@@ -336,21 +349,23 @@ def links(reps: DataFrame, texts: DataFrame, nodes: DataFrame, threshold: float)
             [_binary(key[linked]), _binary(key[roots[linked]]), pa.array(n[linked].astype(np.int64))], names=["key", "root", "links"]
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes, Callable[[], tuple]]]:
         for part in texts_of(batches):
             shingles, edges, _, _ = _shingled(part)
             sig = _signatures(shingles, edges)
             names = ("part", "i", "j", "block", "key", "copies")
             columns = [_column(part.batch, c).slice(part.lo, part.count).to_pylist() for c in names]
             for n, (group, i, j, block, key, copies) in enumerate(zip(*columns, strict=True)):
-                if (group, i, j) != current:
-                    if (out := verify(current, held)) is not None:
-                        yield out
-                    current, held = (group, i, j), []
-                held.append((key, np.unique(shingles[edges[n] : edges[n + 1]]), copies, block, sig[n]))
-        if (out := verify(current, held)) is not None:
-            yield out
+
+                def make(n=n, key=key, copies=copies, block=block) -> tuple:
+                    return key, np.unique(shingles[edges[n] : edges[n + 1]]), copies, block, sig[n].copy()
+
+                yield (group, i, j), key, make
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, held in by_tile(members(batches)):
+            if (out := verify(tile, held)) is not None:
+                yield out
 
     ordered = tiles.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
     return ordered.mapInArrow(run, "key binary, root binary, links long")

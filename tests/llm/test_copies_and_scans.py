@@ -94,6 +94,13 @@ def test_links_of_few_texts_in_many_blocks_count_once(spark, monkeypatch, n):
         assert got == dict(enumerate(plain.near(texts)))
 
 
+def test_a_tile_holds_each_key_once():
+    made = []
+    rows = [((t, 0, 0), k, lambda t=t, k=k: made.append((t, k)) or (k,)) for t in "ab" for _ in range(50) for k in (b"x", b"y")]
+    assert list(ngram_join.by_tile(rows)) == [((t, 0, 0), {b"x": (b"x",), b"y": (b"y",)}) for t in "ab"]
+    assert len(made) == 4
+
+
 def test_pruning_keeps_pairs_above_the_threshold():
     least = ngram_join.least_matches(0.8)
     assert len(least) == ngram_join.SIGNATURE // ngram_join.STEP and sorted(least) == least and 0 < least[0] < 26
