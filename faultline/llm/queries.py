@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, lm, mixing, ngram_join, packing, quality, rules, secrets, toxicity
+from . import exact, licenses, lm, mixing, ngram_join, packing, periodic, quality, rules, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,3 +137,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_license_patience")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(_table(spark, sf, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.digest(_table(spark, sf, "documents"))
