@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, lm, mixing, ngram_join, packing, periodic, quality, rules, secrets, toxicity
+from . import caps, centroids, exact, licenses, lm, mixing, ngram_join, packing, periodic, quality, rules, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,3 +142,61 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_periodic_runs")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return periodic.digest(_table(spark, sf, "documents"))
+
+
+def _centroid_sql() -> str:
+    """Every distance of every round."""
+    steps = [
+        f"""
+        v AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM (
+          SELECT vec_id, list_transform(embedding, x -> floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+          WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, x -> isfinite(x))) = {centroids.DIMENSIONS})),
+        x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+        f AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY sha256('{centroids.SEED}' || vec_id)) - 1 AS k FROM v QUALIFY k < {centroids.CLUSTERS}),
+        c0 AS MATERIALIZED (SELECT k, i, x FROM f JOIN x USING (r))"""
+    ]
+    for t in range(centroids.ROUNDS + 1):
+        steps.append(
+            f"""
+        a{t} AS MATERIALIZED (SELECT r, c.k, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{t} AS c USING (i) GROUP BY r, c.k
+          QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c.k) = 1)"""
+        )
+        if t < centroids.ROUNDS:
+            steps.append(
+                f"""
+        s{t} AS MATERIALIZED (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{t} JOIN x USING (r) GROUP BY k, i),
+        c{t + 1} AS MATERIALIZED (SELECT c.k, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x
+          FROM c{t} AS c LEFT JOIN s{t} AS s ON c.k = s.k AND c.i = s.i)"""
+            )
+    last = centroids.ROUNDS
+    return f"""
+    WITH {", ".join(steps)},
+    h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY k)
+    SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+      centroid_sha256
+    FROM a{last} JOIN v USING (r) JOIN h USING (k)
+    """
+
+
+@query("op12_centroid_clusters", _centroid_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.report(_table(spark, sf, "embeddings"))
+
+
+@query(
+    "op13_cap_filters",
+    f"""
+    WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> isfinite(x))) = len(v)
+      AND len(list_filter(v, x -> x <> 0)) > 0),
+    e AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM g AS a JOIN g AS b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= {caps.THRESHOLD}),
+    t(r, other) AS (SELECT r, r FROM v UNION SELECT t.r, e.b FROM t JOIN e ON t.other = e.a),
+    c AS (SELECT t.r, min(v.vec_id) AS component_id FROM t JOIN v ON t.other = v.r GROUP BY t.r),
+    n AS (SELECT a AS r, count(*) AS n FROM e GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+    FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+    """,
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return caps.near_copies(_table(spark, sf, "embeddings"))

@@ -16,7 +16,8 @@ from faultline.operators.shared import new_path
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from read_parquet('{sf}/{table}.parquet')")
     cursor = con.execute(queries.ORACLES[name])
     df = queries.QUERIES[name](spark, sf)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in cursor.description], cursor.fetchall())
