@@ -164,14 +164,18 @@ def test_recall_at_the_threshold(members, least):
 
 def test_decoding_finds_all_directions_beyond_the_cap():
     rng = np.random.default_rng(7)
-    code = caps.Code(caps.plan(2000, 12, 0.9))
-    vectors = rng.standard_normal((50, 12))
+    code = caps.Code(caps.plan(2000, 16, 0.9))
+    vectors = rng.standard_normal((50, 16))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     row, direction = code.decode(vectors)
     every = code.directions()
+    assert np.abs(np.linalg.norm(every, axis=1) - 1).max() < 1e-3
+    passed = np.zeros((50, len(every)), dtype=bool)
+    passed[row, direction] = True
     dots = vectors @ every.T
-    assert np.abs(np.linalg.norm(every, axis=1) - 1).max() < 1e-9 and np.abs(dots - code.alpha).min() > 1e-12
-    assert set(zip(row.tolist(), direction.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(dots >= code.alpha)), strict=True))
+    # Vectors and codewords are rounded before they meet.
+    sure = np.abs(dots - code.alpha) > 1e-3
+    assert (passed == (dots >= code.alpha))[sure].all() and passed.sum() > 500 and sure.mean() > 0.99
 
 
 def test_filters_do_not_depend_on_the_session():
