@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from .blocked import attach_last, block_of, carry_forward, spans_to_blocks
 from .lines import error_lines, is_error, log_sizes
+from .nesting import matched, with_parents
 from .sections import ContextPlan, context_plan, format_sections
 from .shared import settle
 
@@ -212,31 +213,112 @@ def slice_stage_two_line(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return span_lines(lines, spans)
 
 
-def stage_tree(stages: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row per stage, or per block of a stage with more than one flow node, with the size of its text.
+def nested_spans(lines: DataFrame) -> DataFrame:
+    """Spans of stages and of the blocks of parallel groups, each with its own end.
 
-    `stages(log_id, stage_pos, name, status, duration_ms, nodes ARRAY<STRUCT<name, status, duration_ms>>)`.
+    One row per span: log_id, kind ('stage' or 'block'), name, start_line and end_line (the marker lines; end_line is the number of lines
+    for a span the log never closes), closed, depth (1 for an outermost span) and parent (start_line of the span around it, null without
+    one). A stage opens with '[Pipeline] stage (NAME)', or with '[Pipeline] stage' before '[Pipeline] { (NAME)'; a block is a brace right
+    inside a parallel group, with or without 'Branch: ' before its name. Closing markers that close nothing are passed over.
     """
+    raw = F.col("raw")
+    kind = (
+        F.when(raw.rlike(r"\[Pipeline\] (// )?stage( \(.*\))?\s*$"), "stage")
+        .when(raw.rlike(r"\[Pipeline\] (// )?parallel\s*$"), "parallel")
+        .when(raw.rlike(r"\[Pipeline\] (\{( \(.*\))?|\})\s*$"), "brace")
+    )
+    marks = settle(lines.filter(raw.contains("[Pipeline] ")).select("log_id", "line_no", kind.alias("kind"), "raw").filter("kind is not null"), "markers")
+    named = F.nullif(F.regexp_extract("raw", r"\[Pipeline\] (?:stage|\{) \((?:Branch: )?(.*)\)\s*$", 1), F.lit(""))
+    step = F.when(F.col("raw").rlike(r"\[Pipeline\] (// |\})"), -1).otherwise(1)
+    steps = marks.select("log_id", "line_no", "kind", named.alias("name"), step.alias("step"))
+    opened = matched(steps, ["log_id", "kind"], "line_no", "step")
+    spans = settle(opened.select("log_id", "kind", "name", "line_no", "end"), "all-spans")
+    below = spans.filter("kind = 'brace'").select("log_id", (F.col("line_no") - 1).alias("line_no"), F.lit("stage").alias("kind"), F.col("name").alias("_below"))
+    around = with_parents(spans, KEY, "line_no", "end")
+    groups = spans.filter("kind = 'parallel'").select("log_id", F.col("line_no").cast("bigint").alias("parent"), F.lit(True).alias("_grouped"))
+    blocks = around.filter("kind = 'brace'").join(groups, ["log_id", "parent"]).select("log_id", F.lit("block").alias("kind"), "name", "line_no", "end")
+    stages = spans.filter("kind = 'stage'").join(below, ["log_id", "line_no", "kind"], "left")
+    stages = stages.select("log_id", "kind", F.coalesce("name", "_below").alias("name"), "line_no", "end")
+    nodes = with_parents(stages.unionByName(blocks), KEY, "line_no", "end").join(log_sizes(lines), KEY)
+    return nodes.select(
+        "log_id", "kind", "name", F.col("line_no").cast("bigint").alias("start_line"), F.coalesce("end", "total_lines").alias("end_line"),
+        F.col("end").isNotNull().alias("closed"), "depth", "parent",
+    )
+
+
+_PART = ["log_id", "stage_pos", "stage_name", "is_parallel", "node_pos", "part_name", "status", "duration_ms"]
+
+
+def _stage_parts(stages: DataFrame) -> DataFrame:
+    """One row per stage, or per block of a stage with more than one flow node."""
     parallel = F.size("nodes") > 1
     single = stages.filter(~parallel).select(
         "log_id", "stage_pos", F.col("name").alias("stage_name"), F.lit(False).alias("is_parallel"),
-        F.lit(None).cast("int").alias("node_pos"), "name", "status", "duration_ms",
+        F.lit(None).cast("int").alias("node_pos"), F.col("name").alias("part_name"), "status", "duration_ms",
     )
     blocks = stages.filter(parallel).select(
-        "log_id", "stage_pos", F.col("name").alias("stage_name"), F.lit(True).alias("is_parallel"),
-        F.posexplode("nodes").alias("node_pos", "_n"),
-    ).select("log_id", "stage_pos", "stage_name", "is_parallel", "node_pos", "_n.*")
+        "log_id", "stage_pos", F.col("name").alias("stage_name"), F.lit(True).alias("is_parallel"), F.posexplode("nodes").alias("node_pos", "_n"),
+    )
+    return single.unionByName(blocks.select(*_PART[:5], F.col("_n.name").alias("part_name"), "_n.status", "_n.duration_ms"))
 
-    def sized(rows: DataFrame, cut) -> DataFrame:
-        sizes = cut(lines, rows.select("log_id", "name")).groupBy("log_id", "name").agg(
-            F.count("*").alias("lines"), F.sum(F.length("raw")).alias("chars")
-        )
-        return rows.join(sizes, ["log_id", "name"], "left").select(
-            "log_id", "stage_pos", "stage_name", "is_parallel", "node_pos", F.col("name").alias("part_name"), "status",
-            "duration_ms", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("chars", F.lit(0)).alias("chars"),
-        )
 
-    return sized(single, slice_stage).unionByName(sized(blocks, slice_block))
+def _part_lines(parts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(log_id, is_parallel, name, line_no, raw): the slices of the parts' names, each ending with the next closing marker."""
+    single, blocks = (parts.filter(c).select("log_id", F.col("part_name").alias("name")).distinct() for c in ("not is_parallel", "is_parallel"))
+    return slice_stage(lines, single).withColumn("is_parallel", F.lit(False)).unionByName(slice_block(lines, blocks).withColumn("is_parallel", F.lit(True)))
+
+
+def _part_spans(parts: DataFrame, lines: DataFrame) -> DataFrame:
+    """The parts with start_line, end_line and closed of their own spans: the first stage of that name in any case, the first block of that
+    name right inside that stage; null where the log has none."""
+    spans = settle(nested_spans(lines), "nested-spans")
+    of_stage = spans.filter("kind = 'stage'").groupBy("log_id", F.lower("name").alias("_stage")).agg(
+        F.min_by(F.struct("start_line", "end_line", "closed"), "start_line").alias("_s")
+    )
+    named = parts.withColumn("_stage", F.lower("stage_name")).join(of_stage, ["log_id", "_stage"], "left").withColumn("_parent", F.col("_s.start_line"))
+    of_block = spans.filter("kind = 'block'").groupBy("log_id", F.col("parent").alias("_parent"), F.col("name").alias("part_name")).agg(
+        F.min_by(F.struct("start_line", "end_line", "closed"), "start_line").alias("_b")
+    )
+    found = F.when(F.col("is_parallel"), F.col("_b")).otherwise(F.col("_s"))
+    return named.join(of_block, ["log_id", "_parent", "part_name"], "left").select(*_PART, found.alias("_span")).select(*_PART, "_span.*")
+
+
+def stage_tree(stages: DataFrame, lines: DataFrame, nested: bool = False) -> DataFrame:
+    """One row per stage, or per block of a stage with more than one flow node, with the size of its text.
+
+    `stages(log_id, stage_pos, name, status, duration_ms, nodes ARRAY<STRUCT<name, status, duration_ms>>)`. A part ends with the next closing
+    marker, so a nested stage cuts the outer one short. With `nested` each part ends with its own marker and comes with start_line,
+    end_line and closed (null where the log does not hold it).
+    """
+    parts = _stage_parts(stages)
+    sizes = [F.count("*").alias("lines"), F.sum(F.length("raw")).alias("chars")]
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("lines", "chars")]
+    if nested:
+        spans = settle(_part_spans(parts, lines), "part-spans")
+        ranges = spans.filter("start_line is not null").select("log_id", "start_line", "end_line").distinct()
+        keyed = ranges.withColumn("name", F.col("start_line").cast("string"))
+        sized = span_lines(lines, keyed).groupBy("log_id", F.col("name").cast("bigint").alias("start_line")).agg(*sizes)
+        return spans.join(sized, ["log_id", "start_line"], "left").select(*_PART, "start_line", "end_line", "closed", *counts)
+    sized = _part_lines(parts, lines).groupBy("log_id", "is_parallel", F.col("name").alias("part_name")).agg(*sizes)
+    return parts.join(sized, ["log_id", "is_parallel", "part_name"], "left").select(*_PART, *counts)
+
+
+def stage_texts(stages: DataFrame, lines: DataFrame, nested: bool = False) -> DataFrame:
+    """The text of each part of `stage_tree`: its columns without sizes, `part` and `text`.
+
+    A text comes in parts of one block of lines of the log, so that none grows with the log; parts without lines have no row.
+    """
+    parts = _stage_parts(stages)
+    if nested:
+        parts = settle(_part_spans(parts, lines).filter("start_line is not null"), "part-spans").withColumn("name", F.col("start_line").cast("string"))
+        cut = span_lines(lines, parts.select("log_id", "name", "start_line", "end_line").distinct())
+        key = ["log_id", "name"]
+    else:
+        cut = _part_lines(parts, lines).withColumnRenamed("name", "part_name")
+        key = ["log_id", "is_parallel", "part_name"]
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "raw")))
+    texts = cut.groupBy(*key, block_of(F.col("line_no")).alias("part")).agg(F.array_join(F.transform(ordered, lambda x: x["raw"]), "\n").alias("text"))
+    return parts.join(texts, key).select(*_PART, "part", "text")
 
 
 def real_failures(nodes: DataFrame, keys: Sequence[str], pos: str = "node_pos") -> DataFrame:

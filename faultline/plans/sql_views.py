@@ -81,6 +81,15 @@ def console_steps_cte() -> str:
   from log_lines)"""
 
 
+CONSOLE_NESTED = """console_nested as (
+  select log_id, line_no, case line_no % 40 when 0 then '[Pipeline] stage' when 1 then '[Pipeline] { (S' || line_no // 40 || ')'
+    when 4 then '[Pipeline] parallel' when 5 then '[Pipeline] { (Branch: A' || line_no // 40 || ')' when 6 then '[Pipeline] stage (I' || line_no // 40 || ')'
+    when 9 then '[Pipeline] // stage' when 31 then '[Pipeline] // stage' when 10 then '[Pipeline] }' when 17 then '[Pipeline] }' when 30 then '[Pipeline] }'
+    when 11 then '[Pipeline] { (B' || line_no // 40 || ')' when 18 then '[Pipeline] // parallel'
+    else case when line_no % 40 = 35 and line_no // 40 % 2 = 0 then '[Pipeline] // stage' else raw end end as raw
+  from log_lines)"""
+
+
 REQUESTS = """requests as (
   select event_id as id, ts as timestamp, user_id % 10 as project_id, user_id as pipeline_id,
     case user_id % 4 when 0 then 'main' when 1 then 'child' when 2 then 'merge_request' end as pipeline_type,

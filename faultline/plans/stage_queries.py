@@ -123,6 +123,72 @@ def _(spark, sf):
     return st.stage_tree(views.stage_meta(spark, sf), views.console(spark, sf))
 
 
+_FLAT_SPANS = f"""parts as (
+  select log_id, stage_pos, name as stage_name, false as is_parallel, null as node_pos, name as part_name, status, duration_ms from stage_meta where not is_parallel
+  union all select m.log_id, m.stage_pos, m.name, true, x.node_pos, x.name, x.status, x.duration_ms from stage_meta m
+    join stage_nodes x on x.log_id = m.log_id and x.stage_pos = m.stage_pos where m.is_parallel),
+wanted as (select log_id, part_name as name, is_parallel from parts),
+firsts as (select w.*, (select min(l.line_no) from console l where l.log_id = w.log_id
+  and case when w.is_parallel then {_BLOCK_START} else {_STAGE_START} end) as s from wanted w),
+spans as (select f.*, (select min(l.line_no) from console l where l.log_id = f.log_id and l.line_no > f.s
+  and case when f.is_parallel then {_BLOCK_END} else {_STAGE_END} end) as e from firsts f)"""
+
+
+@query("stage_texts", f"""with {_CONSOLE}, {_NUMBERS}, {_META}, {_FLAT_SPANS},
+  texts as (select w.log_id, w.is_parallel, w.name, l.line_no // 4096 as part, string_agg(l.raw, chr(10) order by l.line_no) as text from spans w
+    join console l on l.log_id = w.log_id and l.line_no > w.s and (w.e is null or l.line_no < w.e) group by all)
+  select p.*, t.part, t.text from parts p join texts t on t.log_id = p.log_id and t.is_parallel = p.is_parallel and t.name = p.part_name""")
+def _(spark, sf):
+    return st.stage_texts(views.stage_meta(spark, sf), views.console(spark, sf))
+
+
+# Depth by a window over the whole log, the closing marker and the span around by look-ups.
+_NESTED = f"""{sv.LOG_LINES}, {sv.CONSOLE_NESTED}, marks as (
+  select log_id, line_no, raw, case when regexp_matches(raw, '\\[Pipeline\\] (// )?stage( \\(.*\\))?\\s*$') then 'stage'
+    when regexp_matches(raw, '\\[Pipeline\\] (// )?parallel\\s*$') then 'parallel'
+    when regexp_matches(raw, '\\[Pipeline\\] (\\{{( \\(.*\\))?|\\}})\\s*$') then 'brace' end as kind,
+    case when contains(raw, '[Pipeline] // ') or contains(raw, '[Pipeline] }}') then -1 else 1 end as step,
+    nullif(regexp_extract(raw, '\\[Pipeline\\] (?:stage|\\{{) \\((?:Branch: )?(.*)\\)\\s*$', 1), '') as name from console_nested),
+summed as (select *, sum(step) over (partition by log_id, kind order by line_no) as total from marks where kind is not null),
+lowest as (select *, coalesce(min(total) over (partition by log_id, kind order by line_no rows between unbounded preceding and 1 preceding), 0) as low from summed),
+levels as (select *, case when step > 0 then total - least(0, low) when total >= least(0, low) then total - least(0, low) + 1 end as level from lowest),
+opened as (select o.log_id, o.kind, o.line_no, o.name, (select min(c.line_no) from levels c where c.log_id = o.log_id and c.kind = o.kind and c.step < 0
+  and c.level = o.level and c.line_no > o.line_no) as e from levels o where o.step > 0),
+around as (select x.*, (select max_by(o.kind, o.line_no) from opened o where o.log_id = x.log_id and o.line_no < x.line_no and (o.e is null or o.e > x.line_no)) as inside from opened x),
+nodes as (select o.log_id, 'stage' as kind, coalesce(o.name, b.name) as name, o.line_no, o.e from opened o
+    left join opened b on b.log_id = o.log_id and b.kind = 'brace' and b.line_no = o.line_no + 1 where o.kind = 'stage'
+  union all select log_id, 'block', name, line_no, e from around where kind = 'brace' and inside = 'parallel'),
+sizes as (select log_id, count(*) as total_lines from console_nested group by 1),
+tree as (select x.log_id, x.kind, x.name, x.line_no as start_line, coalesce(x.e, total_lines) as end_line, x.e is not null as closed,
+    cast(1 + count(o.line_no) as integer) as depth, max(o.line_no) as parent
+  from nodes x join sizes using (log_id) left join nodes o on o.log_id = x.log_id and o.line_no < x.line_no and (o.e is null or o.e > x.line_no) group by all)"""
+_NESTED_PARTS = f"""{_NESTED}, numbers as (select distinct log_id, line_no // 40 as n from numbered),
+parts as (select log_id, n * 2 as stage_pos, 's' || n as stage_name, true as is_parallel, 0 as node_pos, 'A' || n as part_name, 'SUCCESS' as status, n * 10 as duration_ms from numbers
+  union all select log_id, n * 2, 's' || n, true, 1, 'B' || n, 'SUCCESS', n * 10 from numbers
+  union all select log_id, n * 2 + 1, case when n % 3 = 2 then 'ZZ' else 'I' end || n, false, null, case when n % 3 = 2 then 'ZZ' else 'I' end || n, 'FAILED', n * 100 from numbers),
+placed as (select p.*, coalesce(b.start_line, case when not is_parallel then s.start_line end) as start_line, coalesce(b.end_line, case when not is_parallel then s.end_line end) as end_line,
+    coalesce(b.closed, case when not is_parallel then s.closed end) as closed
+  from parts p left join tree s on s.log_id = p.log_id and s.kind = 'stage' and lower(s.name) = lower(p.stage_name)
+  left join tree b on p.is_parallel and b.log_id = p.log_id and b.kind = 'block' and b.parent = s.start_line and b.name = p.part_name)"""
+
+
+@query("nested_spans", f"with {_NESTED} select * from tree")
+def _(spark, sf):
+    return st.nested_spans(views.console_nested(spark, sf))
+
+
+@query("stage_tree_nested", f"""with {_NESTED_PARTS} select p.*, (select count(*) from console_nested l where l.log_id = p.log_id and l.line_no > p.start_line and l.line_no < p.end_line) as lines,
+  cast(coalesce((select sum(length(raw)) from console_nested l where l.log_id = p.log_id and l.line_no > p.start_line and l.line_no < p.end_line), 0) as bigint) as chars from placed p""")
+def _(spark, sf):
+    return st.stage_tree(views.nested_meta(spark, sf), views.console_nested(spark, sf), nested=True)
+
+
+@query("stage_texts_nested", f"""with {_NESTED_PARTS} select p.* exclude (start_line, end_line, closed), l.line_no // 4096 as part, string_agg(l.raw, chr(10) order by l.line_no) as text
+  from placed p join console_nested l on l.log_id = p.log_id and l.line_no > p.start_line and l.line_no < p.end_line group by all""")
+def _(spark, sf):
+    return st.stage_texts(views.nested_meta(spark, sf), views.console_nested(spark, sf), nested=True)
+
+
 _NODES = f"""with {sv.JOBS}, nodes as (select pipeline_id, pos, name, case status when 'failed' then 'FAILED'
   when 'success' then 'SUCCESS' when 'skipped' then 'SKIPPED' else 'ABORTED' end as status from jobs),
   flags as (select *, coalesce(max(case when status in ('SUCCESS', 'SKIPPED') then 1 else 0 end) over

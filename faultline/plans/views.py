@@ -91,6 +91,40 @@ def console_steps(spark: S, sf: str) -> DataFrame:
     return log_lines(spark, sf).withColumn("raw", F.coalesce(marker, F.col("raw")))
 
 
+def console_nested(spark: S, sf: str) -> DataFrame:
+    """Console with stages inside parallel blocks inside stages, in both styles; some closing markers close nothing."""
+    m, n = F.col("line_no") % 40, F.floor(F.col("line_no") / 40)
+    name = n.cast("string")
+    marker = (
+        F.when(m == 0, F.lit("[Pipeline] stage"))
+        .when(m == 1, F.concat(F.lit("[Pipeline] { (S"), name, F.lit(")")))
+        .when(m == 4, F.lit("[Pipeline] parallel"))
+        .when(m == 5, F.concat(F.lit("[Pipeline] { (Branch: A"), name, F.lit(")")))
+        .when(m == 6, F.concat(F.lit("[Pipeline] stage (I"), name, F.lit(")")))
+        .when(m.isin(9, 31), F.lit("[Pipeline] // stage"))
+        .when(m.isin(10, 17, 30), F.lit("[Pipeline] }"))
+        .when(m == 11, F.concat(F.lit("[Pipeline] { (B"), name, F.lit(")")))
+        .when(m == 18, F.lit("[Pipeline] // parallel"))
+        .when((m == 35) & (n % 2 == 0), F.lit("[Pipeline] // stage"))
+    )
+    return log_lines(spark, sf).withColumn("raw", F.coalesce(marker, F.col("raw")))
+
+
+def nested_meta(spark: S, sf: str) -> DataFrame:
+    """Stage descriptions of `console_nested`: outer stages with two blocks, inner ones, and some the log does not hold."""
+    n = F.floor(F.col("line_no") / 40)
+    numbers = numbered_events(spark, sf).select("log_id", n.alias("n")).distinct()
+    name = F.col("n").cast("string")
+
+    def node(prefix):
+        return F.struct(F.concat(F.lit(prefix), name).alias("name"), F.lit("SUCCESS").alias("status"), (F.col("n") * 10).alias("duration_ms"))
+
+    outer = numbers.select("log_id", (F.col("n") * 2).alias("stage_pos"), F.concat(F.lit("s"), name).alias("name"), F.array(node("A"), node("B")).alias("nodes"), "n")
+    inner = numbers.select("log_id", (F.col("n") * 2 + 1).alias("stage_pos"), F.concat(F.when(F.col("n") % 3 == 2, "ZZ").otherwise("I"), name).alias("name"),
+                           F.array(node("x")).alias("nodes"), "n")
+    return outer.unionByName(inner).select("log_id", "stage_pos", "name", F.lit("FAILED").alias("status"), (F.col("n") * 100).alias("duration_ms"), "nodes")
+
+
 def requests(spark: S, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     u, i, k = F.col("user_id"), F.col("event_id"), F.col("event_type")
