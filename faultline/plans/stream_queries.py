@@ -12,10 +12,10 @@ from .event_queries import _stamp
 from .registry import query
 
 
-def _stream(spark, rows, name, files, *keys):
-    """The rows as a stream: stored as files, read a few files per micro-batch. The rows of a key stay in one file."""
+def _stream(spark, rows, name, files):
+    """The rows as a stream: stored as files, read a few files per micro-batch."""
     path = new_path(spark, name)
-    rows.repartition(files, *keys).write.parquet(path)
+    rows.repartition(files).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(files // 2, 1)).parquet(path)
 
 
@@ -67,12 +67,6 @@ def _(spark, sf):
 
 @query("stream_review_state", f"with {kq._OUTCOMES} select error_id, seq, outcome, saved_fix from outcomes")
 def _(spark, sf):
-    none = F.lit(None).cast("string")
-    records = views.review_records(spark, sf).select(
-        "error_id", F.lit(-1).cast("bigint").alias("seq"), F.lit("record").alias("kind"), none.alias("action"), none.alias("user_id"),
-        "channel_id", F.col("message_ts").alias("thread_ts"), F.col("fix").alias("text"), "error",
-    )
-    events = records.unionByName(views.reviews(spark, sf).withColumn("error", none))
-    # An error's events must arrive in order.
-    source = _stream(spark, events, "reviews", 4, "error_id")
-    return spark.read.parquet(_run(spark, jobs.start_review, source, "review"))
+    # Spread at random: an error's events come in any order, over several files and micro-batches.
+    source = _stream(spark, views.reviews(spark, sf).withColumn("error", F.lit(None).cast("string")), "reviews", 4)
+    return spark.read.parquet(_run(spark, jobs.start_review, source, "review", records=views.review_records(spark, sf)))

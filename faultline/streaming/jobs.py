@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..functions import fixed
 from ..operators.events import route_event
@@ -29,6 +29,23 @@ def _begin(writer, every: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+@contextmanager
+def _state_settings(spark: SparkSession, every: str | None) -> Iterator[None]:
+    """Settings that a query with own state takes over when it starts: a state store with times to live, and no batches without data
+    when the query is to stop at the end of its input."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if not every:
+        wanted["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _append_batches(path: str, partition: str = "batch"):
     """foreachBatch sink that replaces the batch's own folder, so a repeated batch leaves no duplicates."""
 
@@ -97,43 +114,49 @@ def latest_counts(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- AI cache: last write wins, entries live for a day ----
 
-def _cache_entries(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held = state.get if state.exists else None
-    for pdf in frames:
-        top = pdf.loc[pdf["cached_at"].idxmax()]
-        micros = int(top["cached_at"].value // 1000)
-        if held is None or micros >= held[0]:
-            held = (micros, top["fix_text"])
-    if held is None:
-        return
-    state.update(held)
-    ends = held[0] // 1000 + fixed.CACHE_HOURS * 3_600_000
-    state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-    at = pd.Timestamp(held[0], unit="us")
-    yield pd.DataFrame(
-        {"error_hash": pd.Series([key[0]], dtype=object), "fix_text": pd.Series([held[1]], dtype=object), "cached_at": [at],
-         "expires_at": [at + pd.Timedelta(hours=fixed.CACHE_HOURS)]}
-    )
+class _CacheEntries(StatefulProcessor):
+    """Per key the newest write. The entry leaves the state store by itself when its time to live is over."""
+
+    def __init__(self, live_ms: int):
+        self.live_ms = live_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entry = handle.getValueState("entry", "micros long", ttlDurationMs=self.live_ms)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.entry.get()[0] if self.entry.exists() else None
+        newest = None
+        for row in rows:
+            if (held is None or row.micros >= held) and (newest is None or (row.micros, row.fix_text) >= (newest.micros, newest.fix_text)):
+                newest = row
+        if newest is not None:
+            self.entry.update((newest.micros,))
+            yield Row(error_hash=key[0], fix_text=newest.fix_text, micros=newest.micros)
 
-def ai_cache(writes: DataFrame, late: str = f"{fixed.CACHE_HOURS} hours") -> DataFrame:
+    def close(self) -> None:
+        pass
+
+
+def ai_cache(writes: DataFrame, live_ms: int = fixed.CACHE_HOURS * 3_600_000) -> DataFrame:
     """Stream of cache writes `(error_hash, fix_text, cached_at)` -> the entry now valid per key, with its end.
 
-    A write counts as late only once its entry would have ended, so no valid entry is lost.
+    The state holds one time stamp per key, for `live_ms` after its last write; a write older than it changes nothing. Rows of a key pass
+    one by one. Of writes at the same moment the greater text stays. Writes without a key, text or time are left out.
     """
-    timed = writes.withColumn("cached_at", F.col("cached_at").cast("timestamp")).withWatermark("cached_at", late)
-    return timed.groupBy("error_hash").applyInPandasWithState(
-        _cache_entries, "error_hash string, fix_text string, cached_at timestamp, expires_at timestamp",
-        "micros long, fix_text string", "update", GroupStateTimeout.EventTimeTimeout,
+    timed = writes.select("error_hash", "fix_text", F.unix_micros(F.col("cached_at").cast("timestamp")).alias("micros")).dropna()
+    entries = timed.groupBy("error_hash").transformWithState(
+        _CacheEntries(live_ms), "error_hash string, fix_text string, micros long", "update", "processingTime"
     )
+    at = F.timestamp_micros("micros")
+    return entries.select("error_hash", "fix_text", at.alias("cached_at"), (at + F.expr(f"interval {fixed.CACHE_HOURS} hours")).alias("expires_at"))
 
 
-def start_ai_cache(writes: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    writer = ai_cache(writes).writeStream.outputMode("update").foreachBatch(_append_batches(path))
-    return _begin(writer.option("checkpointLocation", checkpoint), every)
+def start_ai_cache(
+    writes: DataFrame, path: str, checkpoint: str, every: str | None = None, live_ms: int = fixed.CACHE_HOURS * 3_600_000
+) -> StreamingQuery:
+    writer = ai_cache(writes, live_ms).writeStream.outputMode("update").foreachBatch(_append_batches(path))
+    with _state_settings(writes.sparkSession, every):
+        return _begin(writer.option("checkpointLocation", checkpoint), every)
 
 
 def valid_entries(spark: SparkSession, path: str, as_of: str) -> DataFrame:
@@ -148,66 +171,106 @@ def valid_entries(spark: SparkSession, path: str, as_of: str) -> DataFrame:
 
 # ---- review actions ----
 
-_REVIEW_STATE = "error string, fix string, channel string, thread string, editor string, edit_channel string"
+_RECORD = "error string, fix string, channel string, thread string"
+_EDIT = "editor string, edit_channel string"
+_EVENT = "kind string, action string, user_id string, channel_id string, thread_ts string, text string"
 _REVIEW_OUT = "error_id long, seq long, outcome string, saved_fix string"
 
 
-def _step(state: dict, a) -> tuple[str | None, str | None]:
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _step(state: dict, a: dict) -> tuple[str, str | None]:
     """Outcome and saved text of one event; `state` is changed in place."""
-    if a.kind == "record":
-        state.update(error=a.error, fix=a.text, channel=a.channel_id, thread=a.thread_ts)
-        return None, None
-    if a.kind == "button":
+    if a["kind"] == "button":
         if not state.get("error"):
             return "missing_error", None
-        if a.action == "approve":
+        if a["action"] == "approve":
             return "approved", state.get("fix")
-        if a.action == "edit":
-            state.update(editor=a.user_id, edit_channel=a.channel_id)
+        if a["action"] == "edit":
+            state.update(editor=a["user_id"], edit_channel=a["channel_id"])
             return "edit_opened", None
-        if a.action == "discard":
+        if a["action"] == "discard":
             state.update(error=None)
             return "discarded", None
         return "unknown_action", None
-    if state.get("editor") != a.user_id or state.get("edit_channel") != a.channel_id:
+    if state.get("editor") != a["user_id"] or state.get("edit_channel") != a["channel_id"]:
         return "ignored", None
-    if a.thread_ts is None:
+    if a["thread_ts"] is None:
         return "must_reply_in_thread", None
-    if state.get("thread") != a.thread_ts or state.get("channel") != a.channel_id:
+    if state.get("thread") != a["thread_ts"] or state.get("channel") != a["channel_id"]:
         return "wrong_thread", None
     if not state.get("error"):
         return "missing_error", None
-    state.update(fix=(a.text or "").strip(), editor=None, edit_channel=None)
+    state.update(fix=(a["text"] or "").strip(), editor=None, edit_channel=None)
     return "edited", state["fix"]
 
 
-def _review(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    names = [f.split()[0] for f in _REVIEW_STATE.split(", ")]
-    held = dict(zip(names, state.get)) if state.exists else {}
-    events = pd.concat(list(frames)).sort_values("seq")
-    events = events.astype(object).where(events.notna(), None)
-    rows = [(key[0], a.seq, *_step(held, a)) for a in events.itertuples()]
-    state.update(tuple(held.get(n) for n in names))
-    shown = [r for r in rows if r[2] is not None]
-    yield pd.DataFrame(
-        {
-            "error_id": pd.Series([r[0] for r in shown], dtype="int64"), "seq": pd.Series([r[1] for r in shown], dtype="int64"),
-            "outcome": pd.Series([r[2] for r in shown], dtype=object), "saved_fix": pd.Series([r[3] for r in shown], dtype=object),
-        }
-    )
-
-
-def review_outcomes(events: DataFrame) -> DataFrame:
+class _Reviews(StatefulProcessor):
+    """Per error its record, the open edit, the number of the next event, and the events that came before their turn."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.record = handle.getValueState("record", _RECORD)
+        self.edit = handle.getValueState("edit", _EDIT)
+        self.next = handle.getValueState("next", "seq long")
+        self.waiting = handle.getMapState("waiting", "seq long", _EVENT)
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
+        self.record.update(tuple(initialState[n] for n in _names(_RECORD)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held: dict = {}
+        for value, schema in ((self.record, _RECORD), (self.edit, _EDIT)):
+            held.update(zip(_names(schema), value.get(), strict=True) if value.exists() else ())
+        due = self.next.get()[0] if self.next.exists() else 0
+        begun, first = due, dict(held)
+        early = any(True for _ in self.waiting.keys())
+        for row in rows:
+            if row.kind == "record":
+                held.update(error=row.error, fix=row.text, channel=row.channel_id, thread=row.thread_ts)
+                continue
+            if row.seq != due:
+                if row.seq > due:
+                    self.waiting.updateValue((row.seq,), tuple(row[n] for n in _names(_EVENT)))
+                    early = True
+                continue
+            event = {n: row[n] for n in _names(_EVENT)}
+            while event is not None:
+                outcome, saved = _step(held, event)
+                yield Row(error_id=key[0], seq=due, outcome=outcome, saved_fix=saved)
+                due, event = due + 1, None
+                if early and self.waiting.containsKey((due,)):
+                    event = dict(zip(_names(_EVENT), self.waiting.getValue((due,)), strict=True))
+                    self.waiting.removeKey((due,))
+        if held != first:
+            self.record.update(tuple(held.get(n) for n in _names(_RECORD)))
+            self.edit.update(tuple(held.get(n) for n in _names(_EDIT)))
+        if due != begun:
+            self.next.update((due,))
+
+    def close(self) -> None:
+        pass
+
+
+def review_outcomes(events: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """Live twin of the batch operator of the same name, keyed by error id.
 
-    Fix records arrive as events of kind 'record' (error, text = fix, thread_ts = message). One task sees the events of
-    one key in one micro-batch; bound the micro-batch with maxFilesPerTrigger.
+    `records(error_id, error, fix, channel_id, message_ts)` are known before the first event; a record that comes later is an event of kind
+    'record' (error, text = fix, thread_ts = message) and counts at once. The other events of an error are numbered 0, 1, 2, .. by
+    `seq` and take effect in this order, however they come: one that is early waits in the state until the ones before it are there, one that
+    comes twice counts once. Rows of a key pass one by one.
     """
-    return events.groupBy("error_id").applyInPandasWithState(
-        _review, _REVIEW_OUT, _REVIEW_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def start_review(events: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    writer = review_outcomes(events).writeStream.outputMode("append").format("parquet")
-    return _begin(writer.option("path", path).option("checkpointLocation", checkpoint), every)
+    initial = None
+    if records is not None:
+        known = records.select("error_id", "error", "fix", F.col("channel_id").alias("channel"), F.col("message_ts").alias("thread"))
+        initial = known.groupBy("error_id")
+    return events.groupBy("error_id").transformWithState(_Reviews(), _REVIEW_OUT, "append", "none", initial)
+
+
+def start_review(
+    events: DataFrame, path: str, checkpoint: str, every: str | None = None, records: DataFrame | None = None
+) -> StreamingQuery:
+    writer = review_outcomes(events, records).writeStream.outputMode("append").format("parquet")
+    with _state_settings(events.sparkSession, every):
+        return _begin(writer.option("path", path).option("checkpointLocation", checkpoint), every)

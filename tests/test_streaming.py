@@ -1,8 +1,11 @@
 import datetime as dt
+import random
+import time
 
 from pyspark.sql import functions as F
 
 from faultline.operators.requests import status_timeline
+from faultline.operators.review import review_outcomes
 from faultline.operators.shared import new_path
 from faultline.streaming import jobs
 
@@ -92,8 +95,28 @@ def test_ai_cache_last_write_wins(spark):
     assert ends == "2024-01-02 01:00:00"
 
 
+def test_ai_cache_entries_leave_the_state_by_themselves(spark):
+    """While an entry lives an older write changes nothing; afterwards the key is as new."""
+    at = dt.datetime(2024, 1, 1, 12)
+    schema = "error_hash string, fix_text string, cached_at timestamp_ntz"
+
+    def after(live_ms):
+        path, out, mark = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "mark")
+        for text, back in (("new", 0), ("older", 5)):
+            spark.createDataFrame([("a", text, at - dt.timedelta(hours=back)), ("b", None, at)], schema).coalesce(1).write.mode("append").parquet(path)
+            jobs.start_ai_cache(spark.readStream.schema(schema).parquet(path), out, mark, live_ms=live_ms).awaitTermination()
+            time.sleep(1.2)
+        return [r.fix_text for r in spark.read.parquet(out).orderBy("batch").collect()]
+
+    assert after(3_600_000) == ["new"]
+    assert after(1_000) == ["new", "older"]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+REVIEW = "error_id bigint, seq bigint, kind string, action string, user_id string, channel_id string, thread_ts string, text string, error string"
+
+
 def test_review_state_lives_across_batches(spark):
-    schema = "error_id bigint, seq bigint, kind string, action string, user_id string, channel_id string, thread_ts string, text string, error string"
     batches = [
         [(1, -1, "record", None, None, "c", "m", "fix", "err"), (1, 0, "button", "edit", "u", "c", None, None, None)],
         [(1, 1, "reply", None, "u", "c", None, "x", None), (1, 2, "reply", None, "u", "c", "m", "\t new\n", None)],
@@ -102,7 +125,29 @@ def test_review_state_lives_across_batches(spark):
     ]
     path, out, mark = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "mark")
     for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        jobs.start_review(spark.readStream.schema(schema).parquet(path), out, mark).awaitTermination()
+        spark.createDataFrame(rows, REVIEW).coalesce(1).write.mode("append").parquet(path)
+        jobs.start_review(spark.readStream.schema(REVIEW).parquet(path), out, mark).awaitTermination()
     got = [(r.seq, r.outcome, r.saved_fix) for r in spark.read.parquet(out).orderBy("seq").collect()]
     assert got == [(0, "edit_opened", None), (1, "must_reply_in_thread", None), (2, "edited", "new"), (3, "approved", "new"), (4, "ignored", None), (5, "edit_opened", None), (6, "edited", "")]
+
+
+def test_reviews_in_any_order_equal_the_batch_operator(spark):
+    """Events of a few errors, shuffled over seven micro-batches and partly delivered twice; records as initial state."""
+    rng, events = random.Random(4), []
+    for error in range(5):
+        for seq in range(40):
+            kind = rng.choice(("button", "reply"))
+            action = rng.choices(("edit", "approve", "other", "discard"), (8, 4, 1, 0.2))[0] if kind == "button" else None
+            reply = (rng.choice((None, "m", "m", "x")), f" t{seq} ") if kind == "reply" else (None, None)
+            events.append((error, seq, kind, action, rng.choice("uv"), "c", *reply, None))
+    records = spark.createDataFrame([(e, f"err {e}", f"fix {e}", "c", "m") for e in range(4)], "error_id long, error string, fix string, channel_id string, message_ts string")
+    want = review_outcomes(spark.createDataFrame(events, REVIEW), records)
+    want = sorted((r.error_id, r.seq, r.outcome, r.saved_fix) for r in want.collect())
+    sent = events + rng.sample(events, 30)
+    rng.shuffle(sent)
+    path, out, mark = new_path(spark, "in"), new_path(spark, "out"), new_path(spark, "mark")
+    for n in range(7):
+        spark.createDataFrame(sent[n::7], REVIEW).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(REVIEW).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.start_review(source, out, mark, records=records).awaitTermination()
+    assert sorted((r.error_id, r.seq, r.outcome, r.saved_fix) for r in spark.read.parquet(out).collect()) == want
