@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import knowledge as kn
 from ..operators import sections as sec
-from ..operators.shared import new_path
+from ..operators.shared import new_path, settle
 from ..sources import events as se
+from ..sources import files as fl
 from ..sources import logs as lg
 from ..sources import sinks
 from . import line_queries as lq
@@ -85,6 +86,20 @@ def _(spark, sf):
                       m["ingestion_mode"].alias("ingestion_mode"), m["quality"].alias("quality"), "outcome")
 
 
+@query("src_fix_import_csv", """select doc_id, text as error_text, case when doc_id % 5 <> 0 then 'fix, "' || doc_id || '"' end as fix_text, case when doc_id % 3 = 0 then 'ann' end as approver,
+  'manual' as status, 'manual_api_bulk' as source, lang, case when doc_id % 5 = 0 then 'skipped' else 'ready' end as outcome from documents where length(trim(text)) > 0""")
+def _(spark, sf):
+    d = F.col("doc_id")
+    rows = views.table(spark, sf, "documents").filter(F.length(F.trim("text")) > 0).select(
+        d.cast("string").alias("doc_id"), F.col("text").alias("error"),
+        F.when(d % 5 != 0, F.concat(F.lit('fix, "'), d.cast("string"), F.lit('"'))).alias("fix"), F.when(d % 3 == 0, "ann").alias("approved_by"), "lang",
+    )
+    path = new_path(spark, "fixes-csv")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out, m = kn.fix_entries(se.fix_import_csv(spark, path)), F.col("metadata")
+    return out.select(m["doc_id"].cast("bigint").alias("doc_id"), "error_text", "fix_text", "approver", "status", m["source"].alias("source"), m["lang"].alias("lang"), "outcome")
+
+
 @query("import_outcomes", f"""with {_ENTRIES} select count(*) as total, count(*) filter (toxic <> 1 and doc_id % 7 <> 0) as imported,
   count(*) filter (toxic <> 1 and doc_id % 7 = 0) as failed, count(*) filter (toxic = 1) as skipped from entries""")
 def _(spark, sf):
@@ -130,6 +145,16 @@ def _(spark, sf):
     )
 
 
+@query("src_app_log_files", f"""with {_APP} select file, record_line, ts, level, logger, request_id, message, trace_lines from records""")
+def _(spark, sf):
+    path = new_path(spark, "app-log")
+    # One file per user; its lines in order.
+    views.app_log_lines(spark, sf).repartition("file").sortWithinPartitions("file", "line_no").select("file", "raw").write.partitionBy("file").text(path)
+    read = lg.read_lines(spark, path, recursiveFileLookup=True)
+    lines = read.withColumn("file", F.regexp_extract("file", r"file=(\d+)/", 1).cast("bigint"))
+    return _ms(lg.app_log(lines)).select("file", "record_line", "ts", "level", "logger", "request_id", "message", "trace_lines")
+
+
 @query("app_log_traces", f"""with {_APP} select file, record_line, line_no, '  File "x.py", line ' || event_id as raw from owned where not is_record and record_line is not null""")
 def _(spark, sf):
     return lg.app_log_traces(views.app_log_lines(spark, sf))
@@ -179,7 +204,7 @@ _LISTING = """listing as (select case when l_linenumber < 5 then '/data/NATION_'
   else '/data/NATION_1_1/pipeline_' || l_orderkey || '/metadata.json' end as path, cast(floor(l_extendedprice) as bigint) as size, l_shipdate as mtime, * from lineitem)"""
 
 
-@query("src_log_store", f"""with {_LISTING} select path, case when l_linenumber < 5 then 'gitlab' when l_linenumber < 7 then 'jenkins' end as source,
+@query("log_path_keys", f"""with {_LISTING} select path, case when l_linenumber < 5 then 'gitlab' when l_linenumber < 7 then 'jenkins' end as source,
   case when l_linenumber < 5 then 'NATION_' || (l_orderkey % 25) || '_' || (l_orderkey % 25) end as project_dir,
   case when l_linenumber < 5 then l_orderkey % 25 end as project_id, case when l_linenumber < 5 then l_orderkey end as pipeline_id,
   case when l_linenumber < 5 then concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) end as job_id,
@@ -189,6 +214,72 @@ def _(spark, sf):
     return lg.path_keys(views.listing(spark, sf)).drop("size", "mtime")
 
 
+_STORED = """stored as (select doc_id, text, case doc_id % 3 when 0 then 'gitlab' else 'jenkins' end as source,
+  case when doc_id % 3 = 0 then 'team_' || (doc_id % 7) || '_' || (doc_id % 25) end as project_dir, case when doc_id % 3 = 0 then doc_id % 25 end as project_id,
+  case when doc_id % 3 = 0 then doc_id // 10 end as pipeline_id, case when doc_id % 3 = 0 then cast(doc_id as varchar) end as job_id,
+  case when doc_id % 3 = 0 then 'unit tests_' || (doc_id % 4) else 'job' || (doc_id % 40) end as job_name,
+  case when doc_id % 3 <> 0 then doc_id end as build_number, case when doc_id % 3 = 1 then 'S' || (doc_id % 9) end as stage from documents)"""
+
+
+def _log_files(spark, sf):
+    """Every document as a stored log of its own: the folder and the listing of the files."""
+    d = F.col("doc_id")
+    s = d.cast("string")
+    job = F.concat(F.lit("team_"), (d % 7).cast("string"), F.lit("_"), (d % 25).cast("string"), F.lit("/pipeline_"), F.floor(d / 10).cast("string"),
+                   F.lit("/job_"), s, F.lit("_unit tests_"), (d % 4).cast("string"), F.lit(".log"))
+    build = F.concat(F.lit("jenkins-builds/job"), (d % 40).cast("string"), F.lit("/"), s)
+    stage = F.concat(build, F.lit("/stage_S"), (d % 9).cast("string"), F.lit(".log"))
+    path = F.when(d % 3 == 0, job).when(d % 3 == 1, stage).otherwise(F.concat(build, F.lit("/console.log")))
+    root = new_path(spark, "logs")
+    written = settle(fl.write_files(views.table(spark, sf, "documents").select(path.alias("path"), F.col("text").alias("content")), root), "written")
+    return root, written
+
+
+_KEYS = ["source", "project_dir", "project_id", "pipeline_id", "job_id", "job_name", "build_number", "stage"]
+
+
+@query("src_log_store", f"with {_STORED} select * exclude (doc_id, text), length(text) as chars, md5(text) as digest from stored")
+def _(spark, sf):
+    return lg.read_log_store(spark, _log_files(spark, sf)[0]).select(*_KEYS, F.length("content").alias("chars"), F.md5("content").alias("digest"))
+
+
+@query("src_log_lines", f"""with {_STORED}, parts as (select *, string_split(text, chr(10)) as p from stored where length(text) > 0),
+  kept as (select *, case when p[-1] = '' then p[:-2] else p end as q from parts)
+  select * exclude (doc_id, text, p, q), unnest(range(len(q))) as line_no, unnest(q) as raw from kept""")
+def _(spark, sf):
+    return lg.read_log_lines(spark, _log_files(spark, sf)[0]).select(*_KEYS, "line_no", "raw")
+
+
+def _ends(spark, sf, cut):
+    """Doc id and what one end of its file gave; the listing comes from the folder."""
+    files = lg.path_keys(cut(lg.list_artefacts(spark, _log_files(spark, sf)[0]).drop("mtime")))
+    return files.withColumn("log_id", F.coalesce(F.col("job_id").cast("bigint"), "build_number"))
+
+
+@query("file_tail_bytes", """select doc_id as log_id, right(hex(encode(text)), 1200) as tail_hex, greatest(octet_length(encode(text)) - 600, 0) as start,
+  least(octet_length(encode(text)), 600) as bytes_read from documents""")
+def _(spark, sf):
+    return _ends(spark, sf, lambda f: fl.file_tail_bytes(f, 4)).select("log_id", F.hex("content").alias("tail_hex"), "start", "bytes_read")
+
+
+@query("file_tail_lines", """select doc_id as log_id, case when len(string_split(text, chr(10))) > 5
+  then array_to_string(string_split(text, chr(10))[-5:], chr(10)) else text end as content from documents""")
+def _(spark, sf):
+    return _ends(spark, sf, lambda f: fl.file_tail_lines(f, 5)).select("log_id", "content")
+
+
+@query("file_head_cap", """select doc_id as log_id, array_to_string(string_split(text, chr(10))[:10], chr(10)) as content,
+  len(string_split(text, chr(10))) >= 10 as truncated, least(len(string_split(text, chr(10))), 10) as total_lines from documents""")
+def _(spark, sf):
+    return _ends(spark, sf, lambda f: fl.file_head_cap(f, 10)).select("log_id", "content", "truncated", "total_lines")
+
+
+@query("file_hybrid_log", lq.HYBRID_SQL)
+def _(spark, sf):
+    out = _ends(spark, sf, lambda f: fl.file_hybrid_log(f, 3, 20, lq.HYBRID_PATTERNS, ("$$$",)))
+    return out.select("log_id", "content", "method", "truncated", "total_lines")
+
+
 @query("storage_stats", f"""with {_LISTING} select count(distinct l_orderkey % 25) filter (l_linenumber < 5) as projects,
   count(distinct l_orderkey) filter (l_linenumber < 5) as pipelines, count(distinct l_partkey % 40) filter (l_linenumber in (5, 6)) as build_jobs,
   count(distinct (l_partkey % 40, l_orderkey)) filter (l_linenumber in (5, 6)) as builds, count(*) filter (l_linenumber < 7) as log_files,
@@ -278,10 +369,36 @@ def _(spark, sf):
     from ..operators import events as ev
 
     kept = ev.filter_metadata_save(ev.classify_pipeline_type(views.pipelines(spark, sf)), F.lit(True))
-    path = new_path(spark, "metadata")
-    kept.write.json(path)
-    back = spark.read.schema(lg.PIPELINE_METADATA).option("mode", "DROPMALFORMED").json(path)
-    return back.select("pipeline_id", "project_id", "status", "ref", "pipeline_type", F.array_join("stages", ",").alias("stages"))
+    names = ["pipeline_id", "project_id", "status", "ref", "pipeline_type", "stages"]
+    root, directory = new_path(spark, "metadata"), F.concat(F.lit("p_"), F.col("project_id").cast("string"), F.lit("/pipeline_"), F.col("pipeline_id").cast("string"))
+    settle(sinks.metadata_files(kept.select(*names), root, directory), "written")
+    # Files that are not read: one is broken, one has another name.
+    other = spark.createDataFrame([("broken/metadata.json", '{"pipeline_id": 1, "sta'), ("other/notes.json", '{"pipeline_id": 2}')], "path string, content string")
+    settle(fl.write_files(other, root), "written")
+    return lg.read_metadata_json(spark, root).select(*names[:-1], F.array_join("stages", ",").alias("stages"))
+
+
+@query("sink_job_metadata", f"""with {sv.PIPELINES}, {sv.JOBS}, numbered_jobs as (select *, cast(substr(name, 5) as integer) as no from jobs),
+  first as (select * from numbered_jobs where no % 3 <> 0), later as (select * from numbered_jobs where no % 3 = 0 or no = 1),
+  entries as (select coalesce(a.pipeline_id, b.pipeline_id) as pipeline_id, coalesce(a.job_id, b.job_id) as job_id, coalesce(b.name || ' again', a.name) as job_name,
+    coalesce(b.status, 'stored') as job_status from first a full join (select * from later where pipeline_id % 4 <> 1) b on a.pipeline_id = b.pipeline_id and a.job_id = b.job_id)
+  select pipeline_id, case when pipeline_id % 4 <> 1 then 'merged' else status end as status, ref, job_id, job_name, job_status,
+    case when pipeline_id % 4 <> 1 then 2 else 1 end as last_updated from pipelines join entries using (pipeline_id)""")
+def _(spark, sf):
+    jobs = views.jobs(spark, sf).select("pipeline_id", "job_id", "name", "status", F.substring("name", 5, 9).cast("int").alias("no"))
+
+    def mapped(rows, name, status):
+        entry = F.struct("job_id", F.struct(F.lit(None).cast("bigint").alias("job_id"), name.alias("job_name"), F.lit(None).cast("string").alias("log_file"), status.alias("status")))
+        return rows.groupBy("pipeline_id").agg(F.map_from_entries(F.collect_list(entry)).alias("jobs"))
+
+    p = views.pipelines(spark, sf).select("pipeline_id", F.col("status").alias("state"), "ref")
+    old = p.join(mapped(jobs.filter("no % 3 <> 0"), F.col("name"), F.lit("stored")), "pipeline_id", "left")
+    stored = old.select("pipeline_id", F.lit(1).alias("version"), F.col("state").alias("status"), "ref", "jobs")
+    late = mapped(jobs.filter("no % 3 = 0 or no = 1"), F.concat("name", F.lit(" again")), F.col("status")).filter("pipeline_id % 4 <> 1")
+    new = p.filter("pipeline_id % 4 <> 1").join(late, "pipeline_id", "left").select("pipeline_id", F.lit(2).alias("version"), F.lit("merged").alias("status"), "jobs")
+    merged = sinks.merge_latest(stored, new, ["pipeline_id"])
+    rows = merged.select("pipeline_id", "status", "ref", "last_updated", F.explode("jobs").alias("job_id", "_j"))
+    return rows.select("pipeline_id", "status", "ref", "job_id", "_j.job_name", F.col("_j.status").alias("job_status"), "last_updated")
 
 
 @query("sink_failures", f"with recursive {pq._GITLAB} select 'gitlab' as source, pipeline_url as pipeline_id, failed_count as steps from pipelines join (select pipeline_id, count(*) filter (status = 'failed') as failed_count from jobs group by 1) using (pipeline_id)")

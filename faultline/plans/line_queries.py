@@ -225,17 +225,20 @@ def _(spark, sf):
     return ln.head_cap(_docs(spark, sf), 10)
 
 
-_HYBRID = ("token", "###")
+HYBRID_PATTERNS = ("token", "###")
 
 
-@query("hybrid_log", """with d as (select doc_id as log_id, text, string_split(text, chr(10)) as p from documents),
+HYBRID_SQL = """with d as (select doc_id as log_id, text, string_split(text, chr(10)) as p from documents),
   e as (select *, case when len(p) > 3 then p[-3:] else p end as last from d),
   f as (select *, len(list_filter(last, lambda x: (contains(lower(x), 'token') or contains(lower(x), '###')) and not contains(lower(x), '$$$'))) > 0 as hit from e)
   select log_id, case when hit then array_to_string(last, chr(10)) else array_to_string(p[:20], chr(10)) end as content,
   case when hit then 'tail' else 'streaming' end as method, (not hit) and len(p) >= 20 as truncated,
-  case when hit then len(last) else least(len(p), 20) end as total_lines from f""")
+  case when hit then len(last) else least(len(p), 20) end as total_lines from f"""
+
+
+@query("hybrid_log", HYBRID_SQL)
 def _(spark, sf):
-    return ln.hybrid_log(_docs(spark, sf), 3, 20, patterns=_HYBRID, ignore=("$$$",))
+    return ln.hybrid_log(_docs(spark, sf), 3, 20, patterns=HYBRID_PATTERNS, ignore=("$$$",))
 
 
 _DOC_LINES = f"""log_lines as (select doc_id as log_id, unnest(range(len(string_split(text, chr(10))))) as line_no,

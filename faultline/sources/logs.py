@@ -43,14 +43,19 @@ def path_keys(files: DataFrame, path: str = "path") -> DataFrame:
     ).drop("_p")
 
 
+def _file_path() -> Column:
+    """The file of a row as it is named: Spark gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_log_store(spark: SparkSession, root: str) -> DataFrame:
     """Stored logs with their keys and text, one row per file."""
     files = spark.read.option("pathGlobFilter", "*.log").option("recursiveFileLookup", True).text(root, wholetext=True)
-    return path_keys(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    return path_keys(files.select(_file_path().alias("path"), F.col("value").alias("content")))
 
 
 def list_artefacts(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime) of all stored files; contents are not read."""
+    """(path, size, mtime) of all stored files but empty ones; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"))
 
@@ -74,7 +79,7 @@ def read_lines(spark: SparkSession, path: str, **options: str | bool) -> DataFra
     A file of any size is read in byte ranges; lines are counted per range and numbered from the sums.
     """
     read = spark.read.options(**options).text(path, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"), F.col("_metadata.file_block_start").alias("_from"),
+        _file_path().alias("file"), F.col("value").alias("raw"), F.col("_metadata.file_block_start").alias("_from"),
         F.monotonically_increasing_id().alias("_at"),
     )
     return number_rows(read, ["file"], ["_at"], F.col("_from"), "line_no").select("file", "line_no", "raw")

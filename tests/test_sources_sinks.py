@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.shared import new_path, settle, shared_dir
 from faultline.sources import events as se
+from faultline.sources import files as fl
 from faultline.sources import logs as lg
 from faultline.sources import sinks
 
@@ -160,3 +161,63 @@ def test_shared_folder_comes_from_the_session(spark):
     assert new_path(spark, "x").startswith(shared_dir(spark)) and new_path(spark, "x") != new_path(spark, "x")
     df = spark.range(5)
     assert settle(df, "five").count() == 5
+
+
+def test_job_entries_are_merged_one_by_one(spark):
+    """A write of job 11 leaves job 10; a newer entry for job 10 replaces the whole old one, an older one does not."""
+    entry = "struct<job_name: string, status: string>"
+    schema = f"p long, version int, status string, jobs map<string, {entry}>"
+    old = spark.createDataFrame([(1, 1, "running", {"10": ("a", "failed")}), (2, 1, "running", None), (3, 1, "x", {}), (4, 1, "y", {"7": ("q", None)})], schema)
+    new = spark.createDataFrame([
+        (1, 2, None, {"11": ("b", "success")}), (1, 4, "failed", {"10": ("a2", None)}), (1, 3, None, {"10": ("mid", "x")}),
+        (2, 2, None, {"5": ("n", "ok")}), (3, 2, None, None), (5, 2, "new", {"1": ("z", "z")})], schema)
+    got = {r.p: (r.status, r.jobs and {k: tuple(v) for k, v in r.jobs.items()}, r.last_updated) for r in sinks.merge_latest(old, new, ["p"]).collect()}
+    assert got == {
+        1: ("failed", {"10": ("a2", None), "11": ("b", "success")}, 4), 2: (None, {"5": ("n", "ok")}, 2), 3: (None, {}, 2),
+        4: ("y", {"7": ("q", None)}, 1), 5: ("new", {"1": ("z", "z")}, 2),
+    }
+    without = sinks.merge_latest(old, new.drop("jobs"), ["p"])
+    assert {r.p: len(r.jobs or ()) for r in without.collect()} == {1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
+
+
+def test_ends_of_files_are_read_without_the_rest(spark, tmp_path, monkeypatch):
+    long = "".join(f"line {n} {'x' * (n % 50)}\n" for n in range(40_000))
+    texts = {"a b/long.log": long, "short.log": "one\ntwo", "empty.log": "", "nul.log": None, "exact.log": "1\n2\n3", "bytes.log": "é" * 400}
+    rows = spark.createDataFrame(list(texts.items()), "path string, content string")
+    written = fl.write_files(rows, str(tmp_path)).collect()
+    assert {r.path.removeprefix(f"{tmp_path}/"): r.size for r in written} == {k: len((v or "").encode()) for k, v in texts.items()}
+    assert not [p for p in tmp_path.rglob("*") if p.name.endswith(".part")]
+    # A listing by Spark leaves empty files out.
+    assert lg.list_artefacts(spark, str(tmp_path)).count() == len(texts) - 2
+    files = spark.createDataFrame(written)
+
+    def by_name(df):
+        return {r.path.rpartition("/")[2]: r for r in df.collect()}
+
+    tails = by_name(fl.file_tail_bytes(files, 3))
+    assert all(r.bytes_read == min(r.size, 450) == len(r.content) for r in tails.values()) and bytes(tails["long.log"].content) == long.encode()[-450:]
+    for n in (1, 3, 5000):
+        lines = by_name(fl.file_tail_lines(files, n))
+        assert {k: r.content for k, r in lines.items()} == {k.rpartition("/")[2]: "\n".join((v or "").split("\n")[-n:]) for k, v in texts.items()}
+        heads = by_name(fl.file_head_cap(files, n))
+        for k, v in texts.items():
+            parts, r = (v or "").split("\n"), heads[k.rpartition("/")[2]]
+            assert (r.content, r.total_lines, r.truncated) == ("\n".join(parts[:n]), min(n, len(parts)), len(parts) >= n)
+    assert by_name(fl.file_tail_lines(files, 3))["long.log"].bytes_read == fl.CHUNK
+    assert by_name(fl.file_head_cap(files, 3))["long.log"].bytes_read == fl.CHUNK
+    got = by_name(fl.file_hybrid_log(files, 1, 2, ("two",), ()))
+    assert (got["short.log"].method, got["short.log"].content, got["short.log"].total_lines, got["short.log"].truncated) == ("tail", "two", 1, False)
+    assert (got["exact.log"].method, got["exact.log"].content, got["exact.log"].truncated) == ("streaming", "1\n2", True)
+    # A chunk border inside a line, a break or a character changes nothing.
+    monkeypatch.setattr(fl, "CHUNK", 7)
+    small = by_name(fl.file_tail_lines(files.filter("path not like '%long.log'"), 2))
+    assert small["exact.log"].content == "2\n3" and small["bytes.log"].content == texts["bytes.log"]
+
+
+def test_paths_with_blanks_and_signs(spark, tmp_path):
+    rows = spark.createDataFrame([("te am+1%_7/pipeline_3/job_5_unit tests+a%20b.log", "x\ny")], "path string, content string")
+    assert fl.write_files(rows, str(tmp_path)).count() == 1
+    got = lg.read_log_store(spark, str(tmp_path)).first()
+    assert (got.project_dir, got.job_name, got.content) == ("te am+1%_7", "unit tests+a%20b", "x\ny")
+    assert [(r.job_name, r.line_no, r.raw) for r in lg.read_log_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [
+        ("unit tests+a%20b", 0, "x"), ("unit tests+a%20b", 1, "y")]
