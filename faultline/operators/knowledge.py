@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .knn import nearest
+from .knn import VectorIndex, nearest
 from .shared import settle
 
 
@@ -30,38 +30,89 @@ def fix_store_count(fixes: DataFrame) -> DataFrame:
     return fixes.agg(F.count("*").alias("fixes"))
 
 
+def _usable(fix_text: Column) -> Column:
+    return text.not_blank(fix_text).isNotNull() & (text.strip(fix_text) != fixed.EMPTY_FIX)
+
+
+def _best_fix(near: DataFrame) -> DataFrame:
+    best = F.min_by(F.struct("item_id", "fix_text", "similarity"), "rank").alias("_b")
+    return near.filter(_usable(F.col("fix_text"))).groupBy("query_id").agg(best).select(
+        "query_id", F.col("_b.item_id").alias("fix_id"), "_b.fix_text", F.col("_b.similarity").alias("confidence")
+    )
+
+
 def knn_fix(
-    queries: DataFrame, fixes: DataFrame, k: int = fixed.TOP_K, min_similarity: float = fixed.FIX_SIMILARITY,
+    queries: DataFrame, fixes: DataFrame | VectorIndex, k: int = fixed.TOP_K, min_similarity: float = fixed.FIX_SIMILARITY,
     metric: str = "l2sq",
 ) -> DataFrame:
-    """Best usable fix per query: blank fixes are dropped only after the top k, and similarity must exceed the minimum."""
+    """Best usable fix per query: blank fixes are dropped only after the top k, and similarity must exceed the minimum.
+
+    `fixes(id, fix_text, embedding)`, or an index made by `fix_index`, of which only the cells near the queries are read.
+    """
+    if isinstance(fixes, VectorIndex):
+        return _best_fix(fixes.search(queries, k, min_similarity, True))
     near = nearest(queries, fixes.select(F.col("id").alias("item_id"), "embedding"), k, min_similarity, True, metric)
-    usable = fixes.filter(text.not_blank(F.col("fix_text")).isNotNull() & (text.strip(F.col("fix_text")) != fixed.EMPTY_FIX))
-    return (
-        near.join(usable.select(F.col("id").alias("item_id"), "fix_text"), "item_id")
-        .groupBy("query_id").agg(F.min_by(F.struct("item_id", "fix_text", "similarity"), "rank").alias("_b"))
-        .select("query_id", F.col("_b.item_id").alias("fix_id"), "_b.fix_text", F.col("_b.similarity").alias("confidence"))
-    )
+    return _best_fix(near.join(fixes.select(F.col("id").alias("item_id"), "fix_text"), "item_id"))
+
+
+def fix_index(fixes: DataFrame, location: str, metric: str = "l2sq") -> VectorIndex:
+    """A stored index of `fixes(id, fix_text, embedding)`; `insert` takes rows in the shape of `fix_items`."""
+    return VectorIndex.create(fix_items(fixes), location, metric)
+
+
+def fix_items(fixes: DataFrame) -> DataFrame:
+    return fixes.select(F.col("id").alias("item_id"), "fix_text", "embedding")
 
 
 def knn_domain(
-    queries: DataFrame, patterns: DataFrame, k: int = fixed.TOP_K, min_similarity: float = fixed.DOMAIN_SIMILARITY,
+    queries: DataFrame, patterns: DataFrame | VectorIndex, k: int = fixed.TOP_K, min_similarity: float = fixed.DOMAIN_SIMILARITY,
     metric: str = "l2sq",
 ) -> DataFrame:
-    """All of the top k domain patterns at or above the minimum, in rank order."""
+    """All of the top k domain patterns at or above the minimum, in rank order; `patterns` may be an index made by `domain_index`."""
+    shown = ("query_id", "rank", F.col("item_id").alias("pattern_id"), "category", "failure", "solution", "similarity")
+    if isinstance(patterns, VectorIndex):
+        return patterns.search(queries, k, min_similarity).select(*shown)
     near = nearest(queries, patterns.select(F.col("id").alias("item_id"), "embedding"), k, min_similarity, False, metric)
-    return near.join(
-        patterns.select(F.col("id").alias("item_id"), "category", "failure", "solution"), "item_id"
-    ).select("query_id", "rank", F.col("item_id").alias("pattern_id"), "category", "failure", "solution", "similarity")
+    return near.join(patterns.select(F.col("id").alias("item_id"), "category", "failure", "solution"), "item_id").select(*shown)
+
+
+def domain_items(patterns: DataFrame) -> DataFrame:
+    return patterns.select(F.col("id").alias("item_id"), "category", "failure", "solution", "embedding")
+
+
+def domain_index(patterns: DataFrame, location: str, metric: str = "l2sq") -> VectorIndex:
+    """A stored index of `patterns(id, category, failure, solution, embedding)`; `insert` takes rows in the shape of `domain_items`."""
+    return VectorIndex.create(domain_items(patterns), location, metric)
+
+
+def error_occurrences(failures: DataFrame) -> DataFrame:
+    """One row per error text of a payload row: its header and job columns, error_text (stripped) and error_hash; blank texts are skipped.
+
+    `failures` are rows with `error_lines`, as `build_failures_gitlab` and `build_failures_jenkins` give.
+    """
+    rows = failures.select("*", F.explode("error_lines").alias("_t")).withColumn("error_text", text.not_blank(text.strip(F.col("_t"))))
+    rows = rows.filter(F.col("error_text").isNotNull())
+    return rows.withColumn("error_hash", text.error_hash(F.col("error_text"))).drop("_t", "error_lines")
 
 
 def distinct_errors(failures: DataFrame) -> DataFrame:
-    """Error texts of payloads, one row per distinct text: steps and texts exploded, stripped, blanks skipped, hashed."""
-    steps = failures.select(F.explode("failed_steps").alias("_s")).select(F.explode("_s.error_lines").alias("_t"))
-    return (
-        steps.select(text.not_blank(text.strip(F.col("_t"))).alias("error_text")).filter(F.col("error_text").isNotNull())
-        .select(text.error_hash(F.col("error_text")).alias("error_hash"), "error_text").dropDuplicates(["error_hash"])
-    )
+    """Error texts of payload rows, one row (error_hash, error_text) per distinct text."""
+    return error_occurrences(failures).groupBy("error_hash").agg(F.any_value("error_text").alias("error_text"))
+
+
+def resolve_failures(
+    failures: DataFrame, embeddings: DataFrame, sme_cache: DataFrame, ai_cache: DataFrame, fixes: DataFrame, as_of: str, **knn
+) -> DataFrame:
+    """Payload rows to resolutions: every occurrence of an error with source, fix_text and confidence of its text; the payload's own source is `ci`.
+
+    `embeddings(error_hash, embedding)`; a text without one is looked up in the caches only. Each distinct text is resolved once, however often
+    it occurs; occurrences meet their resolution by hash in a join whose large keys Spark splits.
+    """
+    found = settle(error_occurrences(failures), "occurrences")
+    once = found.groupBy("error_hash").agg(F.any_value("error_text").alias("error_text"))
+    asked = settle(once.select("error_hash").join(embeddings.select("error_hash", "embedding"), "error_hash", "left"), "distinct-errors")
+    resolved = settle(resolve_fix_cascade(asked, sme_cache, ai_cache, fixes, as_of, **knn), "resolutions")
+    return found.withColumnRenamed("source", "ci").join(resolved, "error_hash")
 
 
 def live_ai_cache(cache: DataFrame, as_of: str, hours: int = fixed.CACHE_HOURS) -> DataFrame:

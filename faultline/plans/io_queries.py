@@ -411,6 +411,13 @@ def _(spark, sf):
     return back.groupBy("source", "pipeline_id").agg(F.count_if("failed").alias("steps"))
 
 
+@query("sink_failures_default", f"with recursive {pq.GITLAB_DEFAULT} select * replace (coalesce(error_text, '') as error_text) from failures")
+def _(spark, sf):
+    failures = pq.default_failures(spark, sf)
+    path = sinks.failures_json(failures, new_path(spark, "failures"), "job_no")
+    return spark.read.schema(failures.schema).json(path).withColumn("error_text", F.array_join("error_lines", "|")).drop("error_lines")
+
+
 @query("sink_error_summary", f"""with recursive {lq._MATCHED}, {lq._COUNTS} select log_id, cast(sum(lines) filter (kind = 'error') as bigint) as total_errors_found, 10 as max_errors_extracted,
   '/logs/' || log_id || '.log' as extracted_content from counts group by 1 having sum(lines) filter (kind = 'error') > 0""")
 def _(spark, sf):

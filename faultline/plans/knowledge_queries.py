@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..operators import knowledge as kn
 from ..operators import review as rv
+from ..operators.knn import VectorIndex
+from ..operators.shared import new_path, settle
+from . import payload_queries as pq
 from . import sql_views as sv
 from . import views
 from .registry import query
@@ -52,6 +55,16 @@ def _(spark, sf):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
+@query("knn_fix_index", f"with {_NEAR_FIX} select query_id, fix_id, fix_text, round(confidence, 6) as confidence from best where confidence > 0.78")
+def _(spark, sf):
+    # Two thirds of the store first, the rest by two inserts, one of them twice.
+    fixes, turn = views.fixes(spark, sf), F.pmod(F.xxhash64("id"), F.lit(6))
+    index = kn.fix_index(fixes.filter(turn > 1), new_path(spark, "fix-index"))
+    for n in (0, 1, 1):
+        index.insert(kn.fix_items(fixes.filter(turn == n)), f"late{n}")
+    return kn.knn_fix(_fix_queries(spark, sf), VectorIndex(spark, index.location)).withColumn("confidence", F.round("confidence", 6))
+
+
 _NEAR_DOMAIN = f"""{_DOMAIN}, {_QUERIES}, ranked as (
   select q.error_hash as query_id, f.*, 1 - {_SQUARED} as similarity,
     row_number() over (partition by q.error_hash order by {_SQUARED}, f.id) as rank from fix_queries q, domain_patterns f),
@@ -67,6 +80,12 @@ def _(spark, sf):
     return _matches(spark, sf, 0.55).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("knn_domain_index", f"with {_NEAR_DOMAIN.format(0.55)} select query_id, rank, pattern_id, category, failure, solution, round(similarity, 6) as similarity from matches")
+def _(spark, sf):
+    index = kn.domain_index(views.domain_patterns(spark, sf), new_path(spark, "domain-index"))
+    return kn.knn_domain(_fix_queries(spark, sf), index, min_similarity=0.55).withColumn("similarity", F.round("similarity", 6))
+
+
 _SNIPPETS = f"""{_NEAR_DOMAIN.format(-0.4)}, snippets as (
   select query_id, 'Domain knowledge (historical patterns):' || chr(10) || string_agg('- [' || category || '] "' ||
     case when length(trim(failure)) > 200 then left(trim(failure), 197) || '...' else trim(failure) end || '" — similarity ≈ ' ||
@@ -123,6 +142,37 @@ def _(spark, sf):
     return kn.live_ai_cache(_caches(spark, sf)[1], AS_OF).select("error_hash", "fix_text")
 
 
+_PAYLOAD_ERRORS = f"""{pq.GITLAB_DEFAULT}, {_FIXES}, occurrences as (
+  select * exclude (error_text, failed), regexp_replace(error_text, '^\\s+|\\s+$', '', 'g') as error_text from failures where length(trim(error_text)) > 0),
+  hashed as (select *, sha256(error_text) as error_hash from occurrences),
+  once as (select error_hash, any_value(error_text) as error_text, cast(any_value(length(error_text)) as bigint) as size from hashed group by 1),
+  asked as (select error_hash, e.embedding from once join embeddings e on e.vec_id = size % (select count(*) from embeddings))"""
+
+
+@query("resolve_failures", f"""with recursive {_PAYLOAD_ERRORS}, near as (
+    select q.error_hash, f.id, f.fix_text, 1 - {_SQUARED} as similarity, row_number() over (partition by q.error_hash order by {_SQUARED}, f.id) as rank
+    from (select error_hash, cast(embedding as double[]) as embedding from asked where left(error_hash, 1) > '4') q, fixes f),
+  best as (select error_hash, min_by(fix_text, rank) as fix_text, min_by(similarity, rank) as confidence from near
+    where rank <= 5 and similarity > 0.78 and trim(fix_text) not in ('', '(empty fix)') group by 1)
+  select h.* exclude (source), h.source as ci, case when left(error_hash, 1) < '2' then 'sme_cache' when left(error_hash, 1) < '5' then 'ai_cache'
+      when b.fix_text is not null then 'vector_db' else 'generated' end as source,
+    case when left(error_hash, 1) < '2' then 'by hand ' || left(error_hash, 6) when left(error_hash, 1) < '5' then 'by model ' || left(error_hash, 6) else b.fix_text end as fix_text,
+    case when left(error_hash, 1) > '4' then round(b.confidence, 6) end as confidence
+  from hashed h left join best b using (error_hash)""")
+def _(spark, sf):
+    failures = settle(pq.default_failures(spark, sf), "payload-rows")
+    errors = settle(kn.distinct_errors(failures), "distinct")
+    first, short = F.left("error_hash", F.lit(1)), F.left("error_hash", F.lit(6))
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    sme = errors.filter(first < "2").select("error_hash", F.concat(F.lit("by hand "), short).alias("fix_text"), at.alias("ts"))
+    ai = errors.filter((first >= "2") & (first < "5")).select("error_hash", F.concat(F.lit("by model "), short).alias("fix_text"), at.alias("cached_at"))
+    vectors = views.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    size = F.pmod(F.length("error_text").cast("bigint"), F.lit(vectors.count()))
+    embeddings = errors.withColumn("vec_id", size).join(vectors, "vec_id").select("error_hash", F.col("embedding").cast("array<double>").alias("embedding"))
+    out = kn.resolve_failures(failures, embeddings, sme, ai, views.fixes(spark, sf), AS_OF)
+    return out.drop("failed").withColumn("confidence", F.round("confidence", 6))
+
+
 _PROMPT_HEAD = "'Pipeline context:' || chr(10) || 'Repository: r' || vec_id || case when vec_id % 20 = 0 then chr(10) || 'Branch: main' else '' end || chr(10) || 'Step: build'"
 
 

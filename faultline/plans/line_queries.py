@@ -21,8 +21,8 @@ _SIZES = "sizes as (select log_id, max(line_no) + 1 as total_lines from log_line
 
 _BEFORE = "case when n < 2 then 3 when n < 5 then 2 else 1 end"
 _AFTER = "case when n < 2 then 1 when n < 5 then 1 else 0 end"
-_DEFAULT_BEFORE = "case when n < 50 then 50 when n < 150 then 10 else 5 end"
-_DEFAULT_AFTER = "case when n < 50 then 10 when n < 150 then 5 else 2 end"
+DEFAULT_BEFORE = "case when n < 50 then 50 when n < 150 then 10 else 5 end"
+DEFAULT_AFTER = "case when n < 50 then 10 when n < 150 then 5 else 2 end"
 # Next pick: the highest error line at or under the limit left by the former pick.
 _CAPPED = f"""{_ERRORS}, {_SIZES},
 picks(log_id, n, x) as (
@@ -168,15 +168,33 @@ def _(spark, sf):
     return sec.bottom_up_sections(views.log_lines(spark, sf), BUCKET_PLAN)
 
 
-_DEFAULT_CAPPED = _CAPPED.replace(_BEFORE.replace("n <", "p.n <"), _DEFAULT_BEFORE.replace("n <", "p.n <")).replace(
-    _BEFORE, _DEFAULT_BEFORE).replace(_AFTER, _DEFAULT_AFTER).replace("p.n + 1 < 10", "p.n + 1 < 300")
+DEFAULT_CAPPED = _CAPPED.replace(_BEFORE.replace("n <", "p.n <"), DEFAULT_BEFORE.replace("n <", "p.n <")).replace(
+    _BEFORE, DEFAULT_BEFORE).replace(_AFTER, DEFAULT_AFTER).replace("p.n + 1 < 10", "p.n + 1 < 300")
 
 
-@query("incremental_buckets_default", f"with recursive {_DEFAULT_CAPPED} select * from sections")
+@query("incremental_buckets_default", f"with recursive {DEFAULT_CAPPED} select * from sections")
 def _(spark, sf):
     return sec.bottom_up_sections(views.log_lines(spark, sf))
 
 
+@query("format_sections_default", f"with recursive {DEFAULT_CAPPED}, {_TEXTS} select * from texts")
+def _(spark, sf):
+    return sec.format_sections(views.log_lines(spark, sf))
+
+
+_DEFAULT_SUMMARY = _SUMMARY.replace("'2:3:1,3:2:1,5:1:0'", "'50:50:10,100:10:5,150:5:2'").replace(
+    "errors 1-2: 3b/1a, errors 3-5: 2b/1a, errors 6-10: 1b/0a", "errors 1-50: 50b/10a, errors 51-150: 10b/5a, errors 151-300: 5b/2a"
+).replace("10 as max_errors_extracted", "300 as max_errors_extracted")
+
+
+@query("error_summary_default", f"with {_DEFAULT_SUMMARY}")
+def _(spark, sf):
+    out = sec.error_summary(views.log_lines(spark, sf))
+    for c in ("error_types", "line_samples", "ignored_patterns"):
+        out = out.withColumn(c, _flat(F.col(c)))
+    return out
+
+
 @query("section_texts", f"with recursive {_FIXED}, {_SECTION_TEXTS} select * from section_texts")
 def _(spark, sf):
     lines = views.log_lines(spark, sf)

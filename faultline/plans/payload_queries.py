@@ -1,5 +1,6 @@
 """Queries over payloads, users and look-ups."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -95,6 +96,29 @@ def gitlab_failures(spark, sf):
     return out.withColumn("error_text", F.array_join("error_lines", "|")).drop("error_lines", "job_order")
 
 
+GITLAB_DEFAULT = f"""{lq.DEFAULT_CAPPED}, {lq._TEXTS}, {sv.PIPELINES}, {sv.JOBS}, failures as (
+  select 'gitlab' as source, split_part(project_name, '/', -1) as repo, ref as branch, coalesce(left(sha, 7), 'unknown') as commit,
+    pipeline_url as pipeline_id, coalesce(coalesce(username, user_full_name) || '@internal.com', p.source) as triggered_by,
+    row_number() over (partition by pipeline_id order by pos) as job_no, j.job_id, j.name as job_name, j.status = 'failed' as failed,
+    case when j.status = 'failed' then text end as error_text
+  from pipelines p join jobs j using (pipeline_id) left join texts using (log_id) where p.status not in ('running', 'pending', 'created'))"""
+
+
+def default_failures(spark, sf):
+    """Payload rows with the sections of the default buckets, their jobs numbered in order."""
+    from ..operators import events as ev
+
+    texts = settle(sec.format_sections(views.log_lines(spark, sf)).select("log_id", "text"), "texts")
+    out = pl.build_failures_gitlab(ev.filter_processable(views.pipelines(spark, sf)), views.jobs(spark, sf), texts)
+    order = Window.partitionBy("pipeline_id").orderBy("job_order")
+    return out.withColumn("job_no", F.row_number().over(order)).drop("job_order")
+
+
+@query("build_failures_default", f"with recursive {GITLAB_DEFAULT} select * replace (coalesce(error_text, '') as error_text) from failures")
+def _(spark, sf):
+    return default_failures(spark, sf).withColumn("error_text", F.array_join("error_lines", "|")).drop("error_lines")
+
+
 def _stage_rows(spark, sf):
     """Stages of builds: one per job, failed ones with the text of their log or none."""
     jobs = views.jobs(spark, sf)

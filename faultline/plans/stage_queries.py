@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import stages as st
+from . import line_queries as lq
 from . import sql_views as sv
 from . import views
 from .line_queries import BUCKET_PLAN
@@ -259,3 +260,12 @@ def chosen(spark, sf):
 
 
 query("stage_log_choice", f"with recursive {CHOICE_SQL} select * from choices")(chosen)
+
+
+_DEFAULT_CHOICE = CHOICE_SQL.replace(_CHOICE_BEFORE.format("p."), lq.DEFAULT_BEFORE.replace("n <", "p.n <")).replace(
+    _CHOICE_BEFORE.format(""), lq.DEFAULT_BEFORE).replace(_CHOICE_AFTER, lq.DEFAULT_AFTER).replace("p.n + 1 < 10", "p.n + 1 < 300")
+
+
+@query("stage_log_choice_default", f"with recursive {_DEFAULT_CHOICE} select * from choices")
+def _(spark, sf):
+    return st.stage_log_choice(views.failed_stages(spark, sf), views.own_stage_logs(spark, sf), views.console_steps(spark, sf))

@@ -1,14 +1,16 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from faultline.operators import knowledge as kn
 from faultline.operators import payload as pl
 from faultline.operators import review as rv
-from faultline.operators.knn import nearest
+from faultline.operators.knn import VectorIndex, nearest
 from faultline.streaming.jobs import _step
 
 
@@ -77,9 +79,34 @@ def test_cascade_order(spark):
 
 
 def test_distinct_errors(spark):
-    step = "array<struct<step_name: string, error_lines: array<string>>>"
-    df = spark.createDataFrame([([("s", [" x ", "", "y"]), ("t", ["x"])],), ([],)], f"failed_steps {step}")
+    df = spark.createDataFrame([("s", [" x ", "", "y"]), ("t", ["x"]), ("u", []), ("v", None)], "step_name string, error_lines array<string>")
     assert sorted(r.error_text for r in kn.distinct_errors(df).collect()) == ["x", "y"]
+    assert sorted((r.step_name, r.error_text) for r in kn.error_occurrences(df).collect()) == [("s", "x"), ("s", "y"), ("t", "x")]
+
+
+def test_payload_rows_are_resolved(spark):
+    """From job rows of a payload to resolutions: each text once, each occurrence answered, in the order of its jobs."""
+    pipelines = spark.createDataFrame([(1, "g/app", "main", "0123456789", "url", "push", "ann", None)],
+                                      "pipeline_id long, project_name string, ref string, sha string, pipeline_url string, source string, username string, user_full_name string")
+    jobs = spark.createDataFrame([(1, n, f"j{n}", f"job {n}", "failed" if n != 2 else "success", n) for n in range(6)],
+                                 "pipeline_id long, job_order int, job_id string, name string, status string, log_id long")
+    texts = spark.createDataFrame([(0, "boom\n"), (1, " boom"), (2, "fine"), (3, "seen"), (4, "  "), (5, "odd")], "log_id long, text string")
+    failures = pl.build_failures_gitlab(pipelines, jobs, texts)
+    import hashlib
+
+    def key(t):
+        return hashlib.sha256(t.encode()).hexdigest()
+
+    embeddings = spark.createDataFrame([(key("boom"), [1.0, 0.0])], "error_hash string, embedding array<double>")
+    at = dt.datetime(2024, 1, 1, 12)
+    sme = spark.createDataFrame([(key("seen"), "by hand", at)], "error_hash string, fix_text string, ts timestamp_ntz")
+    ai = spark.createDataFrame([], "error_hash string, fix_text string, cached_at timestamp_ntz")
+    fixes = spark.createDataFrame([("f", "known", [1.0, 0.1])], "id string, fix_text string, embedding array<double>")
+    rows = kn.resolve_failures(failures, embeddings, sme, ai, fixes, "2024-01-02 00:00:00").orderBy("job_order").collect()
+    assert [(r.job_order, r.job_name, r.error_text, r.source, r.fix_text) for r in rows] == [
+        (0, "job 0", "boom", "vector_db", "known"), (1, "job 1", "boom", "vector_db", "known"), (3, "job 3", "seen", "sme_cache", "by hand"),
+        (5, "job 5", "odd", "generated", None)]
+    assert {(r.repo, r.commit, r.triggered_by) for r in rows} == {("app", "0123456", "ann@internal.com")}
 
 
 def test_fix_upkeep(spark):
@@ -186,20 +213,15 @@ def test_review_matches_step_by_step(spark):
             thread = r.choice([f"m{e}", f"m{e}", "x", None]) if kind == "reply" else None
             actions.append((e, s, kind, act, r.choice(["u", "v"]), r.choice(["c", "c", "c", "d"]), thread, f" t{s} "))
     want = {}
-
-    class Row:
-        def __init__(self, **kw):
-            self.__dict__.update(kw)
-
     known = {x[0]: x for x in records}
     for e in range(14):
         state = {}
         if e in known:
             _, err, fix, ch, ts = known[e]
-            _step(state, Row(kind="record", error=err, text=fix, channel_id=ch, thread_ts=ts))
+            state.update(error=err, fix=fix, channel=ch, thread=ts)
         for a in actions:
             if a[0] == e:
-                want[e, a[1]] = _step(state, Row(**dict(zip(("error_id", "seq", "kind", "action", "user_id", "channel_id", "thread_ts", "text"), a))))
+                want[e, a[1]] = _step(state, dict(zip(("error_id", "seq", "kind", "action", "user_id", "channel_id", "thread_ts", "text"), a)))
     adf = spark.createDataFrame(actions, "error_id bigint, seq bigint, kind string, action string, user_id string, channel_id string, thread_ts string, text string")
     rdf = spark.createDataFrame(records, "error_id bigint, error string, fix string, channel_id string, message_ts string")
     out = rv.review_outcomes(adf, rdf)
@@ -215,3 +237,34 @@ def test_lookup_record_and_thread(spark):
     )
     keys = spark.createDataFrame([("1",), ("2",), ("boom",), ("none",)], "key string")
     assert {r.key: r.fix for r in kn.lookup_fix_record(keys, records).collect()} == {"1": "a2", "2": "b", "boom": "a2", "none": None}
+
+
+def test_index_reads_only_cells_in_reach(spark, tmp_path):
+    """Equal to brute force after inserts and a repeated insert; a search near one place leaves other cells unread."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8)) * 3
+    points = centres[rng.integers(0, 30, 900)] + rng.normal(size=(900, 8)) * 0.1
+    points[500:520] = points[0]
+    rows = [(f"i{n:04}", f"text {n}", p.tolist()) for n, p in enumerate(points)] + [("none", "x", None), ("empty", "x", [])]
+    schema = "item_id string, note string, embedding array<double>"
+    index = VectorIndex.create(spark.createDataFrame(rows[:400], schema), str(tmp_path / "index"), pivots=30)
+    for name, part in (("b", rows[400:700]), ("c", rows[700:]), ("b", rows[400:700])):
+        index.insert(spark.createDataFrame(part, schema), name)
+    index = VectorIndex(spark, index.location)
+    assert index.rows().count() == 900
+    asked = [(f"q{n}", (points[n] + 0.01).tolist()) for n in (0, 5, 800)] + [("far", [99.0] * 8), ("nothing", None)]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.item_id, r.note, round(r.similarity, 9)) for r in index.search(queries, 7, 0.5).collect()}
+    want = {}
+    for name, q in asked:
+        near = sorted((round(-1 + float(((p - np.array(q)) ** 2).sum()), 9), f"i{n:04}", n) for n, p in enumerate(points)) if q else []
+        for rank, (s, i, n) in enumerate(near[:7], 1):
+            if -s >= 0.5:
+                want[name, rank] = (i, f"text {n}", -s)
+    assert got == want and len(got) > 15
+    # The plan names the cells; files of the others are not opened.
+    cells = index.rows([3, 4])
+    assert re.search(r"PartitionFilters: \[cell#\d+ IN \(3,4\)\], PushedFilters: \[\]", cells._jdf.queryExecution().toString())
+    assert cells.count() == index.rows().filter("cell in (3, 4)").count() < 200
+    with pytest.raises(AnalysisException):
+        VectorIndex.create(spark.createDataFrame(rows[:40], schema), str(tmp_path / "index"))
