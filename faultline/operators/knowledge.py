@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from .knn import VectorIndex, nearest
+from .postings import TextIndex
 from .shared import settle
 
 
-def search_fixes_by_error(fixes: DataFrame, needle: str) -> DataFrame:
+def search_fixes_by_error(fixes: DataFrame | TextIndex, needle: str) -> DataFrame:
+    """Fixes whose error text contains the needle in any case; an index made by `error_text_index` reads only what can contain it."""
+    if isinstance(fixes, TextIndex):
+        return fixes.search(needle).withColumnRenamed("text", "error_text")
     return fixes.filter(F.contains(F.lower("error_text"), F.lower(F.lit(needle))))
 
 
+def error_text_index(fixes: DataFrame, location: str) -> TextIndex:
+    """A stored index of the error texts of `fixes(id, error_text, ..)`, with their other columns beside them."""
+    return TextIndex.create(fixes.withColumnRenamed("error_text", "text"), location)
+
+
 def list_fixes(fixes: DataFrame) -> DataFrame:
     return fixes.select(
         "id",

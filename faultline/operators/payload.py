@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from .postings import containing
 from .shared import settle
 
 
@@ -187,20 +188,13 @@ def match_user_exact(people: DataFrame, users: DataFrame) -> DataFrame:
 def match_user_fuzzy(people: DataFrame, users: DataFrame) -> DataFrame:
     """As `match_user_exact`, but the name may be any part of a user's name.
 
-    Every part of every name is a key of an aggregate that keeps its first user, so the look-up is an equi-join; no
-    (person, user) pairs are formed.
+    Names that can contain a text are found through postings of their grams; no (person, user) pairs are formed and no parts of
+    names are made.
     """
-    # Only parts as long as some wanted text can matter; the set holds one number per length.
-    lengths = people.select(F.collect_set(F.length("person"))).scalar()
-    n = F.length("_name")
-    parts = (
-        _names(users).withColumn("_l", F.explode(F.sequence(F.lit(1), n))).filter(F.array_contains(lengths, F.col("_l")))
-        .withColumn("_s", F.explode(F.sequence(F.lit(1), n - F.col("_l") + 1)))
-    )
-    # Stored, so that few wanted texts are known to be few: parts that nobody asks for are then dropped before any shuffle.
-    wanted = settle(people.select(F.lower("person").alias("_name")).distinct(), "wanted-names")
-    asked = parts.select(F.substr("_name", F.col("_s"), F.col("_l")).alias("_name"), "pos").join(wanted, "_name", "left_semi")
-    first = asked.groupBy("_name").agg(F.min("pos").alias("_by_name"))
+    names = settle(_names(users).select(F.concat_ws("/", F.col("pos").cast("string"), F.xxhash64("_name").cast("string")).alias("id"), F.col("_name").alias("text"), "pos"), "names")
+    wanted = people.select(F.lower("person").alias("needle"))
+    found = containing(wanted, names.select("id", "text")).join(names.select("id", "pos"), "id")
+    first = found.groupBy(F.col("needle").alias("_name")).agg(F.min("pos").alias("_by_name"))
     return _match(people, users, first)
 
 

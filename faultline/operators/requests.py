@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocked import carry_forward
@@ -104,6 +104,31 @@ def latency_percentiles(requests: DataFrame, as_of: str, hours: int = 24) -> Dat
     )
 
 
+def latency_sketches(requests: DataFrame, k: int = 400) -> DataFrame:
+    """(hour, requests, seconds, sketch): per hour the number of timed requests, their sum and a mergeable quantile sketch."""
+    timed = requests.filter(F.col("processing_time").isNotNull()).withColumn("processing_time", F.col("processing_time").cast("double"))
+    return timed.groupBy(F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour")).agg(
+        F.count("*").alias("requests"), F.sum("processing_time").alias("seconds"), F.kll_sketch_agg_double("processing_time", k).alias("sketch")
+    )
+
+
+def sketched_percentiles(sketches: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """Average, median, P95 and P99 from stored `latency_sketches` of whole hours: those that begin after `as_of` less `hours`.
+
+    The average is exact; a percentile is a time that occurred, whose rank is off by 1 % of the requests at most (k = 400), however many
+    hours are merged. `latency_percentiles` is the exact form.
+    """
+    now = moment(as_of)
+    rows = sketches.filter((F.col("hour") > now - F.expr(f"interval {hours} hours")) & (F.col("hour") <= now))
+    merged = rows.agg(F.sum("requests").alias("requests"), F.sum("seconds").alias("seconds"), F.kll_merge_agg_double("sketch").alias("_s"))
+
+    def at(q: float, name: str) -> Column:
+        return F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(name)
+
+    shown = merged.filter("requests > 0")
+    return shown.select("requests", (F.col("seconds") / F.col("requests")).alias("avg_time"), at(0.5, "median_time"), at(0.95, "p95_time"), at(0.99, "p99_time"))
+
+
 def requests_per_minute(requests: DataFrame, newest: int = 20) -> DataFrame:
     minute = F.date_trunc("minute", "timestamp").alias("minute")
     return requests.groupBy(minute).agg(F.count("*").alias("requests")).orderBy(F.desc("minute")).limit(newest)
@@ -151,3 +176,34 @@ def expire_requests(requests: DataFrame, as_of: str, days: int = 30) -> DataFram
     """One row: how many rows go and how many stay."""
     old = F.col("timestamp") < moment(as_of) - F.expr(f"interval {days} days")
     return requests.agg(F.count_if(old).alias("deleted"), F.count_if(~old).alias("kept"))
+
+
+def store_requests(requests: DataFrame, path: str) -> None:
+    """Write requests as a table partitioned by day."""
+    requests.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day").write.partitionBy("day").parquet(path)
+
+
+def expire_stored(spark: SparkSession, path: str, as_of: str, days: int = 30) -> DataFrame:
+    """Take requests older than `days` out of a table made by `store_requests`; one row: how many went and how many stay.
+
+    Whole days go as directories, without being read beyond their row counts; only the day that holds the limit is rewritten, and the files of
+    later days stay as they are. Doing it again, also after a run that broke off, changes nothing more. Rows without a time stay.
+    """
+    stored = spark.read.parquet(path)
+    limit = spark.range(1).select((moment(as_of) - F.expr(f"interval {days} days")).alias("at")).first()["at"]
+    edge = limit.date()
+    counts = {r["day"]: r["n"] for r in stored.groupBy("day").agg(F.count("*").alias("n")).collect()}  # one row per day
+    gone = [d for d in counts if d is not None and d < edge]
+    deleted = sum(counts[d] for d in gone)
+    if edge in counts:
+        kept = settle(stored.filter((F.col("day") == F.lit(edge)) & (F.col("timestamp") >= F.lit(limit))), "boundary-day")
+        left = kept.count()
+        deleted += counts[edge] - left
+        if not left:
+            gone.append(edge)
+        elif left < counts[edge]:
+            kept.write.partitionBy("day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    for d in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={d.isoformat()}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return spark.createDataFrame([(deleted, sum(counts.values()) - deleted)], "deleted long, kept long")

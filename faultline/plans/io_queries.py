@@ -168,6 +168,17 @@ def _(spark, sf):
     return hits.select("file", "record_line", "message")
 
 
+@query("search_stored_log", f"""with {_APP} select request_id, ts, file, record_line, level, logger, message,
+  date_diff('millisecond', lag(strptime(ts, '%Y-%m-%d %H:%M:%S.%g')) over (partition by request_id order by ts, file, record_line), strptime(ts, '%Y-%m-%d %H:%M:%S.%g')) as step_ms
+  from records where request_id = 'r5' and ts >= '2024-01-05 06:00:00.000' and ts <= '2024-01-25 18:00:00.000'""")
+def _(spark, sf):
+    """The trace of one request id over some days of a stored log."""
+    path = new_path(spark, "app-log-by-day")
+    lg.store_app_log(_app(spark, sf), path)
+    hits = lg.search_stored_log(spark, path, "2024-01-05 06:00:00", "2024-01-25 18:00:00", request_id="r5")
+    return _ms(lg.request_trace(hits))
+
+
 @query("errors_by_module", f"with {_APP} select logger, count(*) as errors from records where level = 'ERROR' group by 1")
 def _(spark, sf):
     return lg.errors_by_module(_app(spark, sf))

@@ -198,6 +198,13 @@ def _(spark, sf):
     return kn.search_fixes_by_error(views.fixes(spark, sf), "R V1").select("id", "error_text")
 
 
+@query("search_fixes_index", f"with {_FIXES} select id, error_text, approved_by from fixes where contains(lower(error_text), 'r v1')")
+def _(spark, sf):
+    stored = views.fixes(spark, sf).select("id", "error_text", "approved_by")
+    index = kn.error_text_index(stored, new_path(spark, "error-texts"))
+    return kn.search_fixes_by_error(index, "R V1").select("id", "error_text", "approved_by")
+
+
 @query("list_fixes", f"""with {_FIXES} select id, coalesce(status, 'unknown') as status, coalesce(approved_by, 'N/A') as approved_by,
   error_text, case when fix_text = '' then '(empty fix)' else fix_text end as fix_text from fixes""")
 def _(spark, sf):
