@@ -54,6 +54,8 @@ TEMPLATES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "apache-line": "Released under the Apache License.",
+    "apache-2.0-short": "Distributed under the Apache License 2.0.",
+    "gpl-3.0-short": "Licensed under the GPL, version 3.",
     "apache-1.0-line": "Licensed under the Apache License, Version 1.0.",
     "apache-1.1-line": "Licensed under the Apache License, Version 1.1.",
     "bsd-line": "Released under the BSD License.",
@@ -78,6 +80,13 @@ TEMPLATES = {
     "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 
+# Tags that name a license by its short identifier, one template each.
+SPDX = (
+    "MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense",
+)
+TEMPLATES |= {f"{name.lower()}-tag": f"SPDX-License-Identifier: {name}" for name in SPDX}
+
 # What tells a license from those with nearly the same words: each phrase must be aligned with words that stand side by side.
 REQUIRED = {
     "apache-2.0-line": ("apache license", "2.0"), "apache-1.0-line": ("apache license", "1.0"), "apache-1.1-line": ("apache license", "1.1"),
@@ -95,6 +104,9 @@ REQUIRED = {
     "cc-by-nc-4.0": ("attribution noncommercial 4.0",),
 }
 
+REQUIRED |= {name: (TEMPLATES[name],) for name in TEMPLATES if name.endswith("-tag")}
+REQUIRED |= {"apache-2.0-short": ("apache license 2.0",), "gpl-3.0-short": ("gpl version 3",)}
+
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
@@ -171,6 +183,10 @@ def _has(pairs: list[tuple[int, int]], phrases: list[tuple[int, int]]) -> bool:
     return all(a in partner and all(partner.get(a + k) == partner[a] + k for k in range(b - a)) for a, b in phrases)
 
 
+def _span(pairs: list[tuple[int, int]]) -> int:
+    return pairs[-1][0] - pairs[0][0] + 1
+
+
 class Templates:
     """Hashes of each template's words, where its required phrases stand, and for every known word which templates have it."""
 
@@ -210,18 +226,26 @@ class Templates:
                 pairs = self._aligned(runs, hashes, n, start)
                 if len(pairs) < need or not _has(pairs, self.phrases[n]):
                     continue
-                if self.phrases[n]:  # a window that begins in another notice: the match with the most words, then the shortest
+                if (len(pairs), _span(pairs)) != (len(words), len(words)):
+                    # A window may begin in another notice: of matches that share words the one with the most of them, then the shortest.
                     for later in spots[own[k + 1 : k + 1 + width]].tolist():
                         if later > start + pairs[-1][0]:
                             break
                         other = self._aligned(runs, hashes, n, later)
-                        if len(other) >= need and (len(other), pairs[-1][0] - pairs[0][0]) >= (len(pairs), other[-1][0] - other[0][0]) and _has(other, self.phrases[n]):
+                        if len(other) < need or later + other[0][0] > start + pairs[-1][0]:
+                            continue  # nothing, or a notice behind this one
+                        if (len(other), -_span(other)) > (len(pairs), -_span(pairs)) and _has(other, self.phrases[n]):
                             start, pairs = later, other
                 first, upto = start + pairs[0][0], start + pairs[-1][0]
                 found.append((int(runs.docs[start]), n, len(pairs), len(pairs) / len(words), int(runs.starts[first]), int(runs.ends[upto])))
         best: list[tuple[int, int, int, float, int, int]] = []
+        taken: dict[int, list[tuple[int, int]]] = {}
         for match in sorted(found, key=lambda m: (-m[2], -m[3], m)):
-            if not any(o[0] == match[0] and o[4] < match[5] and match[4] < o[5] for o in best):
+            # What is taken of a text does not overlap, so only the neighbours can.
+            spans = taken.setdefault(match[0], [])
+            at = bisect_left(spans, (match[4], match[5]))
+            if (at == 0 or spans[at - 1][1] <= match[4]) and (at == len(spans) or match[5] <= spans[at][0]):
+                spans.insert(at, (match[4], match[5]))
                 best.append(match)
         return sorted(best, key=lambda m: (m[0], m[4], m[1]))
 
