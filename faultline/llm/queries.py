@@ -49,7 +49,7 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def op6(spark: SparkSession, sf: str) -> DataFrame:
-    return exact.assign(_table(spark, sf, "documents"))
+    return exact.assign_in_batches(_table(spark, sf, "documents"))
 
 
 @query(
@@ -149,8 +149,8 @@ def _centroid_sql() -> str:
     steps = [
         f"""
         v AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM (
-          SELECT vec_id, list_transform(embedding, x -> floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-          WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, x -> isfinite(x))) = {centroids.DIMENSIONS})),
+          SELECT vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+          WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: isfinite(x))) = {centroids.DIMENSIONS})),
         x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
         f AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY sha256('{centroids.SEED}' || vec_id)) - 1 AS k FROM v QUALIFY k < {centroids.CLUSTERS}),
         c0 AS MATERIALIZED (SELECT k, i, x FROM f JOIN x USING (r))"""
@@ -187,8 +187,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     "op13_cap_filters",
     f"""
     WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-    g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> isfinite(x))) = len(v)
-      AND len(list_filter(v, x -> x <> 0)) > 0),
+    g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: isfinite(x))) = len(v)
+      AND len(list_filter(v, lambda x: x <> 0)) > 0),
     e AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM g AS a JOIN g AS b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
       WHERE list_cosine_similarity(a.v, b.v) >= {caps.THRESHOLD}),
     t(r, other) AS (SELECT r, r FROM v UNION SELECT t.r, e.b FROM t JOIN e ON t.other = e.a),
