@@ -28,6 +28,7 @@ DOUBT = 0.02
 SKETCH = 16
 # Lengths of stems in bytes: many insults of one language begin alike.
 STEMS = (4, 5, 6, 7, 8)
+# Most words and stems that are weighed against clean documents, those of the most toxic documents, and most that the lexicon is chosen from.
 CANDIDATES = 150_000
 STRONG = 2_000
 RATIO = 6.0
@@ -224,12 +225,13 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` labelled documents, those whose id hashes lowest -> (text, y). The chosen ids are broadcast: their number is
-    bounded by `sample`."""
+    """At most `sample` labelled documents, those whose id hashes lowest -> (text, y), one per id: of rows that repeat an id the least
+    text. The chosen ids are broadcast: their number is bounded by `sample`."""
     chance = min(1.0, 1.1 * sample / max(known.count(), 1))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = settle(known.filter(spot < int(chance * (1 << 30))).orderBy(spot, "doc_id").limit(sample), "toxicity-ids")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -424,15 +426,19 @@ def _curve(rows: DataFrame, lexicon: Lexicon, machine: Transducer) -> tuple[np.n
     return w, rest
 
 
-def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` labelled documents. Without labels the lexicon is empty and only threats are found."""
+def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES, strong: int = STRONG) -> Model:
+    """Learn from at most `sample` labelled documents. Without labels the lexicon is empty and only threats are found.
+
+    `candidates` bounds the words and stems that are weighed: those that most toxic documents of the sample hold. `strong` bounds those
+    the lexicon is chosen from: the ones that tell most about toxic documents.
+    """
     machine = grammar()
     rows = settle(_sample(docs, known, sample), "toxicity-sample")
     totals = rows.agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     n_toxic, n_clean = int(totals.toxic or 0), int(totals.n - (totals.toxic or 0))
     insults: dict[int, float] = {}
     if n_toxic and n_clean:
-        common = _toxic_forms(rows).filter(F.col("toxic") >= SUPPORT).orderBy(F.col("toxic").desc(), "hash").limit(CANDIDATES)
+        common = _toxic_forms(rows).filter(F.col("toxic") >= SUPPORT).orderBy(F.col("toxic").desc(), "hash").limit(candidates)
         closed = {w.encode() for kind in WORDS for w in WORDS[kind].split()}
         found = [r for r in common.collect() if bytes(r.form) not in closed]
         found.sort(key=lambda r: r.hash % (1 << 64))
@@ -441,12 +447,12 @@ def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Model:
             toxic, clean = np.array([r.toxic for r in found]), _clean_counts(rows, ordered)
             rivals = np.cumsum(np.bincount(np.minimum(toxic + clean, 256), minlength=257)[::-1])[::-1]
             ratios = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-            strong = np.flatnonzero(ratios >= log(RATIO))
-            strong = np.sort(strong[np.argsort(-(toxic * ratios)[strong], kind="stable")[:STRONG]])
-            if len(strong):
-                forms = [(bytes(found[n].form), bool(found[n].stem)) for n in strong]
-                chosen = choose(forms, _holders(rows, ordered[strong]), n_toxic, n_clean, rivals)
-                insults = {int(ordered[strong[n]]): weight for n, weight in chosen.items()}
+            telling = np.flatnonzero(ratios >= log(RATIO))
+            telling = np.sort(telling[np.argsort(-(toxic * ratios)[telling], kind="stable")[:strong]])
+            if len(telling):
+                forms = [(bytes(found[n].form), bool(found[n].stem)) for n in telling]
+                chosen = choose(forms, _holders(rows, ordered[telling]), n_toxic, n_clean, rivals)
+                insults = {int(ordered[telling[n]]): weight for n, weight in chosen.items()}
     lexicon = Lexicon(insults)
     curve, rest = _curve(rows, lexicon, machine)
     return Model(lexicon, machine, curve, rest)
@@ -466,7 +472,8 @@ def _scored(docs: DataFrame, model: Model, carried: str) -> DataFrame:
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, folds: int = 5, remainder: int = 0, threshold: float = 0.5, sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, folds: int = 5, remainder: int = 0, threshold: float = 0.5, sample: int = SAMPLE,
+    candidates: int = CANDIDATES, strong: int = STRONG,
 ) -> DataFrame:
     """Toxicity of each document -> (doc_id, held_out, score, predicted).
 
@@ -475,7 +482,7 @@ def score(
     empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = fit(docs, learning_labels(labels, "toxic", folds, remainder), sample)
+    model = fit(docs, learning_labels(labels, "toxic", folds, remainder), sample, candidates, strong)
     return _scored(docs, model, "doc_id").select(
         "doc_id", held_out(F.col("doc_id"), folds, remainder).alias("held_out"), F.col("_score").alias("score"),
         F.when(F.col("_score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
@@ -483,7 +490,11 @@ def score(
 
 
 def clean(docs: DataFrame, labels: DataFrame, folds: int = 5, remainder: int = 0, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that are not toxic, with all columns of `docs`."""
+    """The rows of `docs` that are not toxic, with all columns of `docs`, scored as `score` does.
+
+    Null and empty texts have no clause and stay unless most documents without one are toxic; rows that repeat an id are judged each by
+    its own text; without labels only threats go; an empty table gives no rows.
+    """
     model = fit(docs.select("doc_id", "text"), learning_labels(labels, "toxic", folds, remainder))
     whole = docs.select(F.struct("*").alias("_doc"), "text")
     return _scored(whole, model, "_doc").filter(F.col("_score") < threshold).select("_doc.*")
