@@ -207,3 +207,80 @@ def test_secrets_of_a_text_with_thousands(spark):
 )
 def test_trigram_queries(pattern, want):
     assert sorted(map(sorted, secrets.trigram_query(pattern))) == sorted(map(sorted, want))
+
+
+def test_index_refuses_unnamed_and_mistaken_batches(spark):
+    index = exact.DigestIndex(spark, new_path(spark, "index"), buckets=4)
+
+    def batch(*texts):
+        return spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+
+    for call in (exact.assign, exact.deduplicate):
+        with pytest.raises(ValueError, match="name"):
+            call(batch("a"), index)
+    assert exact.deduplicate(batch("a", "b"), index, "one").count() == 2
+    assert exact.deduplicate(batch("a", "b"), index, "one").count() == 2
+    for call in (exact.assign, exact.deduplicate):
+        with pytest.raises(ValueError, match="another batch"):
+            call(batch("a", "c"), index, "one")
+    assert [r.text for r in exact.deduplicate(batch("a", "c"), index, "two").collect()] == ["c"]
+
+
+def test_batches_into_one_index_equal_one_batch(spark, odd_docs, no_docs):
+    rows = spark.createDataFrame([(n * 7 % 40, "abcdef"[n % 6] + " " * (n % 3)) for n in range(40)] + [(None, "a"), (None, "new")], "doc_id long, text string")
+    for docs in (rows, odd_docs.select("doc_id", "text").dropDuplicates(), no_docs):
+        one = sorted((tuple(r) for r in exact.assign(docs).collect()), key=str)
+        for n in (1, 2, 5):
+            assert sorted((tuple(r) for r in exact.assign_in_batches(docs, n).collect()), key=str) == one
+
+
+def _every_window(text, templates, coverage):
+    """All stretches that align with a template, from every word on; of those that share words the best stays."""
+    known = licenses.Templates(templates, licenses.REQUIRED)
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    runs, hashes = licenses._words(data, np.array([0, len(data)]))
+    found = []
+    for n, words in enumerate(known.words):
+        for start in range(len(hashes)):
+            pairs = known._aligned(runs, hashes, n, start)
+            if len(pairs) >= np.ceil(coverage * len(words)) and licenses._has(pairs, known.phrases[n]):
+                found.append((-len(pairs), licenses._span(pairs), start + pairs[0][0], start + pairs[-1][0], known.names[n]))
+    best = []
+    for m in sorted(found):
+        if not any(m[2] <= o[3] and o[2] <= m[3] for o in best):
+            best.append(m)
+    return sorted((m[2], m[4]) for m in best)
+
+
+def test_neighbouring_notices_are_all_found(spark):
+    lines = ["mit-line", "bsd-line", "apache-2.0-line", "gpl-3.0-line", "mit-tag", "cc-by-4.0-line", "apache-2.0", "isc"]
+    templates = {n: licenses.TEMPLATES[n] for n in lines}
+    rng, texts = np.random.default_rng(2), []
+    for size in (1, 2, 2, 3, 4, 5):
+        for _ in range(3):
+            chosen = rng.choice(lines, size)
+            texts.append(" ".join(templates[c] for c in chosen))
+            texts.append(" and ".join(templates[c] for c in chosen))
+    texts += [" ".join([templates[n]] * k) for n in lines for k in (2, 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(rows, templates, required=licenses.REQUIRED).collect():
+        text = texts[r.doc_id]
+        got = [(len(text[: m.start].replace("-", " ").replace(".", " ").replace("/", " ").replace(",", " ").split()), m.license) for m in r.matches]
+        assert [name for _, name in got] == [name for _, name in _every_window(text, templates, licenses.COVERAGE)], text
+
+
+def test_many_notices_in_one_text(spark):
+    line, notice = licenses.TEMPLATES["mit-line"], licenses.TEMPLATES["apache-2.0"]
+    texts = {1: " ".join([line] * 1000), 2: " so ".join([line] * 1000), 3: " ".join([notice] * 2), 4: "\n".join([notice] * 600), 5: " ".join([line] * 33_000)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    assert {k: r.n_licenses for k, r in got.items()} == {1: 1000, 2: 1000, 3: 2, 4: 600, 5: 33_000}
+    assert got[3].licenses == got[4].licenses == "apache-2.0" and got[1].licenses == "mit-line"
+
+
+def test_tags_and_short_forms(spark):
+    texts = ["// SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0", "Licensed under the GPL, version 3", "Distributed under the Apache License 2.0",
+             "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: WTFPL", "Licensed under the GPL, version 4"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.licenses for r in licenses.scan(rows).orderBy("doc_id").collect()] == [
+        "mit-tag", "apache-2.0-tag", "gpl-3.0-short", "apache-2.0-short", "bsd-3-clause-tag", "", ""]

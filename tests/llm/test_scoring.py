@@ -197,3 +197,22 @@ def test_stems_stand_for_the_words_that_begin_with_them():
     assert set(toxicity.choose(forms, holders, 50, 450, np.full(257, 1000))) == {0}
     copies = [(True, list(range(16)), [0])] * 40
     assert not toxicity.choose(forms, copies, 50, 450, np.full(257, 1000))
+
+
+def test_sample_holds_one_row_per_id(spark):
+    rows = spark.createDataFrame([(n % 50, f"text {n}") for n in range(400)] + [(7, None)] * 300, "doc_id long, text string")
+    known = spark.createDataFrame([(n, float(n % 2)) for n in range(60)], "doc_id long, y double")
+    sample = toxicity._sample(rows, known, 40)
+    assert 30 <= sample.count() <= 40
+    assert toxicity._sample(rows, known, 1000).count() == 50
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    """Recall and precision on the documents of the fold that was not learned from."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").dropna().collect()}
+    rows = toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).filter("held_out").collect()
+    judged = [(labels[r.doc_id], r.predicted) for r in rows if r.doc_id in labels]
+    toxic = [p for y, p in judged if y]
+    assert len(toxic) > 20 and sum(toxic) / len(toxic) >= 0.9
+    assert sum(p for y, p in judged if not y) <= 0.01 * len(judged)
