@@ -230,8 +230,15 @@ def _sample(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
     chance = min(1.0, 1.1 * sample / max(known.count(), 1))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = settle(known.filter(spot < int(chance * (1 << 30))).orderBy(spot, "doc_id").limit(sample), "toxicity-ids")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
+    # Texts are shuffled only for ids that repeat.
+    counts = docs.select("doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    counts = settle(counts, "toxicity-ids")
+    rows = docs.select("doc_id", "text").join(F.broadcast(counts), "doc_id")
+    once = rows.filter("n = 1").select("text", "y")
+    if counts.filter("n > 1").isEmpty():
+        return once
+    repeated = rows.filter("n > 1").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return once.unionByName(repeated.select("text", "y"))
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
