@@ -55,10 +55,16 @@ BYTE_VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint6
 SHINGLE_FACTORS = np.random.default_rng(21).integers(0, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _let_go() -> None:
+    """Give freed memory back, also what Arrow's pool holds for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """Cut each batch into runs of rows of about `limit` bytes of text (one row at least). Null counts as empty."""
     # What the worker's last task left in reference cycles (functions that came by value, with their arrays) goes first.
-    gc.collect()
+    _let_go()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -71,6 +77,9 @@ def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
             yield Texts(batch, lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             lo = hi
+        del texts, offsets, raw, data
+    # A worker waits for its next task, maybe one of another stage, with nothing but what it keeps on purpose.
+    _let_go()
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
