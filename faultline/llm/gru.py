@@ -24,6 +24,7 @@ STEPS = 128
 SCORE_STREAMS, SCORE_WINDOW = 384, 32
 RATE = 0.2
 ABSENT = -30.0
+SAFE = 60.0
 
 
 @dataclass
@@ -81,9 +82,40 @@ def _step(p: Parameters, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]
     return z, r, n, past, n + z * (h - n)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _sigmoid_into(x: np.ndarray) -> None:
+    """sigmoid(-x) in place; exp() takes half the time of tanh()."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += np.float32(1)
+    np.reciprocal(x, out=x)
+
+
+def _tanh_into(x: np.ndarray) -> None:
+    """tanh(-x / 2) in place."""
+    _sigmoid_into(x)
+    x += x
+    x -= np.float32(1)
+
+
+def _widened(weights: np.ndarray, bias: np.ndarray, size: float = 1.0) -> tuple[np.ndarray, bool]:
+    """Weights with the bias as one more row, shifted so that exp() of every largest value stays within range; and whether that is
+    sure for states with components up to `size`. A softmax doesn't change if all its values are shifted."""
+    reach = np.abs(weights).sum(-2) * np.float32(size)
+    high, low = (bias + reach).max(-1, keepdims=True), (bias - reach).max(-1, keepdims=True)
+    wide = np.concatenate([weights, (bias - (high + low) * np.float32(0.5))[..., None, :]], axis=-2)
+    return wide, bool(((high - low) < 2 * SAFE).all())
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    out = np.ones((len(states), states.shape[1] + 1), dtype=np.float32)
+    out[:, :-1] = states
+    return out
+
+
+def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
     """Row by row, in place."""
-    x -= x.max(1, keepdims=True)
+    if not safe:
+        x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
     x *= 1 / (x @ np.ones((x.shape[1], 1), dtype=x.dtype))
     return x
@@ -93,18 +125,19 @@ def _class_of(target: np.ndarray) -> np.ndarray:
     return np.where(target < VOCABULARY, target // PER_CLASS, target - VOCABULARY + CLASSES)
 
 
-def _by_class(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Rows of each word class that the targets name."""
-    words = np.flatnonzero(target < VOCABULARY)
-    names = (target[words] // PER_CLASS).astype(np.uint8)
+def _in_order(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the rows by class, the class of each row in it, and (class, from, to) of the word classes that the targets name."""
+    names = _class_of(target).astype(np.uint8)
     order = np.argsort(names, kind="stable")
-    edges = np.searchsorted(names[order], np.arange(CLASSES + 1))
-    return [(c, words[order[a:b]]) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+    names = names[order]
+    edges = np.searchsorted(names, np.arange(CLASSES + 1)).tolist()
+    return order, names.astype(np.int64), [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
 
 
-def _picked(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _picked(x: np.ndarray, wanted: np.ndarray, safe: bool) -> np.ndarray:
     """Log softmax of the wanted column of each row; `x` is used up."""
-    x -= x.max(1, keepdims=True)
+    if not safe:
+        x -= x.max(1, keepdims=True)
     out = x[np.arange(len(x)), wanted]
     np.exp(x, out=x)
     return out - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
@@ -113,11 +146,18 @@ def _picked(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def log_probabilities(p: Parameters, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(class) + log P(word | class) per row; for a tail target only log P(class)."""
     out = np.empty(len(target))
-    wanted = _class_of(target)
-    for a in range(0, len(target), 1024):
-        out[a : a + 1024] = _picked(states[a : a + 1024] @ p.top + p.top_bias, wanted[a : a + 1024])
-    for c, part in _by_class(target):
-        out[part] += _picked(states[part] @ p.words[c] + p.word_bias[c], target[part] % PER_CLASS)
+    if not len(target):
+        return out
+    size = max(1.0, float(np.abs(states).max()))
+    (top, sure), (words, all_sure) = _widened(p.top, p.top_bias, size), _widened(p.words, p.word_bias, size)
+    order, names, parts = _in_order(target)
+    own, inside = _with_one(states.take(order, axis=0)), target[order] % PER_CLASS
+    found = np.empty(len(target))
+    for a in range(0, len(target), 1024):  # parts that stay in the core's cache
+        found[a : a + 1024] = _picked(own[a : a + 1024] @ top, names[a : a + 1024], sure)
+    for c, a, b in parts:
+        found[a:b] += _picked(own[a:b] @ words[c], inside[a:b], all_sure)
+    out[order] = found
     return out
 
 
@@ -155,6 +195,15 @@ def _laid(tokens: np.ndarray, edges: np.ndarray, count: int) -> tuple[np.ndarray
     return inputs, targets, owner, lengths
 
 
+# What turns the inputs of the gates and of the candidate into those of `_sigmoid_into` and `_tanh_into`.
+GATE_SIGNS = np.repeat(np.float32([-1, -1, -2]), HIDDEN)
+
+
+def _apart(x: np.ndarray) -> list[np.ndarray]:
+    """The columns of z, r and n, each as an array without gaps."""
+    return [np.ascontiguousarray(x[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3)]
+
+
 def score(p: Parameters, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Natural log probability of each document, tail words by their class alone."""
     out = np.zeros(len(edges) - 1)
@@ -163,11 +212,8 @@ def score(p: Parameters, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
     # No more streams than keep all of them as long as the longest document.
     count = min(SCORE_STREAMS, max(SCORE_STREAMS // 8, len(tokens) // int(np.diff(edges).max())))
     inputs, targets, owner, lengths = _laid(tokens, edges, count)
-    # sigmoid(x) = (tanh(x / 2) + 1) / 2: the halves of both gates are taken into the weights.
-    half = np.float32(0.5)
-    embed, recur = p.embed.copy(), p.recur.copy()
-    embed[:, : 2 * HIDDEN] *= half
-    recur[:, : 2 * HIDDEN] *= half
+    to_z, to_r, to_n = _apart(p.embed * GATE_SIGNS)
+    by_z, by_r, by_n = _apart(p.recur * GATE_SIGNS)
     h = np.zeros((inputs.shape[1], HIDDEN), dtype=np.float32)
     for start in range(0, len(inputs), SCORE_WINDOW):
         live = int(np.searchsorted(-lengths, -start, side="left"))  # streams longer than `start`; they stand in front
@@ -176,18 +222,16 @@ def score(p: Parameters, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
         now = h[:live]
         for t in range(len(x)):
             now[x[t] == START] = 0
-            given, kept = embed.take(x[t], axis=0), now @ recur
-            gates = given[:, : 2 * HIDDEN]
-            gates += kept[:, : 2 * HIDDEN]
-            np.tanh(gates, out=gates)
-            gates *= half
-            gates += half
-            n = kept[:, 2 * HIDDEN :]
-            n *= gates[:, HIDDEN:]
-            n += given[:, 2 * HIDDEN :]
-            np.tanh(n, out=n)
+            z, r, n = now @ by_z, now @ by_r, now @ by_n
+            z += to_z.take(x[t], axis=0)
+            r += to_r.take(x[t], axis=0)
+            _sigmoid_into(z)
+            _sigmoid_into(r)
+            n *= r
+            n += to_n.take(x[t], axis=0)
+            _tanh_into(n)
             now -= n
-            now *= gates[:, :HIDDEN]
+            now *= z
             now += n
             states[t] = now
         target = targets[start : start + SCORE_WINDOW, :live].ravel()
@@ -212,95 +256,105 @@ class Trainer:
     def _output(self, states: np.ndarray, target: np.ndarray, weight: np.float32) -> np.ndarray:
         """Gradients of both softmaxes; returns the states' gradient."""
         p = self.p
-        back = np.empty_like(states)
-        top, top_bias = np.zeros_like(p.top), np.zeros_like(p.top_bias)
-        wanted, turned = _class_of(target), np.ascontiguousarray(p.top.T)
+        (top, sure), (words, all_sure) = _widened(p.top, p.top_bias), _widened(p.words, p.word_bias)
+        order, names, parts = _in_order(target)
+        own, inside = _with_one(states.take(order, axis=0)), target[order] % PER_CLASS
+        back, turned = np.empty((len(target), HIDDEN), dtype=np.float32), np.ascontiguousarray(p.top.T)
+        to_top, to_words = np.zeros_like(top), np.zeros_like(words)
+        rows = np.arange(max(1024, *(b - a for _, a, b in parts), 0))
         for a in range(0, len(target), 1024):  # parts that stay in the core's cache
-            own = states[a : a + 1024]
-            error = own @ p.top
-            error += p.top_bias
-            _softmax(error)
-            error[np.arange(len(own)), wanted[a : a + 1024]] -= 1
+            some = own[a : a + 1024]
+            error = _softmax(some @ top, sure)
+            error[rows[: len(some)], names[a : a + 1024]] -= 1
             np.matmul(error, turned, out=back[a : a + 1024])
-            top += own.T @ error
-            top_bias += error.sum(0)
+            to_top += some.T @ error
+        for c, a, b in parts:
+            error = _softmax(own[a:b] @ words[c], all_sure)
+            error[rows[: b - a], inside[a:b]] -= 1
+            back[a:b] += error @ p.words[c].T
+            np.matmul(own[a:b].T, error, out=to_words[c])
         back *= weight
-        for c, part in _by_class(target):
-            own = states[part]
-            inside = own @ p.words[c]
-            inside += p.word_bias[c]
-            _softmax(inside)
-            inside[np.arange(len(part)), target[part] % PER_CLASS] -= 1
-            inside *= weight
-            back[part] += inside @ p.words[c].T
-            self._move(4, "words", own.T @ inside, c)
-            # Words without a training count keep their bias.
-            self._move(5, "word_bias", np.where(p.word_bias[c] <= ABSENT / 2, np.float32(0), inside.sum(0)), c)
-        self._move(2, "top", top * weight)
-        self._move(3, "top_bias", top_bias * weight)
-        return back
+        to_top *= weight
+        to_words *= weight
+        # Words without a training count keep their bias.
+        to_words[:, HIDDEN][p.word_bias <= ABSENT / 2] = 0
+        self._move(2, "top", to_top[:HIDDEN])
+        self._move(3, "top_bias", to_top[HIDDEN])
+        named = [c for c, _, _ in parts]
+        self._move(4, "words", to_words[named, :HIDDEN], named)
+        self._move(5, "word_bias", to_words[named, HIDDEN], named)
+        out = np.empty_like(back)
+        out[order] = back
+        return out
 
     def window(self, x: np.ndarray, target: np.ndarray, h: np.ndarray) -> np.ndarray:
-        p, steps, half = self.p, len(x), np.float32(0.5)
+        p, steps = self.p, len(x)
         fresh = x == START
-        given = p.embed.take(x, axis=0)  # becomes z, r and n, then their gradients
+        # The inputs of z, r and n of all steps; they become z, r and n, then their gradients.
+        rows, at = p.embed.reshape(-1, HIDDEN), x.astype(np.int64) * 3
+        z, r, n = (rows.take(at + k, axis=0) for k in range(3))
+        by_z, by_r, by_n = _apart(p.recur)
         before = np.empty((*x.shape, HIDDEN), dtype=np.float32)
         past, states = np.empty_like(before), np.empty_like(before)
         for t in range(steps):
             before[t] = h
             h = before[t]
             h[fresh[t]] = 0
-            kept = h @ p.recur
-            gates, n = given[t, :, : 2 * HIDDEN], given[t, :, 2 * HIDDEN :]
-            gates += kept[:, : 2 * HIDDEN]
-            gates *= half
-            np.tanh(gates, out=gates)
-            gates *= half
-            gates += half
-            past[t] = kept[:, 2 * HIDDEN :]
-            n += gates[:, HIDDEN:] * past[t]
-            np.tanh(n, out=n)
-            new = np.subtract(h, n, out=states[t])
-            new *= gates[:, :HIDDEN]
-            new += n
+            z[t] += h @ by_z
+            r[t] += h @ by_r
+            np.matmul(h, by_n, out=past[t])
+            np.negative(z[t], out=z[t])
+            np.negative(r[t], out=r[t])
+            _sigmoid_into(z[t])
+            _sigmoid_into(r[t])
+            n[t] += r[t] * past[t]
+            n[t] *= np.float32(-2)
+            _tanh_into(n[t])
+            new = np.subtract(h, n[t], out=states[t])
+            new *= z[t]
+            new += n[t]
             h = new
         good = target.ravel() >= 0
         if not good.any():
             return h
-        rows = np.flatnonzero(good)
-        whole = len(rows) == x.size
+        wanted = np.flatnonzero(good)
+        whole = len(wanted) == x.size
         flat = states.reshape(-1, HIDDEN)
-        found = self._output(flat if whole else flat[rows], target.ravel()[rows], np.float32(1 / len(rows)))
+        found = self._output(flat if whole else flat[wanted], target.ravel()[wanted], np.float32(1 / len(wanted)))
         if whole:
             back = found
         else:
             back = np.zeros((x.size, HIDDEN), dtype=np.float32)
-            back[rows] = found
+            back[wanted] = found
         back = back.reshape(states.shape)
-        inner = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
+        # What follows from the states alone, for all steps at once.
+        slope_n = 1 - n * n
+        slope_r = past * (r - r * r)
+        slope_z = (before - n) * (1 - z)
+        turned_z, turned_r, turned_n = (np.ascontiguousarray(w.T) for w in (by_z, by_r, by_n))
+        inner = np.empty_like(n)
         carry = np.zeros_like(h)
-        turned = np.ascontiguousarray(p.recur.T)
         for t in range(steps - 1, -1, -1):
-            z, r, n = (given[t, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
-            total = carry
-            total += back[t]
-            carry = total * z
-            to_n = (total - carry) * (1 - n * n)
-            to_r = to_n * past[t] * (r - r * r)
-            own = inner[t]
-            np.multiply(carry * (1 - z), before[t] - n, out=own[:, :HIDDEN])
-            own[:, HIDDEN : 2 * HIDDEN] = to_r
-            np.multiply(to_n, r, out=own[:, 2 * HIDDEN :])
-            given[t, :, : 2 * HIDDEN] = own[:, : 2 * HIDDEN]
-            given[t, :, 2 * HIDDEN :] = to_n
-            carry += own @ turned
+            total = back[t]
+            total += carry
+            carry = total * z[t]
+            to_n = np.subtract(total, carry, out=n[t])
+            to_n *= slope_n[t]
+            np.multiply(to_n, r[t], out=inner[t])
+            to_r = np.multiply(to_n, slope_r[t], out=r[t])
+            to_z = np.multiply(carry, slope_z[t], out=z[t])
+            carry += to_z @ turned_z
+            carry += to_r @ turned_r
+            carry += inner[t] @ turned_n
             carry[fresh[t]] = 0
-        recur = before.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
+        flat = before.reshape(-1, HIDDEN).T
+        recur = np.concatenate([flat @ part.reshape(-1, HIDDEN) for part in (z, r, inner)], axis=1)
         norm = float(np.sqrt((recur * recur).sum()))
         self._move(1, "recur", recur * np.float32(min(1.0, 1.0 / (norm + 1e-9))))
         order = np.argsort(x.ravel(), kind="stable")
         names, first = np.unique(x.ravel()[order], return_index=True)
-        self._move(0, "embed", np.add.reduceat(given.reshape(-1, 3 * HIDDEN)[order], first), names)
+        given = np.concatenate([part.reshape(-1, HIDDEN) for part in (z, r, n)], axis=1)
+        self._move(0, "embed", np.add.reduceat(given.take(order, axis=0), first), names)
         return h
 
     def learn(self, tokens: np.ndarray, edges: np.ndarray) -> None:

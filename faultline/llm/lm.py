@@ -2,8 +2,8 @@
 
 1. Words of all training documents are counted (hashes, summed inside each task first) and stored.
 2. The most frequent words, KEPT at most, go to the tasks with their counts; VOCABULARY of them are the model's words.
-3. The rounds share out the training documents, each in one round. In a round every task trains the model on its documents of that
-   round; the models are averaged by the number of tokens.
+3. The rounds share out the training documents, each in one round. In a round the documents' word numbers are dealt to trainers, whose
+   number follows the number of tokens alone, not the files or tasks; their models are averaged by the number of tokens.
 4. One pass scores all documents; counts of words beyond the kept ones come from a join on the word's hash.
 """
 
@@ -26,6 +26,9 @@ from .words import LOWER, Texts, hashes_of, mix, texts_of, words_of
 
 KEPT = 1 << 18
 ROUNDS = 2
+TRAINER_TOKENS = 8_000_000
+LEARNED = 1_000_000
+MERGED = 32
 POOL = 4_000_000
 PENDING = 2_000_000
 PART = 1 << 14
@@ -147,42 +150,86 @@ def _model_tokens(vocabulary: Vocabulary, hashes: np.ndarray, tails: np.ndarray)
     return counts, np.where(word >= 0, word, gru.VOCABULARY + tails).astype(np.int32)
 
 
+def _dealt(docs: DataFrame, vocabulary, trainers: int) -> DataFrame:
+    """`docs(text)` -> (trainer, spot, tokens): the word numbers of each document as 16-bit numbers.
+
+    A hash of the document's place deals, so that copies are spread; `spot` is a hash of its words, so that a trainer's order does
+    not follow the files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = vocabulary.value, TaskContext.get().partitionId() << 33
+        for texts in texts_of(batches):
+            hashes, tails, edges = _tokens(texts)
+            tokens = _model_tokens(known, hashes, tails)[1].astype("<i2")
+            at = (np.arange(len(hashes)) - np.repeat(edges[:-1], np.diff(edges))).astype(np.uint64)
+            spots = mix(np.add.reduceat(hashes * (at + at + np.uint64(1)), edges[:-1]))
+            mine = (mix(np.arange(place, place + texts.count, dtype=np.uint64)) >> np.uint64(16)) % np.uint64(trainers)
+            place += texts.count
+            cuts = pa.py_buffer((2 * edges).astype(np.int64))
+            raw = pa.Array.from_buffers(pa.large_binary(), texts.count, [None, cuts, pa.py_buffer(tokens)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mine.astype(np.int32)), pa.array(spots.view(np.int64)), raw.cast(pa.binary())], names=["trainer", "spot", "tokens"]
+            )
+
+    return docs.select("text").mapInArrow(run, "trainer int, spot long, tokens binary")
+
+
 def train_round(docs: DataFrame, vocabulary, start: gru.Parameters) -> gru.Parameters:
-    """Train on `docs(text)`, task by task from the same start, and average the models by their tokens."""
+    """Train on `docs(text)`: one trainer for TRAINER_TOKENS training tokens of the whole corpus, all from the same start. Their models are
+    averaged by their tokens, MERGED at a time."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(start.flat())
     words, tail_words = start.embed.shape[0], vocabulary.value.tail_words
     first = vocabulary.value.word_counts
+    trainers = max(1, -(-vocabulary.value.total // TRAINER_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        trainer = gru.Trainer(gru.initial(first, tail_words).filled(sent.value.copy()))
-        seen, held, cuts = 0, [], [0]
-        for texts in texts_of(batches):
-            hashes, tails, edges = _tokens(texts)
-            held.append(_model_tokens(known, hashes, tails)[1])
-            cuts.extend((edges[1:] + cuts[-1]).tolist())
-            if cuts[-1] >= POOL:
-                trainer.learn(np.concatenate(held), np.array(cuts))
-                seen, held, cuts = seen + cuts[-1], [], [0]
-        if held:
-            trainer.learn(np.concatenate(held), np.array(cuts))
-            seen += cuts[-1]
-        if seen:
+        now, trainer, seen, held, size = None, None, 0, [], 0
+
+        def learn() -> None:
+            nonlocal seen, held, size
+            trainer.learn(np.concatenate(held).astype(np.int32), np.concatenate([[0], np.cumsum([len(t) for t in held])]))
+            seen, held, size = seen + size, [], 0
+
+        def done() -> pa.RecordBatch:
+            if held:
+                learn()
             flat = trainer.p.flat().astype(np.float64) * seen
-            parts = [flat[a : a + PART] for a in range(0, len(flat), PART)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(parts))), pa.array(np.full(len(parts), seen)), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["part", "tokens", "sums"],
+            parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(parts), now, dtype=np.int32)), pa.array(np.arange(len(parts))), pa.array(np.full(len(parts), seen)),
+                 pa.array(parts, pa.binary())],
+                names=["trainer", "part", "tokens", "sums"],
             )
 
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if name != now:
+                    if trainer is not None:
+                        yield done()
+                    now, trainer, seen = name, gru.Trainer(gru.initial(first, tail_words).filled(sent.value.copy())), 0
+                held.append(np.frombuffer(raw.as_buffer(), dtype="<i2").copy())
+                size += len(held[-1])
+                if size >= LEARNED:
+                    learn()
+        if trainer is not None:
+            yield done()
+
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(raw) for raw in group["sums"])
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "tokens": [group["tokens"].sum()], "sums": [total.tobytes()]})
+        total = sum(np.frombuffer(raw) for raw in group.sort_values("trainer")["sums"])
+        one = {"trainer": [group["above"].iloc[0]], "part": [group["part"].iloc[0]], "tokens": [group["tokens"].sum()]}
+        return pd.DataFrame(one | {"sums": [total.tobytes()]})
 
     assert words == gru.START + 1
-    schema = "part long, tokens long, sums binary"
-    got = sorted(docs.select("text").mapInArrow(run, schema).groupBy("part").applyInPandas(merge, schema).collect())
+    schema = "trainer int, part long, tokens long, sums binary"
+    dealt = _dealt(docs, vocabulary, trainers).repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "spot")
+    models = dealt.mapInArrow(run, schema)
+    while trainers > 1:
+        trainers = -(-trainers // MERGED)
+        above = F.floor(F.col("trainer") / MERGED).cast("int")
+        models = models.withColumn("above", above).groupBy("part", "above").applyInPandas(merge, schema)
+    got = sorted(models.collect(), key=lambda r: r.part)
     if not got:
         return start
     return start.filled(np.concatenate([np.frombuffer(bytes(r.sums)) / r.tokens for r in got]))

@@ -60,6 +60,24 @@ def test_every_training_document_is_learned_once(spark, odd_docs, odd_rows, monk
     assert sorted(learned, key=str) == sorted(want, key=str)
 
 
+def test_language_model_does_not_follow_the_file_layout(spark, sf, monkeypatch):
+    """Scores are the same however rows lie in tasks, and many trainers, merged in three levels, still beat the unigram model."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+    def held_out(parts):
+        rows = lm.score(docs.repartition(parts)).filter("held_out").collect()
+        n = sum(r.n_tokens for r in rows)
+        return sum(r.score for r in rows) / n, sum(r.base_score for r in rows) / n
+
+    one, base = held_out(1)
+    assert one > base + 0.2
+    for parts in (4, 32):
+        assert abs(held_out(parts)[0] - one) < 1e-3
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 70_000)
+    monkeypatch.setattr(lm, "MERGED", 2)
+    assert held_out(3)[0] > base + 0.05
+
+
 def test_words_beyond_the_kept_ones_are_counted_by_join(spark, odd_docs, odd_rows, no_docs):
     """With few kept words most counts come from the join; the base score must not change."""
     rows = sorted(
