@@ -10,17 +10,29 @@ from .postings import containing
 from .shared import settle
 
 
-def attach_logs(jobs: DataFrame, logs: DataFrame) -> DataFrame:
-    """Jobs with their log text; `logs(job_id, fetch_status, content, fetch_error)`. A missing row counts as 404."""
+def attach_logs(jobs: DataFrame, logs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Jobs with their log text; `logs(job_id, fetch_status, content, fetch_error)`. A missing row counts as 404.
+
+    Logs may name their text instead of holding it: with `texts(text_id, content)` they have `text_id` in place of `content`, and a
+    text that is not there counts as 404. Texts come in last, so each is shuffled once and not once per job.
+    """
     job = F.col("job_id").cast("string")
     before, after = fixed.NO_LOG_TEXT.split("{}")
     err_before, err_after = fixed.LOG_ERROR_TEXT.split("{}")
-    return jobs.join(logs, "job_id", "left").withColumn(
+    found, missing = jobs.join(logs, "job_id", "left"), F.col("fetch_status").isNull() | (F.col("fetch_status") == 404)
+    if texts is not None:
+        # Jobs that name no text are spread over many keys that match nothing.
+        lot = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(job), F.lit(4096)).cast("string"))
+        known = texts.select(F.col("text_id").cast("string").alias("_text"), "content")
+        found = found.withColumn("_want", F.coalesce(F.col("text_id").cast("string"), lot))
+        found = found.join(known, F.col("_want") == F.col("_text"), "left").drop("_want", "_text")
+        missing = missing | F.col("content").isNull()
+    return found.withColumn(
         "log",
         F.when(F.col("fetch_error").isNotNull(), F.concat(F.lit(err_before), F.col("fetch_error"), F.lit(err_after)))
-        .when(F.col("fetch_status").isNull() | (F.col("fetch_status") == 404), F.concat(F.lit(before), job, F.lit(after)))
+        .when(missing, F.concat(F.lit(before), job, F.lit(after)))
         .otherwise(F.col("content")),
-    ).drop("content", "fetch_status", "fetch_error")
+    ).drop("content", "fetch_status", "fetch_error", "text_id")
 
 
 def join_instance_by_url(builds: DataFrame, instances: DataFrame, default: str) -> DataFrame:

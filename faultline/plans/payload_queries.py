@@ -65,7 +65,7 @@ _FETCHED = f"""with {sv.JOBS}, fetched as (
 
 @query("attach_logs", f"{_FETCHED} select job_id, length(log) as chars, md5(log) as digest from fetched")
 def _(spark, sf):
-    out = pl.attach_logs(views.jobs(spark, sf).drop("log_id"), views.job_logs(spark, sf))
+    out = pl.attach_logs(views.jobs(spark, sf).drop("log_id"), views.job_logs(spark, sf), views.log_texts(spark, sf))
     return out.select("job_id", F.length("log").alias("chars"), F.md5("log").alias("digest"))
 
 
