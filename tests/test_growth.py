@@ -18,3 +18,17 @@ def test_attached_texts_are_named_once(spark):
     assert got == {1: "seven", 2: "seven", 4: "[Error fetching log: timeout]", **gone}
     whole = logs.join(texts, "text_id", "left").drop("text_id").withColumn("fetch_status", F.when(F.col("content").isNull(), 404).otherwise(F.col("fetch_status")))
     assert got == {r.job_id: r.log for r in pl.attach_logs(jobs, whole).collect()}
+
+
+def test_log_tree_stores_a_text_once(spark, tmp_path):
+    tree, keys = str(tmp_path / "tree"), "source string, project_dir string, job_id int"
+    logs = spark.createDataFrame([("gitlab", "p1", 1, 7), ("gitlab", "p1", 2, 7), ("gitlab", "p2", 3, 7), ("gitlab", "p2", 4, 8), ("gitlab", "p2", 5, 9)],
+                                 f"{keys}, text_id int")
+    texts = spark.createDataFrame([(7, "x"), (8, "x"), (9, None), (10, "unused")], "text_id int, content string")
+    sinks.log_tree(logs, tree, texts)
+    back = sinks.read_log_tree(spark, tree, keys)
+    assert sorted((r.project_dir, r.job_id, r.content) for r in back.collect()) == [("p1", 1, "x"), ("p1", 2, "x"), ("p2", 3, "x"), ("p2", 4, "x"), ("p2", 5, None)]
+    sinks.log_tree(logs.filter("job_id in (3, 4)"), tree, texts.withColumn("content", F.when(F.col("text_id") == 7, "y").otherwise(F.col("content"))))
+    back = sinks.read_log_tree(spark, tree, keys)
+    assert sorted((r.project_dir, r.job_id, r.content) for r in back.collect()) == [("p1", 1, "x"), ("p1", 2, "x"), ("p2", 3, "y"), ("p2", 4, "x")]
+    assert sorted(r.content for r in spark.read.parquet(f"{tree}/_texts").collect()) == ["x", "y"]
