@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .postings import containing
-from .shared import settle
+from .postings import first_containing
 
 
 def attach_logs(jobs: DataFrame, logs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -200,19 +199,20 @@ def match_user_exact(people: DataFrame, users: DataFrame) -> DataFrame:
 def match_user_fuzzy(people: DataFrame, users: DataFrame) -> DataFrame:
     """As `match_user_exact`, but the name may be any part of a user's name.
 
-    Names that can contain a text are found through postings of their grams; no (person, user) pairs are formed and no parts of
-    names are made.
+    The parts of names that are as long as some text are kept once, with the first user who has them; no (person, user) pairs are formed.
     """
-    names = settle(_names(users).select(F.concat_ws("/", F.col("pos").cast("string"), F.xxhash64("_name").cast("string")).alias("id"), F.col("_name").alias("text"), "pos"), "names")
+    held = users.select("pos", _both_names().alias("texts"))
     wanted = people.select(F.lower("person").alias("needle"))
-    found = containing(wanted, names.select("id", "text")).join(names.select("id", "pos"), "id")
-    first = found.groupBy(F.col("needle").alias("_name")).agg(F.min("pos").alias("_by_name"))
+    first = first_containing(wanted, held).select(F.col("needle").alias("_name"), F.col("pos").alias("_by_name"))
     return _match(people, users, first)
 
 
 def _names(users: DataFrame) -> DataFrame:
-    both = F.array_distinct(F.array(F.lower(F.coalesce("real_name", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))))
-    return users.select("pos", F.explode(both).alias("_name")).filter(F.col("_name") != "")
+    return users.select("pos", F.explode(_both_names()).alias("_name")).filter(F.col("_name") != "")
+
+def _both_names() -> Column:
+    return F.array_distinct(F.array(F.lower(F.coalesce("real_name", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))))
+
 
 
 def _match(people: DataFrame, users: DataFrame, names: DataFrame) -> DataFrame:

@@ -48,6 +48,27 @@ def containing(needles: DataFrame, texts: DataFrame, index: DataFrame | None = N
     return found.unionByName(pieces.join(short, "needle", "left_semi").select("needle", "id"))
 
 
+def first_containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, pos): of the rows of `texts(pos, texts ARRAY)` with a text that contains the needle, the first by position.
+
+    For short texts such as names: their parts of the wanted lengths are made, each is kept once with its first place, and needles are
+    looked up among them. The work grows with the texts and with the needles, however many texts hold a needle.
+    """
+    wanted = settle(needles.filter(F.length("needle") > 0).select("needle").distinct(), "needles")
+    longest = texts.select(F.max(F.array_max(F.transform("texts", F.length)))).first()[0] or 0
+    # As many rows as there are lengths, at most that of the longest text.
+    sizes = [r[0] for r in wanted.select(F.length("needle").alias("n")).filter(F.col("n") <= longest).distinct().collect()]
+    if not sizes:
+        return wanted.limit(0).select("needle", F.lit(None).cast(texts.schema["pos"].dataType).alias("pos"))
+
+    def parts(text: Column) -> Column:
+        fit = F.filter(F.array(*map(F.lit, sorted(sizes))), lambda n: n <= F.length(text))
+        return F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))))
+
+    pieces = texts.select("pos", F.explode(F.array_distinct(F.flatten(F.transform("texts", parts)))).alias("needle"))
+    return pieces.groupBy("needle").agg(F.min("pos").alias("pos")).join(wanted, "needle", "left_semi")
+
+
 class TextIndex:
     """Stored texts and their postings under `location`. Postings are sorted by gram, so that a look-up reads few row groups."""
 

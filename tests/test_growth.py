@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from faultline.operators import payload as pl
+from faultline.operators import postings
 from faultline.sources import files as fl
 from faultline.sources import logs as lg
 from faultline.sources import sinks
@@ -32,3 +33,14 @@ def test_log_tree_stores_a_text_once(spark, tmp_path):
     back = sinks.read_log_tree(spark, tree, keys)
     assert sorted((r.project_dir, r.job_id, r.content) for r in back.collect()) == [("p1", 1, "x"), ("p1", 2, "x"), ("p2", 3, "y"), ("p2", 4, "x")]
     assert sorted(r.content for r in spark.read.parquet(f"{tree}/_texts").collect()) == ["x", "y"]
+
+
+def test_first_name_that_holds_a_text(spark):
+    rows = [(1, ["anna b", "anna.b"]), (2, ["joanna", "joanna"]), (3, ["", "x" * 40]), (4, ["bob", ""]), (None, ["zed", "zed"])]
+    wanted = ["anna", "anna", "a", "b", "joanna", "joannas", ".b", "", None, "x" * 40, "x" * 41, "zed"]
+    texts = spark.createDataFrame(rows, "pos int, texts array<string>")
+    needles = spark.createDataFrame([(w,) for w in wanted], "needle string")
+    got = {r.needle: r.pos for r in postings.first_containing(needles, texts).collect()}
+    places = {w: [p for p, names in rows if any(w in n for n in names)] for w in wanted if w}
+    assert got == {w: min((p for p in held if p is not None), default=None) for w, held in places.items() if held}
+    assert postings.first_containing(needles, texts.limit(0)).count() == 0
