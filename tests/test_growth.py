@@ -44,3 +44,32 @@ def test_first_name_that_holds_a_text(spark):
     places = {w: [p for p, names in rows if any(w in n for n in names)] for w in wanted if w}
     assert got == {w: min((p for p in held if p is not None), default=None) for w, held in places.items() if held}
     assert postings.first_containing(needles, texts.limit(0)).count() == 0
+
+
+def test_tree_is_listed_and_read_in_tasks(spark, tmp_path):
+    kept = {"a/metadata.json": '{"pipeline_id": 1,\n "status": "ok"}', "b/c/metadata.json": '[{"pipeline_id": 2}, {"pipeline_id": 3}]',
+            "d=1/_x=2/metadata.json": '{"pipeline_id": 4}', "bad/metadata.json": '{"pipeline_id": 9, "sta', "bad2/metadata.json": '{"pipeline_id": "nine"}'}
+    left = {"a/notes.json": '{"pipeline_id": 9}', "_tmp/metadata.json": '{"pipeline_id": 9}', ".h/metadata.json": '{"pipeline_id": 9}', "e/metadata.json": ""}
+    for name, body in {**kept, **left}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    listed = {r.path.split(str(tmp_path))[1][1:]: r.size for r in fl.list_files(spark, str(tmp_path), "metadata.json").collect()}
+    assert listed == {name: len(body) for name, body in kept.items()}
+    old = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    seen = old.select("path", F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime")).filter("size > 0")
+    assert sorted(lg.list_artefacts(spark, str(tmp_path)).collect()) == sorted(seen.collect())
+    assert sorted(r.pipeline_id for r in lg.read_metadata_json(spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+
+
+def test_lines_of_files_in_ranges(spark, tmp_path):
+    bodies = {"a": b"one\ntwo\r\n\nfour", "b": b"\n\n\n", "c": b"x", "d": b"\xef\xbb\xbfmark\nnext\n", "e": b"long line of text\n" * 9}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    files = fl.list_files(spark, str(tmp_path)).select("path", "size")
+    want = []
+    for name, body in bodies.items():
+        lines = body.removeprefix(b"\xef\xbb\xbf").decode().split("\n")
+        want += [(name, n, line) for n, line in enumerate(lines if lines[-1] else lines[:-1])]
+    for size in (1, 2, 3, 5, 7, 64, 1 << 20):
+        got = [(r.path.rsplit("/", 1)[1], r.line_no, r.raw) for r in fl.read_text_lines(files, size).collect()]
+        assert sorted(got) == sorted(want), size
