@@ -73,3 +73,20 @@ def test_lines_of_files_in_ranges(spark, tmp_path):
     for size in (1, 2, 3, 5, 7, 64, 1 << 20):
         got = [(r.path.rsplit("/", 1)[1], r.line_no, r.raw) for r in fl.read_text_lines(files, size).collect()]
         assert sorted(got) == sorted(want), size
+
+
+def test_lines_become_files_in_order(spark, tmp_path):
+    rows = [(f"f{n % 3}/x.log", n, f"line {n}" if n % 4 else None) for n in range(50)]
+    lines = spark.createDataFrame(rows, "path string, line_no int, raw string")
+    written = {r.path: r.lines for r in fl.write_line_files(lines, str(tmp_path)).collect()}
+    assert written == {f"{tmp_path}/f{k}/x.log": len(range(k, 50, 3)) for k in range(3)}
+    for k in range(3):
+        assert (tmp_path / f"f{k}/x.log").read_text() == "".join(f"{raw or ''}\n" for p, _, raw in rows if p.startswith(f"f{k}"))
+
+
+def test_context_of_a_log_line_is_cut_once(spark):
+    raw = "2024-01-01 00:00:00.000 | INFO | m | r1 | done | more | a=1 b=2 a=3"
+    records = lg.app_log(spark.createDataFrame([(1, 0, raw)], "file int, line_no long, raw string"))
+    assert lg.slowest_steps(records.withColumn("ctx", F.create_map(F.lit("processing_time"), F.col("ctx")["a"]))).first().processing_time == 3.0
+    plan = lg.slowest_steps(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(raw") == 1 and plan.count("(?=") == 1
