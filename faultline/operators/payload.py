@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -132,18 +132,14 @@ def failed_steps_jenkins(stages: DataFrame) -> DataFrame:
     )
 
 
-def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFrame) -> DataFrame:
+def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFrame, numbered: bool = False) -> DataFrame:
     """One row per job under its pipeline's header, in one form at every size.
 
     Header: source, repo, branch, commit, pipeline_id (its URL), triggered_by. Job: job_order, job_id, job_name, failed, error_lines
     (the error sections of a failed job's log; empty for other jobs). Nothing is gathered per pipeline, so a pipeline
-    may have any number of jobs; `one_payload` nests the rows of a single pipeline.
+    may have any number of jobs; `one_payload` nests the rows of a single pipeline. With `numbered`, `job_no` counts the jobs of a pipeline
+    from 1. Texts come in last: once they are with their job, they are not shuffled again.
     """
-    shown = ("pipeline_id", "job_order", "job_id", F.coalesce("name", F.lit("unknown")).alias("job_name"))
-    steps = failed_steps_gitlab(jobs, texts).select(*shown, F.lit(True).alias("failed"), "error_lines")
-    others = jobs.filter(F.coalesce(F.col("status") != "failed", F.lit(True))).select(
-        *shown, F.lit(False).alias("failed"), F.array().cast("array<string>").alias("error_lines")
-    )
     user = F.coalesce(text.filled(F.col("username")), text.filled(F.col("user_full_name")))
     headers = pipelines.select(
         F.col("pipeline_id").alias("_pipeline"),
@@ -154,11 +150,19 @@ def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFram
         F.coalesce("pipeline_url", F.lit("")).alias("_url"),
         F.coalesce(F.concat(user, F.lit(fixed.MAIL_DOMAIN)), F.col("source"), F.lit("unknown")).alias("triggered_by"),
     )
-    rows = headers.join(steps.unionByName(others), F.col("_pipeline") == F.col("pipeline_id"))
-    return rows.select(
-        "source", "repo", "branch", "commit", F.col("_url").alias("pipeline_id"), "triggered_by", "job_order", "job_id", "job_name",
-        "failed", "error_lines",
+    own = jobs.select("pipeline_id", "job_order", "job_id", "name", "status", "log_id")
+    rows = headers.join(own, F.col("_pipeline") == F.col("pipeline_id"))
+    if numbered:
+        rows = rows.withColumn("job_no", F.row_number().over(Window.partitionBy("pipeline_id").orderBy("job_order")))
+    shown = (
+        "source", "repo", "branch", "commit", F.col("_url").alias("pipeline_id"), "triggered_by", "job_order", "job_id",
+        F.coalesce("name", F.lit("unknown")).alias("job_name"), *(["job_no"] if numbered else []),
     )
+    steps = failed_steps_gitlab(rows, texts).select(*shown, F.lit(True).alias("failed"), "error_lines")
+    others = rows.filter(F.coalesce(F.col("status") != "failed", F.lit(True))).select(
+        *shown, F.lit(False).alias("failed"), F.array().cast("array<string>").alias("error_lines")
+    )
+    return steps.unionByName(others)
 
 
 def build_failures_jenkins(builds: DataFrame, stages: DataFrame) -> DataFrame:
@@ -207,13 +211,13 @@ def match_user_fuzzy(people: DataFrame, users: DataFrame) -> DataFrame:
     return _match(people, users, first)
 
 
-def _names(users: DataFrame) -> DataFrame:
-    return users.select("pos", F.explode(_both_names()).alias("_name")).filter(F.col("_name") != "")
-
 def _both_names() -> Column:
     return F.array_distinct(F.array(F.lower(F.coalesce("real_name", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))))
 
 
+def _names(users: DataFrame) -> DataFrame:
+    return users.select("pos", F.explode(_both_names()).alias("_name")).filter(F.col("_name") != "")
+
 
 def _match(people: DataFrame, users: DataFrame, names: DataFrame) -> DataFrame:
     """Each distinct text once: by mail, else by name; then the user at that place of the directory."""

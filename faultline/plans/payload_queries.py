@@ -1,6 +1,5 @@
 """Queries over payloads, users and look-ups."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -109,9 +108,8 @@ def default_failures(spark, sf):
     from ..operators import events as ev
 
     texts = settle(sec.format_sections(views.log_lines(spark, sf)).select("log_id", "text"), "texts")
-    out = pl.build_failures_gitlab(ev.filter_processable(views.pipelines(spark, sf)), views.jobs(spark, sf), texts)
-    order = Window.partitionBy("pipeline_id").orderBy("job_order")
-    return out.withColumn("job_no", F.row_number().over(order)).drop("job_order")
+    out = pl.build_failures_gitlab(ev.filter_processable(views.pipelines(spark, sf)), views.jobs(spark, sf), texts, numbered=True)
+    return out.drop("job_order")
 
 
 @query("build_failures_default", f"with recursive {GITLAB_DEFAULT} select * replace (coalesce(error_text, '') as error_text) from failures")

@@ -90,3 +90,17 @@ def test_context_of_a_log_line_is_cut_once(spark):
     assert lg.slowest_steps(records.withColumn("ctx", F.create_map(F.lit("processing_time"), F.col("ctx")["a"]))).first().processing_time == 3.0
     plan = lg.slowest_steps(records)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(raw") == 1 and plan.count("(?=") == 1
+
+
+def test_texts_of_failures_come_last(spark, tmp_path):
+    pipelines = spark.createDataFrame([(1, "u1", "g/r", "main", "a" * 40, "push", "ann", None)],
+                                      "pipeline_id int, pipeline_url string, project_name string, ref string, sha string, source string, username string, user_full_name string")
+    jobs = spark.createDataFrame([(1, 2, "j2", "build", "failed", 7), (1, 1, "j1", "lint", "success", 7), (1, 3, "j3", None, None, 8), (2, 1, "k", "x", "failed", 7)],
+                                 "pipeline_id int, job_order int, job_id string, name string, status string, log_id int")
+    failures = pl.build_failures_gitlab(pipelines, jobs, spark.createDataFrame([(7, "boom")], "log_id int, text string"), numbered=True)
+    got = [(r.pipeline_id, r.job_no, r.job_id, r.job_name, r.failed, r.error_lines) for r in failures.orderBy("job_order").collect()]
+    assert got == [("u1", 1, "j1", "lint", False, []), ("u1", 2, "j2", "build", True, ["boom"]), ("u1", 3, "j3", "unknown", False, [])]
+    out = sinks.failures_json(failures, str(tmp_path / "out"), "job_no")
+    names = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    assert sorted(spark.read.schema(failures.schema).json(out).collect()) == sorted(failures.collect())
