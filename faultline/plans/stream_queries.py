@@ -12,9 +12,13 @@ from .event_queries import _stamp
 from .registry import query
 
 
+ROWS_PER_FILE = 250_000
+
+
 def _stream(spark, rows, name, files):
-    """The rows as a stream: stored as files, read a few files per micro-batch."""
+    """The rows as a stream: stored as files, `files` at least, more for more rows; half of them are read per micro-batch."""
     path = new_path(spark, name)
+    files = max(files, rows.count() // ROWS_PER_FILE)
     rows.repartition(files).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(files // 2, 1)).parquet(path)
 

@@ -1,9 +1,12 @@
 """Work that must grow no faster than its input: texts move once, files are listed and read in tasks."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from faultline.operators import payload as pl
-from faultline.operators import postings
+from faultline.operators import postings, shared
+from faultline.plans import stream_queries as sq
 from faultline.sources import files as fl
 from faultline.sources import logs as lg
 from faultline.sources import sinks
@@ -104,3 +107,11 @@ def test_texts_of_failures_come_last(spark, tmp_path):
     names = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
     assert names and all(n.endswith(".json.gz") for n in names)
     assert sorted(spark.read.schema(failures.schema).json(out).collect()) == sorted(failures.collect())
+
+
+def test_stream_files_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(sq, "ROWS_PER_FILE", 10)
+    for rows, files in ((5, 4), (200, 20)):
+        source = sq._stream(spark, spark.range(rows), "grown", 4)
+        assert source.isStreaming
+        assert len([f for f in os.listdir(shared._written[spark.sparkContext.applicationId][-1]) if f.startswith("part-")]) == files
