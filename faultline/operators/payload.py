@@ -73,45 +73,52 @@ def resolve_trigger_user(
         F.when(F.col("author_email").contains("@"), text.email_local_part(F.col("author_email")))
         .otherwise(F.col("author_name")).alias("_author"),
     )
-    heads = branches.join(authors.withColumnRenamed("sha", "head_sha"), ["project_id", "head_sha"]).select(
-        "project_id", F.col("name").alias("_branch"), F.col("_author").alias("_head_author")
-    )
     keyed = builds.withColumns(
         {
             "_manual": F.when(F.lower(user) != fixed.SYSTEM_USER, user),
-            "namespace": param("gitlabSourceNamespace", "sourceNamespace"),
-            "repo": param("gitlabSourceRepoName"),
-            "iid": param("gitlabMergeRequestIid").try_cast("bigint"),
-            "sha": known(param("gitlabMergeRequestLastCommit")),
+            "_namespace": param("gitlabSourceNamespace", "sourceNamespace"),
+            "_repo": param("gitlabSourceRepoName"),
+            "_iid": param("gitlabMergeRequestIid").try_cast("bigint"),
+            "_sha": known(param("gitlabMergeRequestLastCommit")),
             "_branch": known(param("gitlabSourceBranch")),
         }
     )
     # A row without a key matches nothing; its key is replaced by one of many that no table has, so that such rows spread.
     lot = F.pmod(F.monotonically_increasing_id(), F.lit(4096))
 
-    def spread(key: str, *with_key: str) -> Column:
-        lacking = F.col(key).isNull()
-        for other in with_key:
-            lacking = lacking | F.col(other).isNull()
+    def spread(key: str, with_key: str) -> Column:
+        lacking = F.col(key).isNull() | F.col(with_key).isNull()
         return F.when(lacking, F.concat(F.lit("\u0000"), F.col("_lot").cast("string"))).otherwise(F.col(key).cast("string"))
 
-    def look_up(rows: DataFrame, table: DataFrame, key: str, *with_key: str) -> DataFrame:
-        found = table.dropna(subset=[key, *with_key]).withColumn("_key", F.col(key).cast("string"))
-        found = found.select("_key", *[F.col(k).alias(f"_with_{k}") for k in with_key], *[c for c in table.columns if c not in (key, *with_key)])
-        same = [F.col("_want") == F.col("_key"), *[F.coalesce(F.col(k), F.lit("") if k == "namespace" else F.lit(-1)) == F.col(f"_with_{k}") for k in with_key]]
-        out = rows.withColumn("_want", spread(key, *with_key)).join(found, same, "left")
-        return out.drop("_want", "_key", *[f"_with_{k}" for k in with_key])
+    def by_key(table: DataFrame, key: str, with_key: str) -> DataFrame:
+        found = table.dropna(subset=[key, with_key]).withColumn("_key", F.col(key).cast("string"))
+        return found.select("_key", F.col(with_key).alias("_with"), *[c for c in table.columns if c not in (key, with_key)])
+
+    def look_up(rows: DataFrame, found: DataFrame, key: str, with_key: str) -> DataFrame:
+        none = F.lit("") if with_key == "_namespace" else F.lit(-1)
+        same = (F.col("_want") == F.col("_key")) & (F.coalesce(F.col(with_key), none) == F.col("_with"))
+        return rows.withColumn("_want", spread(key, with_key)).join(found, same, "left").drop("_want", "_key", "_with")
 
-    # Builds started by hand need no look-up.
+    # The heads meet the commits by the keys by which builds meet them, so the commits are shuffled once for both.
+    commit_authors = by_key(authors, "sha", "project_id")
+    head = (F.col("head_sha").cast("string") == F.col("_key")) & (F.col("project_id") == F.col("_with"))
+    heads = branches.join(commit_authors, head).select("project_id", "name", F.col("_author").alias("_head_author"))
+    # Builds started by hand and builds of unknown projects need no look-up of people, builds without a commit none of commits.
     by_hand = keyed.filter(F.col("_manual").isNotNull()).withColumn("_found", F.col("_manual"))
     asked = keyed.filter(F.col("_manual").isNull()).withColumn("_lot", lot)
-    asked = look_up(asked, projects.select("namespace", "repo", "project_id"), "repo", "namespace")
-    asked = look_up(asked, merge_requests.select("project_id", "iid", F.col("username").alias("_mr_author")), "iid", "project_id")
-    asked = look_up(asked, authors, "sha", "project_id")
-    asked = look_up(asked, heads, "_branch", "project_id")
-    looked_up = asked.withColumn("_found", F.coalesce(*[text.filled(F.col(c)) for c in ("_mr_author", "_author", "_head_author")]))
+    of_project = projects.select("namespace", "repo", F.col("project_id").alias("_project"))
+    asked = look_up(asked, by_key(of_project, "repo", "namespace"), "_repo", "_namespace")
+    placed = asked.filter(F.col("_project").isNotNull())
+    no_place = asked.filter(F.col("_project").isNull()).withColumn("_found", F.lit(None).cast("string"))
+    requests = merge_requests.select("project_id", "iid", F.col("username").alias("_mr_author"))
+    placed = look_up(placed, by_key(requests, "iid", "project_id"), "_iid", "_project")
+    with_commit = look_up(placed.filter(F.col("_sha").isNotNull()), commit_authors, "_sha", "_project")
+    placed = with_commit.unionByName(placed.filter(F.col("_sha").isNull()).withColumn("_author", F.lit(None).cast("string")))
+    placed = look_up(placed, by_key(heads, "name", "project_id"), "_branch", "_project")
+    looked_up = placed.withColumn("_found", F.coalesce(*[text.filled(F.col(c)) for c in ("_mr_author", "_author", "_head_author")]))
     named = F.concat(F.coalesce(F.col("_found"), F.lit(fixed.SYSTEM_USER)), F.lit(fixed.MAIL_DOMAIN)).alias("triggered_by")
-    return by_hand.select(*builds.columns, named).unionByName(looked_up.select(*builds.columns, named))
+    out = by_hand.select(*builds.columns, named)
+    return out.unionByName(no_place.select(*builds.columns, named)).unionByName(looked_up.select(*builds.columns, named))
 
 
 def failed_steps_gitlab(jobs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -124,12 +131,18 @@ def failed_steps_gitlab(jobs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def failed_steps_jenkins(stages: DataFrame) -> DataFrame:
     """Failed stages as steps; `stages(..., name, status, log_content)`. A stage without text gets a placeholder."""
+    return _as_steps(_failed(stages))
+
+
+def _failed(stages: DataFrame) -> DataFrame:
+    return stages.filter(F.col("status").isin(*fixed.FAILED_STAGE_STATUSES))
+
+
+def _as_steps(failed: DataFrame) -> DataFrame:
     name = F.coalesce("name", F.lit("unknown"))
     before, after = fixed.NO_STAGE_TEXT.split("{}")
     shown = F.coalesce(text.filled(F.col("log_content")), F.concat(F.lit(before), name, F.lit(after)))
-    return stages.filter(F.col("status").isin(*fixed.FAILED_STAGE_STATUSES)).withColumn("step_name", name).withColumn(
-        "error_lines", F.array(shown)
-    )
+    return failed.withColumn("step_name", name).withColumn("error_lines", F.array(shown))
 
 
 def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFrame, numbered: bool = False) -> DataFrame:
@@ -165,19 +178,33 @@ def build_failures_gitlab(pipelines: DataFrame, jobs: DataFrame, texts: DataFram
     return steps.unionByName(others)
 
 
+def jenkins_headers(builds: DataFrame) -> DataFrame:
+    """Builds with the payload's `repo`, `branch` and `commit` out of their parameters, which are then only needed to find the trigger user."""
+    p = F.col("parameters")
+    return builds.withColumns(
+        {
+            "repo": F.coalesce(p["gitlabSourceRepoName"], F.col("job_name")),
+            "branch": F.coalesce(p["gitlabSourceBranch"], F.lit("unknown")),
+            "commit": F.coalesce(p["gitlabMergeRequestLastCommit"], F.lit("unknown")),
+        }
+    )
+
+
 def build_failures_jenkins(builds: DataFrame, stages: DataFrame) -> DataFrame:
     """One row per failed stage under its build's header; a build without failed stages has one row without a step.
 
-    `builds(build_id, job_name, build_url, parameters, triggered_by)`, `stages(build_id, stage_pos, ...)`.
+    `builds(build_id, job_name, build_url, parameters, triggered_by)`, or with the columns of `jenkins_headers` in place of the parameters;
+    `stages(build_id, stage_pos, ...)`. Placeholders are put in after the join, so they are not shuffled.
     """
-    steps = failed_steps_jenkins(stages).select(F.col("build_id").alias("_build"), "stage_pos", "step_name", "error_lines")
-    p = F.col("parameters")
-    return builds.join(steps, F.col("build_id") == F.col("_build"), "left").select(
-        F.lit("jenkins").alias("source"),
-        F.coalesce(p["gitlabSourceRepoName"], F.col("job_name")).alias("repo"),
-        F.coalesce(p["gitlabSourceBranch"], F.lit("unknown")).alias("branch"),
-        F.coalesce(p["gitlabMergeRequestLastCommit"], F.lit("unknown")).alias("commit"),
-        "job_name", F.col("build_url").alias("pipeline_id"), "triggered_by", "stage_pos", "step_name", "error_lines",
+    if "parameters" in builds.columns:
+        builds = jenkins_headers(builds)
+    header = ("repo", "branch", "commit", "job_name", F.col("build_url").alias("pipeline_id"), "triggered_by")
+    failed = _failed(stages).select(F.col("build_id").alias("_build"), "stage_pos", "name", "log_content")
+    rows = builds.select("build_id", *header).join(failed, F.col("build_id") == F.col("_build"), "left")
+    step = F.col("_build").isNotNull()
+    return _as_steps(rows).select(
+        F.lit("jenkins").alias("source"), "repo", "branch", "commit", "job_name", "pipeline_id", "triggered_by", "stage_pos",
+        F.when(step, F.col("step_name")).alias("step_name"), F.when(step, F.col("error_lines")).alias("error_lines"),
     )
 
 

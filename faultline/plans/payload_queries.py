@@ -36,16 +36,15 @@ triggered as (
   left join authors h on h.project_id = p.project_id and h.branch = b.branch)"""
 
 
-def _triggered(spark, sf):
+def _triggered(spark, sf, builds):
     return pl.resolve_trigger_user(
-        views.builds(spark, sf), views.ci_projects(spark, sf), views.ci_merge_requests(spark, sf),
-        views.ci_commits(spark, sf), views.ci_branches(spark, sf),
+        builds, views.ci_projects(spark, sf), views.ci_merge_requests(spark, sf), views.ci_commits(spark, sf), views.ci_branches(spark, sf)
     )
 
 
 @query("resolve_trigger_user", f"with {_TRIGGER} select build_id, triggered_by from triggered")
 def _(spark, sf):
-    return _triggered(spark, sf).select("build_id", "triggered_by")
+    return _triggered(spark, sf, views.builds(spark, sf)).select("build_id", "triggered_by")
 
 
 @query("join_instance_by_url", f"""with {_BUILDS} select build_id, coalesce(case when n_nationkey is not null then 'https://ci' || n_nationkey || '.example.com/' end, 'default') as instance_url,
@@ -145,7 +144,8 @@ def _(spark, sf):
   coalesce(sha, 'unknown') as commit, job_name, build_url as pipeline_id, triggered_by,
   step_name, error_text from triggered left join listed using (build_id)""")
 def jenkins_failures(spark, sf):
-    out = pl.build_failures_jenkins(_triggered(spark, sf), _stage_rows(spark, sf))
+    triggered = _triggered(spark, sf, pl.jenkins_headers(views.builds(spark, sf))).drop("parameters")
+    out = pl.build_failures_jenkins(triggered, _stage_rows(spark, sf))
     return out.withColumn("error_text", F.array_join("error_lines", "|")).drop("error_lines", "stage_pos")
 
 

@@ -206,7 +206,7 @@ def jobs(spark: S, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     key = jobs_key()
     flag = F.col("l_returnflag")
-    return stored(spark, sf, "jobs", li.select(
+    return li.select(
         F.col("l_orderkey").alias("pipeline_id"), key.alias("job_id"),
         F.concat(F.lit("job "), F.col("l_linenumber").cast("string")).alias("name"),
         F.when(F.col("l_linestatus") == "F", "build").otherwise("test").alias("stage"),
@@ -215,7 +215,7 @@ def jobs(spark: S, sf: str) -> DataFrame:
         F.col("l_quantity").alias("duration"),
         F.col("l_partkey").alias("log_id"),
         F.struct(*JOB_ORDER).alias("job_order"),
-    ))
+    )
 
 
 def stage_numbers(spark: S, sf: str) -> DataFrame:

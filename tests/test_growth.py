@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultline.operators import payload as pl
 from faultline.operators import postings, shared
 from faultline.plans import stream_queries as sq
+from faultline.plans import views
 from faultline.sources import files as fl
 from faultline.sources import logs as lg
 from faultline.sources import sinks
@@ -115,3 +116,54 @@ def test_stream_files_grow_in_number(spark, monkeypatch):
         source = sq._stream(spark, spark.range(rows), "grown", 4)
         assert source.isStreaming
         assert len([f for f in os.listdir(shared._written[spark.sparkContext.applicationId][-1]) if f.startswith("part-")]) == files
+
+
+def _look_ups(spark):
+    p = {"sourceNamespace": "g", "gitlabSourceRepoName": "r"}
+    rows = [
+        (1, "ann", p), (2, None, {**p, "gitlabMergeRequestLastCommit": "c1"}), (2, None, {**p, "gitlabMergeRequestIid": "5"}), (None, "", {**p, "gitlabSourceBranch": "b"}),
+        (4, None, {"gitlabSourceRepoName": "q"}), (5, None, {**p, "gitlabMergeRequestLastCommit": "unknown"}), (6, None, {}), (7, None, None),
+    ]
+    builds = spark.createDataFrame([(k, u, m, f"job{k}", f"url{k}") for k, u, m in rows],
+                                   "build_id int, user_id string, parameters map<string, string>, job_name string, build_url string")
+    return builds, (
+        spark.createDataFrame([("g", "r", 9)], "namespace string, repo string, project_id bigint"),
+        spark.createDataFrame([(9, 5, "mia"), (9, 5, "moe"), (None, 5, "x")], "project_id bigint, iid bigint, username string"),
+        spark.createDataFrame([(9, "c1", "cy@x", "C"), (9, "c1", None, None), (9, "c3", "hd@x", None), (9, None, "no@x", None)],
+                              "project_id bigint, sha string, author_email string, author_name string"),
+        spark.createDataFrame([(9, "b", "c3"), (None, "b", "c3")], "project_id bigint, name string, head_sha string"),
+    )
+
+
+def test_builds_of_failures_travel_without_parameters(spark):
+    builds, tables = _look_ups(spark)
+    own = builds.select("*", F.lit("kept").alias("sha"), F.lit("own").alias("namespace"))
+    users = sorted((r.build_id or 0, r.triggered_by[:-13], r.sha, r.namespace) for r in pl.resolve_trigger_user(own, *tables).collect())
+    assert users == [(k, u, "kept", "own") for k, u in
+                     [(0, "hd"), (1, "ann"), (2, "cy"), (2, "jenkins"), (2, "mia"), (2, "moe"), (4, "jenkins"), (5, "jenkins"), (6, "jenkins"), (7, "jenkins")]]
+    stages = spark.createDataFrame([(2, 1, "s", "FAILED", ""), (2, 2, None, "ERROR", "x"), (4, 1, "t", "FAILED", "boom"), (4, 2, "ok", "SUCCESS", "y"), (None, 1, "z", "FAILED", "z")],
+                                   "build_id int, stage_pos int, name string, status string, log_content string")
+    headed = pl.resolve_trigger_user(pl.jenkins_headers(builds), *tables).drop("parameters")
+    found = pl.build_failures_jenkins(headed, stages)
+    assert sorted(map(str, found.collect())) == sorted(map(str, pl.build_failures_jenkins(pl.resolve_trigger_user(builds, *tables), stages).collect()))
+    steps = {(r.pipeline_id, r.repo, r.commit, r.stage_pos, r.step_name, str(r.error_lines)) for r in found.filter("job_name in ('job1', 'job4')").collect()}
+    assert steps == {("url1", "r", "unknown", None, None, "None"), ("url4", "q", "unknown", 1, "t", "['boom']")}
+    assert found.filter("pipeline_id = 'url2' and step_name = 's'").first().error_lines[0].startswith("Stage 's' failed")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        big = [t.repartition(2) for t in tables]
+        plan = pl.build_failures_jenkins(pl.resolve_trigger_user(pl.jenkins_headers(builds), *big).drop("parameters"), stages)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange [_key" in plan  # commits: for builds and for heads of branches
+
+
+def test_jobs_are_read_without_a_copy(spark, tmp_path):
+    line = "1L l_orderkey, 2L l_partkey, 3L l_suppkey, 1 l_linenumber, date'2024-01-02' l_shipdate, 'R' l_returnflag, 'F' l_linestatus, 1.0 l_quantity"
+    spark.sql(f"select {line}").write.parquet(str(tmp_path / "lineitem.parquet"))
+    job = views.jobs(spark, str(tmp_path)).first()
+    assert (job.pipeline_id, job.job_id, job.status, job.log_id) == (1, "1-1-2-3-20240102", "failed", 2)
+    assert not any("/jobs-" in path for path in shared._written.get(spark.sparkContext.applicationId, []))
