@@ -23,6 +23,7 @@ LEAST_STREAMS, TRAIN_STREAMS, TRAIN_WINDOW = 64, 512, 16
 STEPS = 128
 SCORE_STREAMS, SCORE_WINDOW = 384, 32
 RATE = 0.2
+SHORT = 8
 ABSENT = -30.0
 SAFE = 60.0
 
@@ -87,7 +88,7 @@ def _sigmoid_into(x: np.ndarray) -> None:
     with np.errstate(over="ignore"):
         np.exp(x, out=x)
     x += np.float32(1)
-    np.reciprocal(x, out=x)
+    np.divide(np.float32(1), x, out=x)
 
 
 def _tanh_into(x: np.ndarray) -> None:
@@ -97,6 +98,10 @@ def _tanh_into(x: np.ndarray) -> None:
     x -= np.float32(1)
 
 
+def _wide(p: Parameters, size: float = 1.0) -> tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]]:
+    return _widened(p.top, p.top_bias, size), _widened(p.words, p.word_bias, size)
+
+
 def _widened(weights: np.ndarray, bias: np.ndarray, size: float = 1.0) -> tuple[np.ndarray, bool]:
     """Weights with the bias as one more row, shifted so that exp() of every largest value stays within range; and whether that is
     sure for states with components up to `size`. A softmax doesn't change if all its values are shifted."""
@@ -112,12 +117,20 @@ def _with_one(states: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
+def _row_sums(x: np.ndarray, parts: list[tuple[int, int, int]] | None) -> np.ndarray:
+    """Part by part where there are parts: how a product rounds can follow from its number of rows."""
+    ones, out = np.ones((x.shape[1], 1), dtype=x.dtype), np.empty((len(x), 1), dtype=x.dtype)
+    for _, a, b in [(0, 0, len(x))] if parts is None else parts:
+        np.matmul(x[a:b], ones, out=out[a:b])
+    return out
+
+
+def _softmax(x: np.ndarray, safe: bool, parts: list[tuple[int, int, int]] | None = None) -> np.ndarray:
     """Row by row, in place."""
     if not safe:
         x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
-    x *= 1 / (x @ np.ones((x.shape[1], 1), dtype=x.dtype))
+    x *= 1 / _row_sums(x, parts)
     return x
 
 
@@ -134,29 +147,37 @@ def _in_order(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[in
     return order, names.astype(np.int64), [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
 
 
-def _picked(x: np.ndarray, wanted: np.ndarray, safe: bool) -> np.ndarray:
+def _by_class(own: np.ndarray, words: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """The values of the words of each row's class, for the rows of word classes; they stand in front."""
+    x = np.empty((parts[-1][2] if parts else 0, PER_CLASS), dtype=np.float32)
+    for c, a, b in parts:
+        np.matmul(own[a:b], words[c], out=x[a:b])
+    return x
+
+
+def _picked(x: np.ndarray, wanted: np.ndarray, safe: bool, parts: list[tuple[int, int, int]] | None = None) -> np.ndarray:
     """Log softmax of the wanted column of each row; `x` is used up."""
     if not safe:
         x -= x.max(1, keepdims=True)
     out = x[np.arange(len(x)), wanted]
     np.exp(x, out=x)
-    return out - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+    return out - np.log(_row_sums(x, parts)[:, 0])
 
 
-def log_probabilities(p: Parameters, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(class) + log P(word | class) per row; for a tail target only log P(class)."""
+def log_probabilities(p: Parameters, states: np.ndarray, target: np.ndarray, usual: tuple | None = None) -> np.ndarray:
+    """log P(class) + log P(word | class) per row; for a tail target only log P(class). `usual`: `_wide(p)`, if it is at hand."""
     out = np.empty(len(target))
     if not len(target):
         return out
-    size = max(1.0, float(np.abs(states).max()))
-    (top, sure), (words, all_sure) = _widened(p.top, p.top_bias, size), _widened(p.words, p.word_bias, size)
+    size = max(1.0, float(states.max()), -float(states.min()))
+    (top, sure), (words, all_sure) = usual if usual and size == 1.0 else _wide(p, size)
     order, names, parts = _in_order(target)
     own, inside = _with_one(states.take(order, axis=0)), target[order] % PER_CLASS
-    found = np.empty(len(target))
+    found, held = np.empty(len(target)), np.empty((1024, CLASSES + TAILS), dtype=np.float32)
     for a in range(0, len(target), 1024):  # parts that stay in the core's cache
-        found[a : a + 1024] = _picked(own[a : a + 1024] @ top, names[a : a + 1024], sure)
-    for c, a, b in parts:
-        found[a:b] += _picked(own[a:b] @ words[c], inside[a:b], all_sure)
+        found[a : a + 1024] = _picked(np.matmul(own[a : a + 1024], top, out=held[: len(own) - a]), names[a : a + 1024], sure)
+    x = _by_class(own, words, parts)
+    found[: len(x)] += _picked(x, inside[: len(x)], all_sure, parts)
     out[order] = found
     return out
 
@@ -195,6 +216,11 @@ def _laid(tokens: np.ndarray, edges: np.ndarray, count: int) -> tuple[np.ndarray
     return inputs, targets, owner, lengths
 
 
+def _given(embed: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The inputs of z, r and n for each word, as three arrays one behind the other."""
+    return embed.reshape(-1, HIDDEN).take(x.astype(np.int64) * 3 + np.arange(3)[:, None, None], axis=0)
+
+
 # What turns the inputs of the gates and of the candidate into those of `_sigmoid_into` and `_tanh_into`.
 GATE_SIGNS = np.repeat(np.float32([-1, -1, -2]), HIDDEN)
 
@@ -212,23 +238,25 @@ def score(p: Parameters, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
     # No more streams than keep all of them as long as the longest document.
     count = min(SCORE_STREAMS, max(SCORE_STREAMS // 8, len(tokens) // int(np.diff(edges).max())))
     inputs, targets, owner, lengths = _laid(tokens, edges, count)
-    to_z, to_r, to_n = _apart(p.embed * GATE_SIGNS)
+    embed, usual = p.embed * GATE_SIGNS, _wide(p)
     by_z, by_r, by_n = _apart(p.recur * GATE_SIGNS)
     h = np.zeros((inputs.shape[1], HIDDEN), dtype=np.float32)
     for start in range(0, len(inputs), SCORE_WINDOW):
         live = int(np.searchsorted(-lengths, -start, side="left"))  # streams longer than `start`; they stand in front
         x = inputs[start : start + SCORE_WINDOW, :live]
         states = np.empty((*x.shape, HIDDEN), dtype=np.float32)
-        now = h[:live]
+        now, (to_z, to_r, to_n), fresh = h[:live], _given(embed, x), x == START
+        anew = fresh.any(1).tolist()
         for t in range(len(x)):
-            now[x[t] == START] = 0
+            if anew[t]:
+                now[fresh[t]] = 0
             z, r, n = now @ by_z, now @ by_r, now @ by_n
-            z += to_z.take(x[t], axis=0)
-            r += to_r.take(x[t], axis=0)
+            z += to_z[t]
+            r += to_r[t]
             _sigmoid_into(z)
             _sigmoid_into(r)
             n *= r
-            n += to_n.take(x[t], axis=0)
+            n += to_n[t]
             _tanh_into(n)
             now -= n
             now *= z
@@ -236,11 +264,39 @@ def score(p: Parameters, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
             states[t] = now
         target = targets[start : start + SCORE_WINDOW, :live].ravel()
         good = np.flatnonzero(target >= 0)
-        found = log_probabilities(p, states.reshape(-1, HIDDEN)[good], target[good])
+        flat = states.reshape(-1, HIDDEN)
+        found = log_probabilities(p, flat if len(good) == len(flat) else flat[good], target[good], usual)
         out += np.bincount(owner[start : start + SCORE_WINDOW, :live].ravel()[good], weights=found, minlength=len(out))
     return out
 
 
+def _summed(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different names and the sum of the rows (second axis) of each, rounded as reduceat() does it.
+
+    reduceat() is slow on many short runs: names that come SHORT times or less are added up side by side, one row of each at a time.
+    """
+    order = np.argsort(names.astype(np.int16), kind="stable")
+    ordered = names[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    n = np.diff(first, append=len(names))
+    by_size = np.argsort(-n, kind="stable")
+    first, n = first[by_size], n[by_size]
+    live = np.searchsorted(-n, -np.arange(SHORT + 1), side="left").tolist()  # how many come more than 0, 1, .. times
+    long, several = live[SHORT], live[1]
+    sums = np.empty((rows.shape[0], len(n), rows.shape[2]), dtype=rows.dtype)
+    if long:
+        edges = np.cumsum(n[:long]) - n[:long]
+        whole = order[np.arange(int(n[:long].sum())) + np.repeat(first[:long] - edges, n[:long])]
+        np.add.reduceat(rows.take(whole, axis=1), edges, axis=1, out=sums[:, :long])
+    sums[:, long:] = rows.take(order[first[long:]], axis=1)
+    more = rows.take(order[first[long:several] + 1], axis=1)
+    for step in range(2, SHORT):
+        if live[step] > long:
+            more[:, : live[step] - long] += rows.take(order[first[long : live[step]] + step], axis=1)
+    sums[:, long:several] += more
+    return ordered[first], sums
+
+
 class Trainer:
     """Adagrad on windows of TRAIN_WINDOW steps; gradients end at the window's start, states do not."""
 
@@ -249,30 +305,34 @@ class Trainer:
         self.squares = [np.full_like(getattr(p, f.name), 1e-4) for f in fields(p)]
 
     def _move(self, k: int, name: str, gradient: np.ndarray, rows=...) -> None:
-        own = getattr(self.p, name)
-        self.squares[k][rows] += gradient * gradient
-        own[rows] -= RATE * gradient / np.sqrt(self.squares[k][rows])
+        own, squares = getattr(self.p, name), self.squares[k]
+        grown = gradient * gradient
+        grown += squares[rows]
+        squares[rows] = grown
+        np.sqrt(grown, out=grown)
+        np.divide(RATE * gradient, grown, out=grown)
+        own[rows] -= grown
 
     def _output(self, states: np.ndarray, target: np.ndarray, weight: np.float32) -> np.ndarray:
         """Gradients of both softmaxes; returns the states' gradient."""
         p = self.p
-        (top, sure), (words, all_sure) = _widened(p.top, p.top_bias), _widened(p.words, p.word_bias)
+        (top, sure), (words, all_sure) = _wide(p)
         order, names, parts = _in_order(target)
         own, inside = _with_one(states.take(order, axis=0)), target[order] % PER_CLASS
         back, turned = np.empty((len(target), HIDDEN), dtype=np.float32), np.ascontiguousarray(p.top.T)
         to_top, to_words = np.zeros_like(top), np.zeros_like(words)
-        rows = np.arange(max(1024, *(b - a for _, a, b in parts), 0))
+        rows, held = np.arange(len(target)), np.empty((1024, CLASSES + TAILS), dtype=np.float32)
         for a in range(0, len(target), 1024):  # parts that stay in the core's cache
             some = own[a : a + 1024]
-            error = _softmax(some @ top, sure)
+            error = _softmax(np.matmul(some, top, out=held[: len(some)]), sure)
             error[rows[: len(some)], names[a : a + 1024]] -= 1
             np.matmul(error, turned, out=back[a : a + 1024])
             to_top += some.T @ error
+        error = _softmax(_by_class(own, words, parts), all_sure, parts)
+        error[rows[: len(error)], inside[: len(error)]] -= 1
         for c, a, b in parts:
-            error = _softmax(own[a:b] @ words[c], all_sure)
-            error[rows[: b - a], inside[a:b]] -= 1
-            back[a:b] += error @ p.words[c].T
-            np.matmul(own[a:b].T, error, out=to_words[c])
+            back[a:b] += error[a:b] @ p.words[c].T
+            np.matmul(own[a:b].T, error[a:b], out=to_words[c])
         back *= weight
         to_top *= weight
         to_words *= weight
@@ -280,7 +340,7 @@ class Trainer:
         to_words[:, HIDDEN][p.word_bias <= ABSENT / 2] = 0
         self._move(2, "top", to_top[:HIDDEN])
         self._move(3, "top_bias", to_top[HIDDEN])
-        named = [c for c, _, _ in parts]
+        named = [c for c, _, _ in parts] if len(parts) < CLASSES else slice(None)
         self._move(4, "words", to_words[named, :HIDDEN], named)
         self._move(5, "word_bias", to_words[named, HIDDEN], named)
         out = np.empty_like(back)
@@ -290,29 +350,31 @@ class Trainer:
     def window(self, x: np.ndarray, target: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, steps = self.p, len(x)
         fresh = x == START
+        anew = fresh.any(1).tolist()
         # The inputs of z, r and n of all steps; they become z, r and n, then their gradients.
-        rows, at = p.embed.reshape(-1, HIDDEN), x.astype(np.int64) * 3
-        z, r, n = (rows.take(at + k, axis=0) for k in range(3))
+        given = _given(p.embed, x)
+        z, r, n = given
         by_z, by_r, by_n = _apart(p.recur)
+        minus_z, minus_r = -by_z, -by_r
         before = np.empty((*x.shape, HIDDEN), dtype=np.float32)
         past, states = np.empty_like(before), np.empty_like(before)
+        spare = np.empty_like(h)
         for t in range(steps):
             before[t] = h
-            h = before[t]
-            h[fresh[t]] = 0
-            z[t] += h @ by_z
-            r[t] += h @ by_r
+            h, to_z, to_r, to_n = before[t], z[t], r[t], n[t]
+            if anew[t]:
+                h[fresh[t]] = 0
+            np.subtract(np.matmul(h, minus_z, out=spare), to_z, out=to_z)
+            np.subtract(np.matmul(h, minus_r, out=spare), to_r, out=to_r)
             np.matmul(h, by_n, out=past[t])
-            np.negative(z[t], out=z[t])
-            np.negative(r[t], out=r[t])
-            _sigmoid_into(z[t])
-            _sigmoid_into(r[t])
-            n[t] += r[t] * past[t]
-            n[t] *= np.float32(-2)
-            _tanh_into(n[t])
-            new = np.subtract(h, n[t], out=states[t])
-            new *= z[t]
-            new += n[t]
+            _sigmoid_into(to_z)
+            _sigmoid_into(to_r)
+            to_n += np.multiply(to_r, past[t], out=spare)
+            to_n *= np.float32(-2)
+            _tanh_into(to_n)
+            new = np.subtract(h, to_n, out=states[t])
+            new *= to_z
+            new += to_n
             h = new
         good = target.ravel() >= 0
         if not good.any():
@@ -327,34 +389,34 @@ class Trainer:
             back = np.zeros((x.size, HIDDEN), dtype=np.float32)
             back[wanted] = found
         back = back.reshape(states.shape)
-        # What follows from the states alone, for all steps at once.
-        slope_n = 1 - n * n
-        slope_r = past * (r - r * r)
-        slope_z = (before - n) * (1 - z)
         turned_z, turned_r, turned_n = (np.ascontiguousarray(w.T) for w in (by_z, by_r, by_n))
-        inner = np.empty_like(n)
+        inner = states  # no longer needed
         carry = np.zeros_like(h)
+        h = h.copy()
         for t in range(steps - 1, -1, -1):
-            total = back[t]
+            to_z, to_r, to_n, total = z[t], r[t], n[t], back[t]
             total += carry
-            carry = total * z[t]
-            to_n = np.subtract(total, carry, out=n[t])
-            to_n *= slope_n[t]
-            np.multiply(to_n, r[t], out=inner[t])
-            to_r = np.multiply(to_n, slope_r[t], out=r[t])
-            to_z = np.multiply(carry, slope_z[t], out=z[t])
-            carry += to_z @ turned_z
-            carry += to_r @ turned_r
-            carry += inner[t] @ turned_n
-            carry[fresh[t]] = 0
+            np.multiply(total, to_z, out=carry)
+            np.subtract(1, to_z, out=to_z)
+            to_z *= np.subtract(before[t], to_n, out=spare)
+            to_z *= carry
+            np.multiply(to_n, to_n, out=to_n)
+            np.subtract(1, to_n, out=to_n)
+            to_n *= np.subtract(total, carry, out=spare)
+            np.multiply(to_n, to_r, out=inner[t])
+            to_r -= np.multiply(to_r, to_r, out=spare)
+            to_r *= past[t]
+            to_r *= to_n
+            for gradient, turned in ((to_z, turned_z), (to_r, turned_r), (inner[t], turned_n)):
+                carry += np.matmul(gradient, turned, out=spare)
+            if anew[t]:
+                carry[fresh[t]] = 0
         flat = before.reshape(-1, HIDDEN).T
         recur = np.concatenate([flat @ part.reshape(-1, HIDDEN) for part in (z, r, inner)], axis=1)
         norm = float(np.sqrt((recur * recur).sum()))
         self._move(1, "recur", recur * np.float32(min(1.0, 1.0 / (norm + 1e-9))))
-        order = np.argsort(x.ravel(), kind="stable")
-        names, first = np.unique(x.ravel()[order], return_index=True)
-        given = np.concatenate([part.reshape(-1, HIDDEN) for part in (z, r, n)], axis=1)
-        self._move(0, "embed", np.add.reduceat(given.take(order, axis=0), first), names)
+        names, sums = _summed(x.ravel(), given.reshape(3, -1, HIDDEN))
+        self._move(0, "embed", np.concatenate(list(sums), axis=1), names)
         return h
 
     def learn(self, tokens: np.ndarray, edges: np.ndarray) -> None:

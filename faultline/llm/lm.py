@@ -32,7 +32,10 @@ MERGED = 32
 POOL = 4_000_000
 PENDING = 2_000_000
 PART = 1 << 14
+CELL_BITS = 20
 END = np.uint64(0xE7D0)
+# The tail class of a word by its last byte and, as the lower part, the byte before.
+TAIL_OF = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(gru.TAILS)).astype(np.int64)
 
 
 def _tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,15 +49,19 @@ def _tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes[place] = hashes_of(data, words)
     tails = np.zeros(edges[-1], dtype=np.int64)
     if len(words.docs):
-        last = data[words.ends - 1].astype(np.uint64)
-        before = np.where(words.ends - words.starts > 1, data[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
-        tails[place] = (mix(last * np.uint64(256) + before) % np.uint64(gru.TAILS)).astype(np.int64)
+        last = data[words.ends - 1].astype(np.int64)
+        before = np.where(words.ends - words.starts > 1, data[np.maximum(words.ends - 2, 0)], 0)
+        tails[place] = TAIL_OF[last * 256 + before]
     return hashes, tails, edges
 
 
 def _summed(hashes: np.ndarray, tails: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    return keys, tails[first], np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
+    if not len(hashes):
+        return hashes, tails, counts
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], tails[order[first]], np.add.reduceat(counts[order], first)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -97,12 +104,26 @@ class Vocabulary:
     tail_different: np.ndarray
     total: int
     different: int
+    _cells: np.ndarray | None = None
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of the first kept hash that is not smaller, or the last place: from where its upper bits begin, step by step."""
+        if self._cells is None:
+            edges = np.arange(1 << CELL_BITS, dtype=np.uint64) << np.uint64(64 - CELL_BITS)
+            self._cells = np.minimum(np.searchsorted(self.hashes, edges), len(self.hashes) - 1).astype(np.int32)
+        at = self._cells[hashes >> np.uint64(64 - CELL_BITS)]
+        low = np.flatnonzero(self.hashes[at] < hashes)
+        while len(low):
+            at[low] += 1
+            low = low[at[low] < len(self.hashes) - 1]
+            low = low[self.hashes[at[low]] < hashes[low]]
+        return np.minimum(at, len(self.hashes) - 1)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (-1 for words that are not kept) and model number (-1 for words that the model lacks) of each token."""
         if not len(self.hashes):
             return np.full(len(hashes), -1), np.where(hashes == END, 0, -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = self._places(hashes)
         known = self.hashes[at] == hashes
         return np.where(known, self.counts[at], -1), np.where(known, self.word[at], np.where(hashes == END, 0, -1))
 

@@ -149,6 +149,41 @@ def test_training_follows_the_gradient():
         assert abs((up - down) / 6e-2 - recorder.seen["recur"][spot]) < 2e-3
 
 
+def test_scoring_prepares_the_softmaxes_once(monkeypatch):
+    """However many windows a text has."""
+    calls = []
+    inner = gru._widened
+    monkeypatch.setattr(gru, "_widened", lambda *args: calls.append(1) or inner(*args))
+    p = gru.initial(np.ones(gru.VOCABULARY, dtype=np.int64), np.ones(gru.TAILS, dtype=np.int64))
+    tokens = np.random.default_rng(2).integers(0, gru.START, 20 * gru.SCORE_WINDOW).astype(np.int32)
+    gru.score(p, tokens, np.array([0, len(tokens)]))
+    assert len(calls) == 2
+
+
+def test_sums_of_repeated_rows_round_as_reduceat():
+    rng = np.random.default_rng(3)
+    for names in (rng.zipf(1.4, 3000) % gru.START, rng.integers(0, 5, 400), np.arange(7), np.zeros(1, dtype=np.int64)):
+        rows = rng.normal(size=(3, len(names), 4)).astype(np.float32)
+        order = np.argsort(names, kind="stable")
+        different, first = np.unique(names[order], return_index=True)
+        want = np.add.reduceat(rows.take(order, axis=1), first, axis=1)
+        got, sums = gru._summed(names, rows)
+        by_name = np.argsort(got)
+        assert (got[by_name] == different).all() and (sums[:, by_name] == want).all()
+
+
+def test_kept_words_are_found_as_by_binary_search():
+    rng = np.random.default_rng(4)
+    for size, bits in ((1, 64), (3, 64), (5000, 64), (5000, 20), (2000, 45)):
+        kept = np.unique(rng.integers(0, (1 << bits) - 1, size, dtype=np.uint64, endpoint=True))
+        known = lm.Vocabulary(kept, np.arange(len(kept)) + 1, np.arange(len(kept)) - 1, *[np.zeros(0, dtype=np.int64)] * 3, 0, 0)
+        asked = np.concatenate([kept, kept + np.uint64(1), rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], dtype=np.uint64)])
+        assert (known._places(asked) == np.minimum(np.searchsorted(kept, asked), len(kept) - 1)).all()
+        counts, _ = known.find(asked)
+        place = {h: n + 1 for n, h in enumerate(kept.tolist())}
+        assert counts.tolist() == [place.get(h, -1) for h in asked.tolist()]
+
+
 def test_rule_counts_against_plain_counts(spark, sf, tables, odd_docs, odd_labels, odd_rows, no_docs):
     texts, labels = tables
     rows = queries.QUERIES["op4_quality_rules"](spark, sf).collect()
